@@ -92,7 +92,7 @@ def mix(
         rate.unpersist()
     if not few:
         salted = docs.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)))
-        spread = rate.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = rate.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         on = F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_part"))
         drawn = salted.join(spread, on, "left").drop("_salt", "_part")
     drawn = drawn.withColumn("_u", uniform(seed, F.col(id_col))).withColumn("_n", F.expr(poisson("_rate", "_u"))).where("_n > 0")

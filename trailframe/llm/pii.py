@@ -65,7 +65,7 @@ def shifted(half: str, classes: str, other: str, key: str, step: int) -> str:
     source = f"concat({quoted(key)}, '|{step}|', array_join({other}, ''))"
     move = byte_of(f"element_at(hs, cast(i div 32 as int) + 1)", "i % 32")
     digests = f"transform(sequence(0, cast(size({half}) div 32 as int)), b -> sha2(concat({source}, '|', b), 256))"
-    alphabets = {"9": "0123456789", "n": "23456789", "h": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    alphabets = {"9": "0123456789", "n": "23456789", "h": "abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
     cases = " ".join(
         f"when '{k}' then substr('{v}', (locate(c, '{v}') - 1 + {move}) % {len(v)} + 1, 1)" for k, v in alphabets.items()
     )
@@ -75,12 +75,12 @@ def shifted(half: str, classes: str, other: str, key: str, step: int) -> str:
 def permuted(text: str, key: str, phone: bool = False) -> str:
     """SQL: string `text` permuted within the class of each of its characters.
 
-    Letters a-f in a value of hex digits alone move among hex digits, and the
+    Letters in a value of hex digits alone move among a-f, and the
     leading digits of telephone groups among 2-9; the output has the same classes.
     """
     lead = "when c rlike '[2-9]' and i > 0 and cs[i - 1] in ('(', ')', ' ') then 'n' " if phone else ""
     kinds = (
-        f"transform(cs, (c, i) -> case {lead}when hex and c rlike '[0-9a-f]' then 'h' when c rlike '[0-9]' then '9' "
+        f"transform(cs, (c, i) -> case {lead}when hex and c rlike '[a-f]' then 'h' when c rlike '[0-9]' then '9' "
         "when c rlike '[a-z]' then 'a' when c rlike '[A-Z]' then 'A' else '.' end)"
     )
     state = "named_struct('l', slice(cs, 1, h), 'r', slice(cs, h + 1, size(cs) - h))"
@@ -95,7 +95,7 @@ def permuted(text: str, key: str, phone: bool = False) -> str:
     body = let("out", state, "concat(array_join(out.l, ''), array_join(out.r, ''))")
     body = let("h", "cast(size(cs) div 2 as int)", body)
     body = let("ks", kinds, body)
-    body = let("hex", f"({text}) rlike '^[0-9a-f]*$' and ({text}) rlike '[a-f]'" if not phone else "false", body)
+    body = let("hex", f"({text}) rlike '^[0-9a-f]*$'" if not phone else "false", body)
     return let("cs", f"filter(split({text}, ''), c -> c <> '')", body)
 
 
