@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailframe.llm import html_text, jaccard, licenses, mixing, pii, tokens, warc
+from trailframe.llm import ann, decontam, html_text, jaccard, langid, licenses, mixing, pii, tokens, warc
 from trailframe.llm.common import table
 
 #: Key of the pseudonyms in the registered query; real uses pass their own.
 PII_KEY = "trailframe-demonstration-key"
 
 
+def op1_ann_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -40,18 +45,29 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.selectExpr("doc_id", "pii_text as text", "cast(size(pii_found) as long) as n_found", "array_join(pii_found, ',') as kinds")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.selectExpr("doc_id", "source", "cast(copy as long) as copy", "mix_key", "text")
 
 
 QUERIES = {
+    "op1_ann_curves": op1_ann_curves,
     "op2_license_scan": op2_license_scan,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_counts": op4_token_counts,
     "op5_html_text": op5_html_text,
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,
+    "op8_decontamination": op8_decontamination,
+    "op9_language_id": op9_language_id,
     "op10_mix": op10_mix,
 }
 
