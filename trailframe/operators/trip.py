@@ -96,13 +96,13 @@ def reference_points(points: DataFrame) -> DataFrame:
     return rows.select("day_id", F.explode(F.array_distinct(F.array_compact(F.array("a", "b", "c")))).alias("point_id"))
 
 
-def allocate(rows: DataFrame, group: str, order: str, total: str, share: str) -> DataFrame:
+def allocate(rows: DataFrame, group: str, order: tuple[str, ...], total: str, share: str) -> DataFrame:
     """Largest remainder: whole parts that sum to a whole total, spare units to the largest fractions, then in order."""
     w = Window.partitionBy(group)
     exact = F.col(total) * F.col(share) / F.sum(share).over(w)
     parts = rows.withColumn("_exact", exact).withColumn("_floor", F.floor("_exact")).withColumn("_rest", F.col("_exact") - F.col("_floor"))
     spare = F.col(total) - F.sum("_floor").over(w)
-    place = F.row_number().over(w.orderBy(F.desc("_rest"), order))
+    place = F.row_number().over(w.orderBy(F.desc("_rest"), *order))
     return parts.withColumn("allocated", (F.col("_floor") + F.when(place - 1 < spare, 1).otherwise(0)).cast("long")).drop("_exact", "_floor", "_rest")
 
 

@@ -60,24 +60,24 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(
         "location_id",
         "time",
-        F.round(v * 0.08 - 4, 4).alias("apparent_c"),
-        F.when(F.col("errors") == 0, F.round(v * 0.011, 4)).alias("precipitation_mm"),
-        F.when(n % 4 != 0, F.round(v * 0.2, 4)).alias("precipitation_pct"),
-        F.round(F.greatest(F.lit(0.0), v * 0.005 - 1.6), 4).alias("snowfall_cm"),
+        F.round(v * 0.08 - 4, 8).alias("apparent_c"),
+        F.when(F.col("errors") == 0, F.round(v * 0.011, 8)).alias("precipitation_mm"),
+        F.when(n % 4 != 0, F.round(v * 0.2, 8)).alias("precipitation_pct"),
+        F.round(F.greatest(F.lit(0.0), v * 0.005 - 1.6), 8).alias("snowfall_cm"),
         F.when(n % 5 != 0, F.element_at(F.array(*[F.lit(x) for x in (0, 3, 45, 61, 65, 80, 95, 96, 7)]), (F.floor(v).cast("int") % 9) + 1)).alias("weather_code"),
-        F.round(v * 0.11, 4).alias("wind_kph"),
-        F.when(n % 3 != 0, F.round(v * 0.16, 4)).alias("gust_kph"),
-        F.round(F.lit(12_000.0) - v * 23, 4).alias("visibility_m"),
-        F.round(F.lit(600.0) + v * 5, 4).alias("freezing_m"),
+        F.round(v * 0.11, 8).alias("wind_kph"),
+        F.when(n % 3 != 0, F.round(v * 0.16, 8)).alias("gust_kph"),
+        F.round(F.lit(12_000.0) - v * 23, 8).alias("visibility_m"),
+        F.round(F.lit(600.0) + v * 5, 8).alias("freezing_m"),
     )
 
 
 HOURLY_SQL = """hourly AS (
-    SELECT location_id, time, round(v * 0.08::DOUBLE - 4, 4) AS apparent_c, CASE WHEN errors = 0 THEN round(v * 0.011::DOUBLE, 4) END AS precipitation_mm,
-        CASE WHEN n % 4 <> 0 THEN round(v * 0.2::DOUBLE, 4) END AS precipitation_pct, round(greatest(0.0::DOUBLE, v * 0.005::DOUBLE - 1.6::DOUBLE), 4) AS snowfall_cm,
+    SELECT location_id, time, round(v * 0.08::DOUBLE - 4, 8) AS apparent_c, CASE WHEN errors = 0 THEN round(v * 0.011::DOUBLE, 8) END AS precipitation_mm,
+        CASE WHEN n % 4 <> 0 THEN round(v * 0.2::DOUBLE, 8) END AS precipitation_pct, round(greatest(0.0::DOUBLE, v * 0.005::DOUBLE - 1.6::DOUBLE), 8) AS snowfall_cm,
         CASE WHEN n % 5 <> 0 THEN [0, 3, 45, 61, 65, 80, 95, 96, 7][CAST(floor(v) AS INT) % 9 + 1] END AS weather_code,
-        round(v * 0.11::DOUBLE, 4) AS wind_kph, CASE WHEN n % 3 <> 0 THEN round(v * 0.16::DOUBLE, 4) END AS gust_kph,
-        round(12000.0::DOUBLE - v * 23, 4) AS visibility_m, round(600.0::DOUBLE + v * 5, 4) AS freezing_m
+        round(v * 0.11::DOUBLE, 8) AS wind_kph, CASE WHEN n % 3 <> 0 THEN round(v * 0.16::DOUBLE, 8) END AS gust_kph,
+        round(12000.0::DOUBLE - v * 23, 8) AS visibility_m, round(600.0::DOUBLE + v * 5, 8) AS freezing_m
     FROM (SELECT CAST(user_id % 25 AS INT) AS location_id, date_trunc('hour', ts) AS time, round(avg(value), 4) AS v, count(*) AS n,
         count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2))"""
 

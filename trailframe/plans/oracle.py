@@ -216,17 +216,17 @@ SQL = {
         h AS (SELECT *, mv / 60 * greatest(3.6, least(16.0, 3.6 + 1.295 * (mv / 60))) * (1 + greatest(0.0, least(60.0, greatest(0.0, coalesce(gain, 0.0)) / km - 5)) / 60 * 0.8) AS raw FROM q)
         SELECT l_orderkey, CASE WHEN km > 0 AND mv > 0 THEN greatest(0.0::DOUBLE, least(240.0::DOUBLE, floor(raw / 5 + 0.5) * 5)) ELSE 0.0 END AS minutes,
             CASE WHEN mv < 240 THEN 1 WHEN mv < 360 THEN 2 WHEN mv < 480 THEN 3 ELSE 4 END AS pauses FROM h""",
-    "pause_allocation": """WITH q AS (SELECT l_orderkey, l_linenumber, l_orderkey % 240 AS total, (l_orderkey % 240) * l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS x FROM lineitem),
+    "pause_allocation": """WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_orderkey % 240 AS total, (l_orderkey % 240) * l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS x FROM lineitem),
         f AS (SELECT *, floor(x) AS b, x - floor(x) AS rest FROM q),
-        n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY rest DESC, l_linenumber) AS n, total - sum(b) OVER (PARTITION BY l_orderkey) AS spare FROM f)
-        SELECT l_orderkey, l_linenumber, CAST(b + CASE WHEN n - 1 < spare THEN 1 ELSE 0 END AS BIGINT) AS allocated FROM n""",
+        n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY rest DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, total - sum(b) OVER (PARTITION BY l_orderkey) AS spare FROM f)
+        SELECT l_orderkey, l_linenumber, l_partkey, CAST(b + CASE WHEN n - 1 < spare THEN 1 ELSE 0 END AS BIGINT) AS allocated FROM n""",
     "clock_shifts": """WITH q AS (SELECT o_orderkey, CAST(floor(o_orderkey % 1440 + round(o_totalprice / 100, 2) + 0.5) AS BIGINT) AS a FROM orders)
         SELECT o_orderkey, CAST(a % 1440 AS INT) AS clock_minutes, CAST(a // 1440 AS INT) AS day_offset,
             lpad(CAST((a % 1440) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(a % 60 AS VARCHAR), 2, '0') || CASE WHEN a >= 1440 THEN ' (+' || CAST(a // 1440 AS VARCHAR) || ' j)' ELSE '' END AS text,
             CAST((a + 1320) % 1440 AS INT) AS shifted, a >= 120 AS coherent, CAST(a % 1440 AS INT) AS parsed, TIMESTAMP '2024-03-30' + to_minutes(CAST(a AS INT)) AS at FROM q""",
     "hourly_summary": f"WITH {HOURLY_SQL} SELECT location_id, {SUMMARY} FROM hourly GROUP BY 1",
-    "daily_summary": f"WITH {HOURLY_SQL} SELECT location_id, CAST(time AS DATE) AS date, {SUMMARY} FROM hourly GROUP BY 1, 2",
-    "nearest_hours": f"WITH {NEAR_SQL} SELECT point_id, forecast_time, round(minutes_off, 4) AS minutes_off, apparent_c, weather_code FROM near",
+    "daily_summary": f"WITH {HOURLY_SQL} SELECT location_id, strftime(time, '%Y-%m-%d') AS date, {SUMMARY} FROM hourly GROUP BY 1, 2",
+    "nearest_hours": f"WITH {NEAR_SQL} SELECT point_id, forecast_time, round(minutes_off, 8) AS minutes_off, apparent_c, weather_code FROM near",
     "ride_association": f"""WITH {NEAR_SQL} SELECT point_id, CASE WHEN location_id = 24 THEN 'location-missing' WHEN eta < TIMESTAMP '2024-01-02' OR eta > TIMESTAMP '2024-01-25' THEN 'outside-forecast'
         WHEN forecast_time IS NULL THEN 'hour-missing' ELSE 'available' END AS state, CASE WHEN location_id <> 24 THEN forecast_time END AS forecast_time FROM near""",
     "off_day_association": f"""WITH {HOURLY_SQL}, {STOPS_SQL}, d AS (SELECT day_id, min(location_id) AS location_id, CAST(min(eta) AS DATE) AS date FROM stops GROUP BY 1)
@@ -258,7 +258,7 @@ SQL = {
     "trip_totals": f"""WITH {DAYS_SQL} SELECT trip_id, count(*) AS days, count(*) FILTER (kind = 'ride') AS rides, count(*) FILTER (kind = 'off') AS offs, count(*) FILTER (kind = 'transfer') AS transfers,
         count(*) FILTER (NOT attached) AS calendar_days, round(sum(distance_km), 4) AS known_km, round(sum(coalesce(distance_km, 0.0)), 4) AS zero_km,
         round(CASE WHEN count(distance_km) = count(*) FILTER (kind = 'ride') THEN sum(distance_km) END, 4) AS complete_km, round(sum(gain_m), 4) AS gain_m FROM days GROUP BY 1""",
-    "trip_calendar": f'WITH {DAYS_SQL} SELECT trip_id, day_id, "index", display_number, date FROM dated',
+    "trip_calendar": f'WITH {DAYS_SQL} SELECT trip_id, day_id, "index", display_number, CAST(date AS VARCHAR) AS date FROM dated',
     "trip_fill_places": f"""WITH {DAYS_SQL}, n AS (SELECT d.*, (SELECT max(x.position) FROM days x WHERE x.trip_id = d.trip_id AND x.kind = 'ride' AND x.position < d.position) AS b,
             (SELECT min(x.position) FROM days x WHERE x.trip_id = d.trip_id AND x.kind = 'ride' AND x.position > d.position) AS a FROM days d WHERE kind <> 'ride')
         SELECT n.trip_id, n.position, CASE WHEN n.manual IS NOT NULL THEN n.manual WHEN n.b IS NOT NULL THEN x.arrival ELSE y.departure END AS place,
@@ -266,7 +266,7 @@ SQL = {
         FROM n LEFT JOIN days x ON x.trip_id = n.trip_id AND x.position = n.b LEFT JOIN days y ON y.trip_id = n.trip_id AND y.position = n.a""",
     "trip_progress": f"""WITH {DAYS_SQL} SELECT trip_id, count(*) FILTER (date < DATE '2024-06-08') AS days_done, count(*) FILTER (date >= DATE '2024-06-08') AS days_left,
         round(sum(CASE WHEN date < DATE '2024-06-08' THEN coalesce(distance_km, 0.0) ELSE 0.0 END), 4) AS km_done, round(sum(coalesce(distance_km, 0.0)), 4) AS km_total,
-        min(date) FILTER (date >= DATE '2024-06-08') AS next_date FROM dated GROUP BY 1""",
+        CAST(min(date) FILTER (date >= DATE '2024-06-08') AS VARCHAR) AS next_date FROM dated GROUP BY 1""",
     "trip_highlight": f"WITH {DAYS_SQL} SELECT trip_id, arg_min(position, date) FILTER (date >= DATE '2024-06-12') AS position FROM dated GROUP BY 1",
     "trip_preferred": f"""WITH {DAYS_SQL}, s AS (SELECT trip_id, trip_id % 20 AS owner, min(order_date) AS a, max(order_date) AS b FROM days GROUP BY 1),
         t AS (SELECT *, CASE WHEN a <= DATE '1995-06-17' AND b >= DATE '1995-06-17' THEN 0 WHEN a > DATE '1995-06-17' THEN 1 ELSE 2 END AS stage FROM s),

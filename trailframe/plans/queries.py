@@ -161,8 +161,9 @@ def break_budget(spark, sf_dir):
 
 
 def pause_allocation(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").withColumn("total", F.pmod(F.col("l_orderkey"), F.lit(240)))
-    return trip.allocate(rows, "l_orderkey", "l_linenumber", "total", "l_quantity").select("l_orderkey", "l_linenumber", "allocated")
+    rows = table(spark, sf_dir, "lineitem").withColumn("total", F.pmod(F.col("l_orderkey"), F.lit(240)))
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return trip.allocate(rows, "l_orderkey", order, "total", "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", "allocated")
 
 
 def clock_shifts(spark, sf_dir):
@@ -174,16 +175,16 @@ def clock_shifts(spark, sf_dir):
 
 
 def hourly_summary(spark, sf_dir):
-    return rounded(forecast.hourly_summary(hourly(spark, sf_dir), "location_id"), 4)
+    return rounded(forecast.hourly_summary(hourly(spark, sf_dir), "location_id"), 8)
 
 
 def daily_summary(spark, sf_dir):
-    return rounded(forecast.hourly_summary(hourly(spark, sf_dir).withColumn("date", F.col("time").cast("date")), "location_id", "date"), 4)
+    return rounded(forecast.hourly_summary(hourly(spark, sf_dir).withColumn("date", F.date_format("time", "yyyy-MM-dd")), "location_id", "date"), 8)
 
 
 def nearest_hours(spark, sf_dir):
     rows = forecast.nearest_hour(stops(spark, sf_dir), hourly(spark, sf_dir), "point_id")
-    return rounded(rows.select("point_id", "forecast_time", "minutes_off", "apparent_c", "weather_code"), 4)
+    return rounded(rows.select("point_id", "forecast_time", "minutes_off", "apparent_c", "weather_code"), 8)
 
 
 def ride_association(spark, sf_dir):
@@ -196,7 +197,7 @@ def off_day_association(spark, sf_dir):
     days = stops(spark, sf_dir).groupBy("day_id").agg(F.min("location_id").alias("location_id"), F.min("eta").cast("date").alias("date"))
     hours = hourly(spark, sf_dir).withColumn("date", F.col("time").cast("date"))
     rows = days.join(hours, ["location_id", "date"])
-    return rounded(rows.groupBy("day_id").agg(F.count("*").alias("hours"), F.min("apparent_c").alias("coldest"), F.max("gust_kph").alias("gust")), 4)
+    return rounded(rows.groupBy("day_id").agg(F.count("*").alias("hours"), F.min("apparent_c").alias("coldest"), F.max("gust_kph").alias("gust")), 8)
 
 
 def timed(spark, sf_dir) -> DataFrame:
@@ -205,11 +206,11 @@ def timed(spark, sf_dir) -> DataFrame:
 
 
 def hazard_findings(spark, sf_dir):
-    return rounded(forecast.alerts(timed(spark, sf_dir)).select("day_id", "point_id", "rank", "risk", "level", "value"), 4)
+    return rounded(forecast.alerts(timed(spark, sf_dir)).select("day_id", "point_id", "rank", "risk", "level", "value"), 8)
 
 
 def alert_groups(spark, sf_dir):
-    return rounded(forecast.alert_groups(forecast.alerts(timed(spark, sf_dir))), 4)
+    return rounded(forecast.alert_groups(forecast.alerts(timed(spark, sf_dir))), 8)
 
 
 def day_risk(spark, sf_dir):
@@ -217,7 +218,7 @@ def day_risk(spark, sf_dir):
 
 
 def scenario_ranking(spark, sf_dir):
-    return rounded(forecast.ranked(forecast.scenario_summary(forecast.scenarios(stops(spark, sf_dir), hourly(spark, sf_dir)))), 4)
+    return rounded(forecast.ranked(forecast.scenario_summary(forecast.scenarios(stops(spark, sf_dir), hourly(spark, sf_dir)))), 8)
 
 
 def recommendations(spark, sf_dir):
@@ -305,7 +306,7 @@ def trip_totals(spark, sf_dir):
 
 
 def trip_calendar(spark, sf_dir):
-    return dated(spark, sf_dir).select("trip_id", "day_id", "index", "display_number", "date")
+    return dated(spark, sf_dir).select("trip_id", "day_id", "index", "display_number", F.col("date").cast("string").alias("date"))
 
 
 def trip_fill_places(spark, sf_dir):
@@ -313,7 +314,7 @@ def trip_fill_places(spark, sf_dir):
 
 
 def trip_progress(spark, sf_dir):
-    return rounded(trip.progress(dated(spark, sf_dir), F.lit("2024-06-08").cast("date")), 4)
+    return rounded(trip.progress(dated(spark, sf_dir), F.lit("2024-06-08").cast("date")).withColumn("next_date", F.col("next_date").cast("string")), 4)
 
 
 def trip_highlight(spark, sf_dir):
