@@ -17,11 +17,12 @@ over all documents.  The order is a matter of speed alone; results never depend
 on it.  Small sets take their shingles as the buckets.  A class near the lower
 end of its band is sent to the band below as well.
 
-Verification.  In each group of equal buckets, the smallest class is the hub.
-First every class is verified against the hub that it shares most buckets with;
-what links is contracted.  Then pairs of equal buckets that are in different
+Verification.  In each group of equal buckets, one class (by hash) is the hub.
+First every class is verified against those of its hubs whose sketches are
+nearest; what links is contracted.  Then pairs of equal buckets that are in different
 components remain: they pass the size bound and the Hamming bound of the
-sketches within the join, and are verified.  Large groups are dealt into blocks,
+sketches within the join, and are verified: by the Hamming bound of sketches
+with eight bits a shingle, then on the sets.  Large groups are dealt into blocks,
 and no pair is made within a component, so a large group of copies isn't
 expanded into all its pairs, and no link between components is lost.
 
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.llm.common import small_batches, written
@@ -58,6 +59,8 @@ LEAST_BUCKETED, BAND = 64, 4
 HOT_TIMES, HOT_MORE, HOT_PARTS = 4, 1000, 32
 #: Rows of a block of a large group.
 BLOCK_ROWS = 1024
+#: Hubs that a class is verified against in the first step.
+HUBS = 3
 #: Bits of the filter for the documents whose sets are fetched again; it saves work, and decides nothing.
 FILTER_BITS = 1 << 22
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -70,6 +73,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """The inverse of mixed."""
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 class Words(dict):
     """Hashes of words; bounded."""
 
@@ -110,6 +120,21 @@ def sketch(s: np.ndarray) -> list[int]:
     return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """Parities of eight bits a shingle at least, a power of two of them, as bytes; folding halves gives the shorter ones."""
+    bits = 1 << max(9, (8 * len(s) - 1).bit_length())
+    parity = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def wide_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two wide sketches, the longer one folded to the length of the other."""
+    if len(x) > len(y):
+        x, y = y, x
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def allowed(size: int, percent: int) -> int:
     """How many shingles two similar sets can differ in, one of them having this size."""
     return size * (100 - percent) // percent
@@ -197,7 +222,7 @@ def summed_counts(blocks: DataFrame) -> np.ndarray:
 
 
 def shared_buckets(docs: DataFrame, counts: np.ndarray, percent: int, width: int) -> DataFrame:
-    """sig, cls and hub: the buckets that several classes have; the hub of a group is its smallest class.
+    """sig, cls and hub: the buckets that several classes have; the hub of a group is one of its classes, by hash.
 
     A sorted pass over each partition streams the groups, however large they are.
     """
@@ -219,7 +244,8 @@ def shared_buckets(docs: DataFrame, counts: np.ndarray, percent: int, width: int
                 sig, rank = signatures(s, table.value, percent)
                 sigs.append(sig.view(np.int64))
                 parts.append(np.where(rank > hot, 1 + cls % HOT_PARTS, 0))
-                classes.append(np.full(len(sig), cls))
+                # a class stands in each group under a key of its own, so that each group has another hub
+                classes.append(mixed(np.uint64(cls & (1 << 64) - 1) ^ sig).view(np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(sigs), pa.int64()), pa.array(np.concatenate(parts).astype(np.int32)), pa.array(np.concatenate(classes), pa.int64())],
@@ -250,8 +276,9 @@ def shared_buckets(docs: DataFrame, counts: np.ndarray, percent: int, width: int
             if known:
                 give[0] = False
             held = (sig[-1], part[-1], hub[-1], given, cls[-1])
+            own, first = ((unmixed(x[give].view(np.uint64)) ^ sig[give].view(np.uint64)).view(np.int64) for x in (cls, hub))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[give], pa.int64()), pa.array(part[give] > 0), pa.array(cls[give], pa.int64()), pa.array(hub[give], pa.int64())],
+                [pa.array(sig[give], pa.int64()), pa.array(part[give] > 0), pa.array(own, pa.int64()), pa.array(first, pa.int64())],
                 names=["sig", "dealt", "cls", "hub"],
             )
 
@@ -266,7 +293,7 @@ def shared_buckets(docs: DataFrame, counts: np.ndarray, percent: int, width: int
 
 
 def fetched(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
-    """cls and the bytes of its set, for the classes in need(doc_id, cls)."""
+    """cls, the bytes of its set, and its size and wide sketch, for the classes in need(doc_id, cls)."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     marks = need.select((place + 1).alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("k"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -284,14 +311,17 @@ def fetched(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
             batch = batch.take(pa.array(wanted))
             sets = [shingles(t.as_py(), words, width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "cls", "data"],
+                [
+                    batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([len(s).to_bytes(8, "little") + wide_sketch(s) for s in sets], pa.binary()),
+                ],
+                names=["doc_id", "cls", "data", "wide"],
             )
 
-    sets = docs.select("doc_id", "text", place.alias("x")).mapInArrow(fetch, "doc_id long, cls long, data binary")
+    sets = docs.select("doc_id", "text", place.alias("x")).mapInArrow(fetch, "doc_id long, cls long, data binary, wide binary")
     wanted = need.select(F.col("doc_id").alias("_d"), F.col("cls").alias("_c"))
     kept = sets.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("cls") == F.col("_c")), "leftsemi")
-    return written(kept.groupBy("cls").agg(F.first("data").alias("data")), "sets")
+    return written(kept.groupBy("cls").agg(F.first("data").alias("data"), F.first("wide").alias("wide")), "sets")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
@@ -299,8 +329,21 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     need = classes.select("cls", F.col("first").alias("doc_id")).join(ends, "cls", "leftsemi")
     sets = fetched(docs, need, width)
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("x")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y")
+
+    def sided(rows: DataFrame, column: str) -> DataFrame:
+        left = rows.join(sets.select(F.col("cls").alias("a"), F.col(column).alias("x")), "a")
+        return left.join(sets.select(F.col("cls").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The Hamming bound of the wide sketches: 2 * common = both - difference."""
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.as_py(), y.as_py()
+                n = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+                far = wide_distance(np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8))
+                keep.append(far * (100 + percent) <= n * (100 - percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,13 +354,17 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.mapInArrow(check, "a long, b long"), "verified")
+    likely = written(sided(pairs, "wide").mapInArrow(bound, "a long, b long"), "likely")
+    return written(sided(likely, "data").mapInArrow(check, "a long, b long"), "verified")
+
+
+def hamming(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.col(f"{x}s")[i].bitwiseXOR(F.col(f"{y}s")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
 def close(percent: int, x: str, y: str) -> Column:
     """The size bound, and the Hamming bound of the parity sketches."""
-    n, m = F.col(f"{x}n"), F.col(f"{y}n")
-    far = sum((F.bit_count(F.col(f"{x}s")[i].bitwiseXOR(F.col(f"{y}s")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    n, m, far = F.col(f"{x}n"), F.col(f"{y}n"), hamming(x, y)
     sizes = (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
     return sizes & (far * (100 + percent) <= (n + m) * (100 - percent))
 
@@ -341,10 +388,12 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     def sided(side: str, key: str) -> DataFrame:
         return classes.select(F.col("cls").alias(key), F.col("n").alias(f"{side}n"), F.col("s").alias(f"{side}s"))
 
-    # each class against the hub that it shares most buckets with
-    shared = members.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n"))
-    best = shared.groupBy("cls").agg(F.max(F.struct("n", -F.col("hub"), "hub")).alias("t")).select(F.col("cls").alias("b"), F.col("t.hub").alias("a"))
-    tried = written(best.join(sided("x", "a"), "a").join(sided("y", "b"), "b").where(close(percent, "x", "y")).select("a", "b"), "tried")
+    # each class against those of its hubs whose sketches are nearest
+    hubs = members.where("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"), "cls").distinct()
+    near = hubs.join(sided("x", "a"), "a").join(sided("y", "b"), "b").where(close(percent, "x", "y"))
+    order = Window.partitionBy("cls").orderBy(hamming("x", "y") / (F.col("xn") + F.col("yn")), "a", "b")
+    tried = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= HUBS).select("a", "b").distinct()
+    tried = written(tried, "tried")
     first = verified(tried, docs, classes, percent, width)
     roots = components(first)
 
@@ -358,8 +407,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     left = open_.select("sig", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int").alias("part"), F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("n").alias("xn"), F.col("s").alias("xs"))
     right = open_.select("sig", F.explode(F.expr("sequence(0, k - 1)")).alias("part"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("yn"), F.col("s").alias("ys"))
     pairs = left.join(right, ["sig", "part"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(percent, "x", "y"))
-    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = written(pairs.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "second")
+    second = written(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         roots = components(first.union(verified(second, docs, classes, percent, width)))
 
