@@ -154,6 +154,12 @@ DAYS_SQL = """days AS (
         CAST(DATE '2024-06-01' + CAST(row_number() OVER w - 1 AS INT) AS DATE) AS date FROM days WINDOW w AS (PARTITION BY trip_id ORDER BY position))"""
 
 SQL = {
+    "name_keys": """WITH n AS (SELECT doc_id, lower(strip_accents(left(text, 60))) AS s FROM documents)
+        SELECT doc_id, nullif(regexp_replace(s, '[^a-z0-9]+', '', 'g'), '') AS key, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS words FROM n""",
+    "climb_landmarks": """WITH o AS (SELECT o_orderkey AS id, o_custkey % 100 AS route_id, round(o_totalprice % 200, 2) AS km, o_orderpriority AS p FROM orders),
+        j AS (SELECT c.route_id, c.id AS climb_id, m.id AS landmark_id, m.p AS name, row_number() OVER (PARTITION BY c.route_id, c.id ORDER BY CASE WHEN m.p = '1-URGENT' THEN 0 ELSE 1 END, abs(m.km - c.km), m.id) AS n
+            FROM o c JOIN o m ON c.route_id = m.route_id AND c.id % 3 = 0 AND m.id % 3 = 1 AND m.p <> '5-LOW' AND abs(m.km - c.km) <= 1)
+        SELECT route_id, climb_id, landmark_id, name FROM j WHERE n = 1""",
     "track_metrics": f"WITH {STEPS_SQL} SELECT route_id, {METRICS}, count(elevation_m) AS with_altitude, round(count(elevation_m) / count(*), 6) AS coverage, count(elevation_m) / count(*) >= 0.5 AND count(elevation_m) >= 2 AS sufficient FROM series GROUP BY 1",
     "track_summary_by_segment": f"""WITH {POINTS_SQL}, st AS (SELECT *, coalesce({hav("lag(latitude) OVER w", "lag(longitude) OVER w", "latitude", "longitude")}, 0.0::DOUBLE) AS step_km,
         elevation_m - last_value(elevation_m IGNORE NULLS) OVER (PARTITION BY route_id, segment_index ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions import clock, geo, terrain as rules, weather
-from trailframe.operators import climbs, forecast, quality, spatial, terrain, track, trip
+from trailframe.operators import climbs, forecast, quality, spatial, terrain, track, trip, waypoints
 from trailframe.plans.carriers import hourly, stops, table, track_points
 
 HORIZON = ("2024-01-02 00:00:00", "2024-01-25 00:00:00")
@@ -397,6 +397,43 @@ def expanded_boxes(spark, sf_dir):
     return rounded(b.select("route_id", geo.expanded_box(F.col("south"), F.col("west"), F.col("north"), F.col("east"), 500.0).alias("b")).select("route_id", "b.*"))
 
 
+def name_keys(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("name"))
+    return d.select("doc_id", waypoints.name_key(F.col("name")).alias("key"), waypoints.name_words(F.col("name")).alias("words"))
+
+
+def climb_landmarks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    route = F.col("o_custkey") % 100
+    climbs_ = o.where("o_orderkey % 3 = 0").select(route.alias("route_id"), F.col("o_orderkey").alias("climb_id"), F.round(F.col("o_totalprice") % 200, 2).alias("end_km"))
+    p = F.col("o_orderpriority")
+    marks = o.where("o_orderkey % 3 = 1").select(
+        route.alias("route_id"), F.col("o_orderkey").alias("landmark_id"), F.when(p != "5-LOW", p).alias("name"), F.when(p == "1-URGENT", "mountain-pass").otherwise("saddle").alias("kind"),
+        F.round(F.col("o_totalprice") % 200, 2).alias("track_km"),
+    )
+    return waypoints.climb_landmarks(climbs_, marks)
+
+
+def simplified_tracks(spark, sf_dir):
+    return waypoints.simplified(track_points(spark, sf_dir).select("route_id", "seq", "latitude", "longitude"), 10).select("route_id", "seq")
+
+
+def file_ordering(spark, sf_dir):
+    p = track_points(spark, sf_dir)
+    ends = p.groupBy("chain", "route_id").agg(
+        F.min_by("latitude", "seq").alias("lat1"), F.min_by("longitude", "seq").alias("lon1"), F.max_by("latitude", "seq").alias("lat2"), F.max_by("longitude", "seq").alias("lon2")
+    )
+    number = F.when(F.col("chain") % 2 == 0, -F.col("route_id")).cast("int")
+    files = ends.select(F.col("chain").cast("long").alias("trip_id"), F.concat(F.lit("f"), F.col("route_id").cast("string")).alias("file_name"), number.alias("number"), "lat1", "lon1", "lat2", "lon2")
+    return waypoints.file_order(files)
+
+
+def grouped_stops(spark, sf_dir):
+    s = stops(spark, sf_dir).where("point_id % 10 = 3")
+    near = s.select("day_id", F.col("point_id").cast("long").alias("point_id"), (F.col("point_id") % 500 / 10).alias("track_km"), (F.lit(45.0) + F.col("point_id") % 500 * 0.0005).alias("latitude"), F.lit(6.0).alias("longitude"), (F.col("elevation_m") % 60).alias("elevation_m"))
+    return waypoints.grouped_points(near)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -406,6 +443,6 @@ QUERIES = {
         hourly_summary, daily_summary, nearest_hours, ride_association, off_day_association, hazard_findings, alert_groups, scenario_ranking, recommendations, weather_codes,
         display_modes, forecast_cache, nearest_segments, places_in_corridor, thinned_places, unique_places, similar_tracks, duplicate_files, trip_totals, trip_calendar, trip_fill_places,
         trip_progress, trip_highlight, trip_preferred, reference_points, stage_members, days_of_place, planned_files, upsert, unique_name_matches, enrichment_status, layer_counts,
-        version_difference, validation_issues, schema_versions, expanded_boxes,
+        version_difference, validation_issues, schema_versions, expanded_boxes, name_keys, climb_landmarks, simplified_tracks, file_ordering, grouped_stops,
     )
 }
