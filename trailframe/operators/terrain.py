@@ -39,7 +39,9 @@ def interpolate(series: DataFrame, targets: DataFrame, values: tuple[str, ...],
     rows = series.select("route_id", F.col("distance_km").alias("_at"), struct.alias("_p"), F.lit(None).cast("int").alias("k"), F.lit(1).alias("_kind"))
     asked = targets.select("route_id", F.col("target_km").alias("_at"), F.lit(None).cast(rows.schema["_p"].dataType).alias("_p"), F.col("k").cast("int"), F.lit(0).alias("_kind"))
     w = Window.partitionBy("route_id").orderBy("_at", "_kind", "k")
-    first = F.first("_p", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # the next row is the last one seen from the other end: both frames grow row by row
+    back = Window.partitionBy("route_id").orderBy(F.desc("_at"), F.desc("_kind"), F.desc("k"))
+    first = F.last("_p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     last = F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     near = rows.unionByName(asked).withColumn("_after", first).withColumn("_before", last).where("_kind = 0")
     near = near.withColumn("_b", F.coalesce("_after", "_before")).withColumn("_a", F.coalesce("_before", "_after"))

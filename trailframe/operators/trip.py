@@ -56,7 +56,8 @@ def fill_places(days: DataFrame) -> DataFrame:
     ride = F.when(F.col("kind") == "ride", F.struct("departure", "arrival"))
     rows = days.withColumn("_ride", ride)
     before = F.last("_ride", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("_ride", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("trip_id").orderBy(F.desc("position"))
+    after = F.last("_ride", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_b", before).withColumn("_a", after)
     place = F.when(F.col("manual").isNotNull(), F.col("manual")).when(F.col("_b").isNotNull(), F.col("_b.arrival")).otherwise(F.col("_a.departure"))
     source = F.when(F.col("manual").isNotNull(), "manual").when(F.col("_b").isNotNull(), "previous").when(F.col("_a").isNotNull(), "next").otherwise("none")

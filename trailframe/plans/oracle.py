@@ -42,6 +42,23 @@ def grid_sql(source: str, value: str, step: float, to: str) -> str:
             JOIN {source} y ON y.route_id = p.route_id AND y.distance_km = coalesce(p.d1, p.d0))"""
 
 
+def at_sql(source: str, value: str, asked: str, to: str) -> str:
+    """CTEs: the linear value of `source` at every t of `asked`."""
+    return f"""{to}_pair AS (
+        SELECT a.route_id, a.k, a.t, (SELECT max(s.distance_km) FROM {source} s WHERE s.route_id = a.route_id AND s.distance_km < a.t) AS d0,
+            (SELECT min(s.distance_km) FROM {source} s WHERE s.route_id = a.route_id AND s.distance_km >= a.t) AS d1 FROM {asked} a
+    ), {to} AS (
+        SELECT p.route_id, p.k, x.{value} + (y.{value} - x.{value}) * CASE WHEN y.distance_km - x.distance_km <= 1e-9 THEN 0.0
+            ELSE greatest(0.0, least(1.0, (p.t - x.distance_km) / (y.distance_km - x.distance_km))) END AS v
+        FROM {to}_pair p JOIN {source} x ON x.route_id = p.route_id AND x.distance_km = coalesce(p.d0, p.d1) JOIN {source} y ON y.route_id = p.route_id AND y.distance_km = coalesce(p.d1, p.d0))"""
+
+
+DISPLAY_SQL = f"""{STEPS_SQL}, {grid_sql("series", "elevation_m", 0.075, "reg0")}, reg AS (SELECT route_id, k, distance_km, coalesce(elevation_m, 0.0) AS e FROM reg0),
+    sm AS (SELECT *, avg(e) OVER (PARTITION BY route_id ORDER BY distance_km RANGE BETWEEN 0.075000001::DOUBLE PRECEDING AND 0.075000001::DOUBLE FOLLOWING) AS smoothed_m,
+        max(distance_km) OVER (PARTITION BY route_id) AS total FROM reg),
+    lk AS (SELECT route_id, k, greatest(0.0, distance_km - 0.25) AS t FROM sm), rk AS (SELECT route_id, k, least(total, distance_km + 0.25) AS t FROM sm),
+    {at_sql("sm", "smoothed_m", "lk", "lv")}, {at_sql("sm", "smoothed_m", "rk", "rv")}"""
+
 PROFILE_SQL = f"""{SMOOTH_SQL}, {grid_sql("smoothed", "smoothed_m", 0.05, "grid")}, ends AS (
     SELECT *, first_value(distance_km) OVER w AS da, last_value(distance_km) OVER w AS db, first_value(smoothed_m) OVER w AS ea, last_value(smoothed_m) OVER w AS eb FROM grid
     WINDOW w AS (PARTITION BY route_id ORDER BY distance_km RANGE BETWEEN 0.100000001::DOUBLE PRECEDING AND 0.100000001::DOUBLE FOLLOWING)
@@ -194,6 +211,19 @@ SQL = {
         SELECT route_id, round(sum(step_km / {MULTIPLIER.format("m")}), 4) AS weighted_km, round(max(distance_km), 4) AS distance_km FROM b GROUP BY 1""",
     "terrain_smoothed": f"WITH {SMOOTH_SQL} SELECT route_id, seq, round(smoothed_m, 4) AS smoothed_m FROM smoothed",
     "terrain_slope_profile": f"WITH {PROFILE_SQL} SELECT route_id, k, round(distance_km, 3) AS distance_km, round(smoothed_m, 3) AS smoothed_m, {r('grade', 'grade', 3)} FROM profile",
+    "terrain_display_profile": f"""WITH {DISPLAY_SQL} SELECT sm.route_id, sm.k, round(sm.distance_km, 3) AS distance_km, round(smoothed_m, 3) AS smoothed_m,
+        {r("CASE WHEN rk.t - lk.t <= 1e-9 THEN 0.0 ELSE greatest(-20.0::DOUBLE, least(20.0::DOUBLE, (rv.v - lv.v) / ((rk.t - lk.t) * 1000) * 100)) END", "grade", 3)}
+        FROM sm JOIN lk USING (route_id, k) JOIN rk USING (route_id, k) JOIN lv USING (route_id, k) JOIN rv USING (route_id, k)""",
+    "similar_tracks": f"""WITH {STEPS_SQL}, b AS (SELECT route_id, seq, latitude - floor(route_id / 3) * 0.01::DOUBLE * 2 + floor(route_id / 3) % 2 * 0.02::DOUBLE AS la, longitude AS lo, count(*) OVER (PARTITION BY route_id) AS c FROM series),
+        p AS (SELECT route_id, la, lo, seq FROM b WHERE c <= 5 OR seq IN (0, floor((c - 1) / 4.0 + 0.5), floor(2 * (c - 1) / 4.0 + 0.5), floor(3 * (c - 1) / 4.0 + 0.5), c - 1)),
+        t AS (SELECT route_id, max(distance_km) AS d FROM series GROUP BY 1),
+        e AS (SELECT route_id, d, arg_min(la, seq) AS a1, arg_min(lo, seq) AS a2, arg_max(la, seq) AS b1, arg_max(lo, seq) AS b2 FROM p JOIN t USING (route_id) GROUP BY 1, 2),
+        q AS (SELECT x.route_id AS a, y.route_id AS b, {hav("x.a1", "x.a2", "y.a1", "y.a2")} AS start_km, {hav("x.b1", "x.b2", "y.b1", "y.b2")} AS end_km, abs(x.d - y.d) / greatest(x.d, y.d) AS length_share
+            FROM e x JOIN e y ON x.route_id < y.route_id),
+        z AS (SELECT *, (SELECT count(*) FROM p u WHERE u.route_id = q.a AND EXISTS (SELECT 1 FROM p v WHERE v.route_id = q.b AND {hav("u.la", "u.lo", "v.la", "v.lo")} <= 0.5)) AS m1, (SELECT count(*) FROM p u WHERE u.route_id = q.a) AS n1,
+            (SELECT count(*) FROM p u WHERE u.route_id = q.b AND EXISTS (SELECT 1 FROM p v WHERE v.route_id = q.a AND {hav("u.la", "u.lo", "v.la", "v.lo")} <= 0.5)) AS m2, (SELECT count(*) FROM p u WHERE u.route_id = q.b) AS n2
+            FROM q WHERE start_km <= 0.5 AND end_km <= 0.5 AND length_share <= 0.3)
+        SELECT a, b, round(start_km, 4) AS start_km, round(end_km, 4) AS end_km, round(length_share, 4) AS length_share, round(least(m1 / n1, m2 / n2), 4) AS match FROM z WHERE least(m1 / n1, m2 / n2) >= 0.8""",
     "terrain_timing": f"WITH {TIMED_SQL} SELECT route_id, round(max(moving_minutes), 3) AS minutes, round(min(local_kph), 3) AS slowest, round(max(local_kph), 3) AS fastest FROM timed GROUP BY 1",
     "terrain_pauses": f"""WITH {TIMED_SQL}, tt AS (SELECT *, max(distance_km) OVER (PARTITION BY route_id) AS total FROM timed), pz AS (
         SELECT route_id, k, moving_minutes, CASE WHEN total * 0.25::DOUBLE < distance_km - 1e-9 THEN 15.0 ELSE 0.0 END + CASE WHEN total * 0.5::DOUBLE < distance_km - 1e-9 THEN 30.0 ELSE 0.0 END
