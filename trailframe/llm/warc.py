@@ -225,7 +225,7 @@ def read_archives(index: DataFrame, payload: bool = False) -> DataFrame:
                         plain = zstandard.ZstdDecompressor().decompress(source.read(packed))
                         yield pa.RecordBatch.from_pylist(list(records(plain, payload)), schema=arrow_schema(payload))
 
-    return bundles.repartition(n, "bundle").mapInArrow(read, schema)
+    return bundles.repartition(n).mapInArrow(read, schema)
 
 
 def arrow_schema(payload: bool) -> pa.Schema:
