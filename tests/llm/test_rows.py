@@ -124,6 +124,10 @@ def test_pii_permutations_are_one_to_one(spark):
     assert pii.pseudonymize(days, "k").select("pii_text").distinct().count() == 3000
     strings = spark.range(2600).selectExpr("concat(chr(cast(97 + id % 26 as int)), lpad(cast(id div 26 as string), 2, '0')) as v")
     assert strings.selectExpr(pii.permuted("v", "k") + " as p").where("p rlike '^[a-z][0-9]{2}$'").distinct().count() == 2600
+    hexes = strings.selectExpr("v", pii.permuted("v", "k", hexes=True) + " as p")
+    assert hexes.where("(v rlike '^[a-f]') = (p rlike '^[a-f]')").select("p").distinct().count() == 2600
+    groups = spark.range(1000).selectExpr("concat('+44 ', lpad(cast(id as string), 3, '0')) as v")
+    assert groups.selectExpr(pii.permuted("substr(v, 4)", "k", phone=True) + " as p").distinct().count() == 1000
 
 
 def test_warc_round_trip(spark, tmp_path):

@@ -42,6 +42,8 @@ SECRET_HEAD = r"^(?:AKIA|[a-z_]+\s?[=:]\s?[\"']?)"
 #: Country code of a telephone number, kept as well.
 PHONE_LEAD = r"^(\+?1[ .-]?(?=\()|\+[0-9]+(?=[ .-]))"
 ROUNDS = 8
+#: Values of hex digits alone, and the most steps that another value walks until it is none of them (a chance of 1e-38 to need more).
+HEX, WALK = "'^[0-9a-f]*$'", 60
 #: Dates permute within the days from 1900-01-01 to 2099-12-31: 73,049 = 17 * 4,297.
 FIRST_DAY, DAYS, DAY_PARTS = "1900-01-01", 73_049, (17, 4_297)
 
@@ -65,22 +67,29 @@ def shifted(half: str, classes: str, other: str, key: str, step: int) -> str:
     source = f"concat({quoted(key)}, '|{step}|', array_join({other}, ''))"
     move = byte_of(f"element_at(hs, cast(i div 32 as int) + 1)", "i % 32")
     digests = f"transform(sequence(0, cast(size({half}) div 32 as int)), b -> sha2(concat({source}, '|', b), 256))"
-    alphabets = {"9": "0123456789", "n": "23456789", "h": "abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    alphabets = {
+        "9": "0123456789", "n": "23456789", "z": "01", "h": "abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    }
     cases = " ".join(
         f"when '{k}' then substr('{v}', (locate(c, '{v}') - 1 + {move}) % {len(v)} + 1, 1)" for k, v in alphabets.items()
     )
     return let("hs", digests, f"transform({half}, (c, i) -> case {classes}[i] {cases} else c end)")
 
 
-def permuted(text: str, key: str, phone: bool = False) -> str:
+def permuted(text: str, key: str, phone: bool = False, hexes: bool = False) -> str:
     """SQL: string `text` permuted within the class of each of its characters.
 
-    Letters in a value of hex digits alone move among a-f, and the
-    leading digits of telephone groups among 2-9; the output has the same classes.
+    The output has the same classes, so the network permutes the strings of one
+    format.  phone: the digits that begin a group are classes of their own, 2-9
+    and 0-1.  hexes: values of hex digits alone are permuted among themselves,
+    and all others walk on along their cycle until they are no hex value, so
+    the two never meet.
     """
-    lead = "when c rlike '[2-9]' and i > 0 and cs[i - 1] in ('(', ')', ' ') then 'n' " if phone else ""
+    lead = "i > 0 and cs[i - 1] in ('(', ')', ' ')"
+    first = f"when {lead} and c rlike '[2-9]' then 'n' when {lead} and c rlike '[01]' then 'z' " if phone else ""
+    first += f"when c rlike '[a-f]' and ({text}) rlike {HEX} then 'h' " if hexes else ""
     kinds = (
-        f"transform(cs, (c, i) -> case {lead}when hex and c rlike '[a-f]' then 'h' when c rlike '[0-9]' then '9' "
+        f"transform(cs, (c, i) -> case {first}when c rlike '[0-9]' then '9' "
         "when c rlike '[a-z]' then 'a' when c rlike '[A-Z]' then 'A' else '.' end)"
     )
     state = "named_struct('l', slice(cs, 1, h), 'r', slice(cs, h + 1, size(cs) - h))"
@@ -95,8 +104,11 @@ def permuted(text: str, key: str, phone: bool = False) -> str:
     body = let("out", state, "concat(array_join(out.l, ''), array_join(out.r, ''))")
     body = let("h", "cast(size(cs) div 2 as int)", body)
     body = let("ks", kinds, body)
-    body = let("hex", f"({text}) rlike '^[0-9a-f]*$'" if not phone else "false", body)
-    return let("cs", f"filter(split({text}, ''), c -> c <> '')", body)
+    once = lambda value: let("cs", f"filter(split({value}, ''), c -> c <> '')", body)
+    if not hexes:
+        return once(text)
+    done = f"k > 0 and (not p rlike {HEX} or ({text}) rlike {HEX})"
+    return f"aggregate(sequence(0, {WALK}), {text}, (p, k) -> if({done}, p, {once('p')}))"
 
 
 def wrap(value: str) -> str:
@@ -177,7 +189,7 @@ def pseudonym(m: str, kind: str, key: str) -> str:
     lead = f"regexp_extract({m}, {quoted(PHONE_LEAD)}, 1)"
     made = {
         "email": f"concat({permuted(f'left({m}, length({m}) - length({tld}))', key)}, {tld})",
-        "secret": f"concat({head}, {permuted(f'substr({m}, length({head}) + 1)', key)})",
+        "secret": f"concat({head}, {permuted(f'substr({m}, length({head}) + 1)', key, hexes=True)})",
         "iban": iban(m, key),
         "phone": f"concat({lead}, {permuted(f'substr({m}, length({lead}) + 1)', key, phone=True)})",
         "date": date(m, key),
