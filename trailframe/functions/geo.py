@@ -69,3 +69,19 @@ def expanded_box(min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Col
 
 def valid_coordinate(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ~F.isnan(lat) & ~F.isnan(lon), F.lit(False))
+
+
+def coordinate_status(distance_m: Column, matched_m: float = 250.0, review_m: float = 1000.0) -> Column:
+    """How well a documented place fits the track."""
+    return F.when(distance_m <= matched_m, "matched").when(distance_m <= review_m, "needs-review").otherwise("unmatched")
+
+
+def feature_reach_m(kind: Column) -> Column:
+    """How far from the track a feature is kept: localities farther than passes; null for other kinds."""
+    return F.when(kind.isin("mountain-pass", "saddle"), 250.0).when(kind.isin("city", "town", "village"), 1500.0)
+
+
+def leading_number(text: Column) -> Column:
+    """The number that a text begins with, blanks between its digits and a decimal comma allowed; null if there is none."""
+    plain = F.regexp_replace(F.regexp_replace(text, " ", ""), ",", ".")
+    return F.regexp_extract(plain, r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)", 0).try_cast("double")

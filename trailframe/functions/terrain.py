@@ -74,3 +74,25 @@ def break_budget_minutes(distance_km: Column, moving_minutes: Column, gain_m: Co
 def pause_count(moving_minutes: Column) -> Column:
     """One pause under four hours, two under six, three under eight, then four."""
     return F.when(moving_minutes < 240, 1).when(moving_minutes < 360, 2).when(moving_minutes < 480, 3).otherwise(4)
+
+
+#: Least length, gain and average grade of a major climb, by kind of country; any of the triples will do. Fixed values.
+MAJOR = {
+    False: ((1.5, 100.0, 2.0), (1.0, 60.0, 3.0), (0.5, 40.0, 4.0)),
+    True: ((4.0, 300.0, 3.0), (1.5, 150.0, 6.0)),
+}
+
+
+def climb_importance(length_km: Column, gain_m: Column, average_grade: Column, named: Column, mountains: bool) -> Column:
+    """major or secondary; a climb with a name of its own is major whatever its size."""
+    large = F.lit(False)
+    for km, m, grade in MAJOR[mountains]:
+        large = large | ((length_km >= km) & (gain_m >= m) & (average_grade >= grade))
+    return F.when(named | large, "major").otherwise("secondary")
+
+
+def waypoint_visible(kind: Column, importance: Column, paused: Column, show_secondary: bool = False) -> Column:
+    """A pause shows a waypoint always; small climbs show on demand; of the rest, ends, passes, saddles and major climbs show."""
+    small = (kind == "climb") & (importance == "secondary")
+    shown = kind.isin("start", "end", "mountain-pass", "saddle", "pause") | ((kind == "climb") & (importance == "major"))
+    return F.when(paused, True).when(small, show_secondary).otherwise(shown)

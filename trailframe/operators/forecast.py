@@ -145,3 +145,18 @@ def latest_fresh(cache: DataFrame, now, ttl_minutes: int = 30) -> DataFrame:
     newest = cache.groupBy("request").agg(F.max("fetched_at").alias("fetched_at"), F.max_by("payload", "fetched_at").alias("payload"))
     age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))) / 60e6
     return newest.withColumn("fresh", age <= ttl_minutes)
+
+
+def primary_alerts(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """The alert that a day's view begins with: red before orange, at the highest pass before elsewhere, then the earliest."""
+    main = points.where(F.col("kind").isin("col", "summit")).groupBy("day_id").agg(F.max_by("point_id", F.struct("elevation_m", -F.col("point_id"))).alias("_main"))
+    some = rows.where(F.col("level").isin("red", "orange")).join(main, "day_id", "left")
+    order = F.struct((F.col("level") != "red").cast("int").alias("l"), F.coalesce((F.col("point_id") != F.col("_main")).cast("int"), F.lit(1)).alias("m"), "eta", "ord")
+    return some.groupBy("day_id").agg(F.min_by(F.struct("point_id", "risk", "level", "eta"), order).alias("b")).select("day_id", "b.*")
+
+
+def retained(results: DataFrame, place: str, order: tuple[str, ...], ok: Column, payload: str) -> DataFrame:
+    """Failed fetches take the last good payload of their place; `retained` says so, null stays where there was none."""
+    w = Window.partitionBy(place).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    good = F.last(F.when(ok, F.col(payload)), ignorenulls=True).over(w)
+    return results.withColumn("_good", good).withColumn("retained", ~ok & F.col("_good").isNotNull()).withColumn(payload, F.col("_good")).drop("_good")

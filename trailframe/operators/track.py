@@ -133,3 +133,18 @@ def local_slopes(points: DataFrame, window_km: float = 0.5) -> DataFrame:
     span = F.col("_b.d") - F.col("_a.d")
     slope = clamp((F.col("_b.e") - F.col("_a.e")) / (span * 1000) * 100, -20.0, 20.0)
     return ends.withColumn("slope", F.when(span >= min(0.05, window_km / 4), slope).otherwise(F.lit(0.0))).drop("_p", "_a", "_b", "_t")
+
+
+def nearest_samples(points: DataFrame, step_km: float = 0.5) -> DataFrame:
+    """The points nearest to every `step_km` along a route, ties to the earlier one, with the first and last; each once.
+
+    A point owns the stretch between the midpoints to its neighbours, so a sample is
+    found in the window, without a join of points and places.
+    """
+    w, whole = Window.partitionBy("route_id").orderBy("seq"), Window.partitionBy("route_id")
+    d = F.col("distance_km")
+    rows = points.withColumn("_from", (F.lag(d).over(w) + d) / 2).withColumn("_to", (F.lead(d).over(w) + d) / 2)
+    rows = rows.withColumn("_first", F.min(d).over(whole)).withColumn("_last", F.max(d).over(whole))
+    passed = lambda x: F.floor((x - F.col("_first")) / step_km)
+    owns = passed(F.least(F.col("_to"), F.col("_last") - 1e-9)) > passed(F.col("_from"))
+    return rows.where(F.col("_from").isNull() | F.col("_to").isNull() | owns).drop("_from", "_to", "_first", "_last")

@@ -144,3 +144,25 @@ def table_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     both = a.join(b, F.col("_l") == F.col("_r"), "full")
     change = F.when(F.col("_l").isNull(), "added").when(F.col("_r").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
     return both.select(F.coalesce("_l", "_r").alias(key), change.alias("change")).where("change is not null")
+
+
+#: Pauses of a day without a plan: name, place as a share of the way, share of the break. Fixed values.
+PAUSE_RULES = (("morning", 0.25, 0.25), ("main", 0.5, 0.5), ("afternoon", 0.75, 0.25))
+
+
+def automatic_pauses(rides: DataFrame) -> DataFrame:
+    """day_id, rule, km, minutes: whole minutes of a day's break (day_id, total_km, break_minutes) at fixed shares of the way."""
+    rules = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("rule"), F.lit(at).alias("_at"), F.lit(part).alias("_part")) for i, (n, at, part) in enumerate(PAUSE_RULES)])
+    rows = rides.where("total_km > 0 and break_minutes > 0").select("day_id", "total_km", "break_minutes", F.inline(rules))
+    shared = allocate(rows, "day_id", ("position",), "break_minutes", "_part").where("allocated > 0")
+    return shared.select("day_id", "rule", (F.col("total_km") * F.col("_at")).alias("km"), F.col("allocated").alias("minutes"))
+
+
+def all_or_nothing(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Sums that are null as soon as one row of the group has no value."""
+    return rows.groupBy(group).agg(*[F.when(F.count(c) == F.count(F.lit(1)), F.sum(c)).alias(c) for c in columns])
+
+
+def job_states(log: DataFrame, job: str, order: tuple[str, ...], *columns: str) -> DataFrame:
+    """The state of each job from its log: of every column, the last value that was set."""
+    return log.groupBy(job).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns], F.count("*").alias("steps"))

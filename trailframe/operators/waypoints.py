@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from trailframe.functions.geo import EARTH_KM, EARTH_M
+from trailframe.functions.geo import EARTH_KM, EARTH_M, equirectangular_m
+from trailframe.operators.spatial import cells
 
 
 @F.pandas_udf(StringType())
@@ -225,3 +226,50 @@ def with_slots(slots: DataFrame) -> DataFrame:
     """Number the days of a trip from its slots (ride, off, transfer): the index of all, the number of the rides."""
     w = Window.partitionBy("trip_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     return slots.withColumn("index", F.count("*").over(w) - 1).withColumn("ride_number", F.when(F.col("kind") == "ride", F.count_if(F.col("kind") == "ride").over(w)))
+
+
+#: Reach (metres) and greatest difference of elevation of what may name a summit; fixed values.
+NAMING = {"mountain-pass": (250.0, 120.0), "saddle": (300.0, 120.0), "peak": (75.0, 60.0)}
+PEAK_WITHOUT_ELEVATION_M = 40.0
+
+
+def summit_names(summits: DataFrame, candidates: DataFrame) -> DataFrame:
+    """climb_id, candidate_id, name: what names a summit; passes before saddles before peaks, then the nearest.
+
+    Summits go to all cells in reach, candidates to their own, so the join is an equi-join.
+    """
+    rows, columns, row, column = cells(max(m for m, _ in NAMING.values()), "latitude", "longitude")
+    asked = summits.withColumn("_row", rows).withColumn("_column", columns).select("climb_id", "_row", "_column", *[F.col(c).alias(f"_{c}") for c in ("latitude", "longitude", "elevation_m")])
+    near = asked.join(candidates.withColumn("_row", row).withColumn("_column", column), ["_row", "_column"])
+    far = equirectangular_m(F.col("_latitude"), F.col("_longitude"), F.col("latitude"), F.col("longitude"))
+    apart = F.coalesce(F.abs(F.col("elevation_m") - F.col("_elevation_m")), F.lit(0.0))
+    fits = F.lit(False)
+    for kind, (reach, up) in NAMING.items():
+        limit = F.when(F.col("elevation_m").isNull(), PEAK_WITHOUT_ELEVATION_M).otherwise(reach) if kind == "peak" else F.lit(reach)
+        fits = fits | ((F.col("kind") == kind) & (far <= limit) & (apart <= up))
+    order = F.when(F.col("kind") == "mountain-pass", 0).when(F.col("kind") == "saddle", 1).otherwise(2)
+    best = near.where(fits).groupBy("climb_id").agg(F.min(F.struct(order.alias("p"), far.alias("far"), "candidate_id", "name")).alias("b"))
+    return best.select("climb_id", F.col("b.candidate_id").alias("candidate_id"), F.col("b.name").alias("name"))
+
+
+def custom_pauses(pauses: DataFrame, places: DataFrame) -> DataFrame:
+    """day_id, place_id, pause_id, minutes: active pauses at known places; those of a day at one place are one, named by the first."""
+    live = pauses.where("active and minutes > 0").join(places.select("place_id"), "place_id", "leftsemi")
+    return live.groupBy("day_id", "place_id").agg(F.min_by("pause_id", F.struct("order", "pause_id")).alias("pause_id"), F.sum("minutes").alias("minutes"))
+
+
+def stable_ids(places: DataFrame, prefix: str = "place") -> DataFrame:
+    """Add stable_id, hashed from layer, name and place; what is equal in these has a number behind it, in order of place_id."""
+    spot = [F.format_string("%.7f", F.col(c)) for c in ("latitude", "longitude")]
+    identity = F.concat_ws("|", "layer", F.coalesce(F.lower("name"), F.lit("")), *spot)
+    based = places.withColumn("_base", F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(identity, 256), 1, 14)))
+    n = F.row_number().over(Window.partitionBy("_base").orderBy("place_id"))
+    return based.withColumn("stable_id", F.concat("_base", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""))).drop("_base")
+
+
+def without_endpoint_names(points: DataFrame, routes: DataFrame, within_km: float = 2.0) -> DataFrame:
+    """Points (route_id, kind, name, track_km) but for localities that only repeat the name of the start or end nearby."""
+    ends = routes.select("route_id", name_key(F.col("start_name")).alias("_start"), name_key(F.col("end_name")).alias("_end"), F.col("total_km").alias("_total"))
+    keyed = points.join(ends, "route_id", "left").withColumn("_key", name_key(F.col("name")))
+    again = (F.col("_key") == F.col("_start")) & (F.col("track_km") <= within_km) | (F.col("_key") == F.col("_end")) & (F.col("track_km") >= F.col("_total") - within_km)
+    return keyed.where(~(F.col("kind").isin("city", "town", "village") & F.coalesce(again, F.lit(False)))).drop("_key", "_start", "_end", "_total")

@@ -337,4 +337,43 @@ SQL = {
     "expanded_boxes": f"""WITH {POINTS_SQL}, b AS (SELECT route_id, min(latitude) AS s, min(longitude) AS w, max(latitude) AS n, max(longitude) AS e FROM track_points GROUP BY 1)
         SELECT route_id, round(greatest(-90.0, s - 500.0::DOUBLE / 111320), 6) AS south, round(greatest(-180.0, w - 500.0::DOUBLE / 111320 / greatest(0.1, cos(radians((s + n) / 2)))), 6) AS west,
             round(least(90.0, n + 500.0::DOUBLE / 111320), 6) AS north, round(least(180.0, e + 500.0::DOUBLE / 111320 / greatest(0.1, cos(radians((s + n) / 2)))), 6) AS east FROM b""",
+    "summit_names": f"""WITH {PLACES_SQL}, c AS (SELECT *, CASE place_id % 3 WHEN 0 THEN 'mountain-pass' WHEN 1 THEN 'saddle' ELSE 'peak' END AS kind, CASE WHEN place_id % 4 <> 0 THEN place_id % 300 END AS e FROM places),
+        s AS (SELECT s_suppkey AS climb_id, 45.0::DOUBLE + (s_suppkey % 150) * 0.01::DOUBLE + (s_suppkey % 50) * 0.0003::DOUBLE AS lat, 6.0::DOUBLE + (s_suppkey % 50) * 0.0003::DOUBLE AS lon,
+            CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 280 END AS se FROM supplier),
+        d AS (SELECT *, 6371000::DOUBLE * sqrt(pow(radians(longitude - lon) * cos(radians((latitude + lat) / 2)), 2) + pow(radians(latitude - lat), 2)) AS far, coalesce(abs(e - se), 0) AS up FROM s JOIN c ON abs(latitude - lat) < 0.01),
+        n AS (SELECT *, row_number() OVER (PARTITION BY climb_id ORDER BY CASE kind WHEN 'mountain-pass' THEN 0 WHEN 'saddle' THEN 1 ELSE 2 END, far, place_id) AS n FROM d WHERE kind = 'mountain-pass' AND far <= 250 AND up <= 120
+            OR kind = 'saddle' AND far <= 300 AND up <= 120 OR kind = 'peak' AND far <= CASE WHEN e IS NULL THEN 40 ELSE 75 END AND up <= 60)
+        SELECT climb_id, place_id AS candidate_id, name FROM n WHERE n = 1""",
+    "custom_pauses": """SELECT l_orderkey AS day_id, l_suppkey * 13 % 131 AS place_id, arg_min(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS pause_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS minutes
+        FROM lineitem WHERE l_returnflag <> 'A' AND CAST(l_quantity AS BIGINT) > 0 AND l_suppkey * 13 % 131 IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2""",
+    "stable_place_ids": f"""WITH {PLACES_SQL}, b AS (SELECT place_id, 'place-' || substr(sha256(layer || '|' || coalesce(lower(name), '') || '|' || printf('%.7f', round(latitude, 1)) || '|6.0000000'), 1, 14) AS b FROM places),
+        n AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY place_id) AS n FROM b) SELECT place_id, b || CASE WHEN n > 1 THEN '-' || CAST(n AS VARCHAR) ELSE '' END AS stable_id FROM n""",
+    "endpoint_names": """WITH p AS (SELECT o_custkey % 100 AS route_id, o_orderkey AS point_id, o_orderstatus IN ('F', 'O') AS locality, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 0 END AS named,
+            round(o_totalprice % 20, 2) AS km FROM orders)
+        SELECT route_id, point_id FROM p WHERE NOT (locality AND (named = 1 AND route_id % 3 <> 0 AND km <= 2 OR named = 2 AND route_id % 2 = 0 AND km >= 18))""",
+    "waypoint_visibility": """WITH q AS (SELECT l_quantity / 8 AS km, l_quantity * 9 AS m, l_quantity / 7 AS g, l_linenumber % 5 = 0 AS named, l_returnflag = 'R' AS paused,
+            CASE l_linenumber % 4 WHEN 0 THEN 'town' WHEN 1 THEN 'saddle' ELSE 'climb' END AS kind FROM lineitem),
+        i AS (SELECT *, CASE WHEN named OR (km >= 1.5 AND m >= 100 AND g >= 2) OR (km >= 1.0 AND m >= 60 AND g >= 3) OR (km >= 0.5 AND m >= 40 AND g >= 4) THEN 'major' ELSE 'secondary' END AS rolling, CASE WHEN named OR (km >= 4 AND m >= 300 AND g >= 3) OR (km >= 1.5 AND m >= 150 AND g >= 6) THEN 'major' ELSE 'secondary' END AS mountain FROM q)
+        SELECT kind, rolling, mountain, paused OR kind = 'saddle' OR (kind = 'climb' AND mountain = 'major') AS visible, count(*) AS waypoints FROM i GROUP BY 1, 2, 3, 4""",
+    "documented_points": """SELECT o_orderkey, CASE WHEN o_orderkey % 2000 <= 250 THEN 'matched' WHEN o_orderkey % 2000 <= 1000 THEN 'needs-review' ELSE 'unmatched' END AS status,
+        CASE WHEN o_orderkey % 7 <> 0 THEN 1000.0::DOUBLE + o_custkey % 1000 + CASE WHEN o_orderkey % 3 = 0 THEN 0.5::DOUBLE ELSE 0 END END AS elevation_m, CASE o_orderstatus WHEN 'F' THEN 250.0::DOUBLE WHEN 'O' THEN 1500.0::DOUBLE END AS reach_m FROM orders""",
+    "track_nearest_samples": f"""WITH {STEPS_SQL}, l AS (SELECT route_id, min(seq) AS a, max(seq) AS b, max(distance_km) AS km FROM series GROUP BY 1),
+        t AS (SELECT route_id, km, unnest(range(1, CAST(floor(km / 0.25) AS BIGINT) + 1)) * 0.25::DOUBLE AS t FROM l)
+        SELECT DISTINCT route_id, seq FROM (SELECT t.route_id, arg_min(s.seq, abs(s.distance_km - t.t)) AS seq FROM t JOIN series s ON s.route_id = t.route_id WHERE t.t < t.km - 1e-9 GROUP BY t.route_id, t.t
+            UNION ALL SELECT route_id, a FROM l UNION ALL SELECT route_id, b FROM l)""",
+    "automatic_pauses": """WITH d AS (SELECT l_orderkey AS day_id, sum(l_quantity) AS km, l_orderkey % 100 AS b FROM lineitem GROUP BY 1, 3),
+        r AS (SELECT day_id, b, i, rule, km * place AS km, floor(b * part) AS f, b * part - floor(b * part) AS rest FROM d CROSS JOIN (VALUES (0, 'morning', 0.25::DOUBLE, 0.25::DOUBLE), (1, 'main', 0.5::DOUBLE, 0.5::DOUBLE),
+            (2, 'afternoon', 0.75::DOUBLE, 0.25::DOUBLE)) v(i, rule, place, part) WHERE km > 0 AND b > 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY day_id ORDER BY rest DESC, i) AS n, b - sum(f) OVER (PARTITION BY day_id) AS spare FROM r),
+        a AS (SELECT day_id, rule, round(km, 6) + 0.0 AS km, CAST(f + CASE WHEN n - 1 < spare THEN 1 ELSE 0 END AS BIGINT) AS minutes FROM n) SELECT * FROM a WHERE minutes > 0""",
+    "documented_totals": f"""WITH {DAYS_SQL} SELECT trip_id, CASE WHEN count(distance_km) = count(*) THEN round(sum(distance_km), 4) + 0.0 END AS distance_km, CASE WHEN count(gain_m) = count(*) THEN round(sum(gain_m), 4) + 0.0 END AS gain_m
+        FROM days GROUP BY 1""",
+    "day_slots": f"""WITH {DAYS_SQL} SELECT trip_id, day_id, count(*) OVER w - 1 AS "index", CASE WHEN kind = 'ride' THEN count(*) FILTER (kind = 'ride') OVER w END AS ride_number FROM days
+        WINDOW w AS (PARTITION BY trip_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "job_states": """SELECT user_id, last(event_type ORDER BY ts, event_id) AS status, last(event_id ORDER BY ts, event_id) FILTER (event_type = 'click') AS progress, count(*) AS steps FROM events GROUP BY 1""",
+    "primary_alerts": f"""WITH {ALERTS_SQL}, m AS (SELECT day_id, point_id AS main FROM (SELECT *, row_number() OVER (PARTITION BY day_id ORDER BY elevation_m DESC, point_id) AS n FROM stops WHERE kind IN ('col', 'summit')) WHERE n = 1),
+        n AS (SELECT al.*, row_number() OVER (PARTITION BY al.day_id ORDER BY level = 'red' DESC, coalesce(point_id = main, false) DESC, eta, ord) AS n FROM al LEFT JOIN m ON m.day_id = al.day_id WHERE level IN ('red', 'orange'))
+        SELECT day_id, point_id, risk, level, eta FROM n WHERE n = 1""",
+    "retained_forecasts": """WITH q AS (SELECT *, last_value(CASE WHEN event_type <> 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM events)
+        SELECT event_id, p AS payload, event_type = 'error' AND p IS NOT NULL AS retained FROM q""",
 }

@@ -434,6 +434,92 @@ def grouped_stops(spark, sf_dir):
     return waypoints.grouped_points(near)
 
 
+def summit_names(spark, sf_dir):
+    k = F.col("place_id")
+    kind = F.when(k % 3 == 0, "mountain-pass").when(k % 3 == 1, "saddle").otherwise("peak")
+    candidates = places(spark, sf_dir).select(k.alias("candidate_id"), "name", "latitude", "longitude", kind.alias("kind"), F.when(k % 4 != 0, (k % 300).cast("double")).alias("elevation_m"))
+    s = F.col("s_suppkey")
+    summits = table(spark, sf_dir, "supplier").select(
+        s.alias("climb_id"), (F.lit(45.0) + (s % 150) * 0.01 + (s % 50) * 0.0003).alias("latitude"), (F.lit(6.0) + (s % 50) * 0.0003).alias("longitude"),
+        F.when(s % 5 != 0, (s % 280).cast("double")).alias("elevation_m"),
+    )
+    return waypoints.summit_names(summits, candidates)
+
+
+def custom_pauses(spark, sf_dir):
+    pauses = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("day_id"), (F.col("l_suppkey") * 13 % 131).alias("place_id"), F.col("l_partkey").alias("pause_id"), F.col("l_linenumber").alias("order"),
+        F.col("l_quantity").cast("long").alias("minutes"), (F.col("l_returnflag") != "A").alias("active"),
+    )
+    return waypoints.custom_pauses(pauses, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place_id")))
+
+
+def stable_place_ids(spark, sf_dir):
+    rough = places(spark, sf_dir).withColumn("latitude", F.round("latitude", 1)).withColumn("longitude", F.lit(6.0))
+    return waypoints.stable_ids(rough).select("place_id", "stable_id")
+
+
+def endpoint_names(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    route = F.col("o_custkey") % 100
+    p = F.col("o_orderpriority")
+    kind = F.when(F.col("o_orderstatus") == "F", "town").when(F.col("o_orderstatus") == "O", "village").otherwise("saddle")
+    points = o.select(route.alias("route_id"), F.col("o_orderkey").alias("point_id"), kind.alias("kind"), F.when(p != "5-LOW", p).alias("name"), F.round(F.col("o_totalprice") % 20, 2).alias("track_km"))
+    routes = spark.range(100).selectExpr("id as route_id", "case when id % 3 <> 0 then '1 Urgent' end as start_name", "if(id % 2 = 0, '2-high', 'elsewhere') as end_name", "20D as total_km")
+    return waypoints.without_endpoint_names(points, routes).select("route_id", "point_id")
+
+
+def waypoint_visibility(spark, sf_dir):
+    q, x = F.col("l_quantity"), F.col("l_linenumber")
+    named = x % 5 == 0
+    kind = F.when(x % 4 == 0, "town").when(x % 4 == 1, "saddle").otherwise("climb")
+    size = (q / 8, q * 9, q / 7, named)
+    rows = table(spark, sf_dir, "lineitem").select(q, x, kind.alias("kind"), rules.climb_importance(*size, False).alias("rolling"), rules.climb_importance(*size, True).alias("mountain"), (F.col("l_returnflag") == "R").alias("paused"))
+    rows = rows.withColumn("visible", rules.waypoint_visible(F.col("kind"), F.col("mountain"), F.col("paused")))
+    return rows.groupBy("kind", "rolling", "mountain", "visible").agg(F.count("*").alias("waypoints"))
+
+
+def documented_points(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    km = (F.col("o_orderkey") % 2000).cast("double")
+    text = F.concat(F.lit("1 "), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.when(F.col("o_orderkey") % 3 == 0, ",5 m").when(F.col("o_orderkey") % 3 == 1, "").otherwise("m"))
+    text = F.when(F.col("o_orderkey") % 7 != 0, text).otherwise("about 900")
+    kind = F.when(F.col("o_orderstatus") == "F", "saddle").when(F.col("o_orderstatus") == "O", "town").otherwise("hamlet")
+    return o.select("o_orderkey", geo.coordinate_status(km).alias("status"), geo.leading_number(text).alias("elevation_m"), geo.feature_reach_m(kind).alias("reach_m"))
+
+
+def track_nearest_samples(spark, sf_dir):
+    return track.nearest_samples(series(spark, sf_dir), 0.25).select("route_id", "seq")
+
+
+def automatic_pauses(spark, sf_dir):
+    rides = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("day_id")).agg(F.sum("l_quantity").alias("total_km"))
+    return rounded(trip.automatic_pauses(rides.withColumn("break_minutes", F.col("day_id") % 100)))
+
+
+def documented_totals(spark, sf_dir):
+    return rounded(trip.all_or_nothing(days(spark, sf_dir), "trip_id", "distance_km", "gain_m"), 4)
+
+
+def day_slots(spark, sf_dir):
+    return waypoints.with_slots(days(spark, sf_dir)).select("trip_id", "day_id", "index", "ride_number")
+
+
+def job_states(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("status"), F.when(F.col("event_type") == "click", F.col("event_id")).alias("progress"))
+    return trip.job_states(e, "user_id", ("ts", "event_id"), "status", "progress")
+
+
+def primary_alerts(spark, sf_dir):
+    points = timed(spark, sf_dir)
+    return forecast.primary_alerts(forecast.alerts(points), points)
+
+
+def retained_forecasts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", F.col("event_id").alias("payload"))
+    return forecast.retained(e, "user_id", ("ts", "event_id"), F.col("event_type") != "error", "payload").select("event_id", "payload", "retained")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -444,5 +530,7 @@ QUERIES = {
         display_modes, forecast_cache, nearest_segments, places_in_corridor, thinned_places, unique_places, similar_tracks, duplicate_files, trip_totals, trip_calendar, trip_fill_places,
         trip_progress, trip_highlight, trip_preferred, reference_points, stage_members, days_of_place, planned_files, upsert, unique_name_matches, enrichment_status, layer_counts,
         version_difference, validation_issues, schema_versions, expanded_boxes, name_keys, climb_landmarks, simplified_tracks, file_ordering, grouped_stops,
+        summit_names, custom_pauses, stable_place_ids, endpoint_names, waypoint_visibility, documented_points, track_nearest_samples, automatic_pauses, documented_totals,
+        day_slots, job_states, primary_alerts, retained_forecasts,
     )
 }
