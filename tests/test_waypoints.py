@@ -1,6 +1,7 @@
 """Names, landmarks, folds over groups."""
 
 import itertools
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -43,6 +44,39 @@ def test_groups_are_complete(spark):
     assert got[0] == got[1] and got[2] == got[3] and len({got[0], got[2], got[9]}) == 3
 
 
+def test_groups_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(d, i, rng.choice([None, 1.0, 2.0, 3.0]) if d == 3 else rng.randrange(30) / 10, 45.0 + rng.randrange(12) * 0.0004, lon + rng.randrange(4) * 0.0006, float(rng.randrange(90))) for d, lon in enumerate((6.0, 179.999, -6.0, 7.0)) for i in range(120)]
+    rows += [(0, 500 + 4 * i + k, 1.0, 45.0, 6.0 + i * 0.5, up) for i in range(4) for k, up in enumerate((5.0, None, 300.0))] + [(0, 600, 1.0, None, 6.0, 5.0), (4, 1, 1.0, 45.0, 6.0, None)]
+    df = spark.createDataFrame(rows, "day_id int, point_id long, track_km double, latitude double, longitude double, elevation_m double")
+    want = []
+    for day in range(5):
+        groups: list[list[tuple]] = []
+        for row in sorted((r for r in rows if r[0] == day), key=lambda r: (r[2] is None, r[2] or 0, r[1])):
+            home = next((k for k, g in enumerate(groups) if all(apart(row, m) for m in g)), len(groups))
+            groups[home:] = groups[home:] or [[]]
+            groups[home].append(row)
+            want.append((day, row[1], home))
+    assert sorted(map(tuple, waypoints.grouped_points(df).collect())) == sorted(want)
+
+
+def apart(a: tuple, b: tuple) -> bool:
+    """Whether two points are near each other."""
+    if None in (*a[3:], *b[3:]):
+        return False
+    (y, x), (v, u) = (map(math.radians, p[3:5]) for p in (a, b))
+    half = math.sin((v - y) / 2) ** 2 + math.cos(v) * math.cos(y) * math.sin((u - x) / 2) ** 2
+    return 2 * 6371008.8 * math.asin(math.sqrt(half)) < 100 and abs(a[5] - b[5]) < 30
+
+
+def test_every_stop_is_grouped(spark):
+    from trailframe.plans.carriers import table
+    from trailframe.plans.queries import grouped_stops
+
+    got = grouped_stops(spark, "/root/testdata/sf0.001")
+    assert got.count() == got.select("point_id").distinct().count() == table(spark, "/root/testdata/sf0.001", "orders").count()
+
+
 def test_simplifying_keeps_the_turns(spark):
     rows = [(1, i, 45.0 + min(i, 20) * 0.001, 6.0 + max(0, i - 20) * 0.001) for i in range(41)]
     df = spark.createDataFrame(rows, "route_id int, seq int, latitude double, longitude double")

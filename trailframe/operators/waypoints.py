@@ -1,11 +1,12 @@
 """Names, landmarks, waypoints and files of a trip: joins where order doesn't matter, grouped folds where it does.
 
-Every fold sees one group (a trip's files, a day's points, a route's climbs): tens
-to thousands of rows, never a table.
+Every fold sees one group (a trip's files, the places of a cluster of a day's
+points, a route's climbs), never a table.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
 import numpy as np
@@ -93,27 +94,84 @@ def distinct_climbs(climbs: DataFrame) -> DataFrame:
     return climbs.groupBy("route_id").applyInPandas(fold, climbs.schema)
 
 
+def with_islands(rows: DataFrame, keys: list[str], value: Column, size: float, name: str) -> DataFrame:
+    """Add `name`: the number of the island of `value` within the keys; values of different islands are more than `size` apart."""
+    order = Window.partitionBy(*keys).orderBy("_cell")
+    begins = F.coalesce(F.col("_cell") - F.lag("_cell").over(order) > 1, F.lit(False)).cast("long")
+    return rows.withColumn("_cell", F.floor(value / size)).withColumn("_new", begins).withColumn(name, F.sum("_new").over(order)).drop("_cell", "_new")
+
+
+def linked_groups(rows: pd.DataFrame, within_m: float, within_up_m: float) -> list[int]:
+    """The group of each row, taken in their order: the first group whose members are all near it, else a new one.
+
+    A group spans less than the reach, so one that fits has its first member in a neighbouring cell; of its heights the ends are enough.
+    """
+    lat, lon, up = (rows[c].to_numpy(float) for c in ("latitude", "longitude", "elevation_m"))
+    metres = 1000 * EARTH_KM * np.pi / 180
+    most = np.abs(lat).max(initial=0)
+    wide = within_m * 1.001 / (metres * np.cos(np.radians(most))) if most < 80 and np.abs(lon).max(initial=0) < 179 else 400.0
+    keys = zip(*(np.floor(v / w).astype(int).tolist() for v, w in ((lat, within_m * 1.001 / metres), (lon, wide), (up, within_up_m * 1.001))), strict=True)
+    groups: list[list] = []  # places, lowest, highest
+    cells_: dict[tuple[int, int, int], list[int]] = {}
+    where = []
+    for (r, c, h), y, x, e in zip(keys, np.radians(lat).tolist(), np.radians(lon).tolist(), up.tolist(), strict=True):
+
+        def near(place: tuple[float, float], y: float = y, x: float = x) -> bool:
+            half = math.sin((place[0] - y) / 2) ** 2 + math.cos(place[0]) * math.cos(y) * math.sin((place[1] - x) / 2) ** 2
+            return 2000 * EARTH_KM * math.asin(math.sqrt(min(1.0, half))) < within_m
+
+        around = sorted(g for i in (r - 1, r, r + 1) for j in (c - 1, c, c + 1) for k in (h - 1, h, h + 1) for g in cells_.get((i, j, k), ()))
+        home = next((g for g in around if e - groups[g][1] < within_up_m and groups[g][2] - e < within_up_m and all(map(near, groups[g][0]))), len(groups))
+        if home == len(groups):
+            groups.append([set(), e, e])
+            cells_.setdefault((r, c, h), []).append(home)
+        group = groups[home]
+        group[0].add((y, x))
+        group[1], group[2] = min(group[1], e), max(group[2], e)
+        where.append(home)
+    return where
+
+
 def grouped_points(points: DataFrame, within_m: float = 100.0, within_up_m: float = 30.0) -> DataFrame:
-    """Points of a day in groups whose members are all near each other (complete linkage, in track order): day_id, point_id, group."""
+    """Points of a day in groups whose members are all near each other (complete linkage, in track order): day_id, point_id, group.
+
+    Points at one place always share a group, so the fold sees places; it sees one
+    cluster of a day, as points of different islands of latitude, height or
+    longitude are never near.  A point without a place is a group of its own.
+    """
+    place = ["latitude", "longitude", "elevation_m"]
+    points = points.select("day_id", "point_id", "track_km", *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in place])
+    placed = F.lit(True)
+    for c in place:
+        placed = placed & F.col(c).isNotNull()
+    order = F.struct(F.col("track_km").isNull().alias("last"), "track_km", "point_id")
+    spots = points.where(placed).groupBy("day_id", *place).agg(F.min(order).alias("at"))
+    metres = 1000 * EARTH_KM * np.pi / 180
+    spots = with_islands(spots, ["day_id"], F.col("latitude") * metres, within_m * 1.001, "_a")
+    spots = with_islands(spots, ["day_id", "_a"], F.col("elevation_m"), within_up_m * 1.001, "_b")
+    # a degree of longitude is never shorter than at 80 degrees; where that or the date line is passed, the axis isn't cut
+    cut = F.min((F.abs("latitude") < 80) & (F.abs("longitude") < 179)).over(Window.partitionBy("day_id", "_a", "_b"))
+    east = F.when(cut, F.col("longitude") * (metres * math.cos(math.radians(80)))).otherwise(0.0)
+    spots = with_islands(spots.withColumn("_east", east), ["day_id", "_a", "_b"], F.col("_east"), within_m * 1.001, "_c")
+    kinds = dict(points.dtypes)
+    schema = f"day_id {kinds['day_id']}, latitude double, longitude double, elevation_m double, cluster string, last boolean, track_km {kinds['track_km']}, point_id {kinds['point_id']}"
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["track_km", "point_id"])
-        at = np.radians(ordered[["latitude", "longitude"]].to_numpy(float))
-        up = ordered["elevation_m"].to_numpy(float)
-        groups: list[list[int]] = []
-        where = []
-        for i in range(len(ordered)):
-            half = np.sin((at - at[i]) / 2) ** 2
-            far = 2000 * EARTH_KM * np.arcsin(np.sqrt(np.clip(half[:, 0] + np.cos(at[:, 0]) * np.cos(at[i, 0]) * half[:, 1], 0, 1)))
-            near = (far < within_m) & (np.abs(up - up[i]) < within_up_m)
-            home = next((g for g, members in enumerate(groups) if near[members].all()), len(groups))
-            if home == len(groups):
-                groups.append([])
-            groups[home].append(i)
-            where.append(home)
-        return pd.DataFrame({"day_id": ordered["day_id"], "point_id": ordered["point_id"], "group": where})
-
-    return points.groupBy("day_id").applyInPandas(fold, "day_id int, point_id long, group int")
+        """Each place with the first point of its group."""
+        ordered = rows.sort_values(["last", "track_km", "point_id"]).reset_index(drop=True)
+        group = np.array(linked_groups(ordered, within_m, within_up_m))
+        _, first = np.unique(group, return_index=True)
+        return pd.concat([ordered[["day_id", *place, "cluster"]], ordered[["last", "track_km", "point_id"]].iloc[first[group]].reset_index(drop=True)], axis=1)
+
+    cluster = F.concat_ws(".", "_a", "_b", "_c").alias("cluster")
+    folded = spots.select("day_id", "_a", "_b", "_c", *place, cluster, "at.*").groupBy("day_id", "_a", "_b", "_c").applyInPandas(fold, schema)
+    alone = points.where(~placed).select("day_id", *[F.lit(None).cast("double").alias(c) for c in place], F.lit(None).cast("string").alias("cluster"), "track_km", "point_id", order.alias("at"))
+    begun = folded.select("day_id", *place, "cluster", "track_km", "point_id", order.alias("at")).union(alone)
+    number = F.dense_rank().over(Window.partitionBy("day_id").orderBy("at", "cluster")) - 1
+    numbered = begun.withColumn("group", number.cast("int"))
+    groups = numbered.where("cluster is not null").select("day_id", *place, "group")
+    together = points.join(groups, ["day_id", *place]).select("day_id", "point_id", "group")
+    return together.union(numbered.where("cluster is null").select("day_id", "point_id", "group"))
 
 
 def simplified(points: DataFrame, most: int = 100) -> DataFrame:
