@@ -116,3 +116,10 @@ def test_alignment_equals_brute_force(spark):
 def test_slots(spark):
     df = spark.createDataFrame([("t", 1, "ride"), ("t", 2, "off"), ("t", 3, "ride")], "trip_id string, position int, kind string")
     assert [(r["index"], r.ride_number) for r in waypoints.with_slots(df).orderBy("position").collect()] == [(0, 1), (1, None), (2, 2)]
+
+
+def test_name_keys_take_whole_texts(spark, tmp_path):
+    from trailframe.plans.queries import name_keys
+
+    spark.createDataFrame([(1, "Col " * 30 + "d’Èze")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in name_keys(spark, str(tmp_path)).collect()] == [(1, "col" * 30 + "deze", "col " * 30 + "d eze")]

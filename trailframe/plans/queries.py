@@ -398,7 +398,7 @@ def expanded_boxes(spark, sf_dir):
 
 
 def name_keys(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("name"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("name"))
     return d.select("doc_id", waypoints.name_key(F.col("name")).alias("key"), waypoints.name_words(F.col("name")).alias("words"))
 
 
