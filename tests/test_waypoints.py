@@ -123,3 +123,31 @@ def test_name_keys_take_whole_texts(spark, tmp_path):
 
     spark.createDataFrame([(1, "Col " * 30 + "d’Èze")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in name_keys(spark, str(tmp_path)).collect()] == [(1, "col" * 30 + "deze", "col " * 30 + "d eze")]
+
+
+def test_every_row_has_a_role(spark, tmp_path):
+    from trailframe.plans import queries
+
+    # no key is a multiple of 50, and the landmark's key leaves a rest of 2 by 3
+    orders = [(3, 1, 110.0, "1-URGENT"), (5, 1, 110.5, "1-URGENT"), (7, 2, 50.0, "5-LOW")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1,), (2,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [tuple(r) for r in queries.climb_landmarks(spark, str(tmp_path)).collect()] == [(1, 3, 5, "1-URGENT")]
+    assert {r.file_name: r.planned for r in queries.planned_files(spark, str(tmp_path)).collect()} == {"f1": 2, "f2": 1}
+
+
+def test_features_are_spaced_over_all_points(spark, monkeypatch):
+    from trailframe.operators import climbs
+    from trailframe.plans import queries
+
+    points = spark.createDataFrame([(1, i, i * 0.1, float(i == 4)) for i in range(7)], "route_id long, seq long, distance_km double, elevation_m double")
+    monkeypatch.setattr(queries, "series", lambda *_: points)
+    assert sorted(r.seq for r in queries.feature_spacing(spark, "").collect()) == [0, 4]
+    rng = random.Random(3)
+    rows = [(1, i, i * 0.07, float(rng.randrange(40))) for i in range(150)]
+    kept: list[float] = []
+    for _, _, at, _ in sorted(rows, key=lambda r: (-r[3], r[2])):
+        if all(abs(at - k) >= 0.4 for k in kept):
+            kept.append(at)
+    df = spark.createDataFrame(rows, "route_id long, seq long, distance_km double, score double")
+    assert [r.distance_km for r in climbs.spaced(df, 0.4).orderBy("distance_km").collect()] == sorted(kept)

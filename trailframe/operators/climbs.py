@@ -6,6 +6,8 @@ profile is folded in order in one grouped function; groups are one route each.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,15 +86,20 @@ def tiles(climbs: DataFrame, tile_km: float = 0.5) -> DataFrame:
 
 
 def spaced(features: DataFrame, spacing_km: float) -> DataFrame:
-    """Best score first; a feature stays if no better one of its route is nearer than the spacing."""
+    """Best score first; a feature stays if no better one of its route is nearer than the spacing.
+
+    Kept ones stay in order of distance, so that each feature is compared with its two neighbours alone.
+    """
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         ordered = rows.sort_values(["score", "distance_km"], ascending=[False, True], kind="stable")
         kept: list[int] = []
-        at = ordered["distance_km"].to_numpy()
-        for i in range(len(ordered)):
-            if all(abs(at[i] - at[j]) >= spacing_km for j in kept):
+        taken: list[float] = []
+        for i, at in enumerate(ordered["distance_km"].tolist()):
+            place = bisect.bisect(taken, at)
+            if all(abs(at - other) >= spacing_km for other in taken[max(0, place - 1) : place + 1]):
                 kept.append(i)
+                taken.insert(place, at)
         return ordered.iloc[kept].sort_values("distance_km")
 
     return features.groupBy("route_id").applyInPandas(pick, features.schema)

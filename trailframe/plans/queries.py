@@ -142,7 +142,7 @@ def climb_tiles(spark, sf_dir):
 
 
 def feature_spacing(spark, sf_dir):
-    features = series(spark, sf_dir).where("seq % 6 = 0 and elevation_m is not null").select("route_id", "seq", "distance_km", F.round("elevation_m", 6).alias("score"))
+    features = series(spark, sf_dir).where("elevation_m is not null").select("route_id", "seq", "distance_km", F.round("elevation_m", 6).alias("score"))
     return climbs.spaced(features, 0.4).select("route_id", "seq")
 
 
@@ -344,7 +344,7 @@ def days_of_place(spark, sf_dir):
 
 
 def planned_files(spark, sf_dir):
-    plan = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("file_name")).where("o_orderkey % 50 = 0")
+    plan = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("file_name"))
     files = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("file_name"))
     return trip.planned_files(plan, files)
 
@@ -407,7 +407,7 @@ def climb_landmarks(spark, sf_dir):
     route = F.col("o_custkey") % 100
     climbs_ = o.where("o_orderkey % 3 = 0").select(route.alias("route_id"), F.col("o_orderkey").alias("climb_id"), F.round(F.col("o_totalprice") % 200, 2).alias("end_km"))
     p = F.col("o_orderpriority")
-    marks = o.where("o_orderkey % 3 = 1").select(
+    marks = o.where("o_orderkey % 3 <> 0").select(
         route.alias("route_id"), F.col("o_orderkey").alias("landmark_id"), F.when(p != "5-LOW", p).alias("name"), F.when(p == "1-URGENT", "mountain-pass").otherwise("saddle").alias("kind"),
         F.round(F.col("o_totalprice") % 200, 2).alias("track_km"),
     )
