@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from trailframe.llm import html_text, licenses, mixing, pii, tokens, warc
 
@@ -183,3 +184,12 @@ def test_mixing_equals_brute_force(spark, few):
     assert mixing.mix(df.limit(0)).count() == 0
     given = spark.createDataFrame([("hot", 1.0)], "source string, weight double")
     assert {r.source for r in mixing.mix(df, given).collect()} == {"hot"}
+
+
+@pytest.mark.parametrize("rate", [400, 746, 6000])
+def test_high_rates_are_drawn(spark, rate):
+    df = spark.range(400).selectExpr("id", f"{float(rate)}D as r").withColumn("u", mixing.uniform(17, F.col("id")))
+    counts = [r.n for r in df.selectExpr(mixing.drawn_count("r", "u", 17, "id") + " as n").collect()]
+    mean = sum(counts) / len(counts)
+    spread = sum((n - mean) ** 2 for n in counts) / len(counts)
+    assert abs(mean - rate) < 5 * (rate / len(counts)) ** 0.5 and 0.7 * rate < spread < 1.3 * rate

@@ -3,7 +3,7 @@
 A source's target weight over its share of the corpus is the mean number of
 times each of its documents should appear.  Every document draws its own count
 from a Poisson distribution with that mean, by inverting it at a uniform number
-hashed from seed and document: the draw needs no neighbour, gives the same
+hashed from seed and document (a high mean is the sum of several draws): the draw needs no neighbour, gives the same
 result wherever and however often a task runs, and holds for any input size.
 Copies are exploded and dealt over the cluster by the hash of (seed, document,
 copy), so the output files are a global shuffle.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 #: Bits of the hash that make the uniform number.
 BITS = 48
 SALTS = 64
+#: Up to this rate a Poisson count is one draw: exp(-rate) is 0 in doubles from about 745 on.
+MOST_RATE = 500
 
 
 def uniform(*parts) -> Column:
@@ -48,6 +50,15 @@ def poisson(rate: str, u: str) -> str:
     )
 
 
+def drawn_count(rate: str, u: str, seed: int, id_col: str) -> str:
+    """SQL: a Poisson count at any rate: over MOST_RATE, the sum of independent draws that share the rate, each with a uniform number of its own."""
+    parts = f"cast(ceil({rate} / {MOST_RATE}) as int)"
+    digest = f"md5(concat_ws('|', '{seed}', 'part', coalesce(cast(`{id_col}` as string), '~'), cast(j as string)))"
+    numbers = f"transform(sequence(1, {parts}), j -> (cast(conv(substring({digest}, 1, {BITS // 4}), 16, 10) as double) + 0.5D) / {float(1 << BITS)!r}D)"
+    summed = f"aggregate({numbers}, 0, (total, v) -> total + {poisson(f'({rate} / {parts})', 'v')})"
+    return f"if({rate} > {MOST_RATE}, {summed}, {poisson(rate, u)})"
+
+
 def rates(docs: DataFrame, weights: DataFrame | None, power: float, epochs: float, source_col: str, text_col: str) -> DataFrame:
     """Mean repetitions by source: target share * epochs * corpus size / source size.
 
@@ -95,7 +106,7 @@ def mix(
         spread = rate.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         on = F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_part"))
         drawn = salted.join(spread, on, "left").drop("_salt", "_part")
-    drawn = drawn.withColumn("_u", uniform(seed, F.col(id_col))).withColumn("_n", F.expr(poisson("_rate", "_u"))).where("_n > 0")
+    drawn = drawn.withColumn("_u", uniform(seed, F.col(id_col))).withColumn("_n", F.expr(drawn_count("_rate", "_u", seed, id_col))).where("_n > 0")
     copies = drawn.withColumn("copy", F.explode(F.expr("sequence(0, _n - 1)")))
     keyed = copies.withColumn("mix_key", uniform(seed, F.lit("order"), F.col(id_col), F.col("copy")))
     return keyed.drop("_source", "_rate", "_u", "_n").repartition("mix_key").sortWithinPartitions("mix_key")
