@@ -207,3 +207,13 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
         current = stage(spark, current, str(tmp_path))
         assert current.columns == columns
     assert current.count() == 60 and corpus_pipeline.STAGES[-1][1](spark, current.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_copies_go_by_row(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, one), (5, one), (5, two), (7, three), (7, three), (None, three), (None, one), (9, "")]
+    docs = spark.createDataFrame(rows + rows[-1:], "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got) == [(1, one), (5, two), (7, three), (9, ""), (9, "")]
