@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from trailframe.llm import ann, decontam, jaccard, langid
+from trailframe.llm import ann, decontam, jaccard, langid, words
 
 
 def brute_components(rows, percent=80, width=5):
@@ -70,16 +70,33 @@ def test_jaccard_equals_brute_force(spark, monkeypatch):
 
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
-    counts = rng.integers(0, 50, jaccard.CELLS)
+    counts = rng.integers(0, 50, jaccard.LEAST_CELLS)
     for size in (5, 64, 79, 300, 1500):
         for _ in range(20):
-            s = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
-            far = jaccard.allowed(len(s), 80) * 4 // 5
-            t = np.unique(np.r_[s[far // 2 :], rng.integers(0, 1 << 63, far - far // 2, np.uint64)])
-            x, y = (np.array(jaccard.sketch(v)).view(np.uint64) for v in (s, t))
+            s = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
+            far = len(s) // 4 * 4 // 5
+            t = np.unique(np.r_[s[far // 2 :], rng.integers(0, 1 << 63, far - far // 2, np.uint64) * np.uint64(2)])
+            flat, off = np.r_[s, t], np.array([0, len(s), len(s) + len(t)])
+            x, y = jaccard.sketches(flat, off).view(np.uint64)
             assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(s, t))
+            sig, _, owner = jaccard.signatures(flat, off, counts, 80)
             if 100 * len(np.intersect1d(s, t)) >= 80 * len(np.union1d(s, t)):
-                assert np.intersect1d(jaccard.signatures(s, counts, 80)[0], jaccard.signatures(t, counts, 80)[0]).size
+                assert np.intersect1d(sig[owner == 0], sig[owner == 1]).size
+
+
+def test_word_hashes_know_words_and_texts():
+    texts = [b"", b"One  two\t", b"one\x0btwo", "é É x\u3000y".encode(), b"\x00", b"   ", b"t" * 3000, b"two one"]
+    hasher = words.Hasher(jaccard.GAPS)
+    data, begin = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    h, at = hasher(data, begin)
+    split = [t.lower().split() for t in texts]
+    assert np.diff(at).tolist() == [len(w) for w in split]
+    flat = [w for t in split for w in t]
+    assert [[a == b for b in h] for a in h] == [[a == b for b in flat] for a in flat]
+    import pyarrow as pa
+
+    column = pa.array([b"zz", *texts, None], pa.binary()).slice(1)
+    assert [(i, j) for i, j, *_ in words.slices(column, 8)][-1][1] == 9 and b"".join(d.tobytes() for _, _, d, _ in words.slices(column, 8)) == b"".join(texts)
 
 
 def test_neighbours_reach_the_recall(spark):
@@ -153,8 +170,7 @@ def test_decontamination_finds_edited_items(spark, monkeypatch):
     exact = {(d, i) for d, i in want if d % 3 == 0 and d != 3} | {(3, 62)}
     assert exact <= pairs
     for r in got[:40]:
-        part = decontam.word_hashes(dict(docs)[r.doc_id].encode(), decontam.Words())[r.first_word : r.end_word]
-        assert r.edits <= max(1, r.item_words // 5) and abs(len(part) - r.item_words) <= r.edits
+        assert r.edits <= r.item_words // 5 and abs(r.end_word - r.first_word - r.item_words) <= r.edits
     kept = decontam.remove_contaminated(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in pairs}
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 4000)  # several passes
@@ -162,6 +178,41 @@ def test_decontamination_finds_edited_items(spark, monkeypatch):
     assert decontam.find_items(df, bench.limit(0)).count() == 0 and decontam.find_items(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 7, 8, 9, 10, 11, 16, 25, 40, 60, 100])
+def test_decontamination_reaches_the_recall_at_every_length(n):
+    """Planted items with 5, 10, 15 and 20 % of their words edited; an exhaustive edit search is the truth."""
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i in range(40)]
+    matcher, hasher = decontam.Matcher(items, 20), decontam.Hasher(decontam.GAPS)
+    for percent in (0, 5, 10, 15, 20):
+        edits, texts = n * percent // 100, []
+        for _, item in items:
+            w = item.split()
+            for _ in range(edits):
+                at, kind = rng.randrange(len(w)), rng.random()
+                w[at : at + (kind < 0.75)] = [] if kind < 0.25 else [rng.choice(vocabulary)]
+            texts.append(" ".join(rng.choices(vocabulary, k=30) + w + rng.choices(vocabulary, k=30)).encode())
+        data, begin = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        found = {(t, i): e for t, i, e, *_ in matcher.find(data, begin, hasher)}
+        flat, at = hasher(data, begin)
+        truth = {
+            (t, i): e
+            for t in range(0, 40, 4)
+            for i, (_, w) in enumerate(matcher.items)
+            if (e := decontam.edits_within(w, flat[at[t] : at[t + 1]])[0]) <= n // 5
+        }
+        assert all((i, i) in truth for i in range(0, 40, 4))
+        assert sum(found.get(k) == e for k, e in truth.items()) >= 0.9 * len(truth)
+        assert {k for k in found if k[0] % 4 == 0} <= truth.keys() and sum((i, i) in found for i in range(40)) >= 36
+
+
+def test_decontamination_tells_the_first_of_equal_places(spark):
+    df = spark.createDataFrame([(1, "a b c d x a b c d", 1), (1, "a b c d x a b c d", 1)], "doc_id long, text string, edits int")
+    items = spark.createDataFrame([(1, "a b c d"), (2, "A, b; C d")], "item_id long, text string")
+    assert sorted((r.item_id, r.first_word, r.end_word) for r in decontam.find_items(df, items).collect()) == [(1, 0, 4)] * 2 + [(2, 0, 4)] * 2
+
+
 WORDS = {"en": "the of and that with this from have", "fr": "le les des que pour avec dans être", "de": "der die und nicht mit für über schön"}
 
 

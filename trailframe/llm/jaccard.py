@@ -21,7 +21,8 @@ Verification.  In each group of equal buckets, one class (by hash) is the hub.
 First every class is verified against those of its hubs whose sketches are
 nearest; what links is contracted.  Then pairs of equal buckets that are in different
 components remain: they pass the size bound and the Hamming bound of the
-sketches within the join, and are verified: by the Hamming bound of sketches
+sketches within the join, are given by the first of their common buckets (a few
+neighbours in the lists tell whether another came before), and are verified: by the Hamming bound of sketches
 with eight bits a shingle, then on the sets.  Large groups are dealt into blocks,
 and no pair is made within a component, so a large group of copies isn't
 expanded into all its pairs, and no link between components is lost.
@@ -36,7 +37,6 @@ ids give a row each; an empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,11 +47,12 @@ from pyspark.sql import functions as F
 
 from trailframe.llm.common import small_batches, written
 from trailframe.llm.graph import components
+from trailframe.llm.words import FACTOR, Hasher, mixed, slices, unmixed
 
-#: Words whose hashes a worker keeps, classes that it remembers having sent.
-MEMO_WORDS, MEMO_CLASSES = 400_000, 200_000
-#: Cells of the table of hashed counts (an array of 32-bit counts), in blocks that are summed apart.
-CELLS, BLOCK = 1 << 18, 1 << 12
+#: Classes that a worker remembers having sent.
+MEMO_CLASSES = 200_000
+#: Cells of the table of hashed counts go with the rows, within these bounds (the table is broadcast: 64 MB at most); blocks are summed apart.
+LEAST_CELLS, MOST_CELLS, BLOCK = 1 << 18, 1 << 24, 1 << 12
 SKETCH_BITS = 512
 #: Size from which sets are dealt into buckets; bands are four times as wide each.
 LEAST_BUCKETED, BAND = 64, 4
@@ -61,63 +62,62 @@ HOT_TIMES, HOT_MORE, HOT_PARTS = 4, 1000, 32
 BLOCK_ROWS = 1024
 #: Hubs that a class is verified against in the first step.
 HUBS = 3
-#: Bits of the filter for the documents whose sets are fetched again; it saves work, and decides nothing.
-FILTER_BITS = 1 << 22
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the result depends on every bit of x."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def unmixed(x: np.ndarray) -> np.ndarray:
-    """The inverse of mixed."""
-    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
-
-
-class Words(dict):
-    """Hashes of words; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingles(text: bytes | None, words: Words, width: int) -> np.ndarray:
-    """The sorted distinct shingle hashes.  bytes.lower and bytes.split know ASCII letters and white space alone."""
-    parts = (text or b"").lower().split()
-    n = len(parts)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, parts), np.uint64, n)
-    used = min(n, width)
-    total = h[: n - used + 1].copy()
-    for k in range(1, used):
+#: Neighbours in a class's list of open buckets by which a pair that another bucket gives as well is told.
+BEFORE = 4
+#: Bits of the filter for the documents whose sets are fetched again: sixteen a document, within these bounds (32 MB at most); it saves work, and decides nothing.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
+#: White space in ASCII: what stands between words.
+GAPS = b"\t\n\x0b\x0c\r "
+THRESHOLDS = np.array([LEAST_BUCKETED * BAND**k for k in range(16)])
+
+
+def shingled(hasher: Hasher, data: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, one behind the other, and where each text's begin (one more at the end)."""
+    h, words = hasher(data, begin)
+    n = np.diff(words)
+    m = np.where(n >= width, n - width + 1, n > 0)
+    off = np.r_[0, np.cumsum(m)]
+    out = np.empty(off[-1], np.uint64)
+    total = h[: max(0, len(h) - width + 1)].copy()
+    for k in range(1, width):
         total *= FACTOR
-        total += h[k : n - used + 1 + k]
-    return np.unique(mixed(total + np.uint64(used)))
-
-
-def class_of(s: np.ndarray) -> int | None:
-    """One number for a set (signed, as Spark's long)."""
-    if not len(s):
-        return None
-    both = np.bitwise_xor.reduce(mixed(s ^ FACTOR)) ^ mixed(np.array([s.sum() + np.uint64(len(s))], np.uint64))
-    return int(both.view(np.int64)[0])
+        total += h[k : k + len(total)]
+    whole = np.arange(len(total)) + width <= np.repeat(words[1:], n)[: len(total)]
+    out[np.repeat(n >= width, m)] = mixed(total[whole] + np.uint64(width))
+    for used in range(1, width):  # texts of fewer words: the whole sequence
+        few = np.flatnonzero(n == used)
+        at = words[few]
+        v = h[at]
+        for k in range(1, used):
+            v = v * FACTOR + h[at + k]
+        out[off[few]] = mixed(v + np.uint64(used))
+    for a, b in zip(off[:-1][m > 1], off[1:][m > 1], strict=True):
+        out[a:b].sort()
+    if not len(out):
+        return out, off
+    keep = np.r_[True, out[1:] != out[:-1]]
+    keep[off[:-1][m > 0]] = True
+    return out[keep], np.r_[0, np.cumsum(keep)][off]
+
+
+def classes_of(s: np.ndarray, off: np.ndarray) -> list[int | None]:
+    """One number for each set (signed, as Spark's long); none for the empty ones."""
+    some = np.flatnonzero(np.diff(off))
+    out: list[int | None] = [None] * (len(off) - 1)
+    if len(some):
+        at = off[some]
+        both = np.bitwise_xor.reduceat(mixed(s ^ FACTOR), at) ^ mixed(np.add.reduceat(s, at) + np.diff(off)[some].astype(np.uint64))
+        for i, c in zip(some.tolist(), both.view(np.int64).tolist(), strict=True):
+            out[i] = c
+    return out
 
 
-def sketch(s: np.ndarray) -> list[int]:
-    parity = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+def sketches(s: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Each set's parities as SKETCH_BITS // 64 signed numbers."""
+    n = len(off) - 1
+    row = np.repeat(np.arange(n), np.diff(off)) * SKETCH_BITS
+    parity = np.bincount(row + (s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=n * SKETCH_BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(n, -1)
 
 
 def wide_sketch(s: np.ndarray) -> bytes:
@@ -140,41 +140,51 @@ def allowed(size: int, percent: int) -> int:
     return size * (100 - percent) // percent
 
 
-def bands(size: int, percent: int) -> list[tuple[int, int]]:
-    """The bands that a set of this size is sent to, each with its number of buckets (0: the shingles themselves)."""
-    own = -1 if size < LEAST_BUCKETED else int(math.log(size / LEAST_BUCKETED, BAND) + 1e-9)
-    while own >= 0 and size < LEAST_BUCKETED * BAND**own:
-        own -= 1
-    while size >= LEAST_BUCKETED * BAND ** (own + 1):
-        own += 1
-    out = [own]
-    while out[-1] >= 0 and size * percent < 100 * LEAST_BUCKETED * BAND ** out[-1]:
-        out.append(out[-1] - 1)  # a similar set may be smaller than the band
-    count = lambda k: 0 if k < 0 else math.ceil(2 * (100 - percent) / percent * LEAST_BUCKETED * BAND ** (k + 1))
-    return [(k, count(k)) for k in out]
-
-
-def signatures(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that a set sends, and the count of the rarest shingle of each."""
-    rare = counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]
-    sigs, ranks = [], []
-    for band, n in bands(len(s), percent):
-        if n:
-            bucket = mixed(s ^ np.uint64(band + 1)) % np.uint64(n)
-            order = np.argsort(bucket, kind="stable")
-            at = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(n)))
-            value = np.bitwise_xor.reduceat(s[order], at) ^ mixed(bucket[order][at] + np.uint64((band + 1) << 40))
-            rank = np.minimum.reduceat(rare[order], at)
-        else:
-            value, rank = s, rare
-        value = mixed(value ^ np.uint64(band + 2))
-        first = np.lexsort((value, rank))[: allowed(len(s), percent) + 1]
-        sigs.append(value[first])
-        ranks.append(rank[first])
-    return np.concatenate(sigs), np.concatenate(ranks)
-
-
-def surveyed(docs: DataFrame, width: int) -> DataFrame:
+def signatures(s: np.ndarray, off: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets that each set sends, the count of the rarest shingle of each, and the set's number.
+
+    A set goes to the band of its size, and to the band below if a similar one may be that small.
+    """
+    size = np.diff(off)
+    own = np.searchsorted(THRESHOLDS, size, "right") - 1
+    some = np.flatnonzero(size)
+    below = np.flatnonzero((own >= 0) & (size * percent < 100 * THRESHOLDS[own]))
+    owner, band = np.r_[some, below], np.r_[own[some], own[below] - 1]
+    dealt = np.where(band < 0, 0, -(-2 * (100 - percent) * LEAST_BUCKETED * BAND ** (band + 1).clip(0) // percent))
+    length = size[owner]
+    ends = np.cumsum(length)
+    if not len(ends):
+        return np.zeros(0, np.uint64), np.zeros(0, counts.dtype), np.zeros(0, np.int64)
+    x = s[np.arange(ends[-1]) + np.repeat(off[owner] - ends + length, length)]
+    rare = counts[(x & np.uint64(len(counts) - 1)).astype(np.int64)]
+    n = np.repeat(dealt, length).astype(np.uint64)
+    bucket = (x >> np.uint64(32)) * n >> np.uint64(32)  # in order, as the hashes of a set are
+    new = np.r_[True, bucket[1:] != bucket[:-1]] | (n == 0)
+    new[ends[:-1]] = True
+    at = np.flatnonzero(new)
+    entry = np.searchsorted(ends, at, "right")
+    level = band[entry].astype(np.uint64)
+    value = np.bitwise_xor.reduceat(x, at)
+    rank = np.minimum.reduceat(rare, at)
+    value = np.where(n[at] > 0, value ^ mixed(bucket[at] + (level + np.uint64(1) << np.uint64(40))), value)
+    value = mixed(value ^ (level + np.uint64(2)))
+    # of each set the rarest buckets, equals by value; as many as two similar sets can differ in, and one more
+    order = np.minimum(rank, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | value >> np.uint64(24)
+    begin = np.searchsorted(entry, np.arange(len(owner) + 1))
+    most = size[owner] * (100 - percent) // percent + 1
+    keep = np.ones(len(at), bool)
+    for e in np.flatnonzero(np.diff(begin) > most).tolist():
+        a, b, k = begin[e], begin[e + 1], most[e]
+        keep[a + np.argpartition(order[a:b], k - 1)[k:]] = False
+    return value[keep], rank[keep], owner[entry][keep]
+
+
+def cells_for(rows: int) -> int:
+    """A power of two of cells: as many as documents, within the bounds."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << max(1, rows - 1).bit_length()))
+
+
+def surveyed(docs: DataFrame, width: int, cells: int) -> DataFrame:
     """A row for each document (its class, size, sketch), and each task's hashed counts in blocks."""
     schema = "doc_id long, n long, cls long, sketch array<long>, block int, part int, counts binary"
     names = ["doc_id", "n", "cls", "sketch", "block", "part", "counts"]
@@ -182,20 +192,17 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
 
     def pack(*columns) -> pa.RecordBatch:
         n = next(len(c) for c in columns if c is not None)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, some = Words(), np.zeros(CELLS, np.int64), False
+        hasher, counts, some = Hasher(GAPS), np.zeros(cells, np.int64), False
         for batch in batches:
-            sizes, classes, sketches = [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), words, width)
-                np.add.at(counts, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
-                sizes.append(len(s))
-                classes.append(class_of(s))
-                sketches.append(sketch(s))
+            for i, j, data, begin in slices(batch.column(1)):
+                s, off = shingled(hasher, data, begin, width)
+                counts += np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
                 some = True
-            yield pack(batch.column(0), sizes, classes, sketches, None, None, None)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * (SKETCH_BITS // 64), pa.int32()), pa.array(sketches(s, off).ravel()))
+                yield pack(batch.column(0).slice(i, j - i), np.diff(off), classes_of(s, off), bits, None, None, None)
         if some:
             blocks = counts.reshape(-1, BLOCK)
             part = TaskContext.get().partitionId() % 64
@@ -204,8 +211,8 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
     return written(docs.mapInArrow(survey, schema), "survey")
 
 
-def summed_counts(blocks: DataFrame) -> np.ndarray:
-    """The corpus counts; CELLS numbers whatever the input's size.  Summed in two steps by task and block."""
+def summed_counts(blocks: DataFrame, cells: int) -> np.ndarray:
+    """The corpus counts, `cells` 32-bit numbers (at most 2^32 - 1 each).  Summed in two steps by task and block."""
 
     def add(table):
         total = np.zeros(BLOCK, np.int64)
@@ -215,9 +222,9 @@ def summed_counts(blocks: DataFrame) -> np.ndarray:
         return pa.table({"block": block, "counts": pa.array([total.tobytes()], pa.binary())})
 
     first = blocks.groupBy("block", "part").applyInArrow(add, "block int, counts binary")
-    out = np.zeros(CELLS, np.int64)
-    for r in first.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
+    out = np.zeros(cells, np.uint32)
+    for r in first.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.minimum(np.frombuffer(r.counts, np.int64), (1 << 32) - 1)
     return out
 
 
@@ -230,27 +237,30 @@ def shared_buckets(docs: DataFrame, counts: np.ndarray, percent: int, width: int
     hot = HOT_TIMES * float(counts.mean()) + HOT_MORE
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sent = Words(), set()
+        hasher, sent = Hasher(GAPS), set()
         for batch in batches:
-            sigs, parts, classes = [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), words, width)
-                cls = class_of(s)
-                if cls is None or cls in sent:
+            for _, _, data, begin in slices(batch.column(1)):
+                s, off = shingled(hasher, data, begin, width)
+                cls = classes_of(s, off)
+                fresh = []
+                for i, c in enumerate(cls):
+                    if c is not None and c not in sent:
+                        if len(sent) >= MEMO_CLASSES:
+                            sent.clear()
+                        sent.add(c)
+                        fresh.append(i)
+                if not fresh:
                     continue
-                if len(sent) >= MEMO_CLASSES:
-                    sent.clear()
-                sent.add(cls)
-                sig, rank = signatures(s, table.value, percent)
-                sigs.append(sig.view(np.int64))
-                parts.append(np.where(rank > hot, 1 + cls % HOT_PARTS, 0))
+                length = np.diff(off)
+                wanted = np.zeros(len(length), bool)
+                wanted[fresh] = True
+                s, off = s[np.repeat(wanted, length)], np.r_[0, np.cumsum(length[wanted])]
+                cls = np.array([cls[i] for i in fresh], np.int64)
+                sig, rank, owner = signatures(s, off, table.value, percent)
+                part = np.where(rank > hot, 1 + cls[owner] % HOT_PARTS, 0)
                 # a class stands in each group under a key of its own, so that each group has another hub
-                classes.append(mixed(np.uint64(cls & (1 << 64) - 1) ^ sig).view(np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs), pa.int64()), pa.array(np.concatenate(parts).astype(np.int32)), pa.array(np.concatenate(classes), pa.int64())],
-                    names=["sig", "part", "cls"],
-                )
+                key = mixed(cls[owner].view(np.uint64) ^ sig)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(key.view(np.int64))], names=["sig", "part", "cls"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last group so far: sig, part, hub, whether its hub was given out, last class
@@ -294,29 +304,32 @@ def shared_buckets(docs: DataFrame, counts: np.ndarray, percent: int, width: int
 
 def fetched(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
     """cls, the bytes of its set, and its size and wide sketch, for the classes in need(doc_id, cls)."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * need.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     marks = need.select((place + 1).alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("k"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in marks.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits")).collect():
+    bits = np.zeros(size // 8, np.uint8)
+    for r in marks.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits")).toLocalIterator():
         bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
     table = docs.sparkSession.sparkContext.broadcast(bits)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        hasher = Hasher(GAPS)
         for batch in batches:
             x = batch.column(2).to_numpy()
             wanted = np.flatnonzero((table.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1)
             if not len(wanted):
                 continue
             batch = batch.take(pa.array(wanted))
-            sets = [shingles(t.as_py(), words, width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                    pa.array([len(s).to_bytes(8, "little") + wide_sketch(s) for s in sets], pa.binary()),
-                ],
-                names=["doc_id", "cls", "data", "wide"],
-            )
+            for i, j, data, begin in slices(batch.column(1)):
+                flat, off = shingled(hasher, data, begin, width)
+                sets = [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, j - i), pa.array(classes_of(flat, off), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array([len(s).to_bytes(8, "little") + wide_sketch(s) for s in sets], pa.binary()),
+                    ],
+                    names=["doc_id", "cls", "data", "wide"],
+                )
 
     sets = docs.select("doc_id", "text", place.alias("x")).mapInArrow(fetch, "doc_id long, cls long, data binary, wide binary")
     wanted = need.select(F.col("doc_id").alias("_d"), F.col("cls").alias("_c"))
@@ -378,9 +391,10 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
         raise ValueError("percent must be from 50 to 100")
     small_batches(docs.sparkSession, 1000)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    survey = surveyed(docs, width)
+    cells = cells_for(docs.count())
+    survey = surveyed(docs, width, cells)
     light = survey.where("block is null").select("doc_id", "n", "cls")
-    counts = summed_counts(survey.where("block is not null").select("block", "part", "counts"))
+    counts = summed_counts(survey.where("block is not null").select("block", "part", "counts"), cells)
     kinds = survey.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("s"))
     classes = written(kinds, "classes")
     members = written(shared_buckets(docs, counts, percent, width), "members")
@@ -403,11 +417,18 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     split = placed.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi")
     blocks = F.ceil(F.col("_n") / BLOCK_ROWS).cast("int")
     open_ = placed.join(split.select(F.col("sig").alias("_sig"), blocks.alias("k")), F.col("sig") == F.col("_sig")).drop("_sig")
+    # two rows with a bucket in common just before this one meet there as well, so the pair isn't given again
+    earlier = Window.partitionBy("cls").orderBy("sig")
+    open_ = open_.withColumn("before", F.array_compact(F.array(*[F.lag("sig", i).over(earlier) for i in range(1, BEFORE + 1)])))
     open_ = written(open_.join(sided("", "cls"), "cls"), "open")
-    left = open_.select("sig", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int").alias("part"), F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("n").alias("xn"), F.col("s").alias("xs"))
-    right = open_.select("sig", F.explode(F.expr("sequence(0, k - 1)")).alias("part"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("yn"), F.col("s").alias("ys"))
-    pairs = left.join(right, ["sig", "part"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(percent, "x", "y"))
-    second = written(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "second")
+
+    def side(part: Column, node: str, root: str, v: str) -> DataFrame:
+        return open_.select("sig", part.alias("part"), F.col("cls").alias(node), F.col("root").alias(root), F.col("n").alias(f"{v}n"), F.col("s").alias(f"{v}s"), F.col("before").alias(f"{v}b"))
+
+    left = side(F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"), "a", "ra", "x")
+    right = side(F.explode(F.expr("sequence(0, k - 1)")), "b", "rb", "y")
+    new = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(percent, "x", "y") & ~F.arrays_overlap("xb", "yb")
+    second = written(left.join(right, ["sig", "part"]).where(new).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         roots = components(first.union(verified(second, docs, classes, percent, width)))
 
