@@ -123,12 +123,46 @@ def test_pii_is_permuted_within_its_format(spark):
 def test_pii_permutations_are_one_to_one(spark):
     days = spark.range(3000).selectExpr("date_format(date_add(date'2000-01-01', cast(id as int)), 'yyyy-MM-dd') as text")
     assert pii.pseudonymize(days, "k").select("pii_text").distinct().count() == 3000
+    numbers = spark.range(3000).selectExpr("concat('123-45-', lpad(cast(id + 1 as string), 4, '0')) as text")
+    made = pii.pseudonymize(numbers, "k").select("pii_text").distinct()
+    assert made.count() == 3000 and made.where("pii_text rlike '^(000|666|9)|-00-|-0000$'").count() == 0
     strings = spark.range(2600).selectExpr("concat(chr(cast(97 + id % 26 as int)), lpad(cast(id div 26 as string), 2, '0')) as v")
     assert strings.selectExpr(pii.permuted("v", "k") + " as p").where("p rlike '^[a-z][0-9]{2}$'").distinct().count() == 2600
-    hexes = strings.selectExpr("v", pii.permuted("v", "k", hexes=True) + " as p")
+    hexes = strings.selectExpr("v", pii.permuted("v", "k", hexes="true") + " as p")
     assert hexes.where("(v rlike '^[a-f]') = (p rlike '^[a-f]')").select("p").distinct().count() == 2600
-    groups = spark.range(1000).selectExpr("concat('+44 ', lpad(cast(id as string), 3, '0')) as v")
-    assert groups.selectExpr(pii.permuted("substr(v, 4)", "k", phone=True) + " as p").distinct().count() == 1000
+    groups = spark.range(1000).selectExpr("lpad(cast(id as string), 4, '0') as v")
+    made = groups.selectExpr(pii.permuted("v", "k", phone="true") + " as p")
+    assert made.distinct().count() == 1000 and made.where("p rlike '^[2-9]'").count() == 0
+
+
+def test_pii_links_values_across_notations(spark):
+    same = [
+        ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"], ["3782 822463 10005", "378282246310005"],
+        ["2024-02-29", "29.02.2024", "29/02/2024", "02/29/2024"], ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"],
+        ["(415) 555-0132", "415-555-0132", "415.555.0132", "+14155550132", "+1 (415) 555-0132", "1 415 555 0132"], ["+44 20 7946 0958", "+442079460958"],
+    ]
+    rows = [(i, j, f"see {v}, please") for i, vs in enumerate(same) for j, v in enumerate(vs)]
+    made = {(r.i, r.j): r for r in pii.pseudonymize(spark.createDataFrame(rows, "i int, j int, text string"), "k").collect()}
+    for (i, j), r in made.items():
+        new, old = r.pii_text[4:-8], same[i][j]
+        assert len(r.pii_found) == 1 and new != old and re.sub("[0-9A-Za-z]", "x", new) == re.sub("[0-9A-Za-z]", "x", old)
+    for i, vs in enumerate(same):
+        if i != 2:  # the last ten digits or letters are the value's in every notation
+            assert len({re.sub("[^0-9A-Z]", "", made[i, j].pii_text[4:-8])[-10:] for j in range(len(vs))}) == 1
+    styles = ["%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"]
+    assert len({datetime.datetime.strptime(made[2, j].pii_text[4:-8], styles[j]) for j in range(4)}) == 1
+
+
+def test_pii_reads_long_secrets_whole_and_keeps_columns(spark):
+    tail = "aB3" * 3_000
+    rows = [(1, f"password: {tail} and 000-12-3456 666-12-3456 900-12-3456 123-00-3456", 7), (2, "token=abcdefgh1" + "z" * 300, 8), (3, "AKIA" + "Q" * 16, 9)]
+    df = spark.createDataFrame(rows, "m long, text string, found int").withColumn("made", F.lit("own"))
+    got = {r.m: r for r in pii.pseudonymize(df, "k").collect()}
+    assert pii.pseudonymize(df, "k").columns == ["m", "text", "found", "made", "pii_text", "pii_found"]
+    secret = got[1].pii_text.split()[1]
+    assert len(secret) == len(tail) and sum(a == b for a, b in zip(secret[-3000:], tail[-3000:], strict=True)) < 600
+    assert got[1].pii_text.endswith("and 000-12-3456 666-12-3456 900-12-3456 123-00-3456") and (got[1].found, got[1].made) == (7, "own")
+    assert got[2].pii_text.startswith("token=") and "zzzz" not in got[2].pii_text and got[3].pii_found == ["secret"]
 
 
 def test_warc_round_trip(spark, tmp_path):

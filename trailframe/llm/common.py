@@ -43,6 +43,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like `name` that no column has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Keep Arrow batches of whole texts small, so that Python workers hold few of them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,20 +1,24 @@
 """Format-preserving pseudonyms for personal data, in Spark SQL functions only.
 
 One regular expression finds candidates; numbers and dates are validated (Luhn,
-octets, mod 97, calendar).  A keyed Feistel network then permutes each value
-within its own format: digits stay digits, letters keep their case, separators
-stay, check digits are made anew, dates stay dates.  A permutation never joins
-two values and always maps a value to the same pseudonym, so equal values stay
-linked across documents.  A text is split at the matches and joined again in
-its row: there is no shuffle, and a hot source costs what its bytes cost.
+octets, mod 97, calendar, number ranges).  A keyed Feistel network then permutes
+each value within its own format: digits stay digits, letters keep their case,
+separators stay, check digits are made anew, dates stay dates.  What is permuted
+is the value and not its notation (the digits of a number, the day of a date),
+and the notation is laid over the result.  A permutation never joins two values
+and always maps a value to the same pseudonym, so equal values stay linked
+across documents.  A text is split at the matches and joined again in its row:
+there is no shuffle, and a hot source costs what its bytes cost.
 
 The round function is SHA-256 over key, round and the other half, so whoever
 holds no key can't invert it.  The key is a parameter; keep it out of the code.
 
 Defined results: null text stays null with nothing found; empty text stays
 empty; candidates that fail their check stay as they are; overlapping
-candidates: the first in the text, then the first kind in KINDS; rows repeat as
-they come; every other column passes through unchanged.
+candidates: the first in the text, then the first kind in KINDS; texts and
+secrets of any length are read whole; rows repeat as they come; every other
+column passes through unchanged, whatever its name (pii_text and pii_found are
+replaced).
 """
 
 from __future__ import annotations
@@ -22,30 +26,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailframe.llm.common import fresh
+
+BEFORE, AFTER = r"(?<![0-9A-Za-z.+-])", r"(?![0-9A-Za-z]|[.-][0-9])"
 #: Kinds in order of precedence, and the pattern of each.  No pattern nests repetitions of varying length.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_key|apikey)\s?[=:]\s?[\"']?(?=[A-Za-z_/+-]{0,127}[0-9])[A-Za-z0-9_/+-]{8,128}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    r"|(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_key|apikey)\s?[=:]\s?[\"']?(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{8,}+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}"
+    r"| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}){1,6}(?: (?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
-    r"|\+[1-9][0-9]{0,2}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])",
+    rf"|{BEFORE}(?:1[ .-])?[2-9][0-9]{{2}}[ .-][2-9][0-9]{{2}}[ .-][0-9]{{4}}{AFTER}"
+    r"|(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z+])\+[1-9][0-9]{7,14}(?![0-9])",
     "date": r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
     r"(?![0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])"
+    r"|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Part of a secret that is kept: its name, or the fixed prefix of the key.
 SECRET_HEAD = r"^(?:AKIA|[a-z_]+\s?[=:]\s?[\"']?)"
-#: Country code of a telephone number, kept as well.
-PHONE_LEAD = r"^(\+?1[ .-]?(?=\()|\+[0-9]+(?=[ .-]))"
+#: Country code of a telephone number, kept as well (the lengths of the codes are fixed: E.164); 1 may stand without a plus.
+PHONE_LEAD = r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})|1(?=[ .-]?[(2-9]))"
 ROUNDS = 8
 #: Values of hex digits alone, and the most steps that another value walks until it is none of them (a chance of 1e-38 to need more).
-HEX, WALK = "'^[0-9a-f]*$'", 60
+HEX, WALK = "^[0-9a-f]*$", 60
 #: Dates permute within the days from 1900-01-01 to 2099-12-31: 73,049 = 17 * 4,297.
 FIRST_DAY, DAYS, DAY_PARTS = "1900-01-01", 73_049, (17, 4_297)
+#: Social security numbers: areas 001-899 but for 666, groups 01-99, serials 0001-9999.
+AREAS, GROUPS, SERIALS = 898, 99, 9_999
+NONE = "cast(null as string)"
 
 
 def quoted(text: str) -> str:
@@ -57,169 +70,138 @@ def let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def byte_of(block: str, i: str) -> str:
-    """SQL: byte i of a hex digest."""
-    return f"cast(conv(substr({block}, 2 * ({i}) + 1, 2), 16, 10) as int)"
-
-
-def shifted(half: str, classes: str, other: str, key: str, step: int) -> str:
-    """SQL: array `half` of characters, each moved within its class by the keyed hash of the other half."""
-    source = f"concat({quoted(key)}, '|{step}|', array_join({other}, ''))"
-    move = byte_of(f"element_at(hs, cast(i div 32 as int) + 1)", "i % 32")
-    digests = f"transform(sequence(0, cast(size({half}) div 32 as int)), b -> sha2(concat({source}, '|', b), 256))"
+def shifted(half: str, classes: str, other: str, key: str) -> str:
+    """SQL: array `half` of characters, each moved within its class by the keyed hash of round and other half."""
+    source = f"sha2(concat({quoted(key + '|')}, step, '|', array_join({other}, '')), 256)"
+    digests = f"transform(sequence(0, cast(size({half}) div 32 as int)), b -> sha2(concat(source, '|', b), 256))"
+    move = "cast(conv(substr(element_at(hs, cast(i div 32 as int) + 1), 2 * (i % 32) + 1, 2), 16, 10) as int)"
     alphabets = {
         "9": "0123456789", "n": "23456789", "z": "01", "h": "abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     }
-    cases = " ".join(
-        f"when '{k}' then substr('{v}', (locate(c, '{v}') - 1 + {move}) % {len(v)} + 1, 1)" for k, v in alphabets.items()
-    )
-    return let("hs", digests, f"transform({half}, (c, i) -> case {classes}[i] {cases} else c end)")
+    letters = " ".join(f"when '{k}' then '{v}'" for k, v in alphabets.items())
+    moved = let("v", f"case kinds[i] {letters} else '' end", f"if(v = '', c, substr(v, (locate(c, v) - 1 + {move}) % length(v) + 1, 1))")
+    return let("kinds", classes, let("source", source, let("hs", digests, f"transform({half}, (c, i) -> {moved})")))
 
 
-def permuted(text: str, key: str, phone: bool = False, hexes: bool = False) -> str:
+def permuted(text: str, key: str, phone: str = "false", hexes: str = "false") -> str:
     """SQL: string `text` permuted within the class of each of its characters.
 
     The output has the same classes, so the network permutes the strings of one
-    format.  phone: the digits that begin a group are classes of their own, 2-9
-    and 0-1.  hexes: values of hex digits alone are permuted among themselves,
-    and all others walk on along their cycle until they are no hex value, so
-    the two never meet.
+    format.  phone (SQL): the first and fourth digits are classes of their own,
+    2-9 and 0-1.  hexes (SQL): values of hex digits alone are permuted among
+    themselves, and all others walk on along their cycle until they are no hex
+    value, so the two never meet.
     """
-    lead = "i > 0 and cs[i - 1] in ('(', ')', ' ')"
-    first = f"when {lead} and c rlike '[2-9]' then 'n' when {lead} and c rlike '[01]' then 'z' " if phone else ""
-    first += f"when c rlike '[a-f]' and ({text}) rlike {HEX} then 'h' " if hexes else ""
+    lead = f"({phone}) and i in (0, 3)"
     kinds = (
-        f"transform(cs, (c, i) -> case {first}when c rlike '[0-9]' then '9' "
-        "when c rlike '[a-z]' then 'a' when c rlike '[A-Z]' then 'A' else '.' end)"
+        f"transform(cs, (c, i) -> case when {lead} and c rlike '[2-9]' then 'n' when {lead} and c rlike '[01]' then 'z' "
+        "when hexed and c rlike '[a-f]' then 'h' when c rlike '[0-9]' then '9' when c rlike '[a-z]' then 'a' when c rlike '[A-Z]' then 'A' else '.' end)"
     )
-    state = "named_struct('l', slice(cs, 1, h), 'r', slice(cs, h + 1, size(cs) - h))"
-    for step in range(ROUNDS):
-        if step % 2 == 0:
-            new = shifted(f"s{step}.l", "slice(ks, 1, h)", f"s{step}.r", key, step)
-            after = f"named_struct('l', {new}, 'r', s{step}.r)"
-        else:
-            new = shifted(f"s{step}.r", "slice(ks, h + 1, size(cs) - h)", f"s{step}.l", key, step)
-            after = f"named_struct('l', s{step}.l, 'r', {new})"
-        state = f"transform({wrap(state)}, s{step} -> {after})[0]"
-    body = let("out", state, "concat(array_join(out.l, ''), array_join(out.r, ''))")
-    body = let("h", "cast(size(cs) div 2 as int)", body)
-    body = let("ks", kinds, body)
-    once = lambda value: let("cs", f"filter(split({value}, ''), c -> c <> '')", body)
-    if not hexes:
-        return once(text)
-    done = f"k > 0 and (not p rlike {HEX} or ({text}) rlike {HEX})"
-    return f"aggregate(sequence(0, {WALK}), {text}, (p, k) -> if({done}, p, {once('p')}))"
-
-
-def wrap(value: str) -> str:
-    return f"array({value})"
-
-
-def mixed(a: str, b: str, sizes: tuple[int, int], key: str, tag: str, rounds: int = 10) -> str:
-    """SQL: a Feistel network over pairs (a, b) below `sizes`: in turn one moves by the keyed hash of the other."""
-    state = f"named_struct('a', cast({a} as bigint), 'b', cast({b} as bigint))"
-    for step in range(rounds):
-        x, y, n = ("a", "b", sizes[0]) if step % 2 == 0 else ("b", "a", sizes[1])
-        digest = f"cast(conv(substr(sha2(concat({quoted(key)}, '|{tag}{step}|', t.{y}), 256), 1, 12), 16, 10) as bigint)"
-        fields = {x: f"(t.{x} + {digest}) % {n}", y: f"t.{y}"}
-        state = f"transform(array({state}), t -> named_struct('a', {fields['a']}, 'b', {fields['b']}))[0]"
-    return state
+    even = f"named_struct('l', {shifted('s.l', 'slice(ks, 1, h)', 's.r', key)}, 'r', s.r)"
+    odd = f"named_struct('l', s.l, 'r', {shifted('s.r', 'slice(ks, h + 1, size(cs) - h)', 's.l', key)})"
+    begun = "named_struct('l', slice(cs, 1, h), 'r', slice(cs, h + 1, size(cs) - h))"
+    body = f"aggregate(sequence(0, {ROUNDS - 1}), {begun}, (s, step) -> if(step % 2 = 0, {even}, {odd}), s -> concat(array_join(s.l, ''), array_join(s.r, '')))"
+    once = let("cs", "filter(split(p, ''), c -> c <> '')", let("ks", kinds, let("h", "cast(size(cs) div 2 as int)", body)))
+    done = f"k > 0 and (hexed or not ({hexes}) or not p rlike '{HEX}')"
+    return let("hexed", f"({hexes}) and ({text}) rlike '{HEX}'", f"aggregate(sequence(0, if({hexes}, {WALK}, 1)), {text}, (p, k) -> if({done}, p, {once}))")
+
+
+def paired(state: str, key: str, rounds: int = 10) -> str:
+    """SQL: a Feistel network over struct (a, b, m, n, tag) with a < m and b < n: in turn one moves by the keyed hash of the other."""
+    digest = f"cast(conv(substr(sha2(concat({quoted(key + '|')}, t.tag, step, '|', if(step % 2 = 0, t.b, t.a)), 256), 1, 12), 16, 10) as bigint)"
+    moved = "named_struct('a', if(step % 2 = 0, (t.a + d) % t.m, t.a), 'b', if(step % 2 = 0, t.b, (t.b + d) % t.n), 'm', t.m, 'n', t.n, 'tag', t.tag)"
+    return f"aggregate(sequence(0, {rounds - 1}), {state}, (t, step) -> {let('d', digest, moved)})"
+
+
+def pair(a: str, b: str, m: int, n: int, tag: str) -> str:
+    return f"named_struct('a', cast({a} as bigint), 'b', cast({b} as bigint), 'm', cast({m} as bigint), 'n', cast({n} as bigint), 'tag', '{tag}')"
 
 
 def luhn_sum(digits: str, doubled: int) -> str:
-    """SQL: Luhn sum; from the right, digits at places of parity `doubled` (from 0) count twice."""
+    """SQL: the Luhn sum of a digit string; from the right, the places of parity `doubled` are doubled."""
     d = f"cast(substr({digits}, -i - 1, 1) as int)"
     twice = f"if({d} > 4, 2 * {d} - 9, 2 * {d})"
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (acc, i) -> acc + if(i % 2 = {doubled}, {twice}, {d}))"
 
 
-def card(m: str, key: str) -> str:
-    """SQL: pseudonym of a card number, or null if its check digit is wrong."""
-    digits = f"regexp_replace({m}, '[^0-9]', '')"
-    body = permuted(f"left({m}, length({m}) - 1)", key)
-    made = let("p", body, f"concat(p, cast((10 - {luhn_sum("regexp_replace(p, '[^0-9]', '')", 0)} % 10) % 10 as string))")
-    return f"if({luhn_sum(digits, 1)} % 10 = 0, {made}, cast(null as string))"
-
-
 def mod97(text: str) -> str:
     """SQL: letters count as 10..35, digits as themselves; the remainder by 97."""
     value = "cast(conv(c, 36, 10) as int)"
     return f"aggregate(filter(split({text}, ''), c -> c <> ''), 0, (acc, c) -> (acc * if({value} > 9, 100, 10) + {value}) % 97)"
 
 
-def iban(m: str, key: str) -> str:
-    """SQL: pseudonym with fresh check digits, or null if they are wrong."""
-    valid = f"{mod97(f'concat(substr({m}, 5), left({m}, 4))')} = 1"
-    check = f"lpad(cast(98 - {mod97(f"concat(p, left({m}, 2), '00')")} as string), 2, '0')"
-    made = let("p", permuted(f"substr({m}, 5)", key), f"concat(left({m}, 2), {check}, p)")
-    return f"if({valid}, {made}, cast(null as string))"
-
+def laid(shape: str, characters: str) -> str:
+    """SQL: letters and digits of string `shape` give way to those of `characters`, in order."""
+    before = f"length(regexp_replace(substr({shape}, 1, i), '[^0-9A-Za-z]', ''))"
+    return f"array_join(transform(filter(split({shape}, ''), c -> c <> ''), (c, i) -> if(c rlike '[0-9A-Za-z]', substr({characters}, {before} + 1, 1), c)), '')"
 
-def ip(m: str, key: str) -> str:
-    """SQL: another IPv4 address, or null if an octet is over 255 or written with a leading zero."""
-    part = lambda i: f"cast(split({m}, '[.]')[{i}] as bigint)"
-    pair = mixed(f"{part(0)} * 256 + {part(1)}", f"{part(2)} * 256 + {part(3)}", (65_536, 65_536), key, "ip")
-    made = let("q", pair, "concat_ws('.', q.a div 256, q.a % 256, q.b div 256, q.b % 256)")
-    return f"if(forall(split({m}, '[.]'), o -> cast(o as int) < 256 and o rlike '^(0|[1-9][0-9]*)$'), {made}, cast(null as string))"
 
+#: Notations of dates; day first is tried before month first where slashes stand.
+STYLES = (("^[0-9]{4}-", "yyyy-MM-dd"), ("^[0-9]{2}[.]", "dd.MM.yyyy"), ("^[0-9]{2}/(0[1-9]|1[0-2])/", "dd/MM/yyyy"), ("^[0-9]{2}/", "MM/dd/yyyy"))
 
-def date(m: str, key: str) -> str:
-    """SQL: another day from 1900 to 2099 in the same notation, or null if there is no such day.
 
-    Day first is tried before month first where slashes stand.
-    """
-    out = []
-    for shape, style in (
-        ("^[0-9]{4}-", "yyyy-MM-dd"),
-        ("^[0-9]{2}[.]", "dd.MM.yyyy"),
-        ("^[0-9]{2}/(0[1-9]|1[0-2])/", "dd/MM/yyyy"),
-        ("^[0-9]{2}/", "MM/dd/yyyy"),
-    ):
-        days = f"datediff(cast(try_to_timestamp({m}, '{style}') as date), date'{FIRST_DAY}')"
-        pair = mixed(f"n % {DAY_PARTS[0]}", f"n div {DAY_PARTS[0]}", DAY_PARTS, key, style)
-        made = let("q", pair, f"date_format(date_add(date'{FIRST_DAY}', cast(q.a + q.b * {DAY_PARTS[0]} as int)), '{style}')")
-        out.append(f"when {m} rlike {quoted(shape)} then {let('n', days, f'if(n >= 0 and n < {DAYS}, {made}, cast(null as string))')}")
-    return f"case {' '.join(out)} end"
-
-
-def pseudonym(m: str, kind: str, key: str) -> str:
-    """SQL: what takes the place of match `m` of kind `kind`; null where validation fails."""
+def pseudonym(m: str, key: str) -> str:
+    """SQL: struct (kind, to) for match `m`: what takes its place, null where validation fails."""
+    kind = "case " + " ".join(f"when {m} rlike {quoted('^(?:' + pattern + ')$')} then '{name}'" for name, pattern in KINDS.items()) + " end"
     tld = f"regexp_extract({m}, '([.][A-Za-z0-9-]+)$', 1)"
-    head = f"regexp_extract({m}, {quoted('(' + SECRET_HEAD + ')')}, 1)"
-    lead = f"regexp_extract({m}, {quoted(PHONE_LEAD)}, 1)"
-    made = {
-        "email": f"concat({permuted(f'left({m}, length({m}) - length({tld}))', key)}, {tld})",
-        "secret": f"concat({head}, {permuted(f'substr({m}, length({head}) + 1)', key, hexes=True)})",
-        "iban": iban(m, key),
-        "phone": f"concat({lead}, {permuted(f'substr({m}, length({lead}) + 1)', key, phone=True)})",
-        "date": date(m, key),
-        "ip": ip(m, key),
-        "ssn": permuted(m, key),
-        "card": card(m, key),
-    }
-    return made[kind]
+    head = (
+        f"case kind when 'secret' then regexp_extract({m}, {quoted('(' + SECRET_HEAD + ')')}, 1) "
+        f"when 'phone' then regexp_extract({m}, {quoted('(' + PHONE_LEAD + ')')}, 1) when 'iban' then left({m}, 4) else '' end"
+    )
+    bare = f"regexp_replace(substr({m}, length(head) + 1), '[^0-9A-Za-z]', '')"
+    body = (
+        f"case kind when 'email' then left({m}, length({m}) - length({tld})) when 'secret' then substr({m}, length(head) + 1) "
+        f"when 'card' then left({bare}, length({bare}) - 1) else {bare} end"
+    )
+    # ten digits behind no code or behind code 1 are one kind of number
+    national = "kind = 'phone' and head in ('', '1', '+1')"
+    check = f"lpad(cast(98 - {mod97("concat(p, left(head, 2), '00')")} as string), 2, '0')"
+    whole = (
+        f"case kind when 'email' then concat(p, {tld}) when 'secret' then concat(head, p) "
+        f"when 'phone' then concat(head, {laid(f'substr({m}, length(head) + 1)', 'p')}) "
+        f"when 'iban' then if({mod97('concat(body, head)')} = 1, {laid(m, f'concat(left(head, 2), {check}, p)')}, {NONE}) "
+        f"when 'card' then if({luhn_sum(bare, 1)} % 10 = 0, {laid(m, f'concat(p, cast((10 - {luhn_sum("p", 0)} % 10) % 10 as string))')}, {NONE}) end"
+    )
+    text = let("head", head, let("body", body, let("p", permuted("body", key, national, "kind = 'secret'"), whole)))
+
+    style = "case " + " ".join(f"when {m} rlike {quoted(shape)} then '{s}'" for shape, s in STYLES) + " end"
+    days = f"case style {' '.join(f"when '{s}' then datediff(cast(try_to_timestamp({m}, '{s}') as date), date'{FIRST_DAY}')" for _, s in STYLES)} end"
+    octet = lambda i: f"cast(split({m}, '[.]')[{i}] as bigint)"
+    digits = lambda a, n: f"cast(substr({m}, {a}, {n}) as bigint)"
+    whole_ip = f"forall(split({m}, '[.]'), o -> cast(o as int) < 256 and o rlike '^(0|[1-9][0-9]*)$')"
+    whole_ssn = f"{digits(1, 3)} between 1 and 899 and {digits(1, 3)} <> 666 and {digits(5, 2)} > 0 and {digits(8, 4)} > 0"
+    start = (
+        f"case when kind = 'date' and days >= 0 and days < {DAYS} then {pair(f'days % {DAY_PARTS[0]}', f'days div {DAY_PARTS[0]}', *DAY_PARTS, 'date')} "
+        f"when kind = 'ip' and {whole_ip} then {pair(f'{octet(0)} * 256 + {octet(1)}', f'{octet(2)} * 256 + {octet(3)}', 65_536, 65_536, 'ip')} "
+        f"when kind = 'ssn' and {whole_ssn} then {pair(f'{digits(1, 3)} - if({digits(1, 3)} > 666, 2, 1)', f'({digits(5, 2)} - 1) * {SERIALS} + {digits(8, 4)} - 1', AREAS, GROUPS * SERIALS, 'ssn')} end"
+    )
+    day = f"date_add(date'{FIRST_DAY}', cast(q.a + q.b * {DAY_PARTS[0]} as int))"
+    written = (
+        f"case kind when 'date' then case style {' '.join(f"when '{s}' then date_format({day}, '{s}')" for _, s in STYLES)} end "
+        "when 'ip' then concat_ws('.', q.a div 256, q.a % 256, q.b div 256, q.b % 256) "
+        f"else concat_ws('-', lpad(cast(q.a + if(q.a >= 665, 2, 1) as string), 3, '0'), lpad(cast(q.b div {SERIALS} + 1 as string), 2, '0'), lpad(cast(q.b % {SERIALS} + 1 as string), 4, '0')) end"
+    )
+    number = let("style", style, let("days", days, let("start", start, f"if(start is null, {NONE}, {let('q', paired('start', key), written)})")))
+    return let("kind", kind, f"named_struct('kind', kind, 'to', if(kind in ('date', 'ip', 'ssn'), {number}, {text}))")
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """Add pii_text, and pii_found: an array of the kinds found, in text order (null text: null and empty).
 
-    All other columns stay.  key: the secret of the permutation.
+    key: the secret of the permutation.
     """
-    tried = "case " + " ".join(
-        f"when m rlike {quoted('^(?:' + pattern + ')$')} then named_struct('kind', '{kind}', 'to', {pseudonym('m', kind, key)})"
-        for kind, pattern in KINDS.items()
-    ) + " end"
     text, pattern = F.col(text_col), F.lit(PATTERN)
-    # most texts hold no digit and no @, and every kind but a secret needs one
-    likely = text.rlike(r"[0-9@]|AKIA|(?:password|passwd|token|secret|api_?key)\s?[=:]")
-    marked = docs.withColumn("_found", F.when(likely, F.regexp_extract_all(text, pattern, F.lit(0))))
-    marked = marked.withColumn("_made", F.expr(f"transform(_found, m -> {tried})"))
+    # most texts hold no digit and no @, and every kind needs one, but for a key of letters alone
+    likely = text.rlike(r"[0-9@]|AKIA")
+    found, made = fresh("found", docs.columns), fresh("made", docs.columns)
+    marked = docs.withColumn(found, F.when(likely, F.regexp_extract_all(text, pattern, F.lit(0))))
+    marked = marked.withColumn(made, F.expr(f"transform({found}, m -> {pseudonym('m', key)})"))
     joined = (
-        "array_join(zip_with(split({t}, {p}, -1), transform(_made, (x, i) -> coalesce(x.to, _found[i])), "
+        f"array_join(zip_with(split(`{text_col}`, {quoted(PATTERN)}, -1), transform({made}, (x, i) -> coalesce(x.to, {found}[i])), "
         "(gap, to) -> concat(gap, coalesce(to, ''))), '')"
-    ).format(t=f"`{text_col}`", p=quoted(PATTERN))
+    )
     return (
-        marked.withColumn("pii_text", F.when(F.size("_found") > 0, F.expr(joined)).otherwise(text))
-        .withColumn("pii_found", F.expr("coalesce(transform(filter(_made, x -> x.to is not null), x -> x.kind), array())"))
-        .drop("_found", "_made")
+        marked.withColumn("pii_text", F.when(F.size(found) > 0, F.expr(joined)).otherwise(text))
+        .withColumn("pii_found", F.expr(f"coalesce(transform(filter({made}, x -> x.to is not null), x -> x.kind), array())"))
+        .drop(found, made)
     )
