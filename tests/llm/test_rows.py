@@ -84,6 +84,7 @@ def test_licenses_equal_brute_force(spark, docs):
     bits = ["MIT License", "Licensed under CC BY-NC 4.0.", "GNU General Public License, version 3", "apache", "license", "by cc", "éa1", "cc by"]
     bits += ["Permission is hereby granted, free of charge", "without restriction", "GNU General", "under the", "Apache License, Version 2.0."]
     texts = [" ".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(120)] + [licenses.NOTICES[6].text]
+    texts += [" ".join(rng.choices([*bits, "w1", "w2,", "\u212aby"], k=9000)), "cc by " * 3000, "\u212a cc\u0130by cc-by", "MIT\nLicense mit license\x00", ",;"]
     more = spark.createDataFrame([(100 + i, t, "s", 1, "own") for i, t in enumerate(texts)], DOCS)
     rows = docs.unionByName(more)
     got = licenses.scan_licenses(rows).collect()
@@ -91,6 +92,8 @@ def test_licenses_equal_brute_force(spark, docs):
     for r in got:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == pytest.approx(scan(r.text)), r.text
     assert licenses.scan_licenses(rows.limit(0)).count() == 0
+    named = rows.limit(2).withColumns({"low": F.lit(1), "words": F.lit(2), "hits": F.lit(3), "w": F.lit(4)})
+    assert {(r.low, r.words, r.hits, r.w) for r in licenses.scan_licenses(named).collect()} == {(1, 2, 3, 4)}
     assert licenses.scan_licenses(docs.where("text is null")).first().labels == ""
 
 

@@ -1,30 +1,38 @@
 """Licence scan with a positional index of rare words, in Spark SQL functions only.
 
 Templates are sequences of words with mandatory key phrases.  The words' document
-frequencies over the whole corpus give their IDF; each template is indexed by its
-rarest mandatory words and their positions (postings).  A file's highest-IDF
-licence words are looked up there: every place of such a word gives the place
-where the template would begin, and the postings of a template are intersected
-by that relative position.  Where they agree, the mandatory phrases are verified
-word by word, and the share of all template words in place is the score.
-
-Each text is scanned in its own row, so nothing is shuffled but the counts of
-the templates' words, whose number the templates bound.
-
-Defined results: null and empty texts have 0 words and no label; ties of IDF go
-to the smaller word; rows repeat as they come; other columns pass through.
+frequencies over the whole corpus give their IDF; the index, an array of
+templates, holds for each template its rarest mandatory words and their positions
+(postings).  Each file that holds a key phrase takes the licence words that it
+has, those of the highest IDF of every template that they can make up are looked
+up: every place of such a word gives the place where the template would begin,
+and the postings of a template are intersected by that relative position.  Where
+they agree, the mandatory phrases are verified word by word, and the share of all
+template words in place is the score.
+
+Texts are brought to words with one blank between them, in which a phrase is a
+plain substring; only texts with a key phrase are split.  Each text is scanned in
+its own row, so nothing is shuffled but the counts of the templates' words, whose
+number the templates bound.
+
+Defined results: null and empty texts have 0 words and no label; long texts are
+read whole; ties of IDF go to the smaller word; rows repeat as they come; other
+columns pass through whatever their names, but those named like added ones are
+replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import ascii_lower
+from trailframe.llm.common import ascii_lower, fresh
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: all of ASCII but letters and digits.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
@@ -96,15 +104,24 @@ NOTICES = (
 TEMPLATES = BASE + NOTICES
 
 
-def listed(words) -> str:
-    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+def array(items) -> str:
+    return f"array({', '.join(items)})"
+
+
+def spaced(text: Column) -> Column:
+    """The words of a text, a blank before and behind each."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.coalesce(text, F.lit("")), GAP, " "), F.lit(" "))
+
+
+def holds(column: str, phrase: str) -> str:
+    """SQL: whether the words of `phrase` stand one behind the other; most texts fail the first test, which is the faster one."""
+    return f"(contains({column}, '{phrase} ') and contains({column}, ' {phrase} '))"
 
 
 def document_frequencies(texts: DataFrame, templates: tuple[Template, ...]) -> dict[str, int]:
-    """How many texts hold each word of the key phrases; at most a row for each such word reaches the driver."""
+    """How many texts (column `low`, spaced and in lower case) hold each word of the key phrases; at most a row for each such word reaches the driver."""
     vocabulary = sorted({t.words[i] for t in templates for i in t.key_places()})
-    inside = ", ".join(f"'{w}'" for w in vocabulary)
-    held = texts.select(F.explode(F.expr(f"array_distinct(filter(_words, w -> w in ({inside})))")).alias("w"))
+    held = texts.select(F.explode(F.expr(f"filter({array(f"'{w}'" for w in vocabulary)}, w -> contains(low, concat(w, ' ')) and contains(low, concat(' ', w, ' ')))")).alias("w"))
     counts = {r.w: r.n for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return {w: counts.get(w, 0) for w in vocabulary}
 
@@ -116,6 +133,19 @@ def postings(template: Template, frequencies: dict[str, int], depth: int) -> lis
     return [(w, once[w]) for w in sorted(once, key=lambda w: (frequencies[w], w))[:depth]]
 
 
+def indexed(templates: tuple[Template, ...], frequencies: dict[str, int], depth: int) -> str:
+    """SQL: the index as an array of structs, so that one expression serves any number of templates."""
+
+    def placed(pairs) -> str:
+        return array(f"named_struct('w', '{w}', 'p', {p})" for w, p in pairs)
+
+    return array(
+        f"named_struct('label', '{t.label}', 'base', {str(t.base).lower()}, 'rare', {placed(postings(t, frequencies, depth))}, "
+        f"'keys', {placed((t.words[p], p) for p in t.key_places())}, 'words', {placed((w, p) for p, w in enumerate(t.words))})"
+        for t in templates
+    )
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, depth: int = 2, text_col: str = "text") -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels, score and places to every row.
 
@@ -123,38 +153,35 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     depth: how many rare words of a template must agree on where it begins.
     """
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places")
-    lowered = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    texts = docs.drop(*added).withColumn("_words", F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)))
-    frequencies = document_frequencies(texts.select("_words"), templates)
-    index = {t: postings(t, frequencies, depth) for t in templates}
-    rare = ", ".join(sorted({f"'{w}'" for hits in index.values() for w, _ in hits}))
-    hits = f"filter(transform(_words, (w, i) -> named_struct('w', w, 'i', i)), x -> x.w in ({rare}))"
-    scanned = texts.withColumn("_hits", F.expr(hits))
-
-    found = []
-    for t, looked in index.items():
-        starts = [f"transform(filter(_hits, x -> x.w = '{w}'), x -> x.i - {p})" for w, p in looked]
-        agreed = starts[0]
-        for other in starts[1:]:
-            agreed = f"array_intersect({agreed}, {other})"
-        places = t.key_places()
-        fits = " and ".join(f"get(_words, s + {p}) <=> '{t.words[p]}'" for p in places)
-        share = " + ".join(f"if(get(_words, s + {p}) <=> '{w}', 1, 0)" for p, w in enumerate(t.words))
-        found.append(
-            f"transform(filter({agreed}, s -> s >= 0 and {fits}), s -> named_struct('label', '{t.label}', 'start', "
-            f"cast(s as long), 'base', {str(t.base).lower()}, 'share', cast(({share}) as double) / {len(t.words)}))"
-        )
+    docs = docs.drop(*added)
+    frequencies = document_frequencies(docs.select(F.lower(spaced(F.col(text_col))).alias("low")), templates)
+    index = indexed(templates, frequencies, depth)
+    rare = ", ".join(sorted({f"'{w}'" for t in templates for w, _ in postings(t, frequencies, depth)}))
+    low, words, hits = (fresh(n, docs.columns) for n in ("low", "words", "hits"))
+
+    plain = docs.withColumn(low, spaced(F.col(text_col)))
+    blanks = F.octet_length(F.trim(low)) - F.octet_length(F.replace(F.trim(low), F.lit(" "), F.lit("")))
+    counted = plain.withColumn("n_words", F.when(F.trim(low) == "", F.lit(0)).otherwise(blanks + 1).cast("long")).withColumn(low, F.lower(low))
+    # a file without a key phrase of any template needs no look at its words
+    likely = " or ".join(sorted(" and ".join(holds(low, key) for key in t.keys or (t.text,)) for t in templates))
+    split = F.split(F.trim(spaced(ascii_lower(F.col(text_col)))), " ")
+    scanned = counted.withColumn(words, F.when(F.expr(likely), split)).drop(low)
+    scanned = scanned.withColumn(hits, F.expr(f"filter(transform({words}, (w, i) -> named_struct('w', w, 'i', i)), x -> x.w in ({rare}))"))
+    starts = f"transform(filter({hits}, x -> x.w = r.w), x -> x.i - r.p)"
+    agreed = f"aggregate(t.rare, cast(null as array<int>), (acc, r) -> if(acc is null, {starts}, array_intersect(acc, {starts})))"
+    fits = f"s >= 0 and forall(t.keys, k -> get({words}, s + k.p) <=> k.w)"
+    share = f"cast(size(filter(t.words, k -> get({words}, s + k.p) <=> k.w)) as double) / size(t.words)"
+    found = f"transform(filter({agreed}, s -> {fits}), s -> named_struct('label', t.label, 'start', cast(s as bigint), 'base', t.base, 'share', {share}))"
+    able = f"filter({index}, t -> forall(t.rare, r -> exists({hits}, x -> x.w = r.w)))"
     empty = "cast(array() as array<struct<label:string,start:bigint,base:boolean,share:double>>)"
-    every = f"if(size(_hits) = 0, {empty}, concat({', '.join(found)}))"
-    placed = scanned.withColumn("places", F.expr(every))
+    placed = scanned.withColumn("places", F.expr(f"if({words} is null, {empty}, flatten(transform({able}, t -> {found})))"))
     base = "filter(places, p -> p.base)"
     return placed.select(
         "*",
-        F.size("_words").cast("long").alias("n_words"),
         F.expr(f"cast(size({base}) as long)").alias("n_base"),
         F.expr(f"array_min(transform({base}, p -> p.start))").alias("first_word"),
         F.expr(f"array_max(transform({base}, p -> p.start))").alias("last_word"),
         F.expr(f"array_join(array_sort(array_distinct(transform({base}, p -> p.label))), ',')").alias("base_labels"),
         F.expr("array_join(array_sort(array_distinct(transform(places, p -> p.label))), ',')").alias("labels"),
         F.expr("coalesce(array_max(transform(places, p -> p.share)), 0D)").alias("score"),
-    ).drop("_words", "_hits")
+    ).drop(words, hits)
