@@ -61,6 +61,38 @@ def test_html_without_article_takes_the_dense_region():
     assert text.endswith("here\n\nEnd.") and "l3" not in text
 
 
+KEPT = "A short closing word."
+LONG = "Long prose of the article that goes on and on. " * 8
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div>{f'<p>{LONG}</p>' * 6}</div><div><p>{KEPT}</p></div><div><p>{LONG}</p></div>", [LONG.strip()] * 6 + [KEPT, LONG.strip()]),
+        (f"<article><p>{LONG}</p><p class='side note'>{KEPT}</p></article>", [LONG.strip(), KEPT]),
+        (f"<article><p>{LONG}</p><div id='related-work'>{KEPT}</div></article>", [LONG.strip(), KEPT]),
+        (f"<article><header><h1>{KEPT}</h1><span>by me</span></header><p>{LONG}</p></article>", [KEPT, LONG.strip()]),
+        (f"<main><h1>{KEPT}</h1><article><p>{LONG}</p></article><article><p>{KEPT}</p></article></main><p>{LONG}</p>", [KEPT, LONG.strip(), KEPT]),
+        (f"<article><p>{LONG}</p></article><article><p>{KEPT}</p></article><div class='ad-box'>{LONG}</div>", [LONG.strip(), KEPT]),
+        (f"<header>Site</header><div role=navigation><p>{LONG}</p></div><div><h2>a\u200bb</h2><p>{LONG}</p></div><ul><li><a>x</a><li><a>y</a></ul>", ["a\u200bb", LONG.strip()]),
+        (f"<article><p>{LONG}<span class=ad>Buy</span> more</p><section class='comments'><p>{LONG}</p></section></article>", [LONG.strip(), "more"]),
+        (f"<div><section><p>{LONG}</p></section><section><h2>{KEPT}</h2></section><section><p>{LONG}</p></section></div>", [LONG.strip(), KEPT, LONG.strip()]),
+    ],
+)
+def test_html_clusters_choose_the_content(page, want):
+    assert html_text.main_text(page).split("\n\n") == want
+
+
+def test_html_smoothing_equals_its_definition():
+    rng = random.Random(1)
+    values = [rng.random() * 100 for _ in range(30)]
+    weights = [math.exp(-0.5 * k * k) for k in range(-2, 3)]
+    want = [sum(w * values[min(29, max(0, i + k))] for w, k in zip(weights, range(-2, 3), strict=True)) / sum(weights) for i in range(30)]
+    import numpy as np
+
+    assert html_text.smoothed(np.array(values)).tolist() == pytest.approx(want)
+
+
 def scan(text):
     words = re.findall(licenses.WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     hits = []

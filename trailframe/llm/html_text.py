@@ -2,12 +2,17 @@
 
 The standard library's parser streams a page's events once.  Block-level tags
 end a line; each line knows its characters, its tags, its region (the nearest
-article, main, or other container) and whether it stands within something that
-is never content (navigation, adverts, forms, scripts, comments of readers ...).
-The text-to-tag ratios of the lines are smoothed with a Gaussian, and lines over
-a threshold (the spread of the smoothed ratios) seed content clusters.  Those
-clusters select regions, and a selected region gives all its lines, so a short
-paragraph within the article stays.
+container) and whether it stands within something that is never content
+(navigation, adverts, forms, scripts, comments of readers ...).  The text-to-tag
+ratios of the lines are smoothed with a Gaussian, and lines over a threshold (the
+spread of the smoothed ratios) are the seeds of content clusters.  Where seeds lie
+in articles or a main element, these are the content; else it is the smallest
+region that holds all clusters, without those of its parts that have no cluster
+and are mostly links.  The content gives all its lines, so a short paragraph stays.
+
+Class, id and role words leave out a container only where the whole word says so
+(`ad-box`, but not `related-work`), and never a paragraph, heading or list item.
+The headings in an article's own header stay.
 
 Defined results: a page without text, or with null html, gives an empty string;
 broken, unclosed or truncated markup is read as far as it goes; repeated rows
@@ -40,25 +45,31 @@ BLOCK = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr "
     "ul".split()
 )
-REGION = frozenset("article main section div body td".split())
-#: Words of class, id and role values that mark what is not the article.
+REGION = frozenset("article main section div body td table ul ol dl".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a class, id or role may leave out.
+CONTAINERS = frozenset("div section ul ol dl table td tr aside figure details span a iframe".split())
+#: Class, id and role values that mark what is not the article; the whole value must be of this form.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|gdpr|nav\w*|menu|breadcrumbs?|"
-    r"sidebar|side|widget|related|recommend\w*|share|sharing|social|comments?|disqus|reply|replies|respond|newsletter|"
-    r"subscribe|signup|login|footer|header|masthead|popup|modal|toolbar|pagination|pager|skip|contentinfo|"
-    r"navigation|complementary|search|alert)(?:$|[\s_-])"
+    r"^(?:(?:site|page|main|top|bottom|left|right|global|post|article|user|reader|js)[_-])?"
+    r"(?:ads?|adverts?|advertise?ments?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|nav|navbar|navigation|menus?|"
+    r"breadcrumbs?|sidebars?|widgets?|related(?:[_-](?:posts?|articles?|links?|content|stories))|recommend(?:ed|ations?)|share|sharing|social|comments?|disqus|repl(?:y|ies)|respond|"
+    r"newsletters?|subscribe|sign[_-]?up|login|footer|header|masthead|pop-?ups?|modals?|toolbars?|pagination|pager|search|skip|contentinfo|complementary|dialog)"
+    r"(?:[_-](?:box|bar|banner|container|wrapper?|section|area|block|widget|list|form|slot|unit|links?|popup|modal|notice|overlay|buttons?|top|bottom|left|right|inner|outer|[0-9]+))*$"
 )
 #: An open tag on the left ends when one on the right begins, as the optional end tags of HTML say.
 IMPLIED = {"p": BLOCK - {"li"} | {"li"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
-SPACE = re.compile(r"[\s​﻿]+")
+SPACE = re.compile(r"\s+")
+#: This share of characters in links makes a line no seed, and a part without a cluster a menu.
+LINKED = 0.5
 
 
 class Lines(HTMLParser):
-    """Turns events into lines: [region, text parts, tags, in content?]."""
+    """Turns events into lines: [region, text parts, tags, in content?, characters in links]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, excluded, silent, region
+        self.open: list[tuple[str, str, bool, int, bool]] = []  # tag, left out ("", "header" or "all"), silent, region, in a link
         self.regions: list[str] = ["root"]
         self.parent: list[int] = [0]
         self.lines: list[list] = []
@@ -66,8 +77,8 @@ class Lines(HTMLParser):
 
     def line(self) -> list:
         if self.current is None:
-            top = self.open[-1] if self.open else ("", False, False, 0)
-            self.current = [top[3], [], 1, not (top[1] or top[2])]
+            top = self.open[-1] if self.open else ("", "", False, 0, False)
+            self.current = [top[3], [], 1, not (top[1] or top[2]), 0]
             self.lines.append(self.current)
         return self.current
 
@@ -84,30 +95,34 @@ class Lines(HTMLParser):
         if tag in VOID:
             self.line()[2] += 1
             return
-        _, excluded, silent, region = self.open[-1] if self.open else ("", False, False, 0)
+        _, out, silent, region, link = self.open[-1] if self.open else ("", "", False, 0, False)
         names = dict(attrs)
-        excluded = (
-            excluded
-            or tag in BOILERPLATE
-            or "hidden" in names
-            or names.get("aria-hidden") == "true"
-            or tag not in ("html", "body", "article", "main")
-            and any(MARKED.search((names.get(k) or "").lower()) for k in ("class", "id", "role"))
-        )
+        if out == "header" and tag in HEADINGS:
+            out = ""  # a heading in the article's own header
+        if tag == "header" and not out and any(x[0] == "article" for x in self.open):
+            out = "header"
+        elif tag in BOILERPLATE or "hidden" in names or names.get("aria-hidden") == "true":
+            out = "all"
+        elif not out and tag in CONTAINERS:
+            values = " ".join(names.get(k) or "" for k in ("class", "id", "role")).lower().split()
+            out = "all" if any(map(MARKED.match, values)) else ""
         if tag in REGION:
             self.regions.append(tag)
             self.parent.append(region)
             region = len(self.regions) - 1
-        self.open.append((tag, excluded, silent or tag in SILENT, region))
+        self.open.append((tag, out, silent or tag in SILENT, region, link or tag == "a"))
         if tag not in BLOCK:
+            if out and self.current is not None and self.current[3]:
+                self.current = None  # an inline element that is left out is no part of its line
             self.line()[2] += 1
 
     def handle_endtag(self, tag) -> None:
         if not any(x[0] == tag for x in self.open):
             return
+        was = self.open[-1][1]
         while self.open.pop()[0] != tag:
             pass
-        if tag in BLOCK:
+        if tag in BLOCK or was and not (self.open and self.open[-1][1]):
             self.current = None
 
     def handle_data(self, data) -> None:
@@ -115,7 +130,10 @@ class Lines(HTMLParser):
             return
         if self.current is None and not data.strip():
             return
-        self.line()[1].append(data)
+        line = self.line()
+        line[1].append(data)
+        if self.open and self.open[-1][4]:
+            line[4] += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -129,38 +147,41 @@ def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [(r, SPACE.sub(" ", "".join(parts)).strip(), tags, ok) for r, parts, tags, ok in parser.lines]
-    lines = [x for x in lines if x[1]]
-    content = [x for x in lines if x[3]]
-    if not content:
+    lines = [(r, text, tags, ok, linked) for r, parts, tags, ok, linked in parser.lines if (text := SPACE.sub(" ", "".join(parts)).strip())]
+    if not any(x[3] for x in lines):
         return ""
-    ratios = smoothed(np.array([len(text) / tags * ok for _, text, tags, ok in lines]))
-    over = ratios >= ratios.std()
-    # a cluster votes for the region of its lines with its characters; article and main go before others
-    votes: dict[int, int] = {}
-    for (region, text, _, ok), seed in zip(lines, over, strict=True):
-        if ok and seed:
-            votes[region] = votes.get(region, 0) + len(text)
-    if not votes:
-        votes = {region: len(text) for region, text, _, _ in content}
-    named: dict[int, int] = {}
-    for region, n in votes.items():
-        while region and parser.regions[region] not in ("article", "main"):
-            region = parser.parent[region]
-        if region:
-            named[region] = named.get(region, 0) + n
-    if named:
-        picked = set(named)
-    else:
-        most = max(votes.values())
-        picked = {region for region, n in votes.items() if 4 * n >= most}
-
-    def within(region: int) -> bool:
-        while region not in picked and region:
-            region = parser.parent[region]
-        return region in picked
-
-    return "\n\n".join(text for region, text, _, _ in content if within(region))
+    ratios = smoothed(np.array([len(text) / tags * ok for _, text, tags, ok, _ in lines]))
+    seeds = [line[0] for line, over in zip(lines, ratios >= ratios.std(), strict=True) if over and line[3] and line[4] < LINKED * len(line[1])]
+    seeds = seeds or [line[0] for line in lines if line[3]]
+    chosen = chosen_regions(parser.regions, parser.parent, seeds, lines)
+    return "\n\n".join(text for region, text, _, ok, _ in lines if ok and chosen[region])
+
+
+def chosen_regions(kinds: list[str], parent: list[int], seeds: list[int], lines: list[tuple]) -> list[bool]:
+    """Whether the lines of each region are content; a region's parent has a smaller number."""
+    n = len(kinds)
+    named = [False] * n
+    for r in range(1, n):
+        named[r] = kinds[r] in ("article", "main") or named[parent[r]]
+    if any(named[r] for r in seeds):
+        return named
+    # the smallest region that holds all seeds, and those that hold some
+    held = [0] * n
+    for r in seeds:
+        held[r] += 1
+    chars, linked = [0] * n, [0] * n
+    for r, text, _, ok, links in lines:
+        chars[r] += len(text) * ok
+        linked[r] += links * ok
+    for r in range(n - 1, 0, -1):
+        for total in (held, chars, linked):
+            total[parent[r]] += total[r]
+    root = max(r for r in range(n) if held[r] == len(seeds))
+    inside = [r == root for r in range(n)]
+    for r in range(1, n):
+        menu = not held[r] and linked[r] >= LINKED * chars[r] > 0
+        inside[r] = inside[r] or inside[parent[r]] and not menu
+    return inside
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
