@@ -251,6 +251,10 @@ def test_mixing_equals_brute_force(spark, few):
     assert mixed.columns == ["doc_id", "source", "text", "_x", "copy", "mix_key"]
     assert sorted((r.doc_id, r.copy) for r in mixed.collect()) == sorted(want)
     assert mixing.mix(df.limit(0)).count() == 0
+    clash = df.limit(5).withColumns({c: F.lit(c) for c in ("_source", "_rate", "_u", "_n", "mix_source", "mix_n", "j", "v", "total")})
+    assert mixing.mix(clash, broadcast_sources=few).columns == [*clash.drop("copy").columns, "copy", "mix_key"] and mixing.mix(clash, broadcast_sources=few).where("mix_n <> 'mix_n' or _rate <> '_rate'").count() == 0
+    long = spark.createDataFrame([(1, "a", "t" * 400_000), (2, "b", "t")], "doc_id long, source string, text string")
+    assert {r.doc_id for r in mixing.mix(long, broadcast_sources=few).collect()} <= {1, 2} and mixing.mix(long, broadcast_sources=few).where("doc_id = 2").count() > 100
     given = spark.createDataFrame([("hot", 1.0)], "source string, weight double")
     assert {r.source for r in mixing.mix(df, given).collect()} == {"hot"}
 

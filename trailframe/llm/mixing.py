@@ -14,8 +14,9 @@ are joined with a salt, which splits a hot source.
 
 Defined results: a null source is a source of its own; null or empty texts
 weigh nothing but are drawn like others of their source; an empty table gives
-none; repeated rows draw alike; other columns pass through, and columns named
-like the added ones (copy, mix_key) are replaced.
+none; repeated rows draw alike; texts of any length count whole; other columns
+pass through whatever their names, but those named like the added ones (copy,
+mix_key) are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailframe.llm.common import fresh
+
 #: Bits of the hash that make the uniform number.
 BITS = 48
 SALTS = 64
@@ -94,19 +97,22 @@ def mix(
     """Each document as often as drawn, with `copy` from 0 and `mix_key`, in shuffled order."""
     docs = docs.drop("copy", "mix_key")
     rate = rates(docs, weights, power, epochs, source_col, text_col).persist()
+    named, mean, u, n = (fresh(x, docs.columns) for x in ("mix_source", "mix_rate", "mix_u", "mix_n"))
+    salt, part = fresh("mix_salt", docs.columns), fresh("mix_part", docs.columns)
+    rate = rate.withColumnsRenamed({"_source": named, "_rate": mean})
+    on = F.col(source_col).eqNullSafe(F.col(named))
     try:
         few = rate.limit(broadcast_sources + 1).count() <= broadcast_sources
         if few:
             rate_rows = docs.sparkSession.createDataFrame(rate.collect(), rate.schema)
-            drawn = docs.join(F.broadcast(rate_rows), F.col(source_col).eqNullSafe(F.col("_source")), "left")
+            drawn = docs.join(F.broadcast(rate_rows), on, "left")
     finally:
         rate.unpersist()
     if not few:
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)))
-        spread = rate.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        on = F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_part"))
-        drawn = salted.join(spread, on, "left").drop("_salt", "_part")
-    drawn = drawn.withColumn("_u", uniform(seed, F.col(id_col))).withColumn("_n", F.expr(drawn_count("_rate", "_u", seed, id_col))).where("_n > 0")
-    copies = drawn.withColumn("copy", F.explode(F.expr("sequence(0, _n - 1)")))
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)))
+        spread = rate.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        drawn = salted.join(spread, on & (F.col(salt) == F.col(part)), "left").drop(salt, part)
+    drawn = drawn.withColumn(u, uniform(seed, F.col(id_col))).withColumn(n, F.expr(drawn_count(mean, u, seed, id_col))).where(F.col(n) > 0)
+    copies = drawn.withColumn("copy", F.explode(F.expr(f"sequence(0, {n} - 1)")))
     keyed = copies.withColumn("mix_key", uniform(seed, F.lit("order"), F.col(id_col), F.col("copy")))
-    return keyed.drop("_source", "_rate", "_u", "_n").repartition("mix_key").sortWithinPartitions("mix_key")
+    return keyed.drop(named, mean, u, n).repartition("mix_key").sortWithinPartitions("mix_key")

@@ -101,18 +101,26 @@ SQL = {
     "op10_mix": """
         WITH RECURSIVE s AS (
             SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source
+        ), q AS (
+            SELECT source, CASE WHEN size > 0 THEN pow(size, 0.5) / (SELECT sum(pow(size, 0.5)) FROM s) * (SELECT sum(size) FROM s) / size ELSE 0 END AS whole FROM s
         ), r AS (
-            SELECT source, pow(size, 0.5) / (SELECT sum(pow(size, 0.5)) FROM s) * (SELECT sum(size) FROM s) / size AS rate FROM s
+            SELECT source, CASE WHEN whole > 500 THEN CAST(ceil(whole / 500) AS INT) ELSE 1 END AS parts,
+                CASE WHEN whole > 500 THEN whole / ceil(whole / 500) ELSE whole END AS rate FROM q
         ), c AS (
             SELECT source, rate, 0 AS n, exp(-rate) AS p, 0.0::DOUBLE AS low, exp(-rate) AS c FROM r
             UNION ALL
             SELECT source, rate, n + 1, p * rate / (n + 1), c, c + p * rate / (n + 1) FROM c WHERE n < rate + 12 * sqrt(rate) + 24
-        ), u AS (
-            SELECT *, (CAST(('0x' || substr(md5('17|' || CAST(doc_id AS VARCHAR)), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-            FROM documents
         ), d AS (
-            SELECT u.doc_id, u.source, u.text, c.n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND u.u > c.low AND u.u <= c.c AND c.n > 0
-        ), e AS (SELECT doc_id, source, text, CAST(unnest(range(0, n)) AS BIGINT) AS copy FROM d)
-        SELECT doc_id, source, copy, (CAST(('0x' || substr(md5('17|order|' || CAST(doc_id AS VARCHAR) || '|' || CAST(copy AS VARCHAR)), 1, 12)) AS BIGINT)
+            SELECT row_number() OVER () AS row, doc_id, documents.source, text, parts, unnest(range(1, parts + 1)) AS j
+            FROM documents JOIN r ON documents.source IS NOT DISTINCT FROM r.source
+        ), u AS (
+            SELECT *, (CAST(('0x' || substr(md5(CASE WHEN parts = 1 THEN '17|' || coalesce(CAST(doc_id AS VARCHAR), '~')
+                ELSE '17|part|' || coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || CAST(j AS VARCHAR) END), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+            FROM d
+        ), t AS (
+            SELECT row, u.doc_id, u.source, u.text, CAST(sum(c.n) AS INT) AS n FROM u
+            JOIN c ON u.source IS NOT DISTINCT FROM c.source AND u.u > c.low AND u.u <= c.c GROUP BY ALL
+        ), e AS (SELECT doc_id, source, text, CAST(unnest(range(0, n)) AS BIGINT) AS copy FROM t WHERE n > 0)
+        SELECT doc_id, source, copy, (CAST(('0x' || substr(md5('17|order|' || coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || CAST(copy AS VARCHAR)), 1, 12)) AS BIGINT)
             + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS mix_key, text FROM e""",
 }
