@@ -3,9 +3,10 @@
 Bytes are embedded, filters of several widths run over fixed windows, the
 largest response of each filter over the window feeds a softmax.  The network is
 trained in numpy on a bounded sample of labelled rows (at most PER_LANGUAGE
-documents of each language and WINDOWS windows of each); the sample is drawn by
-hash, and its per-language limit is applied before the shuffle, so a language
-with a third of all rows costs no more than another.  Prediction runs over every
+documents of each of the LANGUAGES most frequent languages and WINDOWS windows of
+each).  The sample is drawn by hash: the count of each language bounds the hash
+before anything is ranked, so a language with a third of all rows ranks no more
+of them than another.  Prediction runs over every
 window of every whole text in Arrow batches, and a text's score is the mean
 probability over its windows.
 
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from trailframe.llm.common import by_bytes, small_batches
 
 #: Bounds of the training sample: documents of a language, windows of a document.
-PER_LANGUAGE, WINDOWS = 800, 3
+PER_LANGUAGE, WINDOWS, LANGUAGES = 800, 3, 1000
+#: Rows kept for ranking: so many spreads over PER_LANGUAGE, of a count that goes with the square root.
+MARGIN = 8
 LENGTH, DEPTH, WIDTHS, FILTERS = 128, 6, (2, 3, 4), 12
 EPOCHS, BATCH, RATE, SEED = 6, 64, 4e-3, 11
 LETTER = re.compile(r"[^\W\d_]")
@@ -101,7 +104,7 @@ def windows_of(text: str) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most PER_LANGUAGE rows a language, by hash; pieces of the text at WINDOWS hashed places."""
+    """At most PER_LANGUAGE rows a language, those of the smallest hashes; pieces of the text at WINDOWS hashed places."""
     text = F.col("text")
     learned = docs.where("lang is not null and text is not null and not held_out and trim(text) <> ''")
     room = F.greatest(F.length(text) - LENGTH, F.lit(0)) + 1
@@ -109,7 +112,14 @@ def labelled_sample(docs: DataFrame) -> list[tuple[str, str]]:
     for k in range(WINDOWS):
         at = F.pmod(F.xxhash64("doc_id", F.lit(k)), room) + 1
         rows.append(F.substring(text, at.cast("int"), F.lit(LENGTH)))
-    cut = learned.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.array(*rows).alias("parts"))
+    counts = learned.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    few = PER_LANGUAGE + MARGIN * PER_LANGUAGE**0.5
+    bounds = [(r.lang, int(max(-1.0, 2 * min(1.0, few / r["count"]) - 1) * ((1 << 63) - 1024))) for r in counts]
+    if not bounds:
+        return []
+    most = F.broadcast(docs.sparkSession.createDataFrame(bounds, "_lang string, most long"))  # LANGUAGES rows at most
+    near = learned.join(most, F.col("lang") == F.col("_lang")).where((F.xxhash64("doc_id", "text") <= F.col("most")) | (F.col("most") >= (1 << 63) - 1024))
+    cut = near.select("lang", F.xxhash64("doc_id", "text").alias("h"), "doc_id", F.array(*rows).alias("parts"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "parts")
     some = cut.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= PER_LANGUAGE)
     return [(r.lang, p) for r in some.select("lang", "parts").collect() for p in r.parts]
