@@ -123,6 +123,43 @@ def test_neighbours_reach_the_recall(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def touched(x, curves, reach):
+    """The mean share of the rows in the merged windows of a query."""
+    rows = np.zeros((len(x) // 100, len(x)), bool)
+    for t in range(len(curves.bounds)):
+        slab = curves.slabs(x, t)
+        rows |= np.abs(slab[None, :] - slab[::100][: len(rows), None]) <= reach
+    return rows.mean()
+
+
+def recall(spark, x, **settings):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id % 100 = 0"), **settings).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    truth = ann.brute_force(x.astype(np.float64), np.arange(len(x)), np.arange(0, len(x), 100), 10)
+    return np.mean([len(found.get(q, set()) & {*truth[q]}) / 10 for q in truth])
+
+
+def test_registered_setting_reaches_the_recall_without_clusters(spark):
+    x = np.random.default_rng(5).normal(size=(3000, 64))
+    assert recall(spark, (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)) >= 0.9
+
+
+def test_clustered_vectors_touch_a_fifth_of_the_rows(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(60, 64))[rng.integers(0, 60, 6000)] + 0.25 * rng.normal(size=(6000, 64))).astype(np.float32)
+    assert touched(x.astype(np.float64), ann.fit(x.astype(np.float64), 5, 64), 1) <= 0.2
+    assert recall(spark, x, orderings=5, slabs=64, reach=1) >= 0.9
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0])] * 30 + [(2, [1.0, 0.1]), (3, [0.9, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id = 2"), k=5, orderings=2, slabs=2, reach=2).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(2, 1, 1), (2, 2, 3)]
+
+
 def test_many_equal_vectors_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(ann, "CHUNK_ROWS", 50)
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(400)] + [(400, [5.0, 5.0])], "vec_id long, embedding array<float>")

@@ -2,15 +2,18 @@
 
 Each ordering projects the vectors on a few random orthogonal directions, shifts
 them, and ranks them by their place on a Hilbert curve.  Key quantiles of a
-bounded sample cut every ordering into slabs, and the rows are range-partitioned
-by (ordering, slab); a slab with many rows is dealt into chunks of bounded size.
-A query goes to its own slab and to its neighbours, so the neighbouring key
-windows of all orderings merge; in each chunk the exact distances are worked out
-in double precision and the nearest few kept, and those merge by query.
-
-A window is a share of all rows (2 * REACH + 1 of SLABS slabs).  Vectors without
-clusters need wide windows for a given recall; clustered ones do with less, so
-the numbers are parameters.  The tests measure recall against `brute_force`.
+bounded sample cut every ordering into slabs, and Spark range-partitions rows and
+queries by (ordering, slab); a slab with many rows is dealt into chunks of
+bounded size.  A query goes to its own slab and to its neighbours, so the
+neighbouring key windows of all orderings merge.  A task holds one chunk at a
+time and streams the queries past it: distances by a matrix product choose
+candidates, whose distances are then worked out exactly in double precision; the
+nearest few of each chunk are kept, and those merge by query.
+
+A window is a share of all rows (2 * reach + 1 of the slabs).  Vectors without
+clusters need wide windows for a given recall; clustered ones do with a fifth of
+the rows or less, so the numbers are parameters.  The tests measure recall
+against `brute_force` for both.
 
 Defined results: vectors that are null, empty, zero, of another length than most
 of the sample, or hold null or non-finite components take no part; a query finds
@@ -28,11 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailframe.llm.common import small_batches
+
 #: Vectors of the sample that the directions, ranges and quantiles are fitted on (every row is indexed).
 SAMPLE = 20_000
 ORDERINGS, DIRECTIONS, BITS = 16, 8, 7
 SLABS, REACH = 64, 2
 CHUNK_ROWS = 8192
+#: Queries whose distances to a chunk are worked out together.
+QUERY_ROWS = 128
 SEED = 3
 FOUND = "query_id long, vec_id long, score double"
 
@@ -129,6 +136,8 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id and Euclidean distance of the k nearest rows found for every query, itself left out."""
     spark = vectors.sparkSession
+    small_batches(spark)
+    kind = "<f4" if all("array<float>" == df.schema[vector_col].dataType.simpleString() for df in (vectors, queries)) else "<f8"
     rows, asked = valid(vectors, id_col, vector_col), valid(queries, id_col, vector_col)
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
     final = "query_id long, rank int, vec_id long, score double"
@@ -162,12 +171,12 @@ def nearest(
             for t in range(orderings):
                 slab = curves.value.slabs(x, t)
                 chunk = [int(i) % plan.value.get((t, int(s)), 1) for i, s in zip(ids, slab, strict=True)]
-                yield placed(t, slab, chunk, batch, np.arange(len(ids)))
+                yield placed(t, slab, chunk, ids, x.astype(kind), np.arange(len(ids)), 0)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries to all chunks of the slabs in reach."""
         for batch in batches:
-            x = matrix(batch.column(1))
+            x, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
             for t in range(orderings):
                 to = [
                     (s, c, i)
@@ -177,42 +186,68 @@ def nearest(
                 ]
                 if to:
                     slab, chunk, row = zip(*to, strict=True)
-                    yield placed(t, np.array(slab), chunk, batch, np.array(row))
+                    yield placed(t, np.array(slab), chunk, ids, x.astype(kind), np.array(row), 1)
 
-    def placed(t: int, slab: np.ndarray, chunk, batch: pa.RecordBatch, row: np.ndarray) -> pa.RecordBatch:
+    def placed(t: int, slab: np.ndarray, chunk, ids: np.ndarray, x: np.ndarray, row: np.ndarray, asks: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(row), t, np.int32)), pa.array(slab.astype(np.int32)), pa.array(chunk, pa.int32()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))],
-            names=["t", "slab", "chunk", "id", "v"],
+            [
+                pa.array(np.full(len(row), t, np.int32)), pa.array(slab.astype(np.int32)), pa.array(chunk, pa.int32()), pa.array(np.full(len(row), asks, np.int32)),
+                pa.array(ids[row]), pa.array([x[i].tobytes() for i in row], pa.binary()),
+            ],
+            names=["t", "slab", "chunk", "asks", "id", "v"],
         )
 
-    def rerank(left, right):
-        found = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            ids = left.column("id").to_numpy()
-            x = matrix(left.column("v").combine_chunks())
-            for q, v in zip(right.column("id").to_pylist(), matrix(right.column("v").combine_chunks()), strict=True):
-                gap = np.sqrt(((x - v) ** 2).sum(1))
-                gap[ids == q] = np.inf
-                few = np.lexsort((ids, gap))[:k] if len(ids) <= 4 * k else least(gap, ids, k)
-                few = few[np.isfinite(gap[few])]
-                found["query_id"] += [q] * len(few)
-                found["vec_id"] += ids[few].tolist()
-                found["score"] += gap[few].tolist()
-        return pa.table({"query_id": pa.array(found["query_id"], pa.int64()), "vec_id": pa.array(found["vec_id"], pa.int64()), "score": pa.array(found["score"], pa.float64())})
-
-    schema = "t int, slab int, chunk int, id long, v array<double>"
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunk by chunk: its rows are held, the queries behind them stream past."""
+        cell, held, chunk = None, [], None
+        for batch in batches:
+            place = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            cuts = np.flatnonzero((np.diff(place, axis=1) != 0).any(axis=0)) + 1
+            for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(batch)], strict=True):
+                if i == j:
+                    continue
+                if tuple(place[:3, i]) != cell:
+                    cell, held, chunk = tuple(place[:3, i]), [], None
+                ids = batch.column(4).to_numpy()[i:j]
+                x = np.frombuffer(b"".join(batch.column(5).slice(i, j - i).to_pylist()), kind).reshape(j - i, -1).astype(np.float64)
+                if not place[3, i]:
+                    held.append((ids, x))
+                elif held:
+                    chunk = chunk or Chunk(held)
+                    for a in range(0, j - i, QUERY_ROWS):
+                        yield chunk.nearest(ids[a : a + QUERY_ROWS], x[a : a + QUERY_ROWS], k)
+
     keys = ["t", "slab", "chunk"]
-    dealt, sent = rows.mapInArrow(deal, schema), asked.mapInArrow(ask, schema)
-    found = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(rerank, FOUND)
-    merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    schema = "t int, slab int, chunk int, asks int, id long, v binary"
+    dealt = rows.mapInArrow(deal, schema).union(asked.mapInArrow(ask, schema))
+    ranged = dealt.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "asks")
+    merged = ranged.mapInArrow(rerank, FOUND).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def least(gap: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k smallest distances, ties to smaller ids: all at the k-th distance or below, then sorted."""
-    near = np.flatnonzero(gap <= np.partition(gap, k - 1)[k - 1])
-    return near[np.lexsort((ids[near], gap[near]))[:k]]
+class Chunk:
+    """The rows of a chunk, by id; rows with the same id are one."""
+
+    def __init__(self, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        ids = np.concatenate([i for i, _ in held])
+        self.ids, first = np.unique(ids, return_index=True)
+        self.x = np.concatenate([x for _, x in held])[first]
+        self.squares = (self.x**2).sum(1)
+
+    def nearest(self, asked: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
+        near = self.squares + (q**2).sum(1)[:, None] - 2 * (q @ self.x.T)
+        own = np.searchsorted(self.ids, asked).clip(max=len(self.ids) - 1)
+        mine = self.ids[own] == asked
+        near[np.flatnonzero(mine), own[mine]] = np.inf
+        last = np.partition(near, min(k, len(self.ids)) - 1, axis=1)[:, min(k, len(self.ids)) - 1]
+        # all that rounding may have put behind the k-th, and all of its equals
+        row, col = np.nonzero((near <= (last + 1e-9 * (1 + np.abs(last)) * (1 + self.squares.max()))[:, None]) & np.isfinite(near))
+        gap = np.sqrt(((self.x[col] - q[row]) ** 2).sum(1))
+        order = np.lexsort((self.ids[col], gap, row))
+        row, col, gap = row[order], col[order], gap[order]
+        few = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pa.RecordBatch.from_arrays([pa.array(asked[row[few]]), pa.array(self.ids[col[few]]), pa.array(gap[few])], names=["query_id", "vec_id", "score"])
 
 
 def brute_force(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> dict[int, list[int]]:
