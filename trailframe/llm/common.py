@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,13 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor reach: spark.checkpoint.dir.
 
-    Only where the cluster names none (as in tests) a temporary folder is set.
+    Where none is named, a temporary folder is set if the session runs in one
+    process (as in tests); on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="trailframe-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -36,11 +40,36 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/trailframe-{tag}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Parquet tables of one run in the shared folder, which cut lineage and outlive lost executors."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, tag: str, kept: bool = False) -> DataFrame:
+        """df, cut from its lineage.  kept: the result of the run reads it, so it stays for whoever clears the folder."""
+        path = shared_path(self.spark, tag)
+        df.write.parquet(path)
+        if not kept:
+            self.paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def removed(self) -> None:
+        """Remove all tables that aren't kept; nothing may read them any more."""
+        context = self.spark.sparkContext
+        for path in self.paths:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths.clear()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder; it outlives lost executors."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """df, cut from its lineage by a table that stays."""
+    return Scratch(df.sparkSession).written(df, tag, kept=True)
+
+
+#: Bounds of an Arrow batch of whole texts, for every operator alike: rows, and bytes where Spark knows that bound.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 32 << 20}
 
 
 def fresh(name: str, columns: list[str]) -> str:
@@ -51,9 +80,16 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches of whole texts small, so that Python workers hold few of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to BATCH, so that Python workers hold few whole texts.
+
+    The session has one pair of bounds for all plans, read when a plan runs; all
+    operators here ask for the same, and a session with lower ones keeps them.
+    """
+    for name, most in BATCH.items():
+        set_to = re.match(r"-?[0-9]+", str(spark.conf.get(name, None)))
+        if not set_to or not 0 < int(set_to[0]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def ascii_lower(column):

@@ -186,7 +186,7 @@ def chosen_regions(kinds: list[str], parent: list[int], seeds: list[int], lines:
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: its main text, blocks in page order joined by an empty line."""
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import small_batches, written
+from trailframe.llm.common import Scratch, small_batches
 from trailframe.llm.graph import components
 from trailframe.llm.words import FACTOR, Hasher, mixed, slices, unmixed
 
@@ -184,7 +184,7 @@ def cells_for(rows: int) -> int:
     return min(MOST_CELLS, max(LEAST_CELLS, 1 << max(1, rows - 1).bit_length()))
 
 
-def surveyed(docs: DataFrame, width: int, cells: int) -> DataFrame:
+def surveyed(docs: DataFrame, width: int, cells: int, scratch: Scratch) -> DataFrame:
     """A row for each document (its class, size, sketch), and each task's hashed counts in blocks."""
     schema = "doc_id long, n long, cls long, sketch array<long>, block int, part int, counts binary"
     names = ["doc_id", "n", "cls", "sketch", "block", "part", "counts"]
@@ -208,7 +208,7 @@ def surveyed(docs: DataFrame, width: int, cells: int) -> DataFrame:
             part = TaskContext.get().partitionId() % 64
             yield pack(None, None, None, None, np.arange(len(blocks)), np.full(len(blocks), part), [b.tobytes() for b in blocks])
 
-    return written(docs.mapInArrow(survey, schema), "survey")
+    return scratch.written(docs.mapInArrow(survey, schema), "survey", kept=True)
 
 
 def summed_counts(blocks: DataFrame, cells: int) -> np.ndarray:
@@ -228,7 +228,7 @@ def summed_counts(blocks: DataFrame, cells: int) -> np.ndarray:
     return out
 
 
-def shared_buckets(docs: DataFrame, counts: np.ndarray, percent: int, width: int) -> DataFrame:
+def shared_buckets(docs: DataFrame, counts: np.ndarray, percent: int, width: int, scratch: Scratch) -> DataFrame:
     """sig, cls and hub: the buckets that several classes have; the hub of a group is one of its classes, by hash.
 
     A sorted pass over each partition streams the groups, however large they are.
@@ -293,7 +293,7 @@ def shared_buckets(docs: DataFrame, counts: np.ndarray, percent: int, width: int
             )
 
     rows = docs.mapInArrow(send, "sig long, part int, cls long").repartition("sig", "part").sortWithinPartitions("sig", "part", "cls")
-    found = written(rows.mapInArrow(group, "sig long, dealt boolean, cls long, hub long"), "buckets")
+    found = scratch.written(rows.mapInArrow(group, "sig long, dealt boolean, cls long, hub long"), "buckets")
     # the hubs of the parts of a dealt group meet at the smallest
     dealt = found.where("dealt").groupBy("sig").agg(F.min("hub").alias("top"), F.max("hub").alias("_other"), F.count("*").alias("_n"))
     tops = dealt.where("_n > 1").select(F.col("sig").alias("_sig"), "top")
@@ -302,7 +302,7 @@ def shared_buckets(docs: DataFrame, counts: np.ndarray, percent: int, width: int
     return found.where("not dealt").select("sig", "cls", "hub").union(joined.select("sig", "cls", "hub")).union(hubs)
 
 
-def fetched(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
+def fetched(docs: DataFrame, need: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """cls, the bytes of its set, and its size and wide sketch, for the classes in need(doc_id, cls)."""
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * need.count()).bit_length()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
@@ -334,14 +334,14 @@ def fetched(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
     sets = docs.select("doc_id", "text", place.alias("x")).mapInArrow(fetch, "doc_id long, cls long, data binary, wide binary")
     wanted = need.select(F.col("doc_id").alias("_d"), F.col("cls").alias("_c"))
     kept = sets.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("cls") == F.col("_c")), "leftsemi")
-    return written(kept.groupBy("cls").agg(F.first("data").alias("data"), F.first("wide").alias("wide")), "sets")
+    return scratch.written(kept.groupBy("cls").agg(F.first("data").alias("data"), F.first("wide").alias("wide")), "sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar, cut from their lineage."""
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     need = classes.select("cls", F.col("first").alias("doc_id")).join(ends, "cls", "leftsemi")
-    sets = fetched(docs, need, width)
+    sets = fetched(docs, need, width, scratch)
 
     def sided(rows: DataFrame, column: str) -> DataFrame:
         left = rows.join(sets.select(F.col("cls").alias("a"), F.col(column).alias("x")), "a")
@@ -367,8 +367,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    likely = written(sided(pairs, "wide").mapInArrow(bound, "a long, b long"), "likely")
-    return written(sided(likely, "data").mapInArrow(check, "a long, b long"), "verified")
+    likely = scratch.written(sided(pairs, "wide").mapInArrow(bound, "a long, b long"), "likely")
+    return scratch.written(sided(likely, "data").mapInArrow(check, "a long, b long"), "verified")
 
 
 def hamming(x: str, y: str) -> Column:
@@ -389,15 +389,16 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    scratch = Scratch(docs.sparkSession)
     cells = cells_for(docs.count())
-    survey = surveyed(docs, width, cells)
+    survey = surveyed(docs, width, cells, scratch)
     light = survey.where("block is null").select("doc_id", "n", "cls")
     counts = summed_counts(survey.where("block is not null").select("block", "part", "counts"), cells)
     kinds = survey.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("s"))
-    classes = written(kinds, "classes")
-    members = written(shared_buckets(docs, counts, percent, width), "members")
+    classes = scratch.written(kinds, "classes")
+    members = scratch.written(shared_buckets(docs, counts, percent, width, scratch), "members")
 
     def sided(side: str, key: str) -> DataFrame:
         return classes.select(F.col("cls").alias(key), F.col("n").alias(f"{side}n"), F.col("s").alias(f"{side}s"))
@@ -407,20 +408,20 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     near = hubs.join(sided("x", "a"), "a").join(sided("y", "b"), "b").where(close(percent, "x", "y"))
     order = Window.partitionBy("cls").orderBy(hamming("x", "y") / (F.col("xn") + F.col("yn")), "a", "b")
     tried = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= HUBS).select("a", "b").distinct()
-    tried = written(tried, "tried")
-    first = verified(tried, docs, classes, percent, width)
-    roots = components(first)
+    tried = scratch.written(tried, "tried")
+    first = verified(tried, docs, classes, percent, width, scratch)
+    roots = components(first, scratch)
 
     # what shares a bucket, but isn't in one component yet
     placed = members.select("sig", "cls").distinct().join(roots, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
-    placed = written(placed, "placed")
+    placed = scratch.written(placed, "placed")
     split = placed.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi")
     blocks = F.ceil(F.col("_n") / BLOCK_ROWS).cast("int")
     open_ = placed.join(split.select(F.col("sig").alias("_sig"), blocks.alias("k")), F.col("sig") == F.col("_sig")).drop("_sig")
     # two rows with a bucket in common just before this one meet there as well, so the pair isn't given again
     earlier = Window.partitionBy("cls").orderBy("sig")
     open_ = open_.withColumn("before", F.array_compact(F.array(*[F.lag("sig", i).over(earlier) for i in range(1, BEFORE + 1)])))
-    open_ = written(open_.join(sided("", "cls"), "cls"), "open")
+    open_ = scratch.written(open_.join(sided("", "cls"), "cls"), "open")
 
     def side(part: Column, node: str, root: str, v: str) -> DataFrame:
         return open_.select("sig", part.alias("part"), F.col("cls").alias(node), F.col("root").alias(root), F.col("n").alias(f"{v}n"), F.col("s").alias(f"{v}s"), F.col("before").alias(f"{v}b"))
@@ -428,14 +429,15 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     left = side(F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"), "a", "ra", "x")
     right = side(F.explode(F.expr("sequence(0, k - 1)")), "b", "rb", "y")
     new = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(percent, "x", "y") & ~F.arrays_overlap("xb", "yb")
-    second = written(left.join(right, ["sig", "part"]).where(new).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "second")
+    second = scratch.written(left.join(right, ["sig", "part"]).where(new).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
-        roots = components(first.union(verified(second, docs, classes, percent, width)))
+        roots = components(first.union(verified(second, docs, classes, percent, width, scratch)), scratch)
 
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    named = written(named, "named")
+    named = scratch.written(named, "named")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = written(named.join(smallest, "root").select(F.col("cls").alias("_cls"), "component_id"), "labels")
+    labels = scratch.written(named.join(smallest, "root").select(F.col("cls").alias("_cls"), "component_id"), "labels", kept=True)
+    scratch.removed()
     return light.join(labels, F.col("cls") == F.col("_cls"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id")
     )

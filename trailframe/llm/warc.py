@@ -172,7 +172,7 @@ def write_archives(
     pages: DataFrame, folder: str, min_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """Write all pages as records into bundles under `folder` (shared); their index, cut from its lineage."""
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload"),
