@@ -47,3 +47,29 @@ def shifted_clock(clock_minutes: Column, day_offset: Column, by_minutes: Column)
 def local_timestamp(date: Column, clock_minutes: Column, day_offset: Column) -> Column:
     """The local timestamp (without zone) of a clock on a trip's date."""
     return F.timestamp_add("MINUTE", (day_offset * DAY + clock_minutes).cast("int"), date.cast("timestamp_ntz"))
+
+
+def ntz_seconds(at: Column) -> Column:
+    """Seconds of a timestamp without zone since 1970, whatever the session's zone and its summer time."""
+    since = at - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), since)
+    return part("DAY") * 86_400 + part("HOUR") * 3_600 + part("MINUTE") * 60 + part("SECOND").cast("double")
+
+
+def date_in_zone(instant: Column, zone: str) -> Column:
+    """The civil date of an instant (timestamp with zone) in a time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")).cast("date")
+
+
+def local_now(instant: Column, zone: str) -> Column:
+    """yyyy-MM-ddTHH:mm of an instant in a time zone."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz"))
+    return F.date_format(local, "yyyy-MM-dd'T'HH:mm")
+
+
+def trip_period(date: Column, first: Column, last: Column) -> Column:
+    """struct(kind, day, days_until): before the first day (day 1), during (its number), after the last (the last day's number)."""
+    n = F.datediff(last, first) + 1
+    kind = F.when(date < first, "before").when(date > last, "after").otherwise("during")
+    day = F.when(date < first, F.lit(1)).when(date > last, n).otherwise(F.datediff(date, first) + 1)
+    return F.struct(kind.alias("kind"), day.alias("day"), F.when(date < first, F.datediff(first, date)).alias("days_until"))

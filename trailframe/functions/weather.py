@@ -85,9 +85,18 @@ def add_hazards(points: DataFrame, elevation: str = "elevation_m", exposure: str
     return rows.withColumn("findings", F.filter(F.array(*each), lambda x: x["level"].isNotNull())).drop(*[name(k) for k in HAZARDS])
 
 
-def display_mode(date: Column, today: Column, departed: Column) -> Column:
-    """How far ahead a day is: past, live, operational (two days), planning (seven), trend."""
+#: How many days ahead a forecast is operational, and good for planning.
+OPERATIONAL_DAYS, PLANNING_DAYS = 2, 7
+
+
+def display_mode(date: Column, today: Column, covered_from: Column, covered_to: Column) -> Column:
+    """How a day's forecast is shown: past, live (today), today-reference (no forecast covers the day), operational, planning, trend.
+
+    Coverage goes before the bands, so a near day that the answer lacks is no operational one.
+    """
     ahead = F.datediff(date, today)
+    covered = F.coalesce((date >= covered_from) & (date <= covered_to), F.lit(False))
     return (
-        F.when(ahead < 0, "past").when((ahead == 0) & departed, "live").when(ahead <= 2, "operational").when(ahead <= 7, "planning").otherwise("trend")
-    )
+        F.when(ahead < 0, "past").when(ahead == 0, "live").when(~covered, "today-reference")
+        .when(ahead <= OPERATIONAL_DAYS, "operational").when(ahead <= PLANNING_DAYS, "planning").otherwise("trend")
+    )

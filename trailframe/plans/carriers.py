@@ -83,13 +83,14 @@ HOURLY_SQL = """hourly AS (
 
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as timed points of a day: a customer's orders of one month are a day's stops."""
+    """Orders as timed points of a day: a customer's orders are a day's stops, so days grow in number with the data."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     kinds = F.create_map(*[F.lit(x) for x in ("1-URGENT", "col", "2-HIGH", "start", "3-MEDIUM", "end", "4-NOT SPECIFIED", "passage", "5-LOW", "poi")])
     return orders.select(
         F.col("o_orderkey").alias("point_id"),
         (F.col("o_custkey") % 25).cast("int").alias("location_id"),
-        (F.col("o_custkey") % 40).cast("int").alias("day_id"),
+        F.col("o_custkey").cast("int").alias("day_id"),
+        F.lit("2024-01-01").cast("date").alias("date"),
         F.timestamp_add("MINUTE", (F.col("o_orderkey") % 43_200).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("eta"),
         F.round(F.col("o_totalprice") % 3000, 2).alias("elevation_m"),
         F.coalesce(kinds[F.col("o_orderpriority")], F.lit("poi")).alias("kind"),
@@ -98,7 +99,7 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STOPS_SQL = """stops AS (
-    SELECT o_orderkey AS point_id, CAST(o_custkey % 25 AS INT) AS location_id, CAST(o_custkey % 40 AS INT) AS day_id,
+    SELECT o_orderkey AS point_id, CAST(o_custkey % 25 AS INT) AS location_id, CAST(o_custkey AS INT) AS day_id, DATE '2024-01-01' AS date,
         TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey % 43200 AS INT)) AS eta, round(o_totalprice % 3000, 2) AS elevation_m,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'col' WHEN '2-HIGH' THEN 'start' WHEN '3-MEDIUM' THEN 'end' WHEN '4-NOT SPECIFIED' THEN 'passage' ELSE 'poi' END AS kind,
         o_orderstatus = 'F' AS strategic FROM orders)"""

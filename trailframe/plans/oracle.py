@@ -132,7 +132,8 @@ SCENARIO_SQL = f"""{HOURLY_SQL}, {STOPS_SQL}, sh AS (
 ), sm AS (
     SELECT day_id, "offset", CAST(coalesce(any_value(c.red), 0) AS BIGINT) AS red, CAST(coalesce(any_value(c.orange), 0) AS BIGINT) AS orange, count(forecast_time) AS covered,
         max(precipitation_mm) AS rain_mm, max(gust_kph) AS gust_kph, min(apparent_c) AS apparent_c, min(apparent_c) FILTER (exposed) AS exposed_c, min(visibility_m) AS visibility_m,
-        min(eta >= TIMESTAMP '2024-01-01') AS coherent FROM lx LEFT JOIN counted c USING (day_id, "offset") GROUP BY 1, 2
+        min(eta >= date) AS coherent,
+        count(forecast_time) FILTER (kind <> 'poi') / nullif(count(*) FILTER (kind <> 'poi'), 0) AS coverage FROM lx LEFT JOIN counted c USING (day_id, "offset") GROUP BY 1, 2
 ), ranked AS (
     SELECT *, row_number() OVER (PARTITION BY day_id ORDER BY coherent DESC, red, orange, covered DESC, rain_mm ASC NULLS LAST, gust_kph ASC NULLS LAST, apparent_c DESC NULLS FIRST,
         visibility_m DESC NULLS FIRST, abs("offset"), "offset") AS rank FROM sm)"""
@@ -273,17 +274,25 @@ SQL = {
             count(*) FILTER (level = 'orange' AND upcoming) AS upcoming_orange FROM groups GROUP BY 1),
         c AS (SELECT day_id, count(forecast_time) AS covered, count(*) - count(forecast_time) AS missing, count(*) FILTER (kind <> 'poi') AS n, count(forecast_time) FILTER (kind <> 'poi') AS h FROM near GROUP BY 1),
         j AS (SELECT day_id, covered, missing, coalesce(red, 0) AS red, coalesce(orange, 0) AS orange, coalesce(upcoming_red, 0) AS upcoming_red, coalesce(upcoming_orange, 0) AS upcoming_orange,
-            CASE WHEN n > 0 THEN h / n END AS coverage FROM c LEFT JOIN g USING (day_id))
-        SELECT * REPLACE (round(coverage, 6) AS coverage), CASE WHEN red > 0 THEN 'red' WHEN orange > 0 THEN 'orange' WHEN coverage < 0.8 THEN 'unknown' ELSE 'green' END AS level FROM j""",
+            CASE WHEN n > 0 THEN h / n END AS coverage FROM c LEFT JOIN g USING (day_id)),
+        k AS (SELECT *, CAST(coalesce(coverage < 0.8, false) AS BIGINT) + CAST(day_id % 13 + 0.5 > 6 AS BIGINT) AS unknown FROM j)
+        SELECT * REPLACE (round(coverage, 6) AS coverage), CASE WHEN red > 0 THEN 'red' WHEN orange > 0 THEN 'orange' WHEN unknown > 0 THEN 'unknown' ELSE 'green' END AS level FROM k""",
+    "live_progress": f"""WITH {STOPS_SQL}, o AS (SELECT day_id, point_id, eta > TIMESTAMP '2024-01-15 12:00:00' AS later, CAST(row_number() OVER (PARTITION BY day_id ORDER BY eta, point_id) AS INT) AS position FROM stops)
+        SELECT day_id, point_id, position, CASE WHEN NOT later THEN 'past' WHEN position = min(position) FILTER (later) OVER (PARTITION BY day_id) THEN 'next' ELSE 'upcoming' END AS state FROM o""",
+    "today_reference": f"""WITH {HOURLY_SQL}, t AS (SELECT location_id % 7 AS request, *, CASE weather_code WHEN 0 THEN 0 WHEN 3 THEN 3 WHEN 45 THEN 5 WHEN 61 THEN 5 WHEN 65 THEN 8 WHEN 80 THEN 6
+            WHEN 95 THEN 10 WHEN 96 THEN 11 WHEN 7 THEN -1 END AS sev FROM hourly WHERE CAST(time AS DATE) = DATE '2024-01-10')
+        SELECT request, round(min(apparent_c), 8) AS min_c, round(max(apparent_c + 5), 8) AS max_c, round(max(precipitation_mm), 8) AS rain_mm, round(max(precipitation_pct), 8) AS rain_pct,
+            round(max(wind_kph), 8) AS wind_kph, round(max(gust_kph), 8) AS gust_kph, arg_max(weather_code, sev) AS worst_code FROM t GROUP BY 1""",
     "scenario_ranking": f"WITH {SCENARIO_SQL} SELECT * FROM ranked",
     "recommendations": f"""WITH {SCENARIO_SQL}, n AS (SELECT * FROM ranked WHERE "offset" = 0), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day_id ORDER BY rank) AS z FROM ranked WHERE coherent) WHERE z = 1),
-        j AS (SELECT n.day_id, b."offset" AS o, coalesce(n.red - b.red >= 1, false) OR coalesce(n.orange - b.orange >= 2, false) OR coalesce(n.rain_mm - b.rain_mm >= 2, false)
+        j AS (SELECT n.day_id, b."offset" AS o, n.coverage, n.day_id % 5 IN (0, 3) OR n.day_id % 5 IN (1, 4) AND n.day_id % 3 <> 0 AS open, n.day_id % 4 <> 0 AND n.day_id % 9 > 6 AS old, coalesce(n.red - b.red >= 1, false) OR coalesce(n.orange - b.orange >= 2, false) OR coalesce(n.rain_mm - b.rain_mm >= 2, false)
             OR coalesce(n.gust_kph - b.gust_kph >= 15, false) OR coalesce(b.exposed_c - n.exposed_c >= 5, false) AS better FROM n LEFT JOIN b USING (day_id))
-        SELECT day_id, CASE WHEN o IS NULL OR o = 0 OR NOT better THEN 'keep-current' ELSE 'recommended-change' END AS status, CASE WHEN o <> 0 AND better THEN o END AS "offset" FROM j""",
+        SELECT day_id, CASE WHEN NOT open THEN 'not-applicable' WHEN coalesce(coverage < 0.8, false) OR old THEN 'insufficient-data' WHEN o IS NULL OR o = 0 OR NOT better THEN 'keep-current' ELSE 'recommended-change' END AS status,
+            CASE WHEN open AND NOT coalesce(coverage < 0.8, false) AND NOT old AND o <> 0 AND better THEN o END AS "offset" FROM j""",
     "weather_codes": f"""WITH {HOURLY_SQL} SELECT weather_code, count(*) AS hours, any_value(CASE weather_code WHEN 0 THEN 0 WHEN 3 THEN 3 WHEN 45 THEN 5 WHEN 61 THEN 5 WHEN 65 THEN 8 WHEN 80 THEN 6
         WHEN 95 THEN 10 WHEN 96 THEN 11 WHEN 7 THEN -1 END) AS severity FROM hourly GROUP BY 1""",
-    "display_modes": f"""WITH {STOPS_SQL}, d AS (SELECT date_diff('day', DATE '2024-01-10', CAST(eta AS DATE)) AS a, strategic FROM stops)
-        SELECT CASE WHEN a < 0 THEN 'past' WHEN a = 0 AND strategic THEN 'live' WHEN a <= 2 THEN 'operational' WHEN a <= 7 THEN 'planning' ELSE 'trend' END AS mode, count(*) AS points FROM d GROUP BY 1""",
+    "display_modes": f"""WITH {STOPS_SQL}, d AS (SELECT date_diff('day', DATE '2024-01-10', CAST(eta AS DATE)) AS a, location_id FROM stops)
+        SELECT CASE WHEN a < 0 THEN 'past' WHEN a = 0 THEN 'live' WHEN location_id = 3 OR a > 12 THEN 'today-reference' WHEN a <= 2 THEN 'operational' WHEN a <= 7 THEN 'planning' ELSE 'trend' END AS mode, count(*) AS points FROM d GROUP BY 1""",
     "forecast_cache": """SELECT user_id % 60 AS request, max(ts) AS fetched_at, arg_max(event_id, ts) AS payload, (epoch_us(TIMESTAMP '2024-01-30 23:59:00') - epoch_us(max(ts))) / 60e6 <= 240 AS fresh FROM events GROUP BY 1""",
     "nearest_segments": f"WITH {SEGMENT_SQL} SELECT place_id, route_id, segment, {r('lateral_m', 'lateral_m', 3)}, {r('ratio', 'ratio', 3)} FROM nearest",
     "places_in_corridor": f"""WITH {SEGMENT_SQL}, n AS (SELECT DISTINCT place_id, CAST(route_id AS VARCHAR) AS route FROM proj WHERE lateral_m <= 1500)

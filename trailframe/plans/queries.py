@@ -183,7 +183,7 @@ def daily_summary(spark, sf_dir):
 
 
 def nearest_hours(spark, sf_dir):
-    rows = forecast.nearest_hour(stops(spark, sf_dir), hourly(spark, sf_dir), "point_id")
+    rows = forecast.nearest_hour(stops(spark, sf_dir), hourly(spark, sf_dir))
     return rounded(rows.select("point_id", "forecast_time", "minutes_off", "apparent_c", "weather_code"), 8)
 
 
@@ -195,13 +195,11 @@ def ride_association(spark, sf_dir):
 
 def off_day_association(spark, sf_dir):
     days = stops(spark, sf_dir).groupBy("day_id").agg(F.min("location_id").alias("location_id"), F.min("eta").cast("date").alias("date"))
-    hours = hourly(spark, sf_dir).withColumn("date", F.col("time").cast("date"))
-    rows = days.join(hours, ["location_id", "date"])
-    return rounded(rows.groupBy("day_id").agg(F.count("*").alias("hours"), F.min("apparent_c").alias("coldest"), F.max("gust_kph").alias("gust")), 8)
+    return rounded(forecast.off_day_weather(days, hourly(spark, sf_dir)), 8)
 
 
 def timed(spark, sf_dir) -> DataFrame:
-    near = forecast.nearest_hour(stops(spark, sf_dir), hourly(spark, sf_dir), "point_id")
+    near = forecast.nearest_hour(stops(spark, sf_dir), hourly(spark, sf_dir))
     return near.withColumn("upcoming", F.col("eta") >= ntz("2024-01-15 12:00:00"))
 
 
@@ -213,8 +211,24 @@ def alert_groups(spark, sf_dir):
     return rounded(forecast.alert_groups(forecast.alerts(timed(spark, sf_dir))), 8)
 
 
+def fetched(spark, sf_dir) -> DataFrame:
+    return stops(spark, sf_dir).select("day_id").distinct().withColumn("fetched_at", F.timestamp_add("HOUR", -(F.col("day_id") % 13), ntz("2024-01-15 12:00:00")))
+
+
 def day_risk(spark, sf_dir):
-    return rounded(forecast.day_risk(timed(spark, sf_dir)), 6)
+    return rounded(forecast.day_risk(timed(spark, sf_dir), fetched(spark, sf_dir), ntz("2024-01-15 12:30:00")), 6)
+
+
+def live_progress(spark, sf_dir):
+    return forecast.live_progress(stops(spark, sf_dir), ntz("2024-01-15 12:00:00")).select("day_id", "point_id", "position", "state")
+
+
+def today_reference(spark, sf_dir):
+    daily = hourly(spark, sf_dir).select(
+        (F.col("location_id") % 7).alias("request"), F.col("time").cast("date").alias("date"), F.col("apparent_c").alias("min_c"), (F.col("apparent_c") + 5).alias("max_c"),
+        F.col("precipitation_mm").alias("rain_mm"), F.col("precipitation_pct").alias("rain_pct"), "wind_kph", "gust_kph", "weather_code",
+    )
+    return rounded(forecast.today_reference(daily, F.lit("2024-01-10").cast("date")), 8)
 
 
 def scenario_ranking(spark, sf_dir):
@@ -222,7 +236,11 @@ def scenario_ranking(spark, sf_dir):
 
 
 def recommendations(spark, sf_dir):
-    return forecast.recommendation(forecast.ranked(forecast.scenario_summary(forecast.scenarios(stops(spark, sf_dir), hourly(spark, sf_dir)))))
+    ranking = forecast.ranked(forecast.scenario_summary(forecast.scenarios(stops(spark, sf_dir), hourly(spark, sf_dir))))
+    d = F.col("day_id")
+    modes = F.element_at(F.array(*[F.lit(m) for m in ("operational", "live", "planning", "operational", "live")]), d % 5 + 1)
+    context = ranking.select("day_id").distinct().select(d, modes.alias("mode"), (d % 3 == 0).alias("departed"), F.when(d % 4 != 0, (d % 9).cast("double")).alias("age_hours"))
+    return forecast.recommendation(ranking, context)
 
 
 def weather_codes(spark, sf_dir):
@@ -232,7 +250,8 @@ def weather_codes(spark, sf_dir):
 
 def display_modes(spark, sf_dir):
     s = stops(spark, sf_dir).withColumn("date", F.col("eta").cast("date"))
-    mode = weather.display_mode(F.col("date"), F.lit("2024-01-10").cast("date"), F.col("strategic"))
+    covered = F.when(F.col("location_id") != 3, F.lit("2024-01-05").cast("date"))
+    mode = weather.display_mode(F.col("date"), F.lit("2024-01-10").cast("date"), covered, F.lit("2024-01-22").cast("date"))
     return s.groupBy(mode.alias("mode")).agg(F.count("*").alias("points"))
 
 
@@ -531,6 +550,6 @@ QUERIES = {
         trip_progress, trip_highlight, trip_preferred, reference_points, stage_members, days_of_place, planned_files, upsert, unique_name_matches, enrichment_status, layer_counts,
         version_difference, validation_issues, schema_versions, expanded_boxes, name_keys, climb_landmarks, simplified_tracks, file_ordering, grouped_stops,
         summit_names, custom_pauses, stable_place_ids, endpoint_names, waypoint_visibility, documented_points, track_nearest_samples, automatic_pauses, documented_totals,
-        day_slots, job_states, primary_alerts, retained_forecasts,
+        day_slots, job_states, primary_alerts, retained_forecasts, live_progress, today_reference,
     )
 }

@@ -57,16 +57,35 @@ def features(documents: DataFrame) -> DataFrame:
     )
 
 
+# Tags that are kept of a map feature, and shops that count as supermarkets.
+USEFUL_TAGS = (
+    "amenity", "shop", "opening_hours", "access", "fee", "drinking_water", "operator", "brand", "cuisine", "wheelchair", "toilets:wheelchair", "self_service",
+    "service:bicycle:repair", "service:bicycle:pump", "phone", "contact:phone", "website", "contact:website",
+)
+SUPERMARKETS = ("supermarket", "convenience", "grocery", "greengrocer", "deli")
+
+
 def place_category(tags: Column) -> Column:
-    """Category of a place from its map tags."""
-    tag = lambda k: F.element_at(tags, F.lit(k))
+    """Category of a place from its map tags, null for what is no practical place."""
+    amenity, shop = (F.element_at(tags, F.lit(k)) for k in ("amenity", "shop"))
     return (
-        F.when(tag("amenity") == "drinking_water", "water").when(tag("amenity") == "toilets", "toilet").when(tag("amenity").isin("cafe", "restaurant", "bar", "fast_food"), "food")
-        .when(tag("shop").isin("supermarket", "convenience", "bakery"), "shop").when((tag("shop") == "bicycle") | (tag("amenity") == "bicycle_repair_station"), "repair")
-        .when((tag("amenity") == "shelter") | (tag("tourism") == "alpine_hut"), "shelter").when(tag("tourism").isin("hotel", "hostel", "guest_house", "camp_site"), "lodging")
+        F.when(amenity == "drinking_water", "water").when(amenity == "toilets", "toilet").when((amenity == "bicycle_repair_station") | (shop == "bicycle"), "bike-service")
+        .when(amenity == "shelter", "shelter").when(shop == "bakery", "bakery").when(amenity.isin("restaurant", "fast_food"), "fast-food")
+        .when(shop == "sports", "sports").when(shop.isin(*SUPERMARKETS), "supermarket")
     )
 
 
+def useful_tags(tags: Column) -> Column:
+    """The tags that say something to a rider, trimmed, without the empty ones."""
+    trimmed = F.transform_values(F.map_filter(tags, lambda k, v: k.isin(*USEFUL_TAGS)), lambda k, v: F.trim(v))
+    return F.map_filter(trimmed, lambda k, v: v != "")
+
+
+def place_name(tags: Column, language: str) -> Column:
+    """Name in the language, else the name, else the brand; blank ones don't count."""
+    return F.coalesce(*[F.nullif(F.trim(F.element_at(tags, F.lit(k))), F.lit("")) for k in (f"name:{language}", "name", "brand")])
+
+
 def explode_records(bundles: DataFrame, key: str, items: str) -> DataFrame:
     """Array items as rows with their ordinal."""
     return bundles.select(F.col(key), F.posexplode(items).alias("ordinal", "item"))
