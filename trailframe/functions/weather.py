@@ -10,6 +10,16 @@ CODE_SEVERITY = (
     (0, 0), (1, 1), (2, 2), (3, 3), (45, 5), (48, 6), (51, 4), (53, 5), (55, 6), (56, 7), (57, 8), (61, 5), (63, 6), (65, 8), (66, 8),
     (67, 9), (71, 6), (73, 7), (75, 9), (77, 6), (80, 6), (81, 7), (82, 9), (85, 7), (86, 9), (95, 10), (96, 11), (99, 12),
 )
+# Weather code, its name as shown (French), and what is shown for any other.
+CODE_LABELS = {
+    0: "Ciel dégagé", 1: "Plutôt dégagé", 2: "Partiellement nuageux", 3: "Couvert", 45: "Brouillard",
+    48: "Brouillard givrant", 51: "Bruine faible", 53: "Bruine modérée", 55: "Bruine forte", 56: "Bruine verglaçante faible",
+    57: "Bruine verglaçante forte", 61: "Pluie faible", 63: "Pluie modérée", 65: "Pluie forte", 66: "Pluie verglaçante faible",
+    67: "Pluie verglaçante forte", 71: "Neige faible", 73: "Neige modérée", 75: "Neige forte", 77: "Grains de neige",
+    80: "Averses faibles", 81: "Averses modérées", 82: "Averses violentes", 85: "Averses de neige faibles", 86: "Averses de neige fortes",
+    95: "Orage", 96: "Orage avec grêle faible", 99: "Orage avec forte grêle",
+}
+NO_LABEL = "Conditions non identifiées"
 # Thresholds of the hazards, orange then red.
 PRECIPITATION_MM, PRECIPITATION_PCT, PRECIPITATION_WITH_PCT_MM = (1.5, 4.0), (60, 80), (0.5, 2.0)
 STORM_CODES = ((95,), (96, 99))
@@ -32,6 +42,12 @@ def severity(code: Column) -> Column:
     return F.when(code.isNotNull(), F.coalesce(F.element_at(known, code), F.lit(-1)))
 
 
+def label(code: Column) -> Column:
+    """The name of a weather code; one name for none and for those that aren't known."""
+    known = F.create_map(*[F.lit(x) for pair in CODE_LABELS.items() for x in pair])
+    return F.coalesce(F.element_at(known, code), F.lit(NO_LABEL))
+
+
 def worst_code(code: Column) -> Column:
     """Aggregate: the code of the greatest severity, ties to the larger code."""
     return F.max(F.when(code.isNotNull(), F.struct(severity(code).alias("severity"), code.alias("code"))))["code"]

@@ -37,6 +37,25 @@ def increasing_issues(rows: DataFrame, key: str, group: str, index: str, value:
     return rows.withColumn("_before", before).where(F.col(value) <= F.col("_before")).select(F.col(key).cast("string").alias("id"), F.lit(code).alias("code"))
 
 
+def mirror_issues(left: DataFrame, left_key: str, to: str, right: DataFrame, right_key: str, back: str, code: str = "relation-not-mutual") -> DataFrame:
+    """Rows that point (by `to`) at a row of the other side that is missing or doesn't point back; null points at nothing."""
+    pointing = left.where(F.col(to).isNotNull()).select(F.col(left_key).alias("_l"), F.col(to).alias("_r"))
+    answers = right.where(F.col(back).isNotNull()).select(F.col(right_key).alias("_r"), F.col(back).alias("_l")).distinct()
+    return pointing.join(answers, ["_l", "_r"], "left_anti").select(F.col("_l").cast("string").alias("id"), F.lit(code).alias("code"))
+
+
+def sum_issues(rows: DataFrame, key: str, total: str, parts: tuple[str, ...], tolerance: float, code: str = "total-mismatch") -> DataFrame:
+    """Totals farther from the sum of their parts than the tolerance; nothing is said where a value is null."""
+    gap = F.abs(F.col(total) - sum((F.col(p) for p in parts[1:]), F.col(parts[0])))
+    return rows.where(gap > tolerance).select(F.col(key).cast("string").alias("id"), F.lit(code).alias("code"))
+
+
+def unique_issues(rows: DataFrame, key: str, group: str, value: str, code: str = "duplicate-order") -> DataFrame:
+    """Rows whose value stands more than once in their group."""
+    n = F.count("*").over(Window.partitionBy(group, value))
+    return rows.where(F.col(value).isNotNull()).withColumn("_n", n).where("_n > 1").select(F.col(key).cast("string").alias("id"), F.lit(code).alias("code"))
+
+
 def gathered(*issues: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, issues)
 

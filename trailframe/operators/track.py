@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailframe.functions.terrain import slope_band, slope_multiplier
 from trailframe.functions.geo import clamp, equirectangular_m, haversine_km, valid_coordinate
 
 
@@ -112,15 +113,19 @@ def even_sample(points: DataFrame, n: int) -> DataFrame:
 def chunks(points: DataFrame, length_m: float) -> DataFrame:
     """A chunk ends at the first point at which `length_m` is reached and the next one starts there.
 
-    The reset makes it a fold; it runs over one route's distances in order.
+    The reset makes it a fold over one route's distances, which keeps nothing but
+    the ends of chunks; points then count the ends before them.
     """
     rows = F.array_sort(F.collect_list(F.struct("seq", "distance_m")))
+    kind = dict(points.dtypes)["seq"]
     folded = F.expr(
-        f"aggregate(rows, named_struct('k', 0, 'at', 0D, 'out', cast(array() as array<struct<seq:bigint,chunk:int>>)), (s, r) -> "
-        f"if(r.distance_m - s.at >= {length_m}, named_struct('k', s.k + 1, 'at', r.distance_m, 'out', concat(s.out, array(named_struct('seq', cast(r.seq as bigint), 'chunk', s.k)))), "
-        "named_struct('k', s.k, 'at', s.at, 'out', concat(s.out, array(named_struct('seq', cast(r.seq as bigint), 'chunk', s.k))))), s -> s.out)"
+        f"aggregate(rows, named_struct('at', 0D, 'ends', cast(array() as array<{kind}>)), (s, r) -> if(r.distance_m - s.at >= {length_m}, "
+        "named_struct('at', r.distance_m, 'ends', concat(s.ends, array(r.seq))), s), s -> s.ends)"
     )
-    return points.groupBy("route_id").agg(rows.alias("rows")).select("route_id", F.inline(folded))
+    ends = points.groupBy("route_id").agg(rows.alias("rows")).select("route_id", F.explode(folded).alias("seq"), F.lit(1).alias("_end"))
+    before = Window.partitionBy("route_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    marked = points.select("route_id", "seq").join(ends, ["route_id", "seq"], "left")
+    return marked.select("route_id", "seq", F.coalesce(F.sum("_end").over(before), F.lit(0)).cast("int").alias("chunk"))
 
 
 def local_slopes(points: DataFrame, window_km: float = 0.5) -> DataFrame:
@@ -148,3 +153,19 @@ def nearest_samples(points: DataFrame, step_km: float = 0.5) -> DataFrame:
     passed = lambda x: F.floor((x - F.col("_first")) / step_km)
     owns = passed(F.least(F.col("_to"), F.col("_last") - 1e-9)) > passed(F.col("_from"))
     return rows.where(F.col("_from").isNull() | F.col("_to").isNull() | owns).drop("_from", "_to", "_first", "_last")
+
+
+def slope_changes(rows: DataFrame, delta: float = 5.0, bands: int = 2) -> DataFrame:
+    """Points (route_id, seq, slope) at which the slope changes by so much and by so many speed bands; score: how much."""
+    w = Window.partitionBy("route_id").orderBy("seq")
+    both = rows.withColumn("_band", slope_band(F.col("slope"))).withColumn("_s", F.abs(F.col("slope") - F.lag("slope").over(w)))
+    both = both.withColumn("_b", F.abs(F.col("_band") - F.lag("_band").over(w)))
+    return both.where((F.col("_s") >= delta) & (F.col("_b") >= bands)).withColumn("score", F.col("_s") + F.col("_b")).drop("_band", "_s", "_b")
+
+
+def weighted(rows: DataFrame) -> DataFrame:
+    """Add weighted_km from the start: each step (step_km) divided by the multiplier of the mean slope of its ends."""
+    w = Window.partitionBy("route_id").orderBy("seq")
+    mean = (F.col("slope") + F.coalesce(F.lag("slope").over(w), F.col("slope"))) / 2
+    step = rows.withColumn("_w", F.col("step_km") / slope_multiplier(mean))
+    return step.withColumn("weighted_km", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_w")

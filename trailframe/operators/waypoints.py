@@ -35,6 +35,11 @@ def name_words(name: Column) -> Column:
     return F.trim(F.regexp_replace(without_marks(name), "[^a-z0-9]+", " "))
 
 
+def column_key(name: Column) -> Column:
+    """Letters a-z and digits with single hyphens between, under which pictures of passes are found."""
+    return F.regexp_replace(F.regexp_replace(without_marks(name), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
 def climb_landmarks(climbs: DataFrame, landmarks: DataFrame, within_km: float = 1.0) -> DataFrame:
     """The named landmark of each climb's top: passes before others, then the nearest along the track.
 
@@ -164,7 +169,11 @@ def grouped_points(points: DataFrame, within_m: float = 100.0, within_up_m: floa
         return pd.concat([ordered[["day_id", *place, "cluster"]], ordered[["last", "track_km", "point_id"]].iloc[first[group]].reset_index(drop=True)], axis=1)
 
     cluster = F.concat_ws(".", "_a", "_b", "_c").alias("cluster")
-    folded = spots.select("day_id", "_a", "_b", "_c", *place, cluster, "at.*").groupBy("day_id", "_a", "_b", "_c").applyInPandas(fold, schema)
+    island = ["day_id", "_a", "_b", "_c"]
+    sized = spots.withColumn("_n", F.count("*").over(Window.partitionBy(*island))).select(*island, "_n", *place, cluster, "at.*")
+    # a cluster of one place is a group as it stands; only the others are folded
+    folded = sized.where("_n > 1").drop("_n").groupBy(*island).applyInPandas(fold, schema)
+    folded = folded.union(sized.where("_n = 1").select("day_id", *place, "cluster", "last", "track_km", "point_id"))
     alone = points.where(~placed).select("day_id", *[F.lit(None).cast("double").alias(c) for c in place], F.lit(None).cast("string").alias("cluster"), "track_km", "point_id", order.alias("at"))
     begun = folded.select("day_id", *place, "cluster", "track_km", "point_id", order.alias("at")).union(alone)
     number = F.dense_rank().over(Window.partitionBy("day_id").orderBy("at", "cluster")) - 1

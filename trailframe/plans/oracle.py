@@ -386,3 +386,73 @@ SQL = {
     "retained_forecasts": """WITH q AS (SELECT *, last_value(CASE WHEN event_type <> 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM events)
         SELECT event_id, p AS payload, event_type = 'error' AND p IS NOT NULL AS retained FROM q""",
 }
+
+
+WAYPOINT_SQL = """w AS (SELECT l_orderkey AS route_id, CAST(l_linenumber AS BIGINT) AS waypoint_id, ['city', 'town', 'village', 'mountain-pass', 'saddle', 'climb', 'start'][l_suppkey % 7 + 1] AS kind,
+        round((l_partkey * 7 % 1000) / 10.0::DOUBLE, 1) AS km FROM lineitem), o AS (SELECT o_orderkey AS route_id FROM orders),
+    c AS (SELECT *, CASE kind WHEN 'city' THEN 0 WHEN 'town' THEN 1 WHEN 'village' THEN 2 WHEN 'mountain-pass' THEN 3 WHEN 'saddle' THEN 3 END AS p FROM w)"""
+PRIORITY = """CASE kind WHEN 'start' THEN 0 WHEN 'end' THEN 0 WHEN 'mountain-pass' THEN 1 WHEN 'saddle' THEN 2 WHEN 'city' THEN 3 WHEN 'town' THEN 4 WHEN 'climb' THEN 5 WHEN 'village' THEN 6 WHEN 'pause' THEN 7 END"""
+PLACED_SQL = """p0 AS (SELECT o.route_id, 0 AS position, coalesce(b.km, 25.0) AS km, 10 AS minutes, b.waypoint_id FROM o LEFT JOIN (
+        SELECT c.*, row_number() OVER (PARTITION BY route_id ORDER BY p, abs(km - 25), waypoint_id) AS z FROM c WHERE p IS NOT NULL AND km BETWEEN 8 AND 92 AND abs(km - 25) <= 12 
+    ) b ON b.route_id = o.route_id AND b.z = 1), p1 AS (SELECT o.route_id, 1 AS position, coalesce(b.km, 50.0) AS km, 20 AS minutes, b.waypoint_id FROM o LEFT JOIN (
+        SELECT c.*, row_number() OVER (PARTITION BY route_id ORDER BY p, abs(km - 50), waypoint_id) AS z FROM c WHERE p IS NOT NULL AND km BETWEEN 8 AND 92 AND abs(km - 50) <= 12 AND NOT EXISTS (SELECT 1 FROM p0 WHERE p0.route_id = c.route_id AND (abs(p0.km - c.km) < 8 OR p0.waypoint_id = c.waypoint_id))
+    ) b ON b.route_id = o.route_id AND b.z = 1), p2 AS (SELECT o.route_id, 2 AS position, coalesce(b.km, 75.0) AS km, 10 AS minutes, b.waypoint_id FROM o LEFT JOIN (
+        SELECT c.*, row_number() OVER (PARTITION BY route_id ORDER BY p, abs(km - 75), waypoint_id) AS z FROM c WHERE p IS NOT NULL AND km BETWEEN 8 AND 92 AND abs(km - 75) <= 12 AND NOT EXISTS (SELECT 1 FROM p0 WHERE p0.route_id = c.route_id AND (abs(p0.km - c.km) < 8 OR p0.waypoint_id = c.waypoint_id)) AND NOT EXISTS (SELECT 1 FROM p1 WHERE p1.route_id = c.route_id AND (abs(p1.km - c.km) < 8 OR p1.waypoint_id = c.waypoint_id))
+    ) b ON b.route_id = o.route_id AND b.z = 1),
+    placed AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)"""
+UNUSED_SQL = """p0 AS (SELECT route_id, 0 AS position, place_id, km FROM (
+        SELECT c.*, row_number() OVER (PARTITION BY route_id ORDER BY abs(km - 25), place_id, km) AS z FROM c WHERE true ) WHERE z = 1), p1 AS (SELECT route_id, 1 AS position, place_id, km FROM (
+        SELECT c.*, row_number() OVER (PARTITION BY route_id ORDER BY abs(km - 50), place_id, km) AS z FROM c WHERE true AND NOT EXISTS (SELECT 1 FROM p0 WHERE p0.route_id = c.route_id AND p0.place_id = c.place_id)) WHERE z = 1), p2 AS (SELECT route_id, 2 AS position, place_id, km FROM (
+        SELECT c.*, row_number() OVER (PARTITION BY route_id ORDER BY abs(km - 75), place_id, km) AS z FROM c WHERE true AND NOT EXISTS (SELECT 1 FROM p0 WHERE p0.route_id = c.route_id AND p0.place_id = c.place_id) AND NOT EXISTS (SELECT 1 FROM p1 WHERE p1.route_id = c.route_id AND p1.place_id = c.place_id)) WHERE z = 1)"""
+WEIGHTED_SQL = f"""{SLOPES_SQL}, wb AS (SELECT *, (slope + coalesce(lag(slope) OVER (PARTITION BY route_id ORDER BY seq), slope)) / 2 AS m FROM slopes),
+    weighted AS (SELECT route_id, seq, distance_km AS track_km, sum(step_km / ({MULTIPLIER.format("m")})) OVER (PARTITION BY route_id ORDER BY seq) AS distance_km FROM wb)"""
+LABELS = "CASE weather_code " + " ".join(f"WHEN {c} THEN '{name}'" for c, name in ((0, "Ciel dégagé"), (3, "Couvert"), (45, "Brouillard"), (61, "Pluie faible"), (65, "Pluie forte"), (80, "Averses faibles"), (95, "Orage"), (96, "Orage avec grêle faible"))) + " ELSE 'Conditions non identifiées' END"
+STAGE_SQL = {
+    "stage_timing": f"""WITH {TIMED_SQL}, a AS (SELECT route_id, max(moving_minutes) AS m, max(distance_km) AS km FROM timed GROUP BY 1),
+        b AS (SELECT route_id, km, 100.0 + route_id AS gain, CASE WHEN route_id % 7 <> 0 AND m IS NOT NULL AND km > 0 THEN m ELSE km / 18 * 60 END AS m, CASE WHEN route_id % 3 <> 0 THEN route_id % 5 * 10 END AS b FROM a),
+        s AS (SELECT *, CAST(floor(m * 60 + 0.5) AS BIGINT) AS moving_s FROM b), h AS (SELECT *, moving_s / 3600.0::DOUBLE AS h FROM s),
+        p AS (SELECT *, coalesce(b, CASE WHEN km > 0 AND moving_s > 0 THEN greatest(0.0, least(240.0, floor(h * greatest(3.6, least(16.0, 3.6 + 1.295 * h))
+            * (1 + greatest(0.0, least(60.0, greatest(0.0, gain) / km - 5)) / 60 * 0.8) / 5 + 0.5) * 5)) ELSE 0 END) AS brk FROM h)
+        SELECT route_id, CAST(brk AS DOUBLE) AS break_minutes, moving_s, CAST(floor(brk * 60 + 0.5) AS BIGINT) AS pause_s, moving_s + CAST(floor(brk * 60 + 0.5) AS BIGINT) AS total_s,
+            round(CASE WHEN m > 0 THEN km / (m / 60) END, 3) AS average_kph FROM p""",
+    "pause_settings": """SELECT l_orderkey AS stage_id, l_linenumber AS pause_id, l_suppkey AS point_id, CAST(floor(l_quantity * 37 / 60 + 0.5) AS INT) AS minutes,
+            CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 4, l_linenumber, l_suppkey, floor(l_quantity * 37 / 60 + 0.5)) AS INT) AS position
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 3 <> 1 AND l_returnflag <> 'R' AND l_suppkey % 5 <> 0""",
+    "placed_pauses": f"WITH {WAYPOINT_SQL}, {PLACED_SQL} SELECT route_id, position, round(km, 4) AS km, minutes, waypoint_id FROM placed",
+    "unused_places": f"WITH {WAYPOINT_SQL.replace('AS waypoint_id', 'AS place_id')}, {UNUSED_SQL} SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2",
+    "paused_waypoints": f"""WITH {WAYPOINT_SQL}, {PLACED_SQL}, u AS (SELECT w.route_id, w.waypoint_id, kind, w.km, minutes AS pause_minutes FROM w LEFT JOIN placed q ON q.route_id = w.route_id AND q.waypoint_id = w.waypoint_id
+            UNION ALL SELECT route_id, NULL, 'pause', km, minutes FROM placed WHERE waypoint_id IS NULL)
+        SELECT route_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY km, {PRIORITY} NULLS LAST, waypoint_id NULLS FIRST) AS INT) AS position, waypoint_id, kind, round(km, 4) AS km,
+            round(45.0::DOUBLE + km * 0.01::DOUBLE, 4) AS latitude, round(500.0::DOUBLE + km, 4) AS elevation_m, pause_minutes FROM u""",
+    "slot_edits": """WITH s AS (SELECT l_orderkey AS t, list(k ORDER BY l_linenumber, k) AS a FROM (SELECT *, CASE l_suppkey % 4 WHEN 0 THEN 'off' WHEN 1 THEN 'transfer' ELSE 'ride' END AS k FROM lineitem) GROUP BY 1),
+        i AS (SELECT *, CAST(least(greatest(t % 9 - 1, 0), len(a)) AS INT) AS n, CAST(t % 8 - 1 AS INT) AS p, CAST(t % 7 - 1 AS INT) AS f, CAST(t % 7 - 1 + CASE WHEN t % 2 = 0 THEN 1 ELSE -1 END AS INT) AS g FROM s)
+        SELECT t AS trip_id, array_to_string(a[1:n] || ['off'] || a[n + 1:], ',') AS inserted,
+            CASE WHEN p < 0 OR p >= len(a) THEN array_to_string(a, ',') WHEN a[p + 1] <> 'ride' THEN array_to_string(a[1:p] || a[p + 2:], ',') END AS removed,
+            CASE WHEN f < 0 OR f >= len(a) OR g < 0 OR g >= len(a) THEN array_to_string(a, ',')
+                ELSE array_to_string(list_transform(range(0, len(a)), lambda x: CASE WHEN x = f THEN a[g + 1] WHEN x = g THEN a[f + 1] ELSE a[x + 1] END), ',') END AS moved FROM i""",
+    "time_markers": f"""WITH {WEIGHTED_SQL}, asked AS (SELECT route_id, k, k * 0.6::DOUBLE AS t FROM (SELECT route_id, unnest(range(1, CAST(ceil(max(distance_km) / 0.6::DOUBLE - 1e-9) AS INT))) AS k FROM weighted GROUP BY 1) WHERE k <> 2),
+        {at_sql("weighted", "track_km", "asked", "mk")}
+        SELECT route_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY k) AS INT) AS marker, round(k * 0.6::DOUBLE, 4) AS weighted_km, round(v, 4) AS track_km FROM mk""",
+    "altitudes_between": f"""WITH {STEPS_SQL}, known AS (SELECT route_id, distance_km, elevation_m FROM series WHERE elevation_m IS NOT NULL), e AS (SELECT route_id, max(distance_km) AS t FROM series GROUP BY 1),
+        sp AS (SELECT route_id, i AS k, t * a AS low, t * b AS high FROM e CROSS JOIN (VALUES (0, 0.1::DOUBLE, 0.35::DOUBLE), (1, 0.3::DOUBLE, 0.8::DOUBLE), (2, 0.9::DOUBLE, 1.0::DOUBLE)) v(i, a, b)),
+        lo AS (SELECT route_id, k, low AS t FROM sp), hi AS (SELECT route_id, k, high AS t FROM sp), {at_sql("known", "elevation_m", "lo", "lv")}, {at_sql("known", "elevation_m", "hi", "hv")},
+        u AS (SELECT lv.route_id, lv.k, low AS d, v AS e, 0 AS z FROM lv JOIN sp USING (route_id, k) UNION ALL SELECT hv.route_id, hv.k, high, v, 2 FROM hv JOIN sp USING (route_id, k)
+            UNION ALL SELECT sp.route_id, sp.k, distance_km, elevation_m, 1 FROM sp JOIN known ON known.route_id = sp.route_id AND distance_km > low AND distance_km < high),
+        x AS (SELECT *, e - lag(e) OVER (PARTITION BY route_id, k ORDER BY d, z) AS up FROM u)
+        SELECT route_id, k, round(min(e), 4) AS lowest_m, round(max(e), 4) AS highest_m, round(coalesce(sum(greatest(up, 0.0)), 0), 4) + 0.0 AS gain_m FROM x GROUP BY 1, 2""",
+    "route_fingerprints": f"""WITH {POINTS_SQL}, f AS (SELECT route_id, CASE WHEN route_id % 3 = 0 THEN 'sha256:' || sha256(CAST(route_id AS VARCHAR))
+            ELSE 'route:' || CAST(route_id AS VARCHAR) || ':' || CASE WHEN count(*) < 2 THEN 'no-geometry' ELSE string_agg(printf('%.6f,%.6f', latitude, longitude), ';' ORDER BY seq) END END AS x FROM track_points GROUP BY 1)
+        SELECT route_id, CAST(length(x) AS INT) AS length, md5(x) AS md5 FROM f""",
+    "column_keys": "SELECT c_custkey, trim(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-') AS key FROM customer",
+    "weather_labels": f"WITH {HOURLY_SQL} SELECT {LABELS} AS label, count(*) AS hours FROM hourly GROUP BY 1",
+    "trip_periods": """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders) SELECT CASE WHEN d < DATE '1994-03-01' THEN 'before' WHEN d > DATE '1997-06-30' THEN 'after' ELSE 'during' END AS kind, count(*) AS orders,
+        CAST(sum(CASE WHEN d < DATE '1994-03-01' THEN 1 WHEN d > DATE '1997-06-30' THEN date_diff('day', DATE '1994-03-01', DATE '1997-06-30') + 1 ELSE date_diff('day', DATE '1994-03-01', d) + 1 END) AS BIGINT) AS days,
+        CAST(sum(CASE WHEN d < DATE '1994-03-01' THEN date_diff('day', d, DATE '1994-03-01') END) AS BIGINT) AS until FROM d GROUP BY 1""",
+    "waypoint_order": f"WITH {WAYPOINT_SQL} SELECT route_id, waypoint_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY floor(km / 20), {PRIORITY} NULLS LAST, waypoint_id) AS INT) AS position FROM w",
+    "point_roles": """WITH r AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'weather-reference' WHEN o_orderstatus = 'F' THEN 'route-point' ELSE 'information' END AS role, o_orderkey % 2 = 0 AS planned FROM orders)
+        SELECT role, role = 'route-point' OR (role = 'weather-reference' AND planned) AS counts, count(*) AS points FROM r GROUP BY 1, 2""",
+    "relation_issues": """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'relation-not-mutual' AS code FROM orders WHERE o_orderkey % 50 <> 0 AND (o_orderkey % 70 = 0 OR o_orderkey % 30 = 0)
+        UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'total-mismatch' FROM orders WHERE o_orderkey % 90 = 0
+        UNION ALL SELECT CAST(l_orderkey * 10 + l_linenumber AS VARCHAR), 'duplicate-order' FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_partkey % 6) AS n FROM lineitem) WHERE n > 1""",
+}
+SQL |= STAGE_SQL

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions import clock, geo, terrain as rules, weather
-from trailframe.operators import climbs, forecast, quality, spatial, terrain, track, trip, waypoints
+from trailframe.operators import climbs, forecast, quality, spatial, stages, terrain, track, trip, waypoints
 from trailframe.plans.carriers import hourly, stops, table, track_points
 
 HORIZON = ("2024-01-02 00:00:00", "2024-01-25 00:00:00")
@@ -74,19 +74,13 @@ def track_local_slopes(spark, sf_dir):
 
 
 def track_slope_changes(spark, sf_dir):
-    rows = track.local_slopes(series(spark, sf_dir))
-    w = Window.partitionBy("route_id").orderBy("seq")
-    rows = rows.withColumn("band", rules.slope_band(F.col("slope"))).withColumn("_s", F.lag("slope").over(w)).withColumn("_b", F.lag("band").over(w))
-    jump = (F.abs(F.col("slope") - F.col("_s")) >= 5) & (F.abs(F.col("band") - F.col("_b")) >= 2)
-    return rows.where(jump).groupBy("route_id").agg(F.count("*").alias("changes"), F.min("seq").alias("first_seq"))
+    rows = track.slope_changes(track.local_slopes(series(spark, sf_dir)))
+    return rows.groupBy("route_id").agg(F.count("*").alias("changes"), F.min("seq").alias("first_seq"))
 
 
 def weighted_distance(spark, sf_dir):
-    w = Window.partitionBy("route_id").orderBy("seq")
-    rows = track.local_slopes(series(spark, sf_dir))
-    mean = (F.col("slope") + F.coalesce(F.lag("slope").over(w), F.col("slope"))) / 2
-    rows = rows.withColumn("_w", F.col("step_km") / rules.slope_multiplier(mean))
-    return rounded(rows.groupBy("route_id").agg(F.sum("_w").alias("weighted_km"), F.max("distance_km").alias("distance_km")), 4)
+    rows = track.weighted(track.local_slopes(series(spark, sf_dir)))
+    return rounded(rows.groupBy("route_id").agg(F.max("weighted_km").alias("weighted_km"), F.max("distance_km").alias("distance_km")), 4)
 
 
 def terrain_smoothed(spark, sf_dir):
@@ -539,6 +533,134 @@ def retained_forecasts(spark, sf_dir):
     return forecast.retained(e, "user_id", ("ts", "event_id"), F.col("event_type") != "error", "payload").select("event_id", "payload", "retained")
 
 
+def stage_timing(spark, sf_dir):
+    timed = terrain.timing(slope_profile(spark, sf_dir)).groupBy("route_id").agg(F.max("moving_minutes").alias("m"), F.max("distance_km").alias("total_km"))
+    r = F.col("route_id")
+    stages_ = timed.select(r, "total_km", (F.lit(100.0) + r).alias("gain_m"), F.when(r % 7 != 0, F.col("m")).alias("moving_minutes"), F.when(r % 3 != 0, r % 5 * 10).alias("break_minutes"))
+    return rounded(stages.stage_timing(stages_).select("route_id", "break_minutes", "moving_s", "pause_s", "total_s", "average_kph"), 3)
+
+
+def pause_settings(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    stages_ = o.select(k.alias("stage_id"), F.when(k % 3 == 0, "custom").when(k % 3 == 1, "automatic").alias("mode"))
+    pauses = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("stage_id"), F.col("l_linenumber").alias("pause_id"), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_suppkey")).alias("point_id"),
+        (F.col("l_quantity") * 37).alias("seconds"), (F.col("l_partkey") % 4).alias("order"), (F.col("l_returnflag") != "R").alias("active"),
+    )
+    return stages.pause_settings(stages_, pauses, F.lit("custom"))
+
+
+def stage_waypoints(spark, sf_dir) -> DataFrame:
+    """The lines of an order are the waypoints of a route of a hundred kilometres."""
+    line = table(spark, sf_dir, "lineitem")
+    kinds = F.array(*[F.lit(x) for x in ("city", "town", "village", "mountain-pass", "saddle", "climb", "start")])
+    n = F.col("l_linenumber")
+    km = F.round((F.col("l_partkey") * 7 % 1000) / 10, 1)
+    return line.select(
+        F.col("l_orderkey").alias("route_id"), n.cast("long").alias("waypoint_id"), F.element_at(kinds, (F.col("l_suppkey") % 7 + 1).cast("int")).alias("kind"), km.alias("km"),
+        (F.lit(45.0) + km * 0.01).alias("latitude"), F.lit(6.0).alias("longitude"), (F.lit(500.0) + km).alias("elevation_m"),
+    )
+
+
+def ideal_pauses(spark, sf_dir) -> DataFrame:
+    rules_ = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(km).alias("km"), F.lit(m).alias("minutes")) for i, km, m in ((0, 25.0, 10), (1, 50.0, 20), (2, 75.0, 10))])
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("route_id"), F.inline(rules_))
+
+
+def placed_pauses(spark, sf_dir):
+    totals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("route_id"), F.lit(100.0).alias("total_km"))
+    return rounded(stages.placed_pauses(ideal_pauses(spark, sf_dir), stage_waypoints(spark, sf_dir), totals), 4)
+
+
+def unused_places(spark, sf_dir):
+    places_ = stage_waypoints(spark, sf_dir).select("route_id", F.col("waypoint_id").alias("place_id"), "km")
+    return rounded(stages.unused_places(ideal_pauses(spark, sf_dir).select("route_id", "position", "km"), places_), 4)
+
+
+def paused_waypoints(spark, sf_dir):
+    ends = F.explode(F.array(*[F.struct(F.lit(x).alias("distance_km"), F.lit(45.0 + x * 0.01).alias("latitude"), F.lit(6.0).alias("longitude"), F.lit(500.0 + x).alias("elevation_m")) for x in (0.0, 40.0, 100.0)]))
+    line = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("route_id"), ends.alias("p")).select("route_id", "p.*")
+    totals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("route_id"), F.lit(100.0).alias("total_km"))
+    points = stage_waypoints(spark, sf_dir)
+    rows = stages.with_placed(points, stages.placed_pauses(ideal_pauses(spark, sf_dir), points, totals), line)
+    return rounded(rows.select("route_id", "position", "waypoint_id", "kind", "km", "latitude", "elevation_m", "pause_minutes"), 4)
+
+
+def slot_edits(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_suppkey") % 4 == 0, "off").when(F.col("l_suppkey") % 4 == 1, "transfer").otherwise("ride")
+    k = F.col("trip_id")
+    slots = line.groupBy(F.col("l_orderkey").alias("trip_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", kind.alias("k")))), lambda x: x["k"]).alias("slots"))
+    text = lambda c: F.array_join(c, ",")
+    return slots.select(
+        k, text(stages.inserted(F.col("slots"), (k % 9 - 2).cast("int"), F.lit("off"))).alias("inserted"), text(stages.removed(F.col("slots"), (k % 8 - 1).cast("int"))).alias("removed"),
+        text(stages.moved(F.col("slots"), (k % 7 - 1).cast("int"), F.when(k % 2 == 0, 1).otherwise(-1))).alias("moved"),
+    )
+
+
+def time_markers(spark, sf_dir):
+    rows = track.weighted(track.local_slopes(series(spark, sf_dir)))
+    seeds = rows.select("route_id").distinct().select("route_id", (F.lit(2) * F.lit(0.6)).alias("weighted_km"))
+    return rounded(stages.time_markers(rows, seeds, minutes=2.0).select("route_id", "marker", "weighted_km", "track_km"), 4)
+
+
+def spans(spark, sf_dir) -> DataFrame:
+    ends = series(spark, sf_dir).groupBy("route_id").agg(F.max("distance_km").alias("t"))
+    cuts = F.inline(F.array(*[F.struct(F.lit(i).alias("k"), (F.col("t") * F.lit(a)).alias("low_km"), (F.col("t") * F.lit(b)).alias("high_km")) for i, (a, b) in enumerate(((0.1, 0.35), (0.3, 0.8), (0.9, 1.0)))]))
+    return ends.select("route_id", cuts)
+
+
+def altitudes_between(spark, sf_dir):
+    return rounded(stages.between(series(spark, sf_dir), spans(spark, sf_dir)), 4)
+
+
+def route_fingerprints(spark, sf_dir):
+    points = track_points(spark, sf_dir)
+    hashes = points.select("route_id").distinct().where("route_id % 3 = 0").withColumn("sha256", F.sha2(F.col("route_id").cast("string"), 256))
+    rows = stages.route_fingerprints(points, hashes)
+    return rows.select("route_id", F.length("fingerprint").alias("length"), F.md5("fingerprint").alias("md5"))
+
+
+def column_keys(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", waypoints.column_key(F.concat_ws(" / ", "c_name", "c_mktsegment")).alias("key"))
+
+
+def weather_labels(spark, sf_dir):
+    return hourly(spark, sf_dir).groupBy(weather.label(F.col("weather_code")).alias("label")).agg(F.count("*").alias("hours"))
+
+
+def trip_periods(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    at = clock.trip_period(F.col("d"), F.lit("1994-03-01").cast("date"), F.lit("1997-06-30").cast("date"))
+    return rows.groupBy(at["kind"].alias("kind")).agg(F.count("*").alias("orders"), F.sum(at["day"]).alias("days"), F.sum(at["days_until"]).alias("until"))
+
+
+def waypoint_order(spark, sf_dir):
+    coarse = stage_waypoints(spark, sf_dir).withColumn("km", F.floor(F.col("km") / 20).cast("double"))
+    return stages.in_order(coarse).select("route_id", "waypoint_id", "position")
+
+
+def point_roles(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    role = stages.point_role(F.when(F.col("o_orderstatus") == "F", "matched").otherwise("excluded"), k % 7 == 0)
+    return o.groupBy(role.alias("role"), stages.counts_for_risk(role, k % 2 == 0).alias("counts")).agg(F.count("*").alias("points"))
+
+
+def relation_issues(spark, sf_dir):
+    """Planted faults: days and stages that don't point at each other, totals that aren't their parts', pauses out of order."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    days_ = o.select(F.col("k").alias("day_id"), F.when(F.col("k") % 50 != 0, F.col("k") * 2).alias("stage_id"))
+    stages_ = o.where("k % 70 <> 0").select((F.col("k") * 2).alias("stage_id"), F.when(F.col("k") % 30 == 0, F.col("k") + 1).otherwise(F.col("k")).alias("day_id"))
+    sums = o.select("k", (F.col("k") % 1000).alias("moving"), (F.col("k") % 60).alias("pause"), (F.col("k") % 1000 + F.col("k") % 60 + F.when(F.col("k") % 90 == 0, 2).otherwise(1)).alias("total"))
+    pauses = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_orderkey", (F.col("l_partkey") % 6).alias("order"))
+    return quality.gathered(
+        quality.mirror_issues(days_, "day_id", "stage_id", stages_, "stage_id", "day_id"),
+        quality.sum_issues(sums, "k", "total", ("moving", "pause"), 1.0), quality.unique_issues(pauses, "id", "l_orderkey", "order"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -550,6 +672,7 @@ QUERIES = {
         trip_progress, trip_highlight, trip_preferred, reference_points, stage_members, days_of_place, planned_files, upsert, unique_name_matches, enrichment_status, layer_counts,
         version_difference, validation_issues, schema_versions, expanded_boxes, name_keys, climb_landmarks, simplified_tracks, file_ordering, grouped_stops,
         summit_names, custom_pauses, stable_place_ids, endpoint_names, waypoint_visibility, documented_points, track_nearest_samples, automatic_pauses, documented_totals,
-        day_slots, job_states, primary_alerts, retained_forecasts, live_progress, today_reference,
+        day_slots, job_states, primary_alerts, retained_forecasts, live_progress, today_reference, stage_timing, pause_settings, placed_pauses, unused_places,
+        paused_waypoints, slot_edits, time_markers, altitudes_between, route_fingerprints, column_keys, weather_labels, trip_periods, waypoint_order, point_roles, relation_issues,
     )
 }
