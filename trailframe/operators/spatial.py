@@ -7,7 +7,7 @@ theta join compares every point with every segment.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.geo import haversine_km, segment_projection
@@ -25,20 +25,27 @@ def segments(points: DataFrame) -> DataFrame:
     return ends.where("lat2 is not null")
 
 
-def cells(radius_m: float, lat: str, lon: str, lat2: str | None = None, lon2: str | None = None) -> tuple:
-    """Cell columns of everything within a radius of a point or a segment's box; the cell's side is two radii at least.
+def cells(radius_m: float, lat: str, lon: str, lat2: str | None = None, lon2: str | None = None, row: str = "_r") -> tuple:
+    """Cell columns of everything within a radius of a point or a segment's box, and the cell of a point: rows, columns, row, column.
 
-    Longitudes use the widest degree that latitudes up to 75 need; farther from the
-    equator the box covers less than the radius and would miss pairs, so don't.
+    A cell is two radii high at least.  Its width in degrees of longitude goes with
+    the latitude of its row (`row`: the column that the exploded rows are given), up
+    to the poles, so no pair is missed; the date line isn't crossed.
     """
     side = max(2 * radius_m / METRES_A_DEGREE, 1e-4)
-    wide = side / 0.2588
-    pad, pad_lon = radius_m / METRES_A_DEGREE, radius_m / METRES_A_DEGREE / 0.2588
-    lo = lambda a, b, p, s: F.floor((F.least(F.col(a), F.col(b or a)) - p) / s)
-    hi = lambda a, b, p, s: F.floor((F.greatest(F.col(a), F.col(b or a)) + p) / s)
-    rows = F.explode(F.sequence(lo(lat, lat2, pad, side), hi(lat, lat2, pad, side)))
-    columns = F.explode(F.sequence(lo(lon, lon2, pad_lon, wide), hi(lon, lon2, pad_lon, wide)))
-    return rows, columns, F.floor(F.col(lat) / side), F.floor(F.col(lon) / wide)
+    pad = radius_m / METRES_A_DEGREE
+
+    def wide(r: Column) -> Column:
+        far = F.least(F.greatest(F.abs(r * side), F.abs((r + 1) * side)) + pad, F.lit(89.95))
+        return F.lit(side) / F.cos(F.radians(far))
+
+    low, high = F.least(F.col(lat), F.col(lat2 or lat)), F.greatest(F.col(lat), F.col(lat2 or lat))
+    west, east = F.least(F.col(lon), F.col(lon2 or lon)), F.greatest(F.col(lon), F.col(lon2 or lon))
+    rows = F.explode(F.sequence(F.floor((low - pad) / side), F.floor((high + pad) / side)))
+    w = wide(F.col(row))
+    columns = F.explode(F.sequence(F.floor(west / w - 0.5), F.floor(east / w + 0.5)))
+    own = F.floor(F.col(lat) / side)
+    return rows, columns, own, F.floor(F.col(lon) / wide(own))
 
 
 def near_segments(places: DataFrame, tracks: DataFrame, radius_m: float) -> DataFrame:
@@ -63,8 +70,8 @@ def routes_in_reach(places: DataFrame, tracks: DataFrame, radius_m: float) -> Da
     return found
 
 
-def greedy_thinned(rows: DataFrame, key: str, within_m: float) -> DataFrame:
-    """Keep rows in order of lateral distance (then id), each only if no kept one of its group is within the distance.
+def greedy_thinned(rows: DataFrame, key: str, within_m: float | str) -> DataFrame:
+    """Keep rows in order of lateral distance (then id), each only if no kept one of its group is within the distance (a number, or a column that is equal in a group).
 
     The choice depends on earlier ones, so each group (one name on one route) is
     folded in order; groups are as small as the places of one name along a route.
@@ -76,15 +83,69 @@ def greedy_thinned(rows: DataFrame, key: str, within_m: float) -> DataFrame:
         kept: list[int] = []
         ordered = batch.sort_values(["lateral_m", "place_id"])
         at = np.radians(ordered[["latitude", "longitude"]].to_numpy())
+        least = float(ordered[within_m].iloc[0]) if isinstance(within_m, str) else within_m
         for i in range(len(ordered)):
-            far = [np.hypot((at[i, 1] - at[k, 1]) * np.cos((at[i, 0] + at[k, 0]) / 2), at[i, 0] - at[k, 0]) * 6_371_000 for k in kept]
-            if all(d > within_m for d in far):
+            k = np.array(kept, int)
+            far = np.hypot((at[i, 1] - at[k, 1]) * np.cos((at[i, 0] + at[k, 0]) / 2), at[i, 0] - at[k, 0]) * 6_371_000
+            if (far > least).all():
                 kept.append(i)
         return ordered.iloc[kept]
 
     return rows.groupBy("route_id", key).applyInPandas(thin, rows.schema)
 
 
+#: Places that may stand without a name. Fixed values.
+NAMELESS = ("water", "toilet", "shelter")
+NAMED_WITHIN_M, NAMELESS_WITHIN_M, FEATURES_WITHIN_M = 40.0, 5.0, 25.0
+
+
+def corridor_places(located: DataFrame, name_key: Column, reach_m: float = 250.0) -> DataFrame:
+    """Practical places along a route, each once: located(route_id, place_id, source_id, category, name, repair, latitude, longitude, lateral_m).
+
+    Nameless places stay where their category needs no name (a bicycle service only
+    if it is a repair station: `repair`).  The nearest row of a source id counts;
+    places of one name within 40 m are one, and nameless ones of a category within 5 m.
+    """
+    allowed = F.col("category").isin(*NAMELESS) | ((F.col("category") == "bike-service") & F.col("repair"))
+    near = located.where((F.col("lateral_m") <= reach_m) & (F.col("name").isNotNull() | allowed))
+    single = nearest_row_per_key(near, "route_id", "source_id").withColumn("_name", name_key)
+    group = F.when(F.col("_name").isNotNull(), F.concat(F.lit("n:"), "_name")).otherwise(F.concat(F.lit("c:"), "category"))
+    keyed = single.withColumn("_group", group).withColumn("_within", F.when(F.col("_name").isNotNull(), NAMED_WITHIN_M).otherwise(NAMELESS_WITHIN_M))
+    return greedy_thinned(keyed, "_group", "_within").drop("_name", "_group", "_within")
+
+
+def corridor_features(located: DataFrame, name_key: Column, radius_m: Column) -> DataFrame:
+    """Features within the radius of their type, each once: the nearest row of a source id, and one of a type and name within 25 m.
+
+    located: route_id, place_id, source_id, kind, name, latitude, longitude, lateral_m.  Nameless features are never one.
+    """
+    near = nearest_row_per_key(located.where(F.col("lateral_m") <= radius_m), "route_id", "source_id").withColumn("_name", name_key)
+    named = near.where("_name is not null").withColumn("_group", F.concat_ws(":", "kind", "_name"))
+    return greedy_thinned(named, "_group", FEATURES_WITHIN_M).drop("_name", "_group").union(near.where("_name is null").drop("_name"))
+
+
+def nearest_named(tops: DataFrame, points: DataFrame, within_km: float) -> DataFrame:
+    """Each top (route_id, top_id, latitude, longitude) with the nearest named point of its route within reach; ties to the smaller id."""
+    rows, columns, r, c = cells(within_km * 1000, "latitude", "longitude")
+    named = points.where(F.col("name").isNotNull() & (F.trim("name") != "")).withColumn("_r", rows).withColumn("_c", columns)
+    named = named.select("route_id", "_r", "_c", "point_id", "name", F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"))
+    far = haversine_km(F.col("latitude"), F.col("longitude"), F.col("_la"), F.col("_lo"))
+    near = tops.withColumn("_r", r).withColumn("_c", c).join(named, ["route_id", "_r", "_c"]).withColumn("far_km", far).where(F.col("far_km") <= within_km)
+    return near.groupBy("route_id", "top_id").agg(F.min(F.struct("far_km", "point_id", "name")).alias("b")).select("route_id", "top_id", "b.*")
+
+
+def largest_deviation(full: DataFrame, simple: DataFrame, within_m: float) -> DataFrame:
+    """route_id, deviation_m: how far a route's points (seq) lie from its simplified line at most; null where a point is farther than within_m."""
+    rows, columns, _, _ = cells(within_m, "lat1", "lon1", "lat2", "lon2")
+    dealt = segments(simple).withColumn("_r", rows).withColumn("_c", columns)
+    _, _, r, c = cells(within_m, "latitude", "longitude")
+    asked = full.select("route_id", "seq", "latitude", "longitude", r.alias("_r"), c.alias("_c"))
+    p = segment_projection(F.col("latitude"), F.col("longitude"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    far = asked.join(dealt, ["route_id", "_r", "_c"], "left").withColumn("_far", p["lateral_m"]).groupBy("route_id", "seq").agg(F.min("_far").alias("_far"))
+    all_near = F.count(F.when(F.col("_far") <= within_m, 1)) == F.count("*")
+    return far.groupBy("route_id").agg(F.when(all_near, F.max("_far")).alias("deviation_m"))
+
+
 def nearest_row_per_key(rows: DataFrame, *keys: str) -> DataFrame:
     """Exact duplicates (same keys): the one with the least lateral distance stays, ties to the smaller id."""
     w = Window.partitionBy(*keys).orderBy("lateral_m", "place_id")

@@ -305,7 +305,7 @@ def summit_names(summits: DataFrame, candidates: DataFrame) -> DataFrame:
 
     Summits go to all cells in reach, candidates to their own, so the join is an equi-join.
     """
-    rows, columns, row, column = cells(max(m for m, _ in NAMING.values()), "latitude", "longitude")
+    rows, columns, row, column = cells(max(m for m, _ in NAMING.values()), "latitude", "longitude", row="_row")
     asked = summits.withColumn("_row", rows).withColumn("_column", columns).select("climb_id", "_row", "_column", *[F.col(c).alias(f"_{c}") for c in ("latitude", "longitude", "elevation_m")])
     near = asked.join(candidates.withColumn("_row", row).withColumn("_column", column), ["_row", "_column"])
     far = equirectangular_m(F.col("_latitude"), F.col("_longitude"), F.col("latitude"), F.col("longitude"))

@@ -172,11 +172,11 @@ DAYS_SQL = """days AS (
         CAST(DATE '2024-06-01' + CAST(row_number() OVER w - 1 AS INT) AS DATE) AS date FROM days WINDOW w AS (PARTITION BY trip_id ORDER BY position))"""
 
 SQL = {
-    "name_keys": """WITH n AS (SELECT doc_id, lower(strip_accents(left(text, 60))) AS s FROM documents)
+    "name_keys": """WITH n AS (SELECT doc_id, lower(strip_accents(text)) AS s FROM documents)
         SELECT doc_id, nullif(regexp_replace(s, '[^a-z0-9]+', '', 'g'), '') AS key, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS words FROM n""",
     "climb_landmarks": """WITH o AS (SELECT o_orderkey AS id, o_custkey % 100 AS route_id, round(o_totalprice % 200, 2) AS km, o_orderpriority AS p FROM orders),
         j AS (SELECT c.route_id, c.id AS climb_id, m.id AS landmark_id, m.p AS name, row_number() OVER (PARTITION BY c.route_id, c.id ORDER BY CASE WHEN m.p = '1-URGENT' THEN 0 ELSE 1 END, abs(m.km - c.km), m.id) AS n
-            FROM o c JOIN o m ON c.route_id = m.route_id AND c.id % 3 = 0 AND m.id % 3 = 1 AND m.p <> '5-LOW' AND abs(m.km - c.km) <= 1)
+            FROM o c JOIN o m ON c.route_id = m.route_id AND c.id % 3 = 0 AND m.id % 3 <> 0 AND m.p <> '5-LOW' AND abs(m.km - c.km) <= 1)
         SELECT route_id, climb_id, landmark_id, name FROM j WHERE n = 1""",
     "track_metrics": f"WITH {STEPS_SQL} SELECT route_id, {METRICS}, count(elevation_m) AS with_altitude, round(count(elevation_m) / count(*), 6) AS coverage, count(elevation_m) / count(*) >= 0.5 AND count(elevation_m) >= 2 AS sufficient FROM series GROUP BY 1",
     "track_summary_by_segment": f"""WITH {POINTS_SQL}, st AS (SELECT *, coalesce({hav("lag(latitude) OVER w", "lag(longitude) OVER w", "latitude", "longitude")}, 0.0::DOUBLE) AS step_km,
@@ -242,7 +242,7 @@ SQL = {
         SELECT route_id, e, CAST(unnest(range(0, CAST(ceil((e - 0.1 - 1e-9) / 0.5) AS INT))) AS INT) AS tile FROM c WHERE e > 0.1)
         SELECT route_id, 1 AS number, tile, round(0.1 + tile * 0.5, 6)::DOUBLE AS from_km, round(least(e, 0.1 + tile * 0.5 + 0.5), 6)::DOUBLE AS to_km FROM t""",
     "feature_spacing": f"""WITH RECURSIVE {STEPS_SQL}, f AS (SELECT route_id, seq, distance_km, row_number() OVER (PARTITION BY route_id ORDER BY round(elevation_m, 6) DESC, distance_km) AS n FROM series
-            WHERE seq % 6 = 0 AND elevation_m IS NOT NULL),
+            WHERE elevation_m IS NOT NULL),
         p AS (SELECT route_id, n, [distance_km] AS kept, true AS take, seq FROM f WHERE n = 1 UNION ALL
             SELECT f.route_id, f.n, CASE WHEN len(list_filter(p.kept, lambda x: abs(x - f.distance_km) < 0.4)) = 0 THEN list_append(p.kept, f.distance_km) ELSE p.kept END,
                 len(list_filter(p.kept, lambda x: abs(x - f.distance_km) < 0.4)) = 0, f.seq FROM p JOIN f ON f.route_id = p.route_id AND f.n = p.n + 1)
@@ -323,11 +323,11 @@ SQL = {
     "stage_members": """WITH i AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INT) AS pos, l_partkey + CASE WHEN l_linenumber = 3 THEN 10000000 ELSE 0 END AS k FROM lineitem)
         SELECT l_orderkey, pos, p_partkey, p_size FROM i JOIN part ON p_partkey = k""",
     "days_of_place": "SELECT l_orderkey % 30 AS day, count(DISTINCT l_suppkey) AS places FROM lineitem WHERE l_orderkey % 30 < 10 GROUP BY 1",
-    "planned_files": """WITH p AS (SELECT 'f' || CAST(o_custkey AS VARCHAR) AS file_name, count(*) AS n FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1), f AS (SELECT 'f' || CAST(c_custkey AS VARCHAR) AS file_name, count(*) AS n FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1)
+    "planned_files": """WITH p AS (SELECT 'f' || CAST(o_custkey AS VARCHAR) AS file_name, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT 'f' || CAST(c_custkey AS VARCHAR) AS file_name, count(*) AS n FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1)
         SELECT coalesce(p.file_name, f.file_name) AS file_name, coalesce(p.n, 0) AS planned, coalesce(f.n, 0) AS present,
             CASE WHEN p.n IS NULL THEN 'unplanned' WHEN f.n IS NULL THEN 'missing' WHEN p.n > 1 OR f.n > 1 THEN 'ambiguous' ELSE 'ok' END AS status FROM p FULL JOIN f ON p.file_name = f.file_name""",
     "upsert": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN upper(c_name) ELSE c_name END AS c_name, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM customer",
-    "unique_name_matches": """WITH u AS (SELECT p_partkey % 1300 AS k, min(p_partkey) AS p_partkey FROM part GROUP BY 1 HAVING count(*) = 1) SELECT s_suppkey, p_partkey FROM supplier JOIN u ON s_suppkey % 400 = k""",
+    "unique_name_matches": """WITH u AS (SELECT p_partkey % 1300 AS k, min(p_partkey) AS p_partkey FROM part GROUP BY 1 HAVING count(*) = 1) SELECT s_suppkey, p_partkey FROM supplier JOIN u ON s_suppkey * 13 % 1300 = k""",
     "enrichment_status": """SELECT user_id * 20 + event_id % 20 AS request, count(*) AS parts, count(*) FILTER (event_type <> 'error') AS good,
         CASE WHEN count(*) = count(*) FILTER (event_type <> 'error') THEN 'success' WHEN count(*) FILTER (event_type <> 'error') > 0 THEN 'partial' ELSE 'error' END AS status FROM events GROUP BY 1""",
     "layer_counts": f"WITH {PLACES_SQL} SELECT layer, count(*) AS places, count(name) AS named, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM places GROUP BY 1",
@@ -456,3 +456,38 @@ STAGE_SQL = {
         UNION ALL SELECT CAST(l_orderkey * 10 + l_linenumber AS VARCHAR), 'duplicate-order' FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_partkey % 6) AS n FROM lineitem) WHERE n > 1""",
 }
 SQL |= STAGE_SQL
+
+
+def thin_sql(source: str, within: str) -> str:
+    """CTEs: the rows of `source` (route_id, grp, place_id, latitude, longitude, lateral_m) kept greedily, none within so many metres of another."""
+    near = f"""len(list_filter(p.kept, lambda x: sqrt(pow((radians(n.longitude) - radians(x.lo)) * cos((radians(n.latitude) + radians(x.la)) / 2), 2)
+        + pow(radians(n.latitude) - radians(x.la), 2)) * 6371000.0::DOUBLE <= {within}))"""
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY route_id, grp ORDER BY lateral_m, place_id) AS n FROM {source}),
+        p AS (SELECT route_id, grp, n, place_id, [struct_pack(la := latitude, lo := longitude)] AS kept, true AS take FROM n WHERE n = 1 UNION ALL
+            SELECT n.route_id, n.grp, n.n, n.place_id, CASE WHEN {near} = 0 THEN list_append(p.kept, struct_pack(la := n.latitude, lo := n.longitude)) ELSE p.kept END, {near} = 0
+            FROM p JOIN n ON n.route_id = p.route_id AND n.grp = p.grp AND n.n = p.n + 1)"""
+
+
+LOCATED_SQL = f"""{SEGMENT_SQL}, located AS (SELECT route_id, round(lateral_m, 4) AS lateral_m, place_id, name, latitude, longitude, place_id % 2 = 0 AS repair, place_id * 7 % 500 AS source_id,
+    ['water', 'toilet', 'bike-service', 'bakery', 'shelter'][place_id % 5 + 1] AS category FROM nearest JOIN places USING (place_id))"""
+SQL |= {
+    "thinned_places": f"""WITH RECURSIVE {LOCATED_SQL}, t AS (SELECT *, name AS grp FROM located WHERE name IS NOT NULL), {thin_sql("t", "40")} SELECT place_id, route_id FROM p WHERE take""",
+    "corridor_places": f"""WITH RECURSIVE {LOCATED_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY route_id, source_id ORDER BY lateral_m, place_id) AS z FROM located
+            WHERE lateral_m <= 240 AND (name IS NOT NULL OR category IN ('water', 'toilet', 'shelter') OR category = 'bike-service' AND repair)),
+        t AS (SELECT *, CASE WHEN name IS NOT NULL THEN 'n:' || name ELSE 'c:' || category END AS grp FROM s WHERE z = 1), {thin_sql("t", "CASE WHEN n.name IS NULL THEN 5 ELSE 40 END")}
+        SELECT route_id, place_id FROM p WHERE take""",
+    "corridor_features": f"""WITH RECURSIVE {LOCATED_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY route_id, source_id ORDER BY lateral_m, place_id) AS z FROM located
+            WHERE lateral_m <= CASE WHEN category = 'water' THEN 150 ELSE 250 END),
+        t AS (SELECT *, CASE WHEN category = 'water' THEN 'peak:' ELSE 'saddle:' END || name AS grp FROM s WHERE z = 1 AND name IS NOT NULL), {thin_sql("t", "25")}
+        SELECT route_id, place_id FROM p WHERE take UNION ALL SELECT route_id, place_id FROM s WHERE z = 1 AND name IS NULL""",
+    "nearest_named": f"""WITH {PLACES_SQL}, q AS (SELECT a.place_id % 150 AS route_id, a.place_id AS top_id, b.place_id AS point_id, b.name, {hav("a.latitude + 0.0004::DOUBLE", "a.longitude", "b.latitude", "b.longitude")} AS far_km
+            FROM places a JOIN places b ON a.place_id % 150 = b.place_id % 150 AND b.name IS NOT NULL),
+        z AS (SELECT *, row_number() OVER (PARTITION BY top_id ORDER BY far_km, point_id) AS z FROM q WHERE far_km <= 0.08) SELECT route_id, top_id, round(far_km, 4) AS far_km, point_id, name FROM z WHERE z = 1""",
+    "largest_deviation": f"""WITH {POINTS_SQL}, s AS (SELECT * FROM (SELECT *, max(seq) OVER (PARTITION BY route_id) AS m FROM track_points) WHERE seq % 9 = 0 OR seq = m),
+        g AS (SELECT route_id, latitude AS lat1, longitude AS lon1, lead(latitude) OVER w AS lat2, lead(longitude) OVER w AS lon2 FROM s WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+        f AS (SELECT t.route_id, seq, (lon2 - lon1) * xs AS ex, (lat2 - lat1) * ys AS ey, (longitude - lon1) * xs AS px, (latitude - lat1) * ys AS py FROM (SELECT t.route_id, t.seq, t.latitude, t.longitude, g.lat1, g.lon1, g.lat2, g.lon2,
+            cos(radians((lat1 + lat2 + t.latitude) / 3)) * (6371000.0::DOUBLE * {PI} / 180) AS xs, 6371000.0::DOUBLE * {PI} / 180 AS ys FROM track_points t JOIN g ON g.route_id = t.route_id AND lat2 IS NOT NULL) t),
+        d AS (SELECT route_id, seq, min(sqrt(pow(px - r * ex, 2) + pow(py - r * ey, 2))) AS far FROM (SELECT *, CASE WHEN ex * ex + ey * ey = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (px * ex + py * ey) / (ex * ex + ey * ey))) END AS r FROM f) GROUP BY 1, 2),
+        a AS (SELECT route_id, count(*) AS n FROM track_points GROUP BY 1)
+        SELECT a.route_id, round(CASE WHEN count(*) FILTER (far <= 500) = a.n THEN max(far) END, 4) + 0.0 AS deviation_m FROM a LEFT JOIN d USING (route_id) GROUP BY a.route_id, a.n""",
+}

@@ -278,6 +278,34 @@ def thinned_places(spark, sf_dir):
     return spatial.greedy_thinned(rows, "name", 40.0).select("place_id", "route_id")
 
 
+def located(spark, sf_dir) -> DataFrame:
+    near = spatial.nearest_segment(places(spark, sf_dir), track_points(spark, sf_dir), 250.0).withColumn("lateral_m", F.round("lateral_m", 4))
+    k = F.col("place_id")
+    kinds = F.element_at(F.array(*[F.lit(c) for c in ("water", "toilet", "bike-service", "bakery", "shelter")]), (k % 5 + 1).cast("int"))
+    rows = places(spark, sf_dir).select("place_id", "name", "latitude", "longitude", kinds.alias("category"), (k % 2 == 0).alias("repair"), (k * 7 % 500).alias("source_id"))
+    return near.select("place_id", "route_id", "lateral_m").join(rows, "place_id")
+
+
+def corridor_places(spark, sf_dir):
+    return spatial.corridor_places(located(spark, sf_dir), waypoints.name_key(F.col("name")), 240.0).select("route_id", "place_id")
+
+
+def corridor_features(spark, sf_dir):
+    rows = located(spark, sf_dir).withColumn("kind", F.when(F.col("category") == "water", "peak").otherwise("saddle"))
+    return spatial.corridor_features(rows, waypoints.name_key(F.col("name")), F.when(F.col("kind") == "peak", 150.0).otherwise(250.0)).select("route_id", "place_id")
+
+
+def nearest_named(spark, sf_dir):
+    p = places(spark, sf_dir).select((F.col("place_id") % 150).alias("route_id"), F.col("place_id").alias("point_id"), "name", "latitude", "longitude")
+    return rounded(spatial.nearest_named(p.select("route_id", F.col("point_id").alias("top_id"), (F.col("latitude") + 0.0004).alias("latitude"), "longitude"), p, 0.08), 4)
+
+
+def largest_deviation(spark, sf_dir):
+    pts = track_points(spark, sf_dir)
+    simple = pts.where("seq % 9 = 0").union(pts.groupBy("route_id").agg(F.max_by(F.struct(*pts.columns), "seq").alias("p")).select("p.*").where("seq % 9 <> 0"))
+    return rounded(spatial.largest_deviation(pts, simple, 500.0), 4)
+
+
 def unique_places(spark, sf_dir):
     near = spatial.nearest_segment(places(spark, sf_dir), track_points(spark, sf_dir), 250.0).withColumn("lateral_m", F.round("lateral_m", 4))
     rows = near.join(places(spark, sf_dir).select("place_id", "layer"), "place_id")
@@ -369,7 +397,7 @@ def upsert(spark, sf_dir):
 
 
 def unique_name_matches(spark, sf_dir):
-    left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey"), (F.col("s_suppkey") % 400).alias("k"))
+    left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey"), (F.col("s_suppkey") * 13 % 1300).alias("k"))
     right = table(spark, sf_dir, "part").select((F.col("p_partkey") % 1300).alias("k"), "p_partkey")
     return trip.unique_matches(left, right, "k", "p_partkey").select("s_suppkey", "p_partkey")
 
@@ -674,5 +702,6 @@ QUERIES = {
         summit_names, custom_pauses, stable_place_ids, endpoint_names, waypoint_visibility, documented_points, track_nearest_samples, automatic_pauses, documented_totals,
         day_slots, job_states, primary_alerts, retained_forecasts, live_progress, today_reference, stage_timing, pause_settings, placed_pauses, unused_places,
         paused_waypoints, slot_edits, time_markers, altitudes_between, route_fingerprints, column_keys, weather_labels, trip_periods, waypoint_order, point_roles, relation_issues,
+        corridor_places, corridor_features, nearest_named, largest_deviation,
     )
 }
