@@ -142,14 +142,14 @@ def points(spark, rows):
 def test_nearest_hour_ties_and_tolerance(spark):
     h = hours(spark, [("2024-01-01 10:00:00", {"apparent_c": 1.0}), ("2024-01-01 11:00:00", {"apparent_c": 2.0}), ("2024-01-01 23:00:00", {})])
     p = points(spark, [(1, 1, 1, "2024-01-01 10:30:00", 0.0, "poi", False), (2, 1, 1, "2024-01-01 12:00:00", 0.0, "poi", False), (3, 1, 1, "2024-01-01 12:01:00", 0.0, "poi", False), (4, 2, 1, "2024-01-01 10:00:00", 0.0, "poi", False), (5, 1, 1, "2024-01-02 00:00:00", 0.0, "poi", False)])
-    got = {r.point_id: r.apparent_c for r in forecast.nearest_hour(p, h, "point_id").collect()}
+    got = {r.point_id: r.apparent_c for r in forecast.nearest_hour(p, h).collect()}
     assert got == {1: 1.0, 2: 2.0, 3: None, 4: None, 5: 15.0}
 
 
 def test_hazards_in_their_order(spark):
     h = hours(spark, [("2024-01-01 10:00:00", {"apparent_c": 4.0, "gust_kph": 46.0, "snowfall_cm": 0.5, "visibility_m": 5000.0, "precipitation_mm": 0.6, "precipitation_pct": 60.0, "weather_code": 95, "freezing_m": 1700.0})])
     p = points(spark, [(1, 1, 1, "2024-01-01 10:00:00", 1500.0, "poi", False), (2, 1, 1, "2024-01-01 10:01:00", 1499.0, "poi", False)])
-    near = forecast.nearest_hour(p, h, "point_id").withColumn("upcoming", F.lit(True))
+    near = forecast.nearest_hour(p, h).withColumn("upcoming", F.lit(True))
     got = {}
     for r in forecast.alerts(near).orderBy("ord").collect():
         got.setdefault(r.point_id, []).append((r.risk, r.level))
@@ -172,7 +172,8 @@ def test_ranking_of_missing_values(spark):
     df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
     ranked = forecast.ranked(df)
     assert [r.offset for r in ranked.orderBy("rank").collect()] == [-60, 0, 60, 120]
-    assert forecast.recommendation(ranked).first().status == "keep-current"
+    context = spark.createDataFrame([(1, "live", False, None)], "day_id int, mode string, departed boolean, age_hours double")
+    assert forecast.recommendation(ranked.withColumn("coverage", F.lit(1.0)), context).first().status == "keep-current"
 
 
 def test_worst_code(spark):
