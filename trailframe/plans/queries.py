@@ -676,6 +676,27 @@ def point_roles(spark, sf_dir):
     return o.groupBy(role.alias("role"), stages.counts_for_risk(role, k % 2 == 0).alias("counts")).agg(F.count("*").alias("points"))
 
 
+def positions_at(spark, sf_dir):
+    timed = terrain.timing(slope_profile(spark, sf_dir)).withColumn("elevation_m", F.col("smoothed_m")).where("elevation_m is not null")
+    routes = timed.groupBy("route_id").agg((F.max("moving_minutes") + 3).alias("total_minutes")).select("route_id", "total_minutes", F.lit(100.0).alias("gain_m"), F.lit(50.0).alias("loss_m"))
+    stops_ = routes.select("route_id", F.inline(F.array(*[F.struct(F.lit(a).alias("start_minutes"), F.lit(b).alias("end_minutes")) for a, b in ((1.0, 2.0), (3.0, 5.0))])))
+    asked = routes.select("route_id", F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(e).alias("elapsed")) for i, e in enumerate((-1.0, 0.5, 1.5, 2.5, 4.0, 6.0, 7.5))])))
+    rows = stages.positions_at(timed, stops_, asked, routes)
+    return rounded(rows.select("route_id", "k", "paused", "track_km", "elevation_m"), 4)
+
+
+def downsampled_profiles(spark, sf_dir):
+    profile = slope_profile(spark, sf_dir).select("route_id", "k", F.round("smoothed_m", 4).alias("elevation_m")).where("elevation_m is not null")
+    return stages.downsampled(profile, 12).select("route_id", "k")
+
+
+def calendar_issues(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("day_id"), F.col("o_orderdate").cast("date").alias("first"), (F.col("o_orderkey") % 9).alias("index"))
+    k = F.col("day_id")
+    rows = o.withColumn("date", F.date_add("first", (F.col("index") + (k % 40 == 0).cast("int")).cast("int"))).withColumn("first", F.when(k % 60 != 1, F.col("first")))
+    return quality.date_issues(rows.withColumn("date", F.when(k % 120 != 1, F.col("date"))), "day_id", "date", "first", "index")
+
+
 def relation_issues(spark, sf_dir):
     """Planted faults: days and stages that don't point at each other, totals that aren't their parts', pauses out of order."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
@@ -702,6 +723,6 @@ QUERIES = {
         summit_names, custom_pauses, stable_place_ids, endpoint_names, waypoint_visibility, documented_points, track_nearest_samples, automatic_pauses, documented_totals,
         day_slots, job_states, primary_alerts, retained_forecasts, live_progress, today_reference, stage_timing, pause_settings, placed_pauses, unused_places,
         paused_waypoints, slot_edits, time_markers, altitudes_between, route_fingerprints, column_keys, weather_labels, trip_periods, waypoint_order, point_roles, relation_issues,
-        corridor_places, corridor_features, nearest_named, largest_deviation,
+        positions_at, downsampled_profiles, calendar_issues, corridor_places, corridor_features, nearest_named, largest_deviation,
     )
 }
