@@ -506,3 +506,19 @@ SQL |= {
     "calendar_issues": """WITH d AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS f, CAST(o_orderkey % 9 AS INT) AS i FROM orders)
         SELECT CAST(k AS VARCHAR) AS id, 'date-mismatch' AS code FROM d WHERE CASE WHEN k % 60 = 1 THEN k % 120 <> 1 ELSE k % 40 = 0 END""",
 }
+DOCUMENTED_SQL = """pt AS (SELECT l_orderkey AS trip_id, l_partkey AS point_id, ['matched', 'needs-review', 'unmatched'][l_suppkey % 3 + 1] AS status, CASE WHEN l_linenumber = 1 THEN 'pause' ELSE 'poi' END AS kind FROM lineitem WHERE l_partkey % 13 <> 0
+        OR l_partkey NOT IN (SELECT p_partkey FROM part)),
+    rs AS (SELECT pt.*, p_partkey IS NOT NULL AS listed, CASE WHEN p_partkey IS NOT NULL THEN CASE WHEN point_id % 2 = 0 THEN 'excluded' ELSE 'informational' END WHEN status = 'matched' THEN 'matched' ELSE 'user-decision-required' END AS resolution
+        FROM pt LEFT JOIN part ON p_partkey = point_id AND point_id % 11 = 0)"""
+SQL |= {
+    "resolved_points": f"""WITH {DOCUMENTED_SQL} SELECT status, resolution, CASE WHEN listed THEN 'said so' END AS justification, count(*) AS points, count(*) FILTER (listed AND point_id % 3 = 0) AS shown FROM rs GROUP BY ALL""",
+    "match_summaries": f"""WITH {DOCUMENTED_SQL}, d AS (SELECT o_orderkey AS trip_id, CASE WHEN o_orderpriority = '5-LOW' THEN 'off' ELSE 'ride' END AS kind, o_orderstatus = 'F' AS ready FROM orders),
+        a AS (SELECT trip_id, count(*) AS days, count(*) FILTER (kind = 'ride') AS rides, count(*) FILTER (kind = 'off') AS offs, count(*) FILTER (kind = 'ride' AND ready) AS ready, count(*) FILTER (kind = 'ride' AND NOT ready) AS unavailable FROM d GROUP BY 1),
+        b AS (SELECT trip_id, count(*) AS points, count(*) FILTER (status = 'matched') AS status_matched, count(*) FILTER (status = 'needs-review') AS status_needs_review, count(*) FILTER (status = 'unmatched') AS status_unmatched,
+            count(*) FILTER (resolution = 'matched') AS resolution_matched, count(*) FILTER (resolution = 'informational') AS resolution_informational, count(*) FILTER (resolution = 'excluded') AS resolution_excluded,
+            count(*) FILTER (resolution = 'user-decision-required') AS resolution_user_decision_required, count(*) FILTER (kind = 'pause' AND status = 'matched') AS matched_pauses,
+            count(*) FILTER (status = 'matched' AND point_id % 2 = 0) AS links FROM rs GROUP BY 1)
+        SELECT a.*, coalesce(points, 0) AS points, coalesce(status_matched, 0) AS status_matched, coalesce(status_needs_review, 0) AS status_needs_review, coalesce(status_unmatched, 0) AS status_unmatched,
+            coalesce(resolution_matched, 0) AS resolution_matched, coalesce(resolution_informational, 0) AS resolution_informational, coalesce(resolution_excluded, 0) AS resolution_excluded,
+            coalesce(resolution_user_decision_required, 0) AS resolution_user_decision_required, coalesce(matched_pauses, 0) AS matched_pauses, coalesce(links, 0) AS links FROM a LEFT JOIN b USING (trip_id)""",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions import clock, geo, terrain as rules, weather
-from trailframe.operators import climbs, forecast, quality, spatial, stages, terrain, track, trip, waypoints
+from trailframe.operators import climbs, forecast, quality, roadbook, spatial, stages, terrain, track, trip, waypoints
 from trailframe.plans.carriers import hourly, stops, table, track_points
 
 HORIZON = ("2024-01-02 00:00:00", "2024-01-25 00:00:00")
@@ -697,6 +697,32 @@ def calendar_issues(spark, sf_dir):
     return quality.date_issues(rows.withColumn("date", F.when(k % 120 != 1, F.col("date"))), "day_id", "date", "first", "index")
 
 
+def documented(spark, sf_dir) -> DataFrame:
+    """Lines of orders as documented points, with a list of editorial entries and one of suppressed points."""
+    line = table(spark, sf_dir, "lineitem")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("matched", "needs-review", "unmatched")]), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    points = line.select(
+        F.col("l_orderkey").alias("trip_id"), F.col("l_partkey").alias("point_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), status.alias("status"),
+        F.when(F.col("l_linenumber") == 1, "pause").otherwise("poi").alias("kind"),
+    )
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point_id"))
+    k = F.col("point_id")
+    entries = part.where("point_id % 11 = 0").select(k, F.when(k % 2 == 0, "excluded").otherwise("informational").alias("resolution"), F.lit("said so").alias("justification"), F.when(k % 3 == 0, "shown").alias("display_name"))
+    return roadbook.resolved(points, entries, part.where("point_id % 13 = 0"))
+
+
+def resolved_points(spark, sf_dir):
+    rows = documented(spark, sf_dir)
+    return rows.groupBy("status", "resolution", "justification").agg(F.count("*").alias("points"), F.count_if(F.col("name") == "shown").alias("shown"))
+
+
+def match_summaries(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trip_id"), "o_orderpriority", "o_orderstatus")
+    days_ = o.select("trip_id", F.when(F.col("o_orderpriority") == "5-LOW", "off").otherwise("ride").alias("kind"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("unavailable").alias("status"))
+    points = documented(spark, sf_dir)
+    return roadbook.match_summary(days_, points, points.where("status = 'matched' and point_id % 2 = 0"))
+
+
 def relation_issues(spark, sf_dir):
     """Planted faults: days and stages that don't point at each other, totals that aren't their parts', pauses out of order."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
@@ -723,6 +749,6 @@ QUERIES = {
         summit_names, custom_pauses, stable_place_ids, endpoint_names, waypoint_visibility, documented_points, track_nearest_samples, automatic_pauses, documented_totals,
         day_slots, job_states, primary_alerts, retained_forecasts, live_progress, today_reference, stage_timing, pause_settings, placed_pauses, unused_places,
         paused_waypoints, slot_edits, time_markers, altitudes_between, route_fingerprints, column_keys, weather_labels, trip_periods, waypoint_order, point_roles, relation_issues,
-        positions_at, downsampled_profiles, calendar_issues, corridor_places, corridor_features, nearest_named, largest_deviation,
+        resolved_points, match_summaries, positions_at, downsampled_profiles, calendar_issues, corridor_places, corridor_features, nearest_named, largest_deviation,
     )
 }

@@ -38,6 +38,12 @@ def admission_issues(files: DataFrame) -> DataFrame:
     return files.select("file_name", code.alias("code")).where("code is not null")
 
 
+def structure_counts(files: DataFrame) -> DataFrame:
+    """file_name and how many waypoints, route points, and name, desc, sym and extensions elements a file has, whatever their prefixes."""
+    count = lambda tag: F.regexp_count("xml", F.lit(rf"<(?:[A-Za-z_][\w.-]*:)?{tag}[\s/>]")).alias(f"{tag}_count")
+    return files.select("file_name", *[count(t) for t in ("wpt", "rtept", "name", "desc", "sym", "extensions")])
+
+
 def parsed(files: DataFrame) -> DataFrame:
     options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     return files.withColumn("gpx", F.from_xml("xml", SCHEMA, options))
