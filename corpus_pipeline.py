@@ -5,6 +5,10 @@ writes each result as Parquet and reads it as the next one's docs.  All but the
 last return the columns of documents.  Null and empty texts: the language stage
 drops them (they have no language).  Repeated and null ids: near copies are
 dropped by row, so rows of one id both stay where their texts are no copies.
+Very long texts are read whole by every stage.  Ties: languages go by name, and
+of near copies the smallest id stays, then the smallest hash of the row.  An
+empty table gives an empty one.  Other columns pass through whatever their names,
+but for copy and mix_key, which the last stage adds.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe.llm import decontam, jaccard, langid, mixing, pii
-from trailframe.llm.common import shared_path, table, written
+from trailframe.llm.common import fresh, shared_path, table, written
 from trailframe.llm.registry import PII_KEY
 
 
@@ -27,15 +31,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are told apart by a hash of all columns, as ids may be repeated or null.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    ids = keyed.select(F.col("_row").alias("_r"), F.col("doc_id").alias("_id")).distinct()
-    found = jaccard.jaccard_join(keyed, id_col="_row").where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
+    row = fresh("row", docs.columns)
+    other = fresh("other", [*docs.columns, row])
+    keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
+    ids = keyed.select(F.col(row).alias("_r"), F.col("doc_id").alias("_id")).distinct()
+    found = jaccard.jaccard_join(keyed, id_col=row).where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
     named = written(found.join(ids, F.col("doc_id") == F.col("_r")).select("_r", "_id", "component_id", "n"), "copies")
     first = named.groupBy(F.col("component_id").alias("_group")).agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_r")).alias("b")).select("_group", F.col("b._r").alias("_kept"))
     placed = named.join(first, F.col("component_id") == F.col("_group"))
-    single = keyed.join(placed.where("_r <> _kept or n > 1").select("_r"), F.col("_row") == F.col("_r"), "left_anti")
+    same = F.col(row) == F.col(other)
+    single = keyed.join(placed.where("_r <> _kept or n > 1").select(F.col("_r").alias(other)), same, "left_anti")
     # equal rows have one hash: only these are brought together
-    equal = keyed.join(placed.where("_r = _kept and n > 1").select("_r"), F.col("_row") == F.col("_r"), "left_semi").dropDuplicates(["_row"])
+    equal = keyed.join(placed.where("_r = _kept and n > 1").select(F.col("_r").alias(other)), same, "left_semi").dropDuplicates([row])
     return single.union(equal).select(*docs.columns)
 
 
