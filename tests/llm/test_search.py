@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailframe.llm import ann, decontam, jaccard, langid, words
 
@@ -305,3 +306,17 @@ def test_near_copies_go_by_row(spark):
     docs = spark.createDataFrame(rows + rows[-1:], "doc_id long, text string")
     got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got) == [(1, one), (5, two), (7, three), (9, ""), (9, "")]
+
+
+def test_stages_take_empty_tables_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(0, "an item of some words that stands here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clash = ("row", "other", "_r", "_id", "_row", "_kept", "n", "component_id", "found", "made", "held_out", "h", "most")
+    rows = [(i, " ".join(WORDS["en"].split() * (1 + i)), "en", "s", 0) for i in range(6)] + [(None, None, None, None, None), (9, "the of and " * 30_000, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in clash})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns and (name == "mix" or out.columns == docs.columns)
+        assert out.where(" or ".join(f"{c} <> '{c}'" for c in clash)).count() == 0
