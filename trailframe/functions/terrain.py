@@ -78,7 +78,7 @@ def pause_count(moving_minutes: Column) -> Column:
 
 #: Least length, gain and average grade of a major climb, by kind of country; any of the triples will do. Fixed values.
 MAJOR = {
-    False: ((1.5, 100.0, 2.0), (1.0, 60.0, 3.0), (0.5, 40.0, 4.0)),
+    False: CLIMB_PROFILES,
     True: ((4.0, 300.0, 3.0), (1.5, 150.0, 6.0)),
 }
 
