@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trailframe.llm import ann, decontam, html_text, jaccard, langid, licenses, mixing, pii, tokens, warc
+from trailframe.llm import ann, codes, decontam, html_text, jaccard, langid, lexical, licenses, mixing, neardup, pii, tokens, warc
 from trailframe.llm.common import table
 
 #: Key of the pseudonyms in the registered query; real uses pass their own.
@@ -58,6 +59,20 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "source", "cast(copy as long) as copy", "mix_key", "text")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    found = codes.with_label_errors(coded).withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_ann_curves": op1_ann_curves,
     "op2_license_scan": op2_license_scan,
@@ -69,9 +84,69 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_mix": op10_mix,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+#: Components of an embedding in each of its 8 parts, in the SQL of the codes.
+PART = 8
+
+
+def codes_sql() -> str:
+    """The rounds of codes.compress, one behind the other; sums, floors and ties are integers."""
+    entry = "min(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) * 16 + c.k)"
+    steps = []
+    for r in range(7):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT p.vec_id, p.label, p.part, any_value(p.v) AS v, CAST({entry} AS BIGINT) AS m FROM p JOIN c{r} c ON p.part = c.part GROUP BY ALL)")
+        if r < 6:
+            means = ", ".join(f"CAST((sum(v[{i}]) - ((sum(v[{i}]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)" for i in range(1, PART + 1))
+            steps.append(f"u{r} AS MATERIALIZED (SELECT part, m % 16 AS k, [{means}] AS v FROM a{r} GROUP BY ALL)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.k, coalesce(u.v, c.v) AS v FROM c{r} c LEFT JOIN u{r} u ON u.part = c.part AND u.k = c.k)")
+    return f"""
+        WITH e AS (
+            SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS MATERIALIZED (
+            SELECT vec_id, label, part, list_transform(range(1, {PART + 1}), lambda i: CAST(floor(4096 * CAST(embedding[part * {PART} + i] AS DOUBLE)) AS BIGINT)) AS v
+            FROM e, range(8) t(part)
+        ), s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM e QUALIFY k < 16),
+        c0 AS MATERIALIZED (SELECT part, k, v FROM p JOIN s USING (vec_id)),
+        {", ".join(steps)},
+        h AS (SELECT sha256(string_agg(x, ',' ORDER BY part, k)) AS codebooks_sha256 FROM (SELECT part, k, array_to_string(v, ',') AS x FROM c6)),
+        o AS (
+            SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m % 16), '' ORDER BY part) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a6 GROUP BY vec_id
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o, h"""
+
+
 SQL = {
+    "op11_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+        ), g AS (SELECT count(*) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d WHERE len(ws) > 0),
+        t AS (SELECT r, doc_id, n, w, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS w FROM d) GROUP BY ALL),
+        f AS (SELECT w, CAST(floor(1000 * ln((2 * g.n + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM t, g GROUP BY w, g.n),
+        i AS (
+            SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark
+        ), s AS (
+            SELECT q, item_id, doc_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * t.n * g.n) // g.l)))) AS BIGINT) AS score
+            FROM (SELECT q, item_id, unnest(ws) AS w FROM i) JOIN f USING (w) JOIN t USING (w), g GROUP BY ALL
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
+    "op12_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS MATERIALIZED (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op13_vector_codes": codes_sql(),
     "op3_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
