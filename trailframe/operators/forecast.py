@@ -60,10 +60,21 @@ def hourly_summary(hours: DataFrame, *keys: str) -> DataFrame:
     return hours.groupBy(*keys).agg(*out)
 
 
+def findings(points: DataFrame, *keep: str) -> DataFrame:
+    """A row for each finding of each point, and one with nulls for a point without; `first` marks one row a point.
+
+    Outer, as an inner explode makes the optimizer infer a filter on the findings
+    and push it below the choice of the nearest hour, which would then be made again
+    for each of their parts.
+    """
+    risky = add_hazards(points.withColumn("exposed", exposed(F.col("kind"), F.col("elevation_m"), F.col("strategic"))))
+    rows = risky.select("day_id", "point_id", "eta", "upcoming", *keep, F.posexplode_outer("findings").alias("_at", "_f"))
+    return rows.select("day_id", "point_id", "eta", "upcoming", *keep, "_f.*", (F.coalesce("_at", F.lit(0)) == 0).alias("first"))
+
+
 def alerts(points: DataFrame) -> DataFrame:
     """One row a finding, in day order: `ord` by time, point and hazard rank."""
-    risky = add_hazards(points.withColumn("exposed", exposed(F.col("kind"), F.col("elevation_m"), F.col("strategic"))))
-    rows = risky.select("day_id", "point_id", "eta", "upcoming", F.inline("findings"))
+    rows = findings(points).where("level is not null").drop("first")
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("day_id").orderBy("eta", "point_id", "rank")))
 
 
@@ -86,11 +97,15 @@ def coverage(points: DataFrame, *keys: str) -> DataFrame:
     return counted.withColumn("coverage", F.when(F.col("_all") > 0, F.col("_has") / F.col("_all"))).drop("_all", "_has")
 
 
+def doubts(now: Column, minimum: float, trusted_hours: int) -> Column:
+    """What speaks against the data of a row with coverage and fetched_at."""
+    age = (ntz_seconds(now) - ntz_seconds(F.col("fetched_at"))) / 3600
+    return F.array_compact(F.array(F.when(F.col("coverage") < minimum, "forecast-coverage"), F.when(age > trusted_hours, "stale-data")))
+
+
 def meta_alerts(days: DataFrame, now: Column, minimum: float = MINIMUM_COVERAGE, trusted_hours: int = TRUSTED_HOURS) -> DataFrame:
     """days(day_id, coverage, fetched_at): a row for each alert on the data itself, of level unknown and always upcoming."""
-    age = (ntz_seconds(now) - ntz_seconds(F.col("fetched_at"))) / 3600
-    found = F.array_compact(F.array(F.when(F.col("coverage") < minimum, "forecast-coverage"), F.when(age > trusted_hours, "stale-data")))
-    return days.select("day_id", F.explode(found).alias("risk")).select("day_id", "risk", F.lit("unknown").alias("level"), F.lit(True).alias("upcoming"))
+    return days.select("day_id", F.explode(doubts(now, minimum, trusted_hours)).alias("risk")).select("day_id", "risk", F.lit("unknown").alias("level"), F.lit(True).alias("upcoming"))
 
 
 def day_risk(points: DataFrame, fetched: DataFrame | None = None, now: Column | None = None) -> DataFrame:
@@ -98,14 +113,25 @@ def day_risk(points: DataFrame, fetched: DataFrame | None = None, now: Column |
 
     fetched: day_id and fetched_at of the answers, compared with `now`.
     """
-    per_day = alert_groups(alerts(points)).groupBy("day_id").agg(
-        F.count_if(F.col("level") == "red").alias("red"), F.count_if(F.col("level") == "orange").alias("orange"),
-        F.count_if((F.col("level") == "red") & F.col("upcoming")).alias("upcoming_red"), F.count_if((F.col("level") == "orange") & F.col("upcoming")).alias("upcoming_orange"),
+    rows = findings(points.withColumn("_has", F.col("forecast_time").isNotNull()).withColumn("_essential", F.col("kind").isin(*ESSENTIAL)), "_has", "_essential")
+    # alerts first, in day order; the groups are those of alert_groups, and the other rows are there to be counted
+    w = Window.partitionBy("day_id").orderBy(F.col("level").isNull(), "eta", "point_id", "rank")
+    new = F.col("level").isNotNull() & F.coalesce((F.lag("risk").over(w) != F.col("risk")) | (F.lag("level").over(w) != F.col("level")), F.lit(True))
+    marked = rows.withColumn("_new", new.cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    once = F.col("first")
+    groups = marked.groupBy("day_id", "_island").agg(
+        F.min("level").alias("_level"), F.bool_or(F.col("upcoming") & F.col("level").isNotNull()).alias("_upcoming"), F.count_if(once & F.col("_has")).alias("covered"),
+        F.count_if(once & ~F.col("_has")).alias("missing"), F.count_if(once & F.col("_essential")).alias("_all"), F.count_if(once & F.col("_essential") & F.col("_has")).alias("_known"),
+    )
+    of = lambda level: F.col("_level") == level
+    days = groups.groupBy("day_id").agg(
+        *(F.sum(c).alias(c) for c in ("covered", "missing", "_all", "_known")), F.count_if(of("red")).alias("red"), F.count_if(of("orange")).alias("orange"),
+        F.count_if(of("red") & F.col("_upcoming")).alias("upcoming_red"), F.count_if(of("orange") & F.col("_upcoming")).alias("upcoming_orange"),
     )
-    cover = coverage(points, "day_id")
-    answers = cover.withColumn("fetched_at", F.lit(None).cast("timestamp_ntz")) if fetched is None else cover.join(fetched, "day_id", "left")
-    meta = meta_alerts(answers, F.lit(None).cast("timestamp_ntz") if now is None else now).groupBy("day_id").agg(F.count("*").alias("unknown"))
-    rows = cover.join(per_day, "day_id", "left").join(meta, "day_id", "left").fillna(0, ["red", "orange", "upcoming_red", "upcoming_orange", "unknown"])
+    days = days.withColumn("coverage", F.when(F.col("_all") > 0, F.col("_known") / F.col("_all"))).drop("_all", "_known")
+    answers = days.withColumn("fetched_at", F.lit(None).cast("timestamp_ntz")) if fetched is None else days.join(fetched, "day_id", "left")
+    said = doubts(F.lit(None).cast("timestamp_ntz") if now is None else now, MINIMUM_COVERAGE, TRUSTED_HOURS)
+    rows = answers.withColumn("unknown", F.size(said).cast("long")).drop("fetched_at")
     level = F.when(F.col("red") > 0, "red").when(F.col("orange") > 0, "orange").when(F.col("unknown") > 0, "unknown").otherwise("green")
     return rows.withColumn("level", level)
 

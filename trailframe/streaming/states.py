@@ -1,4 +1,4 @@
-"""Import jobs and forecast answers as keyed state: the same rules as a stream with state, timers and TTL, and as a fold over a log.
+"""Import jobs and forecast answers as keyed state: the same rules as a stream with state, TTL and timers, and as a fold over a log.
 
 The streams use transformWithState, whose state lies in RocksDB: the session must
 name it in spark.sql.streaming.stateStore.providerClass before the query starts.
@@ -8,7 +8,6 @@ A log that arrives in order gives the same rows either way, whatever the batches
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -24,15 +23,21 @@ KEPT_HOURS = 24
 TRANSITIONS = "job_id long, seq long, at timestamp, before string, asked string, legal boolean, status string, progress double, error string"
 ASKS = "request long, seq long, at timestamp, state string, fetch boolean, payload string, age_minutes double"
 JOB_STATE = "status string, progress double, error string"
-ANSWER_STATE = "fetched_at timestamp, payload string, pending boolean"
+ANSWER_STATE = "fetched_us long, payload string, pending boolean"
 LEGAL = {(None, STEPS[0]), *zip(STEPS, STEPS[1:]), *((s, FAILED) for s in STEPS[:-1])}
 
 
 class JobProcessor(StatefulProcessor):
-    """Of each job the status; a step that isn't next is told and changes nothing."""
+    """Of each job the status; a step that isn't next is told and changes nothing.
+
+    The state of a job that nobody has asked for in a long time goes by its TTL.
+    """
+
+    def __init__(self, kept_days: int) -> None:
+        self.kept = kept_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.job = handle.getValueState("job", JOB_STATE)
+        self.job = handle.getValueState("job", JOB_STATE, ttlDurationMs=self.kept)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.job.get() if self.job.exists() else (None, None, None)
@@ -51,9 +56,9 @@ class JobProcessor(StatefulProcessor):
         pass
 
 
-def job_stream(log: DataFrame) -> DataFrame:
+def job_stream(log: DataFrame, kept_days: int = 30) -> DataFrame:
     """Transitions of a streaming log (job_id, seq, at, status, progress, error)."""
-    return log.groupBy("job_id").transformWithState(JobProcessor(), outputStructType=TRANSITIONS, outputMode="Append", timeMode="None")
+    return log.groupBy("job_id").transformWithState(JobProcessor(kept_days), outputStructType=TRANSITIONS, outputMode="Append", timeMode="ProcessingTime")
 
 
 def transitions(log: DataFrame) -> DataFrame:
@@ -80,12 +85,12 @@ class AnswerProcessor(StatefulProcessor):
     """Of each request the last answer, and whether a fetch is on its way.
 
     Asks are told what is there and whether to fetch: a missing or stale answer is
-    fetched once until the next one comes.  State goes when an event-time timer ends
-    the answer's life, and by TTL where no event moves the clock any more.
+    fetched once until the next one comes.  An event-time timer, set anew by every
+    answer, removes the state when nothing can come of it any more.
     """
 
     def __init__(self, fresh_minutes: int, kept_hours: int) -> None:
-        self.fresh, self.kept = timedelta(minutes=fresh_minutes), timedelta(hours=kept_hours)
+        self.fresh, self.kept = fresh_minutes * 60_000_000, kept_hours * 3_600_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -93,12 +98,12 @@ class AnswerProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         fetched, payload, pending = self.answer.get() if self.answer.exists() else (None, None, False)
-        for r in sorted(rows, key=lambda r: (r.at, r.payload is None, r.seq)):
+        for r in sorted(rows, key=lambda r: (r.at_us, r.payload is None, r.seq)):
             if r.payload is not None:
-                if fetched is None or r.at >= fetched:
-                    fetched, payload, pending = r.at, r.payload, False
+                if fetched is None or r.at_us >= fetched:
+                    fetched, payload, pending = r.at_us, r.payload, False
                 continue
-            age = None if fetched is None else r.at - fetched
+            age = None if fetched is None else r.at_us - fetched
             if age is not None and age > self.kept:
                 if payload is not None:
                     payload, pending = None, False
@@ -106,12 +111,12 @@ class AnswerProcessor(StatefulProcessor):
             state = "miss" if age is None else "fresh" if age <= self.fresh else "stale"
             fetch = state != "fresh" and not pending
             pending = pending or fetch
-            yield Row(request=key[0], seq=r.seq, at=r.at, state=state, fetch=fetch, payload=payload if state != "miss" else None, age_minutes=None if age is None else age.total_seconds() / 60)
+            yield Row(request=key[0], seq=r.seq, at=r.at, state=state, fetch=fetch, payload=payload if state != "miss" else None, age_minutes=None if age is None else age / 60e6)
         self.answer.update((fetched, payload, pending))
         if fetched is not None:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
-            self.handle.registerTimer(int((fetched + 2 * self.kept).timestamp() * 1000))
+            self.handle.registerTimer((fetched + 2 * self.kept) // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Long after an answer's life and without a newer one: nothing is left to be told apart from a miss."""
@@ -125,7 +130,7 @@ class AnswerProcessor(StatefulProcessor):
 
 def answer_stream(events: DataFrame, late: str = "1 hour", fresh_minutes: int = FRESH_MINUTES, kept_hours: int = KEPT_HOURS) -> DataFrame:
     """Asks of a streaming log (request, seq, at, payload: an answer's, null for an ask), each with what it was told."""
-    marked = events.withWatermark("at", late)
+    marked = events.withWatermark("at", late).withColumn("at_us", F.unix_micros("at"))
     return marked.groupBy("request").transformWithState(AnswerProcessor(fresh_minutes, kept_hours), outputStructType=ASKS, outputMode="Append", timeMode="EventTime")
 
 
