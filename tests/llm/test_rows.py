@@ -266,3 +266,26 @@ def test_high_rates_are_drawn(spark, rate):
     mean = sum(counts) / len(counts)
     spread = sum((n - mean) ** 2 for n in counts) / len(counts)
     assert abs(mean - rate) < 5 * (rate / len(counts)) ** 0.5 and 0.7 * rate < spread < 1.3 * rate
+
+
+def test_pii_secrets_end_at_white_space_and_hosts_have_any_number_of_labels(spark):
+    secrets = {
+        "password: {}": "Hunter22!tailOfSecret99", "token={}": "aGVhZGVy1.cGF5bG9hZDAx.c2lnbmF0dXJlMDE", "PASSWORD={}": "Zebra77#Zebra77", "API_KEY={}": "k9k9k9k9k9k9",
+        "aws_secret_access_key = {}": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "my-token : '{}'": "abcd1234efgh==", '{{"password": "{}"}}': "qwe=rty?uio1", "dbPassword={}": "xyzzy12345xyzzy",
+    }
+    rows = [(i, "see " + shape.format(value) + ", then") for i, (shape, value) in enumerate(secrets.items())]
+    rows += [(90, "x@a.b.c.d.e.f.g.h.i.j.com"), (91, "x@" + "y" * 70 + ".com"), (92, "tokenizer: word2vec300 secretary: 12345678 my passwords 12345678")]
+    got = {r.i: r for r in pii.pseudonymize(spark.createDataFrame(rows, "i int, text string"), "k").collect()}
+    for i, (shape, value) in enumerate(secrets.items()):
+        head, tail = ("see " + shape.format("|") + ", then").split("|")
+        made = got[i].pii_text
+        assert got[i].pii_found == ["secret"] and made.startswith(head) and made.endswith(tail), made
+        new = made[len(head) : len(made) - len(tail)]
+        assert len(new) == len(value) and re.sub("[0-9A-Za-z]", "x", new) == re.sub("[0-9A-Za-z]", "x", value)
+        same = [a == b for a, b in zip(new, value, strict=True) if a.isalnum()]
+        assert sum(same) <= max(4, len(same) // 3)
+        longest = max(len(run) for run in "".join("x" if s else " " for s in same).split(" "))
+        assert longest <= 3
+    hosts = got[90].pii_text.split("@")[1].split(".")
+    assert got[90].pii_found == ["email"] and len(hosts) == 11 and hosts[-1] == "com" and hosts[:-1] != list("abcdefghij")
+    assert got[91].pii_found == [] and got[92].pii_found == []

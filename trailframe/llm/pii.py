@@ -10,15 +10,20 @@ and always maps a value to the same pseudonym, so equal values stay linked
 across documents.  A text is split at the matches and joined again in its row:
 there is no shuffle, and a hot source costs what its bytes cost.
 
+A secret is what stands behind a name that says so (in any case, with words before
+or behind it): all up to the next white space or quotation mark, but for punctuation
+at its end.  Its letters and digits (ASCII) are permuted; other characters stay.
+
 The round function is SHA-256 over key, round and the other half, so whoever
 holds no key can't invert it.  The key is a parameter; keep it out of the code.
 
 Defined results: null text stays null with nothing found; empty text stays
 empty; candidates that fail their check stay as they are; overlapping
-candidates: the first in the text, then the first kind in KINDS; texts and
-secrets of any length are read whole; rows repeat as they come; every other
-column passes through unchanged, whatever its name (pii_text and pii_found are
-replaced).
+candidates: the first in the text, then the first kind in KINDS; texts, secrets
+and host names of any length are read whole (an address whose parts are longer
+than the standard lets them be is none); rows repeat as they come; an empty
+table gives none; every other column passes through unchanged, whatever its
+name (pii_text and pii_found are replaced).
 """
 
 from __future__ import annotations
@@ -31,9 +36,10 @@ from trailframe.llm.common import fresh
 BEFORE, AFTER = r"(?<![0-9A-Za-z.+-])", r"(?![0-9A-Za-z]|[.-][0-9])"
 #: Kinds in order of precedence, and the pattern of each.  No pattern nests repetitions of varying length.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})++(?![A-Za-z0-9-])",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_key|apikey)\s?[=:]\s?[\"']?(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{8,}+",
+    r"|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{0,60}?(?i:passwords?|passwd|pwd|tokens?|secrets?|api[_-]?keys?|access[_-]?keys?|private[_-]?keys?)(?:[_-][A-Za-z0-9_-]{0,60})?"
+    r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[^\s\"']*[0-9])[^\s\"']{8,}(?<=[A-Za-z0-9_/+=-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}"
     r"| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}){1,6}(?: (?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
@@ -48,7 +54,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Part of a secret that is kept: its name, or the fixed prefix of the key.
-SECRET_HEAD = r"^(?:AKIA|[a-z_]+\s?[=:]\s?[\"']?)"
+SECRET_HEAD = r"^(?:AKIA|[A-Za-z0-9_-]+[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
 #: Country code of a telephone number, kept as well (the lengths of the codes are fixed: E.164); 1 may stand without a plus.
 PHONE_LEAD = r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})|1(?=[ .-]?[(2-9]))"
 ROUNDS = 8
