@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from trailframe.functions.geo import EARTH_KM, EARTH_M, equirectangular_m
+from trailframe.functions.geo import EARTH_KM, EARTH_M, equirectangular_m, haversine_km
 from trailframe.operators.spatial import cells
 
 
@@ -253,6 +253,34 @@ def file_order(files: DataFrame, loop_km: float = 2.0) -> DataFrame:
     return files.groupBy("trip_id").applyInPandas(fold, "trip_id long, file_name string, position int, method string, is_loop boolean")
 
 
+def rotated(order: DataFrame, first: DataFrame) -> DataFrame:
+    """A loop's files from a chosen first one on, in the direction with the smaller sum of gaps (as they are, where both are equal).
+
+    order: trip_id, file_name, position, lat1, lon1, lat2, lon2 (start and end); first: trip_id, file_name.
+    The gaps of the whole cycle are summed once for each direction; a rotation lacks
+    the one gap into its first file, so every rotation is known from two sums and
+    two gaps.  Without a choice, or with an unknown file, a trip keeps its order.
+    """
+    whole = Window.partitionBy("trip_id")
+    w = whole.orderBy("position")
+    place = F.struct("lat1", "lon1", "lat2", "lon2")
+    rows = order.withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(whole))
+    rows = rows.withColumn("_next", F.coalesce(F.lead(place).over(w), F.first(place).over(w)))
+    ahead = haversine_km(F.col("lat2"), F.col("lon2"), F.col("_next.lat1"), F.col("_next.lon1"))
+    back = haversine_km(F.col("_next.lat2"), F.col("_next.lon2"), F.col("lat1"), F.col("lon1"))
+    rows = rows.withColumn("_ahead", ahead).withColumn("_back", back)
+    chosen = first.select("trip_id", F.col("file_name").alias("_first")).dropDuplicates(["trip_id"])
+    rows = rows.join(chosen, "trip_id", "left")
+    start = F.max(F.when(F.col("file_name") == F.col("_first"), F.col("_k"))).over(whole)
+    rows = rows.withColumn("_p", start)
+    into = F.max(F.when(F.pmod(F.col("_k") + 1, F.col("_n")) == F.col("_p"), F.col("_ahead"))).over(whole)
+    out = F.max(F.when(F.col("_k") == F.col("_p"), F.col("_back"))).over(whole)
+    turn = F.coalesce(F.sum("_back").over(whole) - out < F.sum("_ahead").over(whole) - into, F.lit(False))
+    rows = rows.withColumn("_turn", turn)
+    at = F.when(F.col("_turn"), F.pmod(F.col("_p") - F.col("_k"), F.col("_n"))).otherwise(F.pmod(F.col("_k") - F.coalesce("_p", F.lit(0)), F.col("_n")))
+    return rows.select("trip_id", "file_name", at.cast("int").alias("position"), F.when(F.col("_turn"), "backward").otherwise("forward").alias("direction"))
+
+
 def aligned(documented: DataFrame, detected: DataFrame, within_m: float = 150.0) -> DataFrame:
     """Order-preserving alignment of documented passes to detected summits of a day: most matches, then the least height error.
 
