@@ -83,6 +83,83 @@ def test_html_clusters_choose_the_content(page, want):
     assert html_text.main_text(page).split("\n\n") == want
 
 
+OUT = (
+    "cookie-consent newsletter-signup social-share comment-thread comment-body commentlist google-ad adsbygoogle sponsored-content notification notice notice-box site-nav postComments related-posts sign-up-form "
+    "search-box page-footer".split()
+)
+
+
+@pytest.mark.parametrize("name", OUT)
+@pytest.mark.parametrize("tag", ["div", "p", "article", "section", "ul"])
+def test_html_leaves_marked_elements_out(name, tag):
+    inner = f"<li>{LONG}</li>" if tag == "ul" else LONG
+    page = f"<article><h1>{KEPT}</h1>" + f"<p>{LONG}</p>" * 3 + f"<{tag} class='x {name}'>{inner}</{tag}></article>"
+    assert html_text.main_text(page).split("\n\n") == [KEPT, *[LONG.strip()] * 3]
+    assert LONG.strip() not in html_text.main_text(f"<article><p>{KEPT}</p></article><{tag} id={name}>{inner}</{tag}>" if html_text.said_by(name) == "all" else "")
+
+
+@pytest.mark.parametrize("name", ["related-work", "category-ads", "no-comments", "has-sidebar", "search-and-rescue", "notice-of-meeting", "header-image", "adventure", "commentary", "side note", "comments-open", "ad-free"])
+def test_html_keeps_what_only_sounds_like_it(name):
+    page = f"<article><p>{LONG}</p><div class='{name}'><p>{KEPT}</p></div></article>"
+    assert html_text.main_text(page).split("\n\n") == [LONG.strip(), KEPT]
+
+
+def test_html_keeps_doubtful_elements_with_most_of_the_text_and_drops_the_hidden():
+    assert html_text.main_text(f"<div class=search><p>{LONG}</p><p>{LONG}</p></div><div class=notice>{KEPT}</div>").split("\n\n") == [LONG.strip()] * 2
+    for hidden in ("style='display: none'", "style='visibility:hidden'", "hidden", "aria-hidden=true", "itemprop=comment", "itemtype='http://schema.org/Comment'"):
+        assert html_text.main_text(f"<article><p>{LONG}</p><div {hidden}>{KEPT}</div></article>") == LONG.strip()
+
+
+def test_html_clusters_equal_brute_force_on_random_pages():
+    """Trees of div and section with paragraphs and links: ratios, smoothing, seeds and regions worked out on the tree itself."""
+    rng = random.Random(7)
+
+    def grown(depth):
+        if depth == 0 or rng.random() < 0.35:
+            text = " ".join("w" * rng.randint(1, 9) for _ in range(rng.choice([1, 3, 12, 60])))
+            return ("a" if rng.random() < 0.3 else "p", text, rng.randint(0, 3))
+        return (rng.choice(["div", "section"]), [grown(depth - 1) for _ in range(rng.randint(1, 4))])
+
+    def html(node):
+        if node[0] in ("div", "section"):
+            return f"<{node[0]}>{''.join(map(html, node[1]))}</{node[0]}>"
+        inner = f"<a href=x>{node[1]}</a>" if node[0] == "a" else node[1]
+        return "<p>" + "<b></b>" * node[2] + inner + "</p>"
+
+    def leaves(node, path):
+        if node[0] in ("div", "section"):
+            return [x for i, c in enumerate(node[1]) for x in leaves(c, (*path, i))]
+        return [(path[:-1], node)]
+
+    for _ in range(300):
+        tree = ("div", [grown(4) for _ in range(rng.randint(1, 4))])
+        rows = leaves(tree, ())
+        # a line has its own tag, its inline tags and its link
+        ratios = [len(n[1]) / (1 + n[2] + (n[0] == "a")) for _, n in rows]
+        last = len(ratios) - 1
+        weights = [math.exp(-0.5 * k * k) for k in range(-2, 3)]
+        smooth = [sum(w * ratios[min(last, max(0, i + k))] for w, k in zip(weights, range(-2, 3), strict=True)) / sum(weights) for i in range(len(ratios))]
+        mean = sum(smooth) / len(smooth)
+        spread = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+        seeds = [p for (p, n), x in zip(rows, smooth, strict=True) if x >= spread and n[0] == "p"] or [p for p, _ in rows]
+        if any(abs(x - spread) < 1e-9 for x in smooth):
+            continue
+        common = seeds[0]
+        while any(p[: len(common)] != common for p in seeds):
+            common = common[:-1]
+
+        def kept(path, common=common, seeds=seeds, rows=rows):
+            for n in range(len(common) + 1, len(path) + 1):
+                part = path[:n]
+                own = [r for p, r in rows if p[:n] == part]
+                if not any(p[:n] == part for p in seeds) and sum(len(r[1]) for r in own if r[0] == "a") >= 0.5 * sum(len(r[1]) for r in own):
+                    return False
+            return path[: len(common)] == common
+
+        want = [n[1] for p, n in rows if kept(p)]
+        assert html_text.main_text(html(tree)).split("\n\n") == want
+
+
 def test_html_smoothing_equals_its_definition():
     rng = random.Random(1)
     values = [rng.random() * 100 for _ in range(30)]

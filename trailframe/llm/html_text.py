@@ -10,9 +10,14 @@ in articles or a main element, these are the content; else it is the smallest
 region that holds all clusters, without those of its parts that have no cluster
 and are mostly links.  The content gives all its lines, so a short paragraph stays.
 
-Class, id and role words leave out a container only where the whole word says so
-(`ad-box`, but not `related-work`), and never a paragraph, heading or list item.
-The headings in an article's own header stay.
+Class, id and role values are read as words (split at hyphens, underscores and
+capitals).  Words for adverts, navigation, reader comments, consent and the like
+leave an element out if they stand first or last (`cookie-consent`, `google-ad`,
+but not `category-ads`), whatever the element.  Words that may as well name content (`search`,
+`notice`, `banner`) leave it out only if all other words are mere parts of a layout
+(`notice-box`), and if it doesn't hold most of the seeds.  Elements that aren't
+shown, and those marked as comments by their item type, are left out.  The
+headings in an article's own header stay.
 
 Defined results: a page without text, or with null html, gives an empty string;
 broken, unclosed or truncated markup is read as far as it goes; repeated rows
@@ -47,16 +52,42 @@ BLOCK = frozenset(
 )
 REGION = frozenset("article main section div body td table ul ol dl".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that a class, id or role may leave out.
-CONTAINERS = frozenset("div section ul ol dl table td tr aside figure details span a iframe".split())
-#: Class, id and role values that mark what is not the article; the whole value must be of this form.
-MARKED = re.compile(
-    r"^(?:(?:site|page|main|top|bottom|left|right|global|post|article|user|reader|js)[_-])?"
-    r"(?:ads?|adverts?|advertise?ments?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|nav|navbar|navigation|menus?|"
-    r"breadcrumbs?|sidebars?|widgets?|related(?:[_-](?:posts?|articles?|links?|content|stories))|recommend(?:ed|ations?)|share|sharing|social|comments?|disqus|repl(?:y|ies)|respond|"
-    r"newsletters?|subscribe|sign[_-]?up|login|footer|header|masthead|pop-?ups?|modals?|toolbars?|pagination|pager|search|skip|contentinfo|complementary|dialog)"
-    r"(?:[_-](?:box|bar|banner|container|wrapper?|section|area|block|widget|list|form|slot|unit|links?|popup|modal|notice|overlay|buttons?|top|bottom|left|right|inner|outer|[0-9]+))*$"
+#: Elements that hold the page; no word leaves them out.
+WHOLE = frozenset("html body main".split())
+#: Words that say that an element isn't the article, wherever it stands.
+STRONG = frozenset(
+    "ad ads adsbygoogle adsense advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored cookie cookies consent gdpr newsletter newsletters "
+    "subscribe signup nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars comment comments commentlist disqus reply replies pagination pager popup popups modal modals "
+    "notification notifications toolbar masthead recommended recommendations contentinfo complementary".split()
 )
+#: Words that say so of an element without most of the text; words behind `related` that make a list of links of it.
+DOUBTFUL = frozenset(
+    "notice notices alert alerts banner banners promo promos promotion promotions widget widgets share sharing social respond login signin footer header search skip dialog toast overlay".split()
+)
+LISTED = frozenset("post posts article articles link links content stories items reading".split())
+#: Words for parts of a layout, and words that turn the meaning of those behind them.
+PLAIN = frozenset(
+    "box bar container wrap wrapper section area block list form slot unit link links notice overlay button buttons icon icons top bottom left right inner outer site page main global post article user reader js "
+    "item items title body content text message".split()
+)
+TURNED = frozenset("category cat tag has no non not with without is type".split())
+STATES = frozenset("open closed on off enabled disabled free status".split())
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+TWO = re.compile(r"(?i)\b(pop|sign|log)[-_](up|in)\b")
+HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
+
+
+def said_by(value: str) -> str:
+    """What a class, id or role says of its element: "all" (left out), "maybe" or nothing."""
+    words = [w.lower() for w in WORD.findall(TWO.sub(r"\1\2", value))]
+    if not words or words[0] in TURNED or words[-1] in STATES:
+        return ""
+    if words[0] in STRONG or words[-1] in STRONG or (words[0] == "related" and len(words) > 1 and words[1] in LISTED):
+        return "all"
+    some = [w for w in words if w in DOUBTFUL]
+    return "maybe" if some and all(w in DOUBTFUL or w in PLAIN for w in words) else ""
+
+
 #: An open tag on the left ends when one on the right begins, as the optional end tags of HTML say.
 IMPLIED = {"p": BLOCK - {"li"} | {"li"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 SPACE = re.compile(r"\s+")
@@ -65,11 +96,15 @@ LINKED = 0.5
 
 
 class Lines(HTMLParser):
-    """Turns events into lines: [region, text parts, tags, in content?, characters in links]."""
+    """Turns events into lines: [region, text parts, tags, in content?, characters in links, doubt].
+
+    A doubt is the number of the outermost element that a doubtful word names (0: none).
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool, int, bool]] = []  # tag, left out ("", "header" or "all"), silent, region, in a link
+        self.open: list[tuple[str, str, bool, int, bool, int]] = []  # tag, left out ("", "header" or "all"), silent, region, in a link, doubt
+        self.doubts = 0
         self.regions: list[str] = ["root"]
         self.parent: list[int] = [0]
         self.lines: list[list] = []
@@ -77,8 +112,8 @@ class Lines(HTMLParser):
 
     def line(self) -> list:
         if self.current is None:
-            top = self.open[-1] if self.open else ("", "", False, 0, False)
-            self.current = [top[3], [], 1, not (top[1] or top[2]), 0]
+            top = self.open[-1] if self.open else ("", "", False, 0, False, 0)
+            self.current = [top[3], [], 1, not (top[1] or top[2]), 0, top[5]]
             self.lines.append(self.current)
         return self.current
 
@@ -95,34 +130,40 @@ class Lines(HTMLParser):
         if tag in VOID:
             self.line()[2] += 1
             return
-        _, out, silent, region, link = self.open[-1] if self.open else ("", "", False, 0, False)
+        _, out, silent, region, link, doubt = self.open[-1] if self.open else ("", "", False, 0, False, 0)
         names = dict(attrs)
+        before = doubt
         if out == "header" and tag in HEADINGS:
             out = ""  # a heading in the article's own header
         if tag == "header" and not out and any(x[0] == "article" for x in self.open):
             out = "header"
-        elif tag in BOILERPLATE or "hidden" in names or names.get("aria-hidden") == "true":
+        elif tag in BOILERPLATE or "hidden" in names or names.get("aria-hidden") == "true" or HIDDEN.search(names.get("style") or ""):
+            out = "all"
+        elif names.get("itemprop") == "comment" or (names.get("itemtype") or "").endswith("/Comment"):
             out = "all"
-        elif not out and tag in CONTAINERS:
-            values = " ".join(names.get(k) or "" for k in ("class", "id", "role")).lower().split()
-            out = "all" if any(map(MARKED.match, values)) else ""
+        elif not out and tag not in WHOLE:
+            said = {said_by(v) for k in ("class", "id", "role") for v in (names.get(k) or "").split()}
+            out = "all" if "all" in said else ""
+            if "maybe" in said and not doubt:
+                self.doubts += 1
+                doubt = self.doubts
         if tag in REGION:
             self.regions.append(tag)
             self.parent.append(region)
             region = len(self.regions) - 1
-        self.open.append((tag, out, silent or tag in SILENT, region, link or tag == "a"))
+        self.open.append((tag, out, silent or tag in SILENT, region, link or tag == "a", doubt))
         if tag not in BLOCK:
-            if out and self.current is not None and self.current[3]:
+            if (out or doubt != before) and self.current is not None and self.current[3]:
                 self.current = None  # an inline element that is left out is no part of its line
             self.line()[2] += 1
 
     def handle_endtag(self, tag) -> None:
         if not any(x[0] == tag for x in self.open):
             return
-        was = self.open[-1][1]
+        _, was, _, _, _, doubt = self.open[-1]
         while self.open.pop()[0] != tag:
             pass
-        if tag in BLOCK or was and not (self.open and self.open[-1][1]):
+        if tag in BLOCK or was and not (self.open and self.open[-1][1]) or doubt != (self.open[-1][5] if self.open else 0):
             self.current = None
 
     def handle_data(self, data) -> None:
@@ -147,14 +188,27 @@ def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [(r, text, tags, ok, linked) for r, parts, tags, ok, linked in parser.lines if (text := SPACE.sub(" ", "".join(parts)).strip())]
+    lines = [(r, text, tags, ok, linked, doubt) for r, parts, tags, ok, linked, doubt in parser.lines if (text := SPACE.sub(" ", "".join(parts)).strip())]
     if not any(x[3] for x in lines):
         return ""
-    ratios = smoothed(np.array([len(text) / tags * ok for _, text, tags, ok, _ in lines]))
-    seeds = [line[0] for line, over in zip(lines, ratios >= ratios.std(), strict=True) if over and line[3] and line[4] < LINKED * len(line[1])]
+    found = seeds_of(lines)
+    if parser.doubts:  # a doubtful element stays if it holds most of the seeds
+        chars = [0] * (parser.doubts + 1)
+        for i in found:
+            chars[lines[i][5]] += len(lines[i][1])
+        lines = [(r, text, tags, ok and (not doubt or 2 * chars[doubt] > sum(chars)), linked, doubt) for r, text, tags, ok, linked, doubt in lines]
+        found = seeds_of(lines)
+    seeds = [lines[i][0] for i in found]
     seeds = seeds or [line[0] for line in lines if line[3]]
     chosen = chosen_regions(parser.regions, parser.parent, seeds, lines)
-    return "\n\n".join(text for region, text, _, ok, _ in lines if ok and chosen[region])
+    return "\n\n".join(text for region, text, _, ok, _, _ in lines if ok and chosen[region])
+
+
+def seeds_of(lines: list[tuple]) -> list[int]:
+    """The lines whose smoothed ratio of text to tags is over the ratios' spread, and that aren't mostly links."""
+    ratios = smoothed(np.array([len(text) / tags * ok for _, text, tags, ok, _, _ in lines]))
+    over = ratios >= ratios.std()
+    return [i for i, (_, text, _, ok, linked, _) in enumerate(lines) if over[i] and ok and linked < LINKED * len(text)]
 
 
 def chosen_regions(kinds: list[str], parent: list[int], seeds: list[int], lines: list[tuple]) -> list[bool]:
@@ -170,7 +224,7 @@ def chosen_regions(kinds: list[str], parent: list[int], seeds: list[int], lines:
     for r in seeds:
         held[r] += 1
     chars, linked = [0] * n, [0] * n
-    for r, text, _, ok, links in lines:
+    for r, text, _, ok, links, _ in lines:
         chars[r] += len(text) * ok
         linked[r] += links * ok
     for r in range(n - 1, 0, -1):
