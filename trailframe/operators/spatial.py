@@ -74,8 +74,17 @@ def greedy_thinned(rows: DataFrame, key: str, within_m: float | str) -> DataFram
     """Keep rows in order of lateral distance (then id), each only if no kept one of its group is within the distance (a number, or a column that is equal in a group).
 
     The choice depends on earlier ones, so each group (one name on one route) is
-    folded in order; groups are as small as the places of one name along a route.
+    folded in order.  Places of a group with a gap of latitude over the distance
+    between them never meet, so such islands are groups of their own, and islands
+    of one place are kept as they stand: a fold sees a stretch of a route.
     """
+    reach = F.col(within_m) if isinstance(within_m, str) else F.lit(within_m)
+    w = Window.partitionBy("route_id", key).orderBy("latitude")
+    # a little over the distance, so that rounding can't part two places within it
+    gap = (F.col("latitude") - F.lag("latitude").over(w)) * METRES_A_DEGREE > reach * 1.01 + 0.01
+    cut = rows.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_island", F.sum("_new").over(w)).drop("_new")
+    cut = cut.withColumn("_size", F.count("*").over(Window.partitionBy("route_id", key, "_island")))
+    single, more = cut.where("_size = 1").select(*rows.columns), cut.where("_size > 1").drop("_size")
 
     def thin(batch: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -91,7 +100,7 @@ def greedy_thinned(rows: DataFrame, key: str, within_m: float | str) -> DataFram
                 kept.append(i)
         return ordered.iloc[kept]
 
-    return rows.groupBy("route_id", key).applyInPandas(thin, rows.schema)
+    return single.union(more.groupBy("route_id", key, "_island").applyInPandas(lambda batch: thin(batch).drop(columns="_island"), rows.schema))
 
 
 #: Places that may stand without a name. Fixed values.
