@@ -6,11 +6,10 @@ theta join compares every point with every segment.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailframe.functions.geo import haversine_km, segment_projection
+from trailframe.functions.geo import EARTH_M, haversine_km, segment_projection
 
 METRES_A_DEGREE = 111_000.0
 
@@ -75,32 +74,26 @@ def greedy_thinned(rows: DataFrame, key: str, within_m: float | str) -> DataFram
 
     The choice depends on earlier ones, so each group (one name on one route) is
     folded in order.  Places of a group with a gap of latitude over the distance
-    between them never meet, so such islands are groups of their own, and islands
-    of one place are kept as they stand: a fold sees a stretch of a route.
+    between them never meet, so such islands are groups of their own: a fold sees a
+    stretch of a route, in one array.
     """
     reach = F.col(within_m) if isinstance(within_m, str) else F.lit(within_m)
     w = Window.partitionBy("route_id", key).orderBy("latitude")
     # a little over the distance, so that rounding can't part two places within it
     gap = (F.col("latitude") - F.lag("latitude").over(w)) * METRES_A_DEGREE > reach * 1.01 + 0.01
-    cut = rows.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_island", F.sum("_new").over(w)).drop("_new")
-    cut = cut.withColumn("_size", F.count("*").over(Window.partitionBy("route_id", key, "_island")))
-    single, more = cut.where("_size = 1").select(*rows.columns), cut.where("_size > 1").drop("_size")
-
-    def thin(batch: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        kept: list[int] = []
-        ordered = batch.sort_values(["lateral_m", "place_id"])
-        at = np.radians(ordered[["latitude", "longitude"]].to_numpy())
-        least = float(ordered[within_m].iloc[0]) if isinstance(within_m, str) else within_m
-        for i in range(len(ordered)):
-            k = np.array(kept, int)
-            far = np.hypot((at[i, 1] - at[k, 1]) * np.cos((at[i, 0] + at[k, 0]) / 2), at[i, 0] - at[k, 0]) * 6_371_000
-            if (far > least).all():
-                kept.append(i)
-        return ordered.iloc[kept]
-
-    return single.union(more.groupBy("route_id", key, "_island").applyInPandas(lambda batch: thin(batch).drop(columns="_island"), rows.schema))
+    cut = rows.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_island", F.sum("_new").over(w))
+    ordered = ["lateral_m", "place_id", *(c for c in rows.columns if c not in ("lateral_m", "place_id"))]
+    kinds = dict(rows.dtypes)
+    start = F.array().cast(f"array<struct<{', '.join(f'`{c}`:{kinds[c]}' for c in ordered)}>>")
+
+    def apart(k: Column, r: Column) -> Column:
+        x = F.radians(r["longitude"] - k["longitude"]) * F.cos(F.radians((r["latitude"] + k["latitude"]) / 2))
+        y = F.radians(r["latitude"] - k["latitude"])
+        return F.sqrt(x * x + y * y) * EARTH_M > (r[within_m] if isinstance(within_m, str) else F.lit(within_m))
+
+    folded = F.aggregate("rows", start, lambda s, r: F.when(F.forall(s, lambda k: apart(k, r)), F.concat(s, F.array(r))).otherwise(s))
+    groups = cut.groupBy("route_id", key, "_island").agg(F.array_sort(F.collect_list(F.struct(*ordered))).alias("rows"))
+    return groups.select(F.inline(folded)).select(*rows.columns)
 
 
 #: Places that may stand without a name. Fixed values.
