@@ -320,3 +320,12 @@ def test_stages_take_empty_tables_and_clashing_names(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns[: len(docs.columns)] == docs.columns and (name == "mix" or out.columns == docs.columns)
         assert out.where(" or ".join(f"{c} <> '{c}'" for c in clash)).count() == 0
+
+
+def test_sample_is_the_rows_with_the_smallest_hashes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 100)
+    rows = spark.range(3000).selectExpr("id", "array(cast(id as double)) as v").repartition(5)
+    want = [r.v for r in rows.orderBy(F.xxhash64("id")).limit(100).collect()]
+    assert [r.v for r in ann.sampled(rows)] == want
+    assert len(ann.sampled(rows.where("id < 50"))) == 50
+    assert len(ann.sampled(rows.selectExpr("7L as id", "v"))) == 100

@@ -120,6 +120,21 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
+def sampled(rows: DataFrame) -> list:
+    """The SAMPLE rows with the smallest hashes of their ids.
+
+    The count bounds the hash first (four standard deviations above what is
+    wanted), so that each partition sends its share of the sample and not a sample
+    of its own; should the bound leave too few, which repeated ids can cause, it is lifted.
+    """
+    n = rows.count()
+    share = (SAMPLE + 4 * SAMPLE**0.5) / max(n, 1)
+    hashed = rows.withColumn("_h", F.xxhash64("id"))
+    bound = hashed.where(F.col("_h") < F.lit(int(-(2**63) + share * 2**64))) if share < 1 else hashed
+    found = bound.orderBy("_h", "id", "v").limit(SAMPLE).select("v").collect()
+    return found if share >= 1 or len(found) == SAMPLE else hashed.orderBy("_h", "id", "v").limit(SAMPLE).select("v").collect()
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -139,7 +154,7 @@ def nearest(
     small_batches(spark)
     kind = "<f4" if all("array<float>" == df.schema[vector_col].dataType.simpleString() for df in (vectors, queries)) else "<f8"
     rows, asked = valid(vectors, id_col, vector_col), valid(queries, id_col, vector_col)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    picked = sampled(rows)
     final = "query_id long, rank int, vec_id long, score double"
     if not picked:
         return spark.createDataFrame([], final)
