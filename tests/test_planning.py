@@ -70,6 +70,41 @@ def test_links_and_standalone_groups(spark):
     assert sorted(r.point_ids for r in projection.standalone_groups(linked).collect()) == ["5", "6,7", "9"]
 
 
+def test_profile_matches_equal_all_assignments(spark):
+    rng = random.Random(8)
+    points = [(d, d * 100 + i, i, rng.choice([None, *(rng.uniform(900, 1500) for _ in range(6))]), None) for d in range(14) for i in range(rng.randint(0, 5))]
+    points = [(*p[:4], p[2] * 8.0) if rng.random() < 0.25 else p for p in points]
+    summits = [(d, d * 100 + j, rng.uniform(0, 40), rng.choice([None, *(rng.uniform(900, 1500) for _ in range(9))])) for d in range(14) for j in range(rng.randint(0, 9))]
+    a = spark.createDataFrame(points, "day_id long, point_id long, ordinal int, elevation_m double, fixed_km double")
+    b = spark.createDataFrame(summits, "day_id long, summit_id long, km double, elevation_m double")
+    got = projection.profile_matches(a, b).collect()
+    assert len(got) > 5
+    for d in range(14):
+        own = sorted((p for p in points if p[0] == d), key=lambda p: p[2])
+        fixed = [(p[2], p[4]) for p in own if p[4] is not None]
+        tops = sorted((s for s in summits if s[0] == d and s[3] is not None), key=lambda s: s[2])
+        tops = [s for i, s in enumerate(tops) if (i == 0 or s[2] - tops[i - 1][2] >= 2) and all(abs(s[2] - f) >= 2 for _, f in fixed)]
+        free = [p for p in own if p[4] is None and p[3] is not None]
+
+        def may(p, s, fixed=fixed):
+            before, after = [f for o, f in fixed if o < p[2]], [f for o, f in fixed if o > p[2]]
+            return abs(p[3] - s[3]) <= 200 and (not before or s[2] >= before[-1] + 2) and (not after or s[2] <= after[0] - 2)
+
+        def score(pairs):
+            return (len(pairs), sum(abs(p[3] - s[3]) <= 100 for p, s in pairs), -sum(abs(p[3] - s[3]) for p, s in pairs))
+
+        best = (0, 0, 0.0)
+        for n in range(1, min(len(free), len(tops)) + 1):
+            for x in itertools.combinations(free, n):
+                for y in itertools.combinations(tops, n):
+                    pairs = list(zip(x, y, strict=True))
+                    if all(may(p, s) for p, s in pairs):
+                        best = max(best, score(pairs))
+        by = {p[1]: p for p in points} | {("s", s[1]): s for s in summits}
+        mine = [(by[r.point_id], by["s", r.summit_id]) for r in got if r.day_id == d]
+        assert score(mine) == pytest.approx(best) and all(may(p, s) for p, s in mine)
+
+
 def test_files_match_by_bytes_then_by_place(spark):
     schema = "trip_id long, file_id string, fingerprint string, latitude double, longitude double"
     old = spark.createDataFrame([(1, "a", "x", 45.0, 6.0), (1, "b", "x", 45.0, 6.0), (1, "c", "y", 46.0, 6.0), (1, "d", None, 46.0004, 6.0), (1, "e", "q", 50.0, 6.0)], schema)

@@ -6,6 +6,8 @@ elevation_m); a segment's index counts its own points.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,3 +172,73 @@ def standalone_groups(points: DataFrame) -> DataFrame:
     groups = cut.groupBy("day_id", "_island").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("day_id", F.explode(folded).alias("g"))
     first = F.array_min(F.transform("g", lambda x: F.struct(x["p"].alias("p"), x["point_id"].alias("point_id"), x["track_km"].alias("track_km"))))
     return groups.select("day_id", first["point_id"].alias("primary_id"), F.array_join(F.transform("g", lambda x: x["point_id"].cast("string")), ",").alias("point_ids"), first["track_km"].alias("track_km"))
+
+
+#: Difference of height up to which a summit may be a documented pass, and up to which it is a good one (metres); least distance between summits (km).
+HEIGHT_WITHIN_M, HEIGHT_GOOD_M, APART_KM = 200.0, 100.0, 2.0
+
+
+def free_summits(points: DataFrame, summits: DataFrame, apart_km: float = APART_KM) -> DataFrame:
+    """Summits (day_id, summit_id, km, elevation_m) that a documented pass may be: far enough from the one before, and from points that are matched already."""
+    w = Window.partitionBy("day_id").orderBy("km", "summit_id")
+    spaced = summits.where("elevation_m is not null").withColumn("_gap", F.col("km") - F.lag("km").over(w)).where(F.col("_gap").isNull() | (F.col("_gap") >= apart_km - EPSILON)).drop("_gap")
+    cell = lambda c: F.floor(F.col(c) / apart_km)
+    fixed = points.where("fixed_km is not null").select("day_id", F.col("fixed_km").alias("_f"), F.explode(F.sequence(cell("fixed_km") - 1, cell("fixed_km") + 1)).alias("_c"))
+    near = spaced.withColumn("_c", cell("km")).join(fixed, ["day_id", "_c"]).where(F.abs(F.col("km") - F.col("_f")) < apart_km - EPSILON).select("day_id", "summit_id").distinct()
+    return spaced.join(near, ["day_id", "summit_id"], "left_anti")
+
+
+def profile_matches(points: DataFrame, summits: DataFrame, within_m: float = HEIGHT_WITHIN_M, good_m: float = HEIGHT_GOOD_M, apart_km: float = APART_KM) -> DataFrame:
+    """Documented passes on detected summits, in order: day_id, point_id, summit_id, km, height_m (the difference).
+
+    points: day_id, point_id, ordinal, elevation_m, fixed_km (where the point is
+    matched otherwise; such points keep their place and aren't matched here).  The
+    assignment with the most matches wins, then that with the most good ones, then
+    that with the smallest sum of differences.  A summit between two fixed points
+    goes only to a pass between them.  It is a dynamic program over the few passes
+    and summits of one day.
+    """
+    a = points.select("day_id", F.lit(0).alias("side"), "point_id", F.col("ordinal").cast("double").alias("at"), F.col("elevation_m").cast("double").alias("e"), F.col("fixed_km").cast("double").alias("fixed"))
+    b = free_summits(points, summits, apart_km).select("day_id", F.lit(1), F.col("summit_id"), F.col("km").cast("double"), F.col("elevation_m").cast("double"), F.lit(None).cast("double"))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        listed, found = (rows[rows.side == s].sort_values(["at", "point_id"]) for s in (0, 1))
+        fixed = listed.fixed.to_numpy()
+        low, high = np.full(len(listed), -np.inf), np.full(len(listed), np.inf)
+        for i in range(len(listed)):
+            before, after = fixed[:i][~np.isnan(fixed[:i])], fixed[i + 1 :][~np.isnan(fixed[i + 1 :])]
+            low[i] = before[-1] + apart_km - EPSILON if len(before) else -np.inf
+            high[i] = after[0] - apart_km + EPSILON if len(after) else np.inf
+        open_ = np.isnan(fixed) & ~np.isnan(listed.e.to_numpy())
+        ids, x, low, high = listed.point_id.to_numpy()[open_], listed.e.to_numpy()[open_], low[open_], high[open_]
+        y, km = found.e.to_numpy(), found["at"].to_numpy()
+        n, m = len(x), len(y)
+        best = [[(0, 0, 0.0)] * (m + 1) for _ in range(n + 1)]
+        taken = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                choices = [best[i + 1][j], best[i][j + 1]]
+                error = abs(x[i] - y[j])
+                if error <= within_m and low[i] <= km[j] <= high[i]:
+                    count, good, less = best[i + 1][j + 1]
+                    choices.append((count + 1, good + (error <= good_m), less - error))
+                pick = max(range(len(choices)), key=lambda c, choices=choices: (choices[c], -c))  # the first of equals
+                best[i][j], taken[i][j] = choices[pick], pick
+        i = j = 0
+        out = []
+        while i < n and j < m:
+            if taken[i][j] == 2:
+                out.append((rows.day_id.iloc[0], ids[i], found.point_id.to_numpy()[j], km[j], abs(x[i] - y[j])))
+            i, j = i + (taken[i][j] != 1), j + (taken[i][j] != 0)
+        return pd.DataFrame(out, columns=["day_id", "point_id", "summit_id", "km", "height_m"])
+
+    return a.union(b).groupBy("day_id").applyInPandas(fold, "day_id long, point_id long, summit_id long, km double, height_m double")
+
+
+def alternatives(points: DataFrame, summits: DataFrame, matches: DataFrame, within_m: float = HEIGHT_WITHIN_M, good_m: float = HEIGHT_GOOD_M) -> DataFrame:
+    """Other summits of the day that a documented pass may be, best first: day_id, point_id, summit_id, good, height_m, rank."""
+    asked = points.where("elevation_m is not null").select("day_id", "point_id", F.col("elevation_m").alias("_e"))
+    near = asked.join(summits.where("elevation_m is not null"), "day_id").withColumn("height_m", F.abs(F.col("elevation_m") - F.col("_e"))).where(F.col("height_m") <= within_m)
+    rest = near.join(matches.select("day_id", "point_id", "summit_id"), ["day_id", "point_id", "summit_id"], "left_anti").withColumn("good", F.col("height_m") <= good_m)
+    rank = F.row_number().over(Window.partitionBy("day_id", "point_id").orderBy(F.desc("good"), "height_m", "km", "summit_id"))
+    return rest.withColumn("rank", rank).select("day_id", "point_id", "summit_id", "good", "height_m", "rank")

@@ -211,12 +211,45 @@ def edit_days(spark, sf_dir):
     return edits.merged_days(ids, trip_slots(spark, sf_dir), old, new)
 
 
+def passes_and_summits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders of a customer are the documented passes and the detected summits of a day; some passes are placed already."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    day = F.col("o_custkey").alias("day_id")
+    points = o.select(day, k.alias("point_id"), (k * 31 % 1009).alias("ordinal"), F.when(k % 13 != 0, F.floor("o_totalprice") % 1500).alias("elevation_m"), F.when(k % 6 == 0, (k * 31 % 1009) * 0.1).alias("fixed_km"))
+    return points, o.select(day, k.alias("summit_id"), (k * 17 % 1013 * 0.1).alias("km"), F.when(k % 11 != 0, (F.floor("o_totalprice") * 7 + k) % 1500).alias("elevation_m"))
+
+
+def free_summits(spark, sf_dir):
+    return rounded(projection.free_summits(*passes_and_summits(spark, sf_dir)), 4)
+
+
+def summit_alternatives(spark, sf_dir):
+    points, summits = passes_and_summits(spark, sf_dir)
+    placed = points.where("fixed_km is not null").select("day_id", "point_id", F.col("point_id").alias("summit_id"))
+    return projection.alternatives(points, summits, placed).withColumn("height_m", F.col("height_m").cast("long"))
+
+
+def profile_matches(spark, sf_dir):
+    return rounded(projection.profile_matches(*passes_and_summits(spark, sf_dir)), 4)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (projected_points, override_replay, waypoint_links, standalone_waypoints, edit_slot_issues, edit_identities, edit_files, edit_climbs, edit_points, edit_days)
+    for f in (profile_matches, free_summits, summit_alternatives, projected_points, override_replay, waypoint_links, standalone_waypoints, edit_slot_issues, edit_identities, edit_files, edit_climbs, edit_points, edit_days)
 }
 
+SUMMITS_SQL = """sp AS (
+    SELECT o_custkey AS day_id, o_orderkey AS point_id, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 1500 END AS e, CASE WHEN o_orderkey % 6 = 0 THEN (o_orderkey * 31 % 1009) * 0.1::DOUBLE END AS f FROM orders
+), sm AS (SELECT o_custkey AS day_id, o_orderkey AS summit_id, o_orderkey * 17 % 1013 * 0.1::DOUBLE AS km, CASE WHEN o_orderkey % 11 <> 0 THEN (CAST(floor(o_totalprice) AS BIGINT) * 7 + o_orderkey) % 1500 END AS e FROM orders)"""
+
 SQL = {
+    "free_summits": f"""
+        WITH {SUMMITS_SQL}, g AS (SELECT *, km - lag(km) OVER (PARTITION BY day_id ORDER BY km, summit_id) AS gap FROM sm WHERE e IS NOT NULL)
+        SELECT day_id, summit_id, round(km, 4) + 0.0 AS km, e AS elevation_m FROM g WHERE (gap IS NULL OR gap >= 2.0 - 1e-9) AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.day_id = g.day_id AND abs(sp.f - g.km) < 2.0 - 1e-9)""",
+    "summit_alternatives": f"""
+        WITH {SUMMITS_SQL}, n AS (SELECT p.day_id, p.point_id, s.summit_id, s.km, abs(s.e - p.e) AS height_m FROM sp p JOIN sm s USING (day_id) WHERE abs(s.e - p.e) <= 200 AND NOT (p.f IS NOT NULL AND p.point_id = s.summit_id))
+        SELECT day_id, point_id, summit_id, height_m <= 100 AS good, height_m, CAST(row_number() OVER (PARTITION BY day_id, point_id ORDER BY height_m > 100, height_m, km, summit_id) AS INT) AS rank FROM n""",
     "projected_points": f"""
         WITH {VERTICES_SQL}, c AS (
             SELECT c_custkey // 10 AS route_id, c_custkey AS point_id, 45.0::DOUBLE + (c_custkey // 10) * 0.01::DOUBLE + (c_custkey % 10) * 0.002::DOUBLE + (c_custkey % 7) * 0.0003::DOUBLE AS latitude,
