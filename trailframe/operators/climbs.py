@@ -10,10 +10,11 @@ import bisect
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailframe.functions.terrain import CLIMB_PROFILES
+from trailframe.functions.terrain import CLIMB_PROFILES, grade_class
+from trailframe.operators.terrain import interpolate
 
 # Noise of a turn (m), loss (m) and length (km) of a dip that doesn't end a climb.
 TURN_M, DIP_M, DIP_KM = 1.0, 25.0, 1.0
@@ -85,6 +86,21 @@ def tiles(climbs: DataFrame, tile_km: float = 0.5) -> DataFrame:
     return rows.select("route_id", "number", "tile", start.alias("from_km"), F.least(F.col("end_km"), start + tile_km).alias("to_km"))
 
 
+def tile_profile(climbs: DataFrame, series: DataFrame, tile_km: float = 0.5) -> DataFrame:
+    """Tiles with from_m and to_m (interpolated on the route's series), grade and grade_class; null where a height can't be told.
+
+    Climbs shorter than three kilometres are shown in tiles of a quarter of one: pass
+    tile_km accordingly.  All ends of tiles meet the series in one sort per route.
+    """
+    parts = tiles(climbs, tile_km).withColumn("_n", F.row_number().over(Window.partitionBy("route_id").orderBy("number", "tile")))
+    ends = parts.select("route_id", F.inline(F.array(F.struct((F.col("_n") * 2).cast("int").alias("k"), F.col("from_km").alias("target_km")), F.struct((F.col("_n") * 2 + 1).cast("int").alias("k"), F.col("to_km").alias("target_km")))))
+    at = interpolate(series, ends, ("elevation_m",)).select("route_id", F.floor(F.col("k") / 2).alias("_n"), (F.col("k") % 2).alias("_side"), "elevation_m")
+    heights = at.groupBy("route_id", "_n").agg(F.max(F.when(F.col("_side") == 0, F.col("elevation_m"))).alias("from_m"), F.max(F.when(F.col("_side") == 1, F.col("elevation_m"))).alias("to_m"))
+    length = F.col("to_km") - F.col("from_km")
+    grade = F.when(length > 1e-9, (F.col("to_m") - F.col("from_m")) / (length * 1000) * 100)
+    return parts.join(heights, ["route_id", "_n"]).drop("_n").withColumn("grade", grade).withColumn("grade_class", grade_class(F.col("grade")))
+
+
 def spaced(features: DataFrame, spacing_km: float) -> DataFrame:
     """Best score first; a feature stays if no better one of its route is nearer than the spacing.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailframe.operators import packages, timeline, track, waypoints, weather_days
+from trailframe.operators import climbs, packages, timeline, track, waypoints, weather_days
 from trailframe.plans.carriers import STEPS_SQL, hav, table, track_points
 from trailframe.plans.queries import rounded
-from trailframe.sources import payloads
+from trailframe.sources import forecasts, payloads
 from trailframe.streaming import states
 
 
@@ -206,12 +206,79 @@ pe AS (
     SELECT package_id, path, content || CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END AS content FROM pf WHERE doc_id % 11 <> 0 UNION ALL SELECT package_id, 'extra/' || doc_id, content FROM pf WHERE doc_id % 13 = 0
 )"""
 
+def climb_tile_profile(spark, sf_dir):
+    """One climb a route, from its first hundred metres to its end."""
+    series = track.cumulative(track_points(spark, sf_dir), "route_id").select("route_id", F.round("distance_km", 6).alias("distance_km"), F.round("elevation_m", 6).alias("elevation_m"))
+    found = series.groupBy("route_id").agg(F.max("distance_km").alias("end_km")).select("route_id", F.lit(1).alias("number"), F.lit(0.1).alias("start_km"), "end_km")
+    return rounded(climbs.tile_profile(found, series), 4)
+
+
+def forecast_payloads(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Users are places, four of them a request; their events by hour are the answer, with faults planted by the user's number."""
+    u = F.col("user_id")
+    hour = F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")), "yyyy-MM-dd'T'HH:mm")
+    h = table(spark, sf_dir, "events").groupBy("user_id", hour.alias("time")).agg(F.floor(F.avg("value")).cast("long").alias("v"), F.count("*").alias("n"))
+    rows = F.array_sort(F.collect_list(F.struct("time", "v", "n")))
+    places = h.groupBy("user_id").agg(rows.alias("r")).withColumn("r", F.when(u % 19 == 4, F.reverse("r")).otherwise(F.col("r")))
+    listed = lambda c, r="r": F.concat(F.lit("["), F.array_join(F.transform(r, c), ","), F.lit("]"))
+    times, temperature = listed(lambda x: F.concat(F.lit('"'), x["time"], F.lit('"'))), listed(lambda x: x["v"].cast("string"))
+    short = F.when(u % 13 == 5, F.slice("r", 2, F.size("r"))).otherwise(F.col("r"))
+    rain = F.concat(F.lit("["), F.array_join(F.transform(short, lambda x: F.when(x["n"] % 4 == 0, F.lit("null")).otherwise((x["n"] * 2).cast("string"))), ","), F.lit("]"))
+    item = F.when(u % 17 == 7, F.lit('{"error":true,"reason":"x"}')).otherwise(F.concat(
+        F.lit('{"latitude":45,"longitude":6,"timezone":"'), F.when(u % 23 == 2, "UTC").otherwise("Europe/Paris"), F.lit('"'), F.when(u % 7 != 2, F.concat(F.lit(',"location_id":'), (u % 4).cast("string"))).otherwise(F.lit("")),
+        F.lit(',"hourly_units":{"temperature_2m":"°C","precipitation":"'), F.when(u % 11 == 3, "inch").otherwise("mm"), F.lit('"},"hourly":{"time":'), times, F.lit(',"temperature_2m":'), temperature, F.lit(',"precipitation":'), rain, F.lit("}}"),
+    ))
+    asked = places.select(F.floor(u / 4).alias("request"), (u % 4).cast("int").alias("place"), F.lit("Europe/Paris").alias("timezone"), item.alias("_item"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "_item"))), lambda x: x["_item"]), ",")
+    text = F.when(F.count("*") == 1, whole).otherwise(F.concat(F.lit("["), whole, F.lit("]")))
+    return asked.groupBy("request").agg(text.alias("_t")).select("request", F.try_parse_json("_t").alias("payload")), asked.drop("_item")
+
+
+def forecast_hours(spark, sf_dir):
+    rows = forecasts.hours(forecasts.read(*forecast_payloads(spark, sf_dir)))
+    return rows.select("request", "place", F.date_format("time", "yyyy-MM-dd HH").alias("hour"), "temperature_2m", "precipitation")
+
+
+def forecast_issues(spark, sf_dir):
+    """Reasons of places without an answer, and issues of the variables that are sent."""
+    rows = forecasts.read(*forecast_payloads(spark, sf_dir))
+    told = rows.select("request", "place", F.explode_outer("issues").alias("i")).where("i is not null").select("request", "place", "i.*").where("variable is null or variable in ('hourly.temperature_2m', 'hourly.precipitation')")
+    return told.union(rows.where("reason is not null").select("request", "place", "reason", F.lit(None).cast("string")))
+
+
+FORECAST_SQL = """h AS (
+    SELECT user_id AS u, date_trunc('hour', ts) AS t, CAST(floor(avg(value)) AS BIGINT) AS v, count(*) AS n FROM events GROUP BY ALL
+), p AS (SELECT u, count(*) AS hours FROM h GROUP BY u),
+q AS (SELECT u, u // 4 AS request, CAST(u % 4 AS INT) AS place, hours, CASE WHEN u % 17 = 7 THEN 'provider-error' WHEN u % 19 = 4 AND hours > 1 THEN 'bad-hours' END AS reason FROM p)"""
+
 QUERIES = {
     f.__name__: f
-    for f in (job_transitions, forecast_answers, timeline_assembly, timeline_issues, rotated_loops, package_hashes, package_drift, package_counts, payload_state, weather_samples, weather_requests)
+    for f in (climb_tile_profile, forecast_hours, forecast_issues, job_transitions, forecast_answers, timeline_assembly, timeline_issues, rotated_loops, package_hashes, package_drift, package_counts, payload_state, weather_samples, weather_requests)
 }
 
 SQL = {
+    "climb_tile_profile": f"""
+        WITH {STEPS_SQL}, s AS (SELECT route_id, round(distance_km, 6) AS km, round(elevation_m, 6) AS e FROM series), c AS (SELECT route_id, max(km) AS b FROM s GROUP BY 1),
+        t AS (SELECT route_id, b, CAST(unnest(range(0, CAST(ceil((b - 0.1::DOUBLE - 1e-9) / 0.5::DOUBLE) AS INT))) AS INT) AS tile FROM c WHERE b > 0.1),
+        u AS (SELECT route_id, tile, 0.1::DOUBLE + tile * 0.5::DOUBLE AS f, least(b, 0.1::DOUBLE + tile * 0.5::DOUBLE + 0.5) AS g FROM t),
+        a AS (SELECT route_id, tile, 0 AS side, f AS at_km FROM u UNION ALL SELECT route_id, tile, 1, g FROM u),
+        n AS (SELECT a.*, (SELECT max(km) FROM s WHERE s.route_id = a.route_id AND km < at_km) AS k0, (SELECT min(km) FROM s WHERE s.route_id = a.route_id AND km >= at_km) AS k1 FROM a),
+        v AS (
+            SELECT n.*, coalesce(x.e, y.e) + (coalesce(y.e, x.e) - coalesce(x.e, y.e)) * CASE WHEN y.km - x.km <= 1e-9 THEN 0 ELSE greatest(0.0, least(1.0, (at_km - x.km) / (y.km - x.km))) END AS e
+            FROM n LEFT JOIN s x ON x.route_id = n.route_id AND x.km = coalesce(k0, k1) LEFT JOIN s y ON y.route_id = n.route_id AND y.km = coalesce(k1, k0)
+        ), w AS (SELECT u.*, p.e AS from_m, q.e AS to_m FROM u JOIN v p ON p.route_id = u.route_id AND p.tile = u.tile AND p.side = 0 JOIN v q ON q.route_id = u.route_id AND q.tile = u.tile AND q.side = 1),
+        x AS (SELECT *, CASE WHEN g - f > 1e-9 THEN (to_m - from_m) / ((g - f) * 1000) * 100 END AS grade FROM w)
+        SELECT route_id, 1 AS number, tile, round(f, 4) + 0.0 AS from_km, round(g, 4) + 0.0 AS to_km, round(from_m, 4) + 0.0 AS from_m, round(to_m, 4) + 0.0 AS to_m, round(grade, 4) + 0.0 AS grade,
+            CASE WHEN grade < -7 THEN 'descent-7-plus' WHEN grade < 0 THEN 'descent-0-7' WHEN grade < 1 THEN 'climb-0-1' WHEN grade < 4 THEN 'climb-1-4' WHEN grade < 8 THEN 'climb-4-8' WHEN grade < 12 THEN 'climb-8-12'
+                WHEN grade IS NOT NULL THEN 'climb-12-plus' END AS grade_class FROM x""",
+    "forecast_hours": f"""
+        WITH {FORECAST_SQL} SELECT request, place, strftime(t, '%Y-%m-%d %H') AS hour, CAST(v AS DOUBLE) AS temperature_2m,
+            CASE WHEN u % 13 <> 5 AND u % 11 <> 3 AND n % 4 <> 0 THEN CAST(n * 2 AS DOUBLE) END AS precipitation FROM h JOIN q USING (u) WHERE reason IS NULL""",
+    "forecast_issues": f"""
+        WITH {FORECAST_SQL} SELECT request, place, reason AS code, NULL AS variable FROM q WHERE reason IS NOT NULL
+        UNION ALL SELECT request, place, 'bad-days', NULL FROM q WHERE reason IS NULL UNION ALL SELECT request, place, 'other-timezone', NULL FROM q WHERE reason IS NULL AND u % 23 = 2
+        UNION ALL SELECT request, place, 'unit', 'hourly.precipitation' FROM q WHERE reason IS NULL AND u % 11 = 3
+        UNION ALL SELECT request, place, 'column', 'hourly.precipitation' FROM q WHERE reason IS NULL AND (u % 11 = 3 OR u % 13 = 5)""",
     "job_transitions": """
         WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events), l AS (
             SELECT user_id * 1000 + n // 8 AS job_id, event_id AS seq, n % 8 AS k, CASE WHEN event_id % 7 = 0 THEN 'failed' WHEN event_id % 11 = 0 THEN 'pending'
