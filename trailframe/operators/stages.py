@@ -52,6 +52,18 @@ def pause_settings(stages: DataFrame, pauses: DataFrame, trip_mode: Column) -> D
     return rows.select("stage_id", "pause_id", "point_id", "minutes", F.row_number().over(w).alias("position"))
 
 
+def placing(ideal: str, places: str, total_km: str, position: str, minutes: str, kind: str) -> str:
+    """SQL: pauses (position, km, minutes, waypoint_id) from arrays of ideal ones (position, km, minutes) and of places (p, km, id); then the types of the fields."""
+    free = (
+        f"filter(coalesce({places}, array()), w -> w.km >= {total_km} * {EDGE}D and w.km <= {total_km} - {total_km} * {EDGE}D and abs(w.km - i.km) <= {total_km} * {SEARCH}D "
+        f"and forall(acc, q -> abs(q.km - w.km) >= {total_km} * {SPACING}D and not (q.waypoint_id <=> w.id)))"
+    )
+    best = f"array_min(transform({free}, w -> named_struct('p', w.p, 'far', abs(w.km - i.km), 'id', w.id, 'km', w.km)))"
+    inside = f"least(greatest(i.km, {total_km} * {EDGE}D), {total_km} - {total_km} * {EDGE}D)"
+    one = f"transform(array({best}), b -> named_struct('position', i.position, 'km', coalesce(b.km, {inside}), 'minutes', i.minutes, 'waypoint_id', b.id))"
+    return f"aggregate({ideal}, cast(array() as array<struct<position:{position},km:double,minutes:{minutes},waypoint_id:{kind}>>), (acc, i) -> concat(acc, {one}))"
+
+
 def placed_pauses(ideal: DataFrame, waypoints: DataFrame, totals: DataFrame) -> DataFrame:
     """Each ideal pause (route_id, position, km, minutes) at the best waypoint near it, or within the edges where none is.
 
@@ -62,16 +74,7 @@ def placed_pauses(ideal: DataFrame, waypoints: DataFrame, totals: DataFrame) ->
     near = ranked.groupBy("route_id").agg(F.collect_list(F.struct("p", "km", F.col("waypoint_id").alias("id"))).alias("ws"))
     wanted = ideal.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("km").cast("double").alias("km"), "minutes"))).alias("is"))
     rows = wanted.join(totals.where("total_km > 0"), "route_id").join(near, "route_id", "left")
-    kind = dict(waypoints.dtypes)["waypoint_id"]
-    minutes = dict(ideal.dtypes)["minutes"]
-    free = (
-        f"filter(coalesce(ws, array()), w -> w.km >= total_km * {EDGE}D and w.km <= total_km - total_km * {EDGE}D and abs(w.km - i.km) <= total_km * {SEARCH}D "
-        f"and forall(acc, q -> abs(q.km - w.km) >= total_km * {SPACING}D and not (q.waypoint_id <=> w.id)))"
-    )
-    best = f"array_min(transform({free}, w -> named_struct('p', w.p, 'far', abs(w.km - i.km), 'id', w.id, 'km', w.km)))"
-    inside = f"least(greatest(i.km, total_km * {EDGE}D), total_km - total_km * {EDGE}D)"
-    one = f"transform(array({best}), b -> named_struct('position', i.position, 'km', coalesce(b.km, {inside}), 'minutes', i.minutes, 'waypoint_id', b.id))"
-    placed = f"aggregate(is, cast(array() as array<struct<position:{dict(ideal.dtypes)['position']},km:double,minutes:{minutes},waypoint_id:{kind}>>), (acc, i) -> concat(acc, {one}))"
+    placed = placing("is", "ws", "total_km", dict(ideal.dtypes)["position"], dict(ideal.dtypes)["minutes"], dict(waypoints.dtypes)["waypoint_id"])
     return rows.select("route_id", F.inline(F.expr(placed)))
 
 

@@ -29,15 +29,18 @@ def grid(series: DataFrame, step_km: float) -> DataFrame:
     return ks.select("route_id", "k", F.least(F.col("k") * F.lit(step_km), F.col("total")).alias("target_km"))
 
 
-def interpolate(series: DataFrame, targets: DataFrame, values: tuple[str, ...], fill_from_other_side: bool = True) -> DataFrame:
+def interpolate(series: DataFrame, targets: DataFrame, values: tuple[str, ...], fill_from_other_side: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Values of a series at target_km: linear between the last row before and the first at or after it.
 
     Series and targets are merged by one sort per route, with no range join: each
-    target looks back and forth for the nearest row of the series.
+    target looks back and forth for the nearest row of the series.  `keep` names
+    columns of the targets that come along, so that nothing has to be joined back.
     """
     struct = F.struct("distance_km", *values)
-    rows = series.select("route_id", F.col("distance_km").alias("_at"), struct.alias("_p"), F.lit(None).cast("int").alias("k"), F.lit(1).alias("_kind"))
-    asked = targets.select("route_id", F.col("target_km").alias("_at"), F.lit(None).cast(rows.schema["_p"].dataType).alias("_p"), F.col("k").cast("int"), F.lit(0).alias("_kind"))
+    carried = [F.struct(*keep).alias("_keep")] if keep else []
+    kept = [F.lit(None).cast(targets.select(*carried).schema["_keep"].dataType).alias("_keep")] if keep else []
+    rows = series.select("route_id", F.col("distance_km").alias("_at"), struct.alias("_p"), F.lit(None).cast("int").alias("k"), F.lit(1).alias("_kind"), *kept)
+    asked = targets.select("route_id", F.col("target_km").alias("_at"), F.lit(None).cast(rows.schema["_p"].dataType).alias("_p"), F.col("k").cast("int"), F.lit(0).alias("_kind"), *carried)
     w = Window.partitionBy("route_id").orderBy("_at", "_kind", "k")
     # the next row is the last one seen from the other end: both frames grow row by row
     back = Window.partitionBy("route_id").orderBy(F.desc("_at"), F.desc("_kind"), F.desc("k"))
@@ -53,7 +56,7 @@ def interpolate(series: DataFrame, targets: DataFrame, values: tuple[str, ...],
         if fill_from_other_side:
             a, b = F.coalesce(a, b), F.coalesce(b, a)
         out.append((a + (b - a) * ratio).alias(v))
-    return near.select("route_id", "k", F.col("_at").alias("distance_km"), *out)
+    return near.select("route_id", "k", F.col("_at").alias("distance_km"), *out, *[F.col(f"_keep.{c}").alias(c) for c in keep])
 
 
 def slope_profile(series: DataFrame, step_km: float = 0.05, grade_window_km: float = 0.2) -> DataFrame:
