@@ -78,7 +78,7 @@ def test_stages_are_built_in_order(spark):
     points = spark.createDataFrame([(30, 2, 7), (30, 1, 8)], "route_id long, ordinal int, point_id long")
     climbs = spark.createDataFrame([], "route_id long, ordinal int, climb_id long")
     rows = assembly.built_stages(files, trips, points, climbs).orderBy("trip_id", "index").collect()
-    assert [(r.stage_id, r.index, r.date, r.validation, r.end_name, r.point_ids, r.climb_ids) for r in rows] == [
+    assert [(r.stage_id, r["index"], r.date, r.validation, r.end_name, r.point_ids, r.climb_ids) for r in rows] == [
         ("stage-20", 0, day, "needs-review", "Arrivée étape 1", [], []), ("stage-10", 1, dt.date(2024, 2, 29), "needs-review", "Arrivée étape 2", [], []),
         ("stage-30", 2, dt.date(2024, 3, 1), "valid", "Arrivée étape 3", [8, 7], []), ("stage-40", 0, None, "valid", "Arrivée étape 1", [], []),
     ]
