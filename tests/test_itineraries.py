@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from trailframe.operators import assembly, itinerary, rules
+from trailframe.operators import assembly, itinerary, rules, track
 from trailframe.plans import itineraries
 
 STAGES = "route_id long, start_name string, end_name string, pause_minutes int, mode string, departure string"
@@ -82,3 +82,16 @@ def test_stages_are_built_in_order(spark):
         ("stage-20", 0, day, "needs-review", "Arrivée étape 1", [], []), ("stage-10", 1, dt.date(2024, 2, 29), "needs-review", "Arrivée étape 2", [], []),
         ("stage-30", 2, dt.date(2024, 3, 1), "valid", "Arrivée étape 3", [8, 7], []), ("stage-40", 0, None, "valid", "Arrivée étape 1", [], []),
     ]
+
+
+def test_files_of_a_trip_are_one_profile(spark):
+    points = [(1, 1, 0, i, 45 + i * 0.001, 6.0, 100.0 + i if i != 1 else None) for i in range(3)] + [(1, 1, 1, i, 45.0025 + i * 0.001, 6.0, 500.0 - i) for i in range(2)] + [(1, 2, 0, 0, 45.01, 6.0, None), (2, 1, 0, 0, 0.0, 0.0, None), (2, 3, 0, 0, 0.0, 0.0, None)]
+    rows = track.joined_profile(spark.createDataFrame(points, "trip_id long, file_number int, segment_index int, seq int, latitude double, longitude double, elevation_m double"))
+    step = 0.1111950802
+    got = [(r.distance_km, r.gain_m, r.loss_m, r.gap_km) for r in rows.where("trip_id = 1").orderBy("file_number", "segment_index", "seq").collect()]
+    want = [(0, 0, 0, None), (step, 0, 0, None), (2 * step, 2, 0, None), (2 * step, 2, 0, step / 2), (3 * step, 2, 1, None), (3 * step, 2, 1, 6.5 * step)]
+    assert len(got) == len(want) and all((a is b) if b is None else abs(a - b) < 1e-6 for x, y in zip(got, want, strict=True) for a, b in zip(x, y, strict=True))
+    told = {r.trip_id: (r.files, r.segments, r.points, round(r.largest_gap_km / step, 3), r.continuous) for r in track.joined_summary(rows).collect()}
+    assert told == {1: (2, 3, 6, 6.5, False), 2: (2, 2, 2, 0.0, False)}
+    assert [r.continuous for r in track.joined_summary(rows.where("trip_id = 1"), 1.0).collect()] == [True]
+    assert track.joined_summary(rows.limit(0)).count() == 0

@@ -169,3 +169,36 @@ def weighted(rows: DataFrame) -> DataFrame:
     mean = (F.col("slope") + F.coalesce(F.lag("slope").over(w), F.col("slope"))) / 2
     step = rows.withColumn("_w", F.col("step_km") / slope_multiplier(mean))
     return step.withColumn("weighted_km", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_w")
+
+
+#: Kilometres between two segments up to which a way of several files counts as continuous. Fixed value.
+CONTINUITY_KM = 0.1
+
+
+def joined_profile(points: DataFrame) -> DataFrame:
+    """One profile of a trip's files: distance_km, gain_m, loss_m and weighted_km run on over files and segments, gap_km tells the break before a segment.
+
+    points: trip_id, file_number, segment_index, seq, latitude, longitude, elevation_m.  Breaks between
+    segments are no way: they add nothing to the sums.  Slopes are told within a segment; the
+    change to its last known elevation counts, never that to the segment before.
+    """
+    whole = Window.partitionBy("trip_id").orderBy("file_number", "segment_index", "seq")
+    rows = local_slopes(cumulative(points.withColumn("route_id", F.struct("trip_id", "file_number", "segment_index")), "route_id"))
+    mean = (F.col("slope") + F.coalesce(F.lag("slope").over(ordered("route_id")), F.col("slope"))) / 2
+    rows = rows.withColumns({"_w": F.col("step_km") / slope_multiplier(mean), "_begins": F.lag("seq").over(ordered("route_id")).isNull()})
+    running = whole.rowsBetween(Window.unboundedPreceding, 0)
+    gap = haversine_km(F.lag("latitude").over(whole), F.lag("longitude").over(whole), F.col("latitude"), F.col("longitude"))
+    sums = {"distance_km": "step_km", "gain_m": F.greatest("step_up_m", F.lit(0.0)), "loss_m": F.greatest(-F.col("step_up_m"), F.lit(0.0)), "weighted_km": "_w"}
+    told = [F.sum(F.coalesce(c, F.lit(0.0))).over(running).alias(name) for name, c in sums.items()]
+    return rows.select("trip_id", "file_number", "segment_index", "seq", "latitude", "longitude", "elevation_m", "slope", *told, F.when(F.col("_begins") & F.lag("seq").over(whole).isNotNull(), gap).alias("gap_km"))
+
+
+def joined_summary(profile: DataFrame, tolerance_km: float = CONTINUITY_KM) -> DataFrame:
+    """A row for each trip: its sums, the largest break, and whether it is continuous (files numbered without a gap, no break over the tolerance)."""
+    ends = [F.max(c).alias(c) for c in ("distance_km", "gain_m", "loss_m", "weighted_km")]
+    rows = profile.groupBy("trip_id").agg(
+        F.countDistinct("file_number").alias("files"), F.countDistinct("file_number", "segment_index").alias("segments"), F.count("*").alias("points"), *ends, F.min("elevation_m").alias("min_m"), F.max("elevation_m").alias("max_m"),
+        F.coalesce(F.max("gap_km"), F.lit(0.0)).alias("largest_gap_km"), F.min("file_number").alias("first_file"), F.max("file_number").alias("last_file"),
+    )
+    numbered = F.col("last_file") - F.col("first_file") + 1 == F.col("files")
+    return rows.withColumn("continuous", numbered & (F.col("largest_gap_km") <= tolerance_km))

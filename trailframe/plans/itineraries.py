@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailframe.operators import assembly, itinerary
-from trailframe.plans.carriers import hav, table
-from trailframe.plans.oracle import DISPLAY_SQL, FACTOR, PRIORITY, at_sql
+from trailframe.operators import assembly, itinerary, track
+from trailframe.plans.carriers import POINTS_SQL, hav, table, track_points
+from trailframe.plans.oracle import DISPLAY_SQL, FACTOR, MULTIPLIER, PRIORITY, at_sql
 from trailframe.plans.queries import rounded, series
 
 KINDS = ("mountain-pass", "city", "saddle", "village", "town", "peak")
@@ -101,7 +101,22 @@ def assembled_trips(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (canonical_waypoints, stage_itineraries, built_stages, assembled_trips)}
+def chained_points(spark, sf_dir) -> DataFrame:
+    """The routes of a chain are the files of a trip; some file numbers are left out."""
+    r, c = F.col("route_id"), F.col("chain")
+    return track_points(spark, sf_dir).select(c.alias("trip_id"), (r + F.when((c % 3 == 0) & (r % 5 > 2), 1).otherwise(0)).alias("file_number"), "segment_index", "seq", "latitude", "longitude", "elevation_m")
+
+
+def joined_profiles(spark, sf_dir):
+    return rounded(track.joined_profile(chained_points(spark, sf_dir)).drop("latitude", "longitude", "elevation_m"), 4)
+
+
+def joined_summaries(spark, sf_dir):
+    """The tolerance is wide, so that both answers occur."""
+    return rounded(track.joined_summary(track.joined_profile(chained_points(spark, sf_dir)), 3.2), 4)
+
+
+QUERIES = {f.__name__: f for f in (canonical_waypoints, stage_itineraries, built_stages, assembled_trips, joined_profiles, joined_summaries)}
 
 
 
@@ -192,8 +207,29 @@ ideal AS (SELECT * FROM (
 ee AS (
     SELECT wl.*, mv.v AS moving, mv.v + coalesce((SELECT sum(minutes) FROM pz WHERE pz.route_id = wl.route_id AND pz.km + 1e-9 <= wl.km), 0) AS elapsed, dep FROM wl JOIN mv ON mv.route_id = wl.route_id AND mv.k = wl.position JOIN st ON st.route_id = wl.route_id
 ), ct AS (SELECT *, CAST(floor(dep + elapsed + 0.5) AS BIGINT) AS tm FROM ee)"""
+JOINED_SQL = f"""{POINTS_SQL}, cp AS (SELECT chain AS trip_id, route_id + CASE WHEN chain % 3 = 0 AND route_id % 5 > 2 THEN 1 ELSE 0 END AS file_number, segment_index, seq, latitude, longitude, elevation_m FROM track_points),
+sg AS (
+    SELECT *, coalesce({hav("lag(latitude) OVER w", "lag(longitude) OVER w", "latitude", "longitude")}, 0.0::DOUBLE) AS step_km, row_number() OVER w = 1 AS begins,
+        elevation_m - last_value(elevation_m IGNORE NULLS) OVER (PARTITION BY trip_id, file_number, segment_index ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up,
+        {hav("lag(latitude) OVER t", "lag(longitude) OVER t", "latitude", "longitude")} AS gap FROM cp WINDOW w AS (PARTITION BY trip_id, file_number, segment_index ORDER BY seq), t AS (PARTITION BY trip_id ORDER BY file_number, segment_index, seq)
+), sd AS (SELECT *, sum(step_km) OVER (PARTITION BY trip_id, file_number, segment_index ORDER BY seq) AS km FROM sg), sk AS (SELECT *, CASE WHEN elevation_m IS NOT NULL THEN km END AS kd FROM sd),
+se AS (
+    SELECT *, first_value(kd IGNORE NULLS) OVER w AS da, last_value(kd IGNORE NULLS) OVER w AS db, first_value(elevation_m IGNORE NULLS) OVER w AS ea, last_value(elevation_m IGNORE NULLS) OVER w AS eb FROM sk
+    WINDOW w AS (PARTITION BY trip_id, file_number, segment_index ORDER BY km RANGE BETWEEN 0.25::DOUBLE PRECEDING AND 0.25::DOUBLE FOLLOWING)
+), ss AS (SELECT *, CASE WHEN db - da >= 0.05 THEN greatest(-20.0::DOUBLE, least(20.0::DOUBLE, (eb - ea) / ((db - da) * 1000) * 100)) ELSE 0.0 END AS slope FROM se),
+sm AS (SELECT *, (slope + coalesce(lag(slope) OVER (PARTITION BY trip_id, file_number, segment_index ORDER BY seq), slope)) / 2 AS mean FROM ss),
+jp AS (
+    SELECT trip_id, file_number, segment_index, seq, elevation_m, slope, sum(step_km) OVER t AS distance_km, sum(greatest(coalesce(up, 0.0), 0.0)) OVER t AS gain_m, sum(greatest(-coalesce(up, 0.0), 0.0)) OVER t AS loss_m,
+        sum(step_km / ({MULTIPLIER.format("mean")})) OVER t AS weighted_km, CASE WHEN begins THEN gap END AS gap_km FROM sm WINDOW t AS (PARTITION BY trip_id ORDER BY file_number, segment_index, seq)
+)"""
 
 SQL = {
+    "joined_profiles": f"""WITH {JOINED_SQL} SELECT trip_id, file_number, segment_index, seq, {", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("slope", "distance_km", "gain_m", "loss_m", "weighted_km", "gap_km"))} FROM jp""",
+    "joined_summaries": f"""WITH {JOINED_SQL}, a AS (
+            SELECT trip_id, count(DISTINCT file_number) AS files, count(DISTINCT (file_number, segment_index)) AS segments, count(*) AS points, max(distance_km) AS distance_km, max(gain_m) AS gain_m, max(loss_m) AS loss_m,
+                max(weighted_km) AS weighted_km, min(elevation_m) AS min_m, max(elevation_m) AS max_m, coalesce(max(gap_km), 0) AS largest_gap_km, min(file_number) AS first_file, max(file_number) AS last_file FROM jp GROUP BY 1
+        ) SELECT trip_id, files, segments, points, {", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("distance_km", "gain_m", "loss_m", "weighted_km", "min_m", "max_m", "largest_gap_km"))}, first_file, last_file,
+            last_file - first_file + 1 = files AND largest_gap_km <= 3.2 AS continuous FROM a""",
     "canonical_waypoints": f"""WITH RECURSIVE {PARTS_SQL}, {located("w0", "wl")}
         SELECT * REPLACE (round(km, 6) + 0.0 AS km, round(latitude, 6) + 0.0 AS latitude, round(longitude, 6) + 0.0 AS longitude, round(elevation_m, 6) + 0.0 AS elevation_m, CAST(climb_id AS VARCHAR) AS climb_id) FROM wl""",
     "stage_itineraries": f"""WITH RECURSIVE {ITINERARY_SQL}
