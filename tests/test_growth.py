@@ -1,6 +1,11 @@
 """What many rows at one place cost: joins are of places, so their rows don't go with the square of the copies."""
 
-from trailframe.operators import spatial
+import datetime
+
+from pyspark.sql import functions as F
+
+from trailframe.operators import projection, spatial, waypoints
+from trailframe.plans import planning, queries
 
 
 def joined(df) -> tuple[list, int]:
@@ -26,3 +31,10 @@ def test_nearest_named_meets_places_not_copies(spark):
     rows, most = joined(spatial.nearest_named(tops, points, 0.08))
     assert sorted((r.top_id, r.point_id, r.name, r.far_km) for r in rows) == [(i, 4 - i % 2, f"n{4 - i % 2}", 0.0) for i in range(600)]
     assert most <= 600
+
+
+def test_clock_shifts_round_the_double_itself(spark, tmp_path):
+    """849.50 / 100 is a little under 8.495, 1049.50 / 100 isn't: the first stays under half a minute."""
+    spark.createDataFrame([(0, 849.5), (1, 1049.5)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.clock_minutes for r in queries.clock_shifts(spark, str(tmp_path)).collect()}
+    assert got == {0: 8, 1: 12}

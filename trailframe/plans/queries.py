@@ -161,7 +161,7 @@ def pause_allocation(spark, sf_dir):
 
 
 def clock_shifts(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1440).cast("int").alias("m"), F.round(F.col("o_totalprice") / 100, 2).alias("e"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1440).cast("int").alias("m"), (F.round(F.col("o_totalprice") / 100 * 100) / 100).alias("e"))  # of the double itself, as the SQL: Spark rounds its shortest decimal text
     c = o.withColumn("c", clock.clock(F.col("m"), F.col("e"))).withColumn("s", clock.shifted_clock(F.col("c.clock_minutes"), F.col("c.day_offset"), F.lit(-120)))
     return c.select("o_orderkey", "c.clock_minutes", "c.day_offset", clock.clock_text(F.col("c.clock_minutes"), F.col("c.day_offset")).alias("text"),
         F.col("s.clock_minutes").alias("shifted"), F.col("s.coherent").alias("coherent"), clock.parse_clock(clock.clock_text(F.col("c.clock_minutes"), F.lit(0))).alias("parsed"),
