@@ -38,3 +38,14 @@ def test_clock_shifts_round_the_double_itself(spark, tmp_path):
     spark.createDataFrame([(0, 849.5), (1, 1049.5)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: r.clock_minutes for r in queries.clock_shifts(spark, str(tmp_path)).collect()}
     assert got == {0: 8, 1: 12}
+
+
+def test_projected_points_go_on_where_the_sample_leaves_the_globe(spark, tmp_path):
+    """Routes from 4,501 on lie beyond the 90th degree; the query keeps them, as its SQL does."""
+    at = datetime.datetime(2024, 1, 1)
+    events = [(i, at + datetime.timedelta(minutes=i), route, "click", 1.0) for route in (1, 4600) for i in range(3)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(10,), (46_000,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted((r.route_id, r.point_id) for r in planning.projected_points(spark, str(tmp_path)).collect()) == [(1, 10), (4600, 46_000)]
+    place = spark.createDataFrame([(1, 1, None, 6.0)], "route_id long, point_id long, latitude double, longitude double")
+    assert projection.projected(place, planning.track_vertices(spark, str(tmp_path)), on_globe=False).count() == 0

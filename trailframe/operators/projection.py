@@ -49,13 +49,14 @@ def edges(track: DataFrame) -> DataFrame:
     return pairs.where("b is not null")
 
 
-def projected(points: DataFrame, track: DataFrame) -> DataFrame:
+def projected(points: DataFrame, track: DataFrame, on_globe: bool = True) -> DataFrame:
     """Points (route_id, point_id, latitude, longitude) on their route: place, segment, vertices, share, track_km, distance_m and status.
 
     The nearest edge counts, in the point's own plane; an edge further on must be
     nearer by more than an epsilon.  What that keeps depends on the order of edges,
     so it is a fold, but only edges nearer than all before can be kept: a window
-    leaves these few, and the fold runs over them.
+    leaves these few, and the fold runs over them.  Points off the globe are left
+    out, but for tracks on a continued grid (on_globe=False).
     """
     rad = F.radians
     x = lambda v: rad(F.col(f"{v}.longitude") - F.col("longitude")) * F.cos(rad("latitude")) * EARTH_KM
@@ -63,7 +64,8 @@ def projected(points: DataFrame, track: DataFrame) -> DataFrame:
     dx, dy = x("b") - x("a"), y("b") - y("a")
     square = dx * dx + dy * dy
     share = F.when(square <= EPSILON, F.lit(0.0)).otherwise(clamp(-(x("a") * dx + y("a") * dy) / square, 0.0, 1.0))
-    asked = points.where("latitude between -90 and 90 and longitude between -180 and 180").select("route_id", "point_id", "latitude", "longitude")
+    known_ = points.where("latitude between -90 and 90 and longitude between -180 and 180") if on_globe else points.where("latitude is not null and longitude is not null")
+    asked = known_.select("route_id", "point_id", "latitude", "longitude")
     near = asked.join(edges(track), "route_id").withColumn("share", share)
     near = near.select("route_id", "point_id", "latitude", "longitude", "share", F.col("a.segment_index").alias("segment_index"), F.col("a.point_index").alias("point_index"),
         F.col("b.point_index").alias("next_point_index"), *placed("a", "b", F.col("share")))
