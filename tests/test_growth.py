@@ -49,3 +49,20 @@ def test_projected_points_go_on_where_the_sample_leaves_the_globe(spark, tmp_pat
     assert sorted((r.route_id, r.point_id) for r in planning.projected_points(spark, str(tmp_path)).collect()) == [(1, 10), (4600, 46_000)]
     place = spark.createDataFrame([(1, 1, None, 6.0)], "route_id long, point_id long, latitude double, longitude double")
     assert projection.projected(place, planning.track_vertices(spark, str(tmp_path)), on_globe=False).count() == 0
+
+
+def test_climb_landmarks_make_no_pairs(spark):
+    """Against all pairs, with ties of distance, both ranks, nameless marks and tops without any."""
+    climbs = spark.range(300).selectExpr("id % 3 as route_id", "id as climb_id", "if(id = 7, null, (id * 37 % 90) / 10D) as end_km")
+    marks = spark.range(400).selectExpr("id % 3 as route_id", "(id * 7) % 400 as landmark_id", "if(id % 5 = 0, null, concat('n', id)) as name", "if(id % 4 = 1, 'mountain-pass', if(id % 9 = 2, null, 'saddle')) as kind", "if(id = 8, null, (id * 53 % 170) / 20D) as track_km")
+    marks = marks.where("kind is null or kind <> 'mountain-pass' or track_km < 3")
+    rows, most = joined(waypoints.climb_landmarks(climbs, marks, 0.3))
+    far = lambda c, m: abs(m.track_km - c.end_km)
+    want = []
+    for c in climbs.where("end_km is not null").collect():
+        near = [m for m in marks.where("name is not null and track_km is not null").collect() if m.route_id == c.route_id and far(c, m) <= 0.3]
+        if near:
+            best = min(near, key=lambda m: (m.kind != "mountain-pass", far(c, m), m.landmark_id))
+            want.append((c.route_id, c.climb_id, best.landmark_id, best.name))
+    assert sorted(map(tuple, rows)) == sorted(want) and 100 < len(want) < 299
+    assert most <= 300

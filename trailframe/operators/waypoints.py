@@ -41,17 +41,30 @@ def column_key(name: Column) -> Column:
 
 
 def climb_landmarks(climbs: DataFrame, landmarks: DataFrame, within_km: float = 1.0) -> DataFrame:
-    """The named landmark of each climb's top: passes before others, then the nearest along the track.
+    """The named landmark of each climb's top: passes before others, then the nearest along the track, then the smaller id.
 
-    Kilometre cells make the range an equi-join: a landmark within the reach is in
-    one of three cells.
+    Of passes and of others, only the last one up to a top and the first one from it
+    on can be the nearest, so places of tops and landmarks are merged by one sort per
+    route each way; no pair is made.  What stands at one place counts once.
     """
-    asked = climbs.select("route_id", "climb_id", "end_km", F.explode(F.array(*[F.floor(F.col("end_km") / within_km) + i for i in (-1, 0, 1)])).alias("_cell"))
-    marks = landmarks.where("name is not null").select("route_id", "landmark_id", "name", "kind", "track_km", F.floor(F.col("track_km") / within_km).alias("_cell"))
-    far = F.abs(F.col("track_km") - F.col("end_km"))
-    near = asked.join(marks, ["route_id", "_cell"]).where(far <= within_km)
-    best = F.min(F.struct(F.when(F.col("kind") == "mountain-pass", 0).otherwise(1).alias("p"), far.alias("far"), "landmark_id", "name")).alias("b")
-    return near.groupBy("route_id", "climb_id").agg(best).select("route_id", "climb_id", F.col("b.landmark_id").alias("landmark_id"), F.col("b.name").alias("name"))
+    at = F.col("track_km").cast("double").alias("_at")
+    passing = F.col("kind").eqNullSafe("mountain-pass")
+    marks = landmarks.where("name is not null and track_km is not null").select("route_id", at, passing.alias("_pass"), F.struct("landmark_id", "name").alias("_m"))
+    marks = marks.groupBy("route_id", "_at").agg(*[F.min(F.when(F.col("_pass") == (p == 0), F.struct("_at", "_m"))).alias(f"_{p}") for p in (0, 1)], F.lit(0).alias("_top"))
+    tops = climbs.where("end_km is not null").select("route_id", F.col("end_km").cast("double").alias("_at")).distinct()
+    nothing = [F.lit(None).cast(marks.schema[f"_{p}"].dataType).alias(f"_{p}") for p in (0, 1)]
+    merged = marks.union(tops.select("route_id", "_at", *nothing, F.lit(1)))
+    seen = []
+    for side, order in (("before", F.asc("_at")), ("after", F.desc("_at"))):
+        w = Window.partitionBy("route_id").orderBy(order, "_top").rowsBetween(Window.unboundedPreceding, 0)
+        for p in (0, 1):
+            merged = merged.withColumn(f"_{side}{p}", F.last(f"_{p}", ignorenulls=True).over(w))
+            m = F.col(f"_{side}{p}")
+            seen.append(F.struct(F.lit(p).alias("p"), F.abs(m["_at"] - F.col("_at")).alias("far"), m["_m"].alias("m")))
+    best = F.array_min(F.filter(F.array(*seen), lambda x: x["far"] <= within_km))
+    found = merged.where("_top = 1").select("route_id", "_at", best.alias("b")).where("b is not null")
+    asked = climbs.select("route_id", "climb_id", F.col("end_km").cast("double").alias("_at")).join(found, ["route_id", "_at"])
+    return asked.groupBy("route_id", "climb_id").agg(F.min("b").alias("b")).select("route_id", "climb_id", "b.m.landmark_id", "b.m.name")
 
 
 def merged_climbs(climbs: DataFrame, landmarks: DataFrame, within_km: float = 1.0) -> DataFrame:
