@@ -66,3 +66,11 @@ def test_climb_landmarks_make_no_pairs(spark):
             want.append((c.route_id, c.climb_id, best.landmark_id, best.name))
     assert sorted(map(tuple, rows)) == sorted(want) and 100 < len(want) < 299
     assert most <= 300
+
+
+def test_summit_names_meet_places_not_copies(spark):
+    rows = spark.range(600).selectExpr("id", "45D + id % 2 * 0.0001 as latitude", "6D as longitude", "if(id % 3 = 0, null, 500D) as elevation_m")
+    candidates = rows.withColumnRenamed("id", "candidate_id").withColumn("name", F.concat(F.lit("n"), "candidate_id")).withColumn("kind", F.lit("saddle"))
+    got, most = joined(waypoints.summit_names(rows.withColumnRenamed("id", "climb_id"), candidates))
+    assert sorted((r.climb_id, r.candidate_id, r.name) for r in got) == [(i, i % 2, f"n{i % 2}") for i in range(600)]
+    assert most <= 600

@@ -345,9 +345,13 @@ def summit_names(summits: DataFrame, candidates: DataFrame) -> DataFrame:
     """climb_id, candidate_id, name: what names a summit; passes before saddles before peaks, then the nearest.
 
     Summits go to all cells in reach, candidates to their own, so the join is an equi-join.
+    Candidates of a kind and height at one place are one (the smallest id), summits likewise ask once.
     """
+    spot = ["latitude", "longitude", "elevation_m"]
+    candidates = candidates.groupBy("kind", *spot).agg(F.min(F.struct("candidate_id", "name")).alias("_c")).select("kind", *spot, "_c.*")
     rows, columns, row, column = cells(max(m for m, _ in NAMING.values()), "latitude", "longitude", row="_row")
-    asked = summits.withColumn("_row", rows).withColumn("_column", columns).select("climb_id", "_row", "_column", *[F.col(c).alias(f"_{c}") for c in ("latitude", "longitude", "elevation_m")])
+    key = F.struct(*spot).alias("_spot")
+    asked = summits.select(*spot).distinct().withColumn("_row", rows).withColumn("_column", columns).select(key, "_row", "_column", *[F.col(c).alias(f"_{c}") for c in spot])
     near = asked.join(candidates.withColumn("_row", row).withColumn("_column", column), ["_row", "_column"])
     far = equirectangular_m(F.col("_latitude"), F.col("_longitude"), F.col("latitude"), F.col("longitude"))
     apart = F.coalesce(F.abs(F.col("elevation_m") - F.col("_elevation_m")), F.lit(0.0))
@@ -356,7 +360,8 @@ def summit_names(summits: DataFrame, candidates: DataFrame) -> DataFrame:
         limit = F.when(F.col("elevation_m").isNull(), PEAK_WITHOUT_ELEVATION_M).otherwise(reach) if kind == "peak" else F.lit(reach)
         fits = fits | ((F.col("kind") == kind) & (far <= limit) & (apart <= up))
     order = F.when(F.col("kind") == "mountain-pass", 0).when(F.col("kind") == "saddle", 1).otherwise(2)
-    best = near.where(fits).groupBy("climb_id").agg(F.min(F.struct(order.alias("p"), far.alias("far"), "candidate_id", "name")).alias("b"))
+    best = near.where(fits).groupBy("_spot").agg(F.min(F.struct(order.alias("p"), far.alias("far"), "candidate_id", "name")).alias("b"))
+    best = summits.select("climb_id", key).join(best, "_spot").groupBy("climb_id").agg(F.min("b").alias("b"))
     return best.select("climb_id", F.col("b.candidate_id").alias("candidate_id"), F.col("b.name").alias("name"))
 
 
