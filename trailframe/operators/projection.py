@@ -6,6 +6,8 @@ elevation_m); a segment's index counts its own points.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -203,38 +205,50 @@ def profile_matches(points: DataFrame, summits: DataFrame, within_m: float = HEI
     a = points.select("day_id", F.lit(0).alias("side"), "point_id", F.col("ordinal").cast("double").alias("at"), F.col("elevation_m").cast("double").alias("e"), F.col("fixed_km").cast("double").alias("fixed"))
     b = free_summits(points, summits, apart_km).select("day_id", F.lit(1), F.col("summit_id"), F.col("km").cast("double"), F.col("elevation_m").cast("double"), F.lit(None).cast("double"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        listed, found = (rows[rows.side == s].sort_values(["at", "point_id"]) for s in (0, 1))
-        fixed = listed.fixed.to_numpy()
-        low, high = np.full(len(listed), -np.inf), np.full(len(listed), np.inf)
-        for i in range(len(listed)):
-            before, after = fixed[:i][~np.isnan(fixed[:i])], fixed[i + 1 :][~np.isnan(fixed[i + 1 :])]
-            low[i] = before[-1] + apart_km - EPSILON if len(before) else -np.inf
-            high[i] = after[0] - apart_km + EPSILON if len(after) else np.inf
-        open_ = np.isnan(fixed) & ~np.isnan(listed.e.to_numpy())
-        ids, x, low, high = listed.point_id.to_numpy()[open_], listed.e.to_numpy()[open_], low[open_], high[open_]
-        y, km = found.e.to_numpy(), found["at"].to_numpy()
+    def matched(side: np.ndarray, point_id: np.ndarray, at: np.ndarray, e: np.ndarray, fixed: np.ndarray) -> list[tuple]:
+        k = int((side == 0).sum())
+        low, high, last, nxt = [0.0] * k, [0.0] * k, -np.inf, np.inf
+        for i in range(k):
+            low[i] = last
+            last = fixed[i] + apart_km - EPSILON if fixed[i] == fixed[i] else last
+        for i in range(k - 1, -1, -1):
+            high[i] = nxt
+            nxt = fixed[i] - apart_km + EPSILON if fixed[i] == fixed[i] else nxt
+        open_ = [i for i in range(k) if fixed[i] != fixed[i] and e[i] == e[i]]
+        x, y, km = e[open_].tolist(), e[k:].tolist(), at[k:].tolist()
         n, m = len(x), len(y)
         best = [[(0, 0, 0.0)] * (m + 1) for _ in range(n + 1)]
         taken = [[0] * (m + 1) for _ in range(n + 1)]
         for i in range(n - 1, -1, -1):
             for j in range(m - 1, -1, -1):
-                choices = [best[i + 1][j], best[i][j + 1]]
+                most, pick = best[i + 1][j], 0  # the first of equals stays
+                if best[i][j + 1] > most:
+                    most, pick = best[i][j + 1], 1
                 error = abs(x[i] - y[j])
-                if error <= within_m and low[i] <= km[j] <= high[i]:
+                if error <= within_m and low[open_[i]] <= km[j] <= high[open_[i]]:
                     count, good, less = best[i + 1][j + 1]
-                    choices.append((count + 1, good + (error <= good_m), less - error))
-                pick = max(range(len(choices)), key=lambda c, choices=choices: (choices[c], -c))  # the first of equals
-                best[i][j], taken[i][j] = choices[pick], pick
+                    met = (count + 1, good + (error <= good_m), less - error)
+                    if met > most:
+                        most, pick = met, 2
+                best[i][j], taken[i][j] = most, pick
         i = j = 0
         out = []
         while i < n and j < m:
             if taken[i][j] == 2:
-                out.append((rows.day_id.iloc[0], ids[i], found.point_id.to_numpy()[j], km[j], abs(x[i] - y[j])))
+                out.append((point_id[open_[i]], point_id[k + j], km[j], abs(x[i] - y[j])))
             i, j = i + (taken[i][j] != 1), j + (taken[i][j] != 0)
-        return pd.DataFrame(out, columns=["day_id", "point_id", "summit_id", "km", "height_m"])
-
-    return a.union(b).groupBy("day_id").applyInPandas(fold, "day_id long, point_id long, summit_id long, km double, height_m double")
+        return out
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A batch holds many days, so the cost of a frame is not paid by the day."""
+        for days in batches:
+            numbers = [[np.asarray(x, float) for x in days[c]] for c in ("at", "e", "fixed")]
+            rows = [(day, *m) for day, *of in zip(days.day_id, days.side, days.point_id, *numbers, strict=True) for m in matched(*of)]
+            yield pd.DataFrame(rows, columns=["day_id", "point_id", "summit_id", "km", "height_m"])
+
+    row = F.struct("side", F.coalesce(F.isnan("at"), F.lit(True)).alias("last"), "at", "point_id", "e", "fixed")
+    days = a.union(b).groupBy("day_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    return days.select("day_id", *[F.col(f"_rows.{c}").alias(c) for c in ("side", "point_id", "at", "e", "fixed")]).mapInPandas(fold, "day_id long, point_id long, summit_id long, km double, height_m double")
 
 
 def alternatives(points: DataFrame, summits: DataFrame, matches: DataFrame, within_m: float = HEIGHT_WITHIN_M, good_m: float = HEIGHT_GOOD_M) -> DataFrame:
