@@ -82,3 +82,15 @@ def test_places_at_one_spot_meet_a_track_once(spark):
     for got, most in (joined(spatial.routes_in_reach(places, track, 1500.0)), joined(spatial.nearest_segment(places, track, 1500.0))):
         assert sorted(r.place_id for r in got) == list(range(600))
         assert most <= 600
+
+
+def test_days_share_the_frames_of_a_batch(spark):
+    """A frame a day costs more than its fold: neither operator makes one."""
+    rows = spark.range(60).selectExpr("id % 20 as day_id", "id as point_id", "id as ordinal", "100D + id as elevation_m", "cast(null as double) as fixed_km", "id * 1D as track_km", "45D as latitude", "6D + id * 0.000001 as longitude")
+    summits = spark.range(20).selectExpr("id as day_id", "id + 1000 as summit_id", "5D as km", "110D + id as elevation_m")
+    matches, groups = projection.profile_matches(rows, summits), waypoints.grouped_points(rows, 1000.0, 100.0)
+    for df in (matches, groups):
+        assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+    # the passes of a day differ by 10, 10 and 30 m from its summit; of equals the later one is matched
+    assert sorted((r.day_id, r.point_id, r.summit_id, r.height_m) for r in matches.collect()) == [(d, d + 20, d + 1000, 10.0) for d in range(20)]
+    assert sorted((r.day_id, r.point_id, r.group) for r in groups.collect()) == sorted((i % 20, i, 0) for i in range(60))

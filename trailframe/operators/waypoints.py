@@ -119,12 +119,12 @@ def with_islands(rows: DataFrame, keys: list[str], value: Column, size: float, n
     return rows.withColumn("_cell", F.floor(value / size)).withColumn("_new", begins).withColumn(name, F.sum("_new").over(order)).drop("_cell", "_new")
 
 
-def linked_groups(rows: pd.DataFrame, within_m: float, within_up_m: float) -> list[int]:
+def linked_groups(rows: pd.DataFrame | dict, within_m: float, within_up_m: float) -> list[int]:
     """The group of each row, taken in their order: the first group whose members are all near it, else a new one.
 
     A group spans less than the reach, so one that fits has its first member in a neighbouring cell; of its heights the ends are enough.
     """
-    lat, lon, up = (rows[c].to_numpy(float) for c in ("latitude", "longitude", "elevation_m"))
+    lat, lon, up = (np.asarray(rows[c], float) for c in ("latitude", "longitude", "elevation_m"))
     metres = 1000 * EARTH_KM * np.pi / 180
     most = np.abs(lat).max(initial=0)
     wide = within_m * 1.001 / (metres * np.cos(np.radians(most))) if most < 80 and np.abs(lon).max(initial=0) < 179 else 400.0
@@ -171,21 +171,25 @@ def grouped_points(points: DataFrame, within_m: float = 100.0, within_up_m: floa
     cut = F.min((F.abs("latitude") < 80) & (F.abs("longitude") < 179)).over(Window.partitionBy("day_id", "_a", "_b"))
     east = F.when(cut, F.col("longitude") * (metres * math.cos(math.radians(80)))).otherwise(0.0)
     spots = with_islands(spots.withColumn("_east", east), ["day_id", "_a", "_b"], F.col("_east"), within_m * 1.001, "_c")
-    kinds = dict(points.dtypes)
-    schema = f"day_id {kinds['day_id']}, latitude double, longitude double, elevation_m double, cluster string, last boolean, track_km {kinds['track_km']}, point_id {kinds['point_id']}"
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        """Each place with the first point of its group."""
-        ordered = rows.sort_values(["last", "track_km", "point_id"]).reset_index(drop=True)
-        group = np.array(linked_groups(ordered, within_m, within_up_m))
-        _, first = np.unique(group, return_index=True)
-        return pd.concat([ordered[["day_id", *place, "cluster"]], ordered[["last", "track_km", "point_id"]].iloc[first[group]].reset_index(drop=True)], axis=1)
+    @F.pandas_udf("array<int>")
+    def firsts(lat: pd.Series, lon: pd.Series, up: pd.Series) -> pd.Series:
+        """For each place of a cluster, in track order, where its group's first one stands; a batch holds many clusters."""
+
+        def of(places: tuple) -> np.ndarray:
+            group = linked_groups(dict(zip(place, places, strict=True)), within_m, within_up_m)
+            return np.unique(group, return_index=True)[1][group].astype(np.int32)
+
+        return pd.Series([of(places) for places in zip(lat, lon, up, strict=True)])
 
     cluster = F.concat_ws(".", "_a", "_b", "_c").alias("cluster")
     island = ["day_id", "_a", "_b", "_c"]
     sized = spots.withColumn("_n", F.count("*").over(Window.partitionBy(*island))).select(*island, "_n", *place, cluster, "at.*")
     # a cluster of one place is a group as it stands; only the others are folded
-    folded = sized.where("_n > 1").drop("_n").groupBy(*island).applyInPandas(fold, schema)
+    many = sized.where("_n > 1").groupBy(*island, "cluster").agg(F.array_sort(F.collect_list(F.struct("last", "track_km", "point_id", *place))).alias("_rows"))
+    many = many.withColumn("_first", firsts(*[F.col(f"_rows.{c}") for c in place]))
+    member = "transform(_rows, (r, i) -> named_struct('r', r, 'f', _rows[_first[i]]))"
+    folded = many.select("day_id", "cluster", F.explode(F.expr(member)).alias("m")).select("day_id", *[F.col(f"m.r.{c}") for c in place], "cluster", "m.f.last", "m.f.track_km", "m.f.point_id")
     folded = folded.union(sized.where("_n = 1").select("day_id", *place, "cluster", "last", "track_km", "point_id"))
     alone = points.where(~placed).select("day_id", *[F.lit(None).cast("double").alias(c) for c in place], F.lit(None).cast("string").alias("cluster"), "track_km", "point_id", order.alias("at"))
     begun = folded.select("day_id", *place, "cluster", "track_km", "point_id", order.alias("at")).union(alone)
