@@ -6,10 +6,10 @@ array for several, an error, or columns of other lengths than their times.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailframe.operators.rules import IS, fields_of
+from trailframe.operators.rules import IS, fields_of, let
 
 #: Variables of hours and days with their units (in lower case).
 HOURLY_UNITS = {
@@ -43,23 +43,29 @@ def aligned(payloads: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def axis(part: str, pattern: str) -> str:
-    """SQL: the times of a part of `item` if all are of their form and rise, else null."""
-    times = f"try_variant_get(item, '$.{part}.time', 'array<string>')"
-    rising = f"forall(sequence(0, size({times}) - 1), i -> i = 0 or {times}[i] > {times}[i - 1])"
-    return f"if(size({times}) > 0 and forall({times}, t -> coalesce(t rlike '{pattern}', false)) and {rising}, {times}, null)"
+    """SQL: the times of a part of `item` if all are of their form and rise, else null.  They are read once, not for each time again."""
+
+    def checked(times: str) -> str:
+        rising = f"forall(sequence(0, size({times}) - 1), i -> i = 0 or {times}[i] > {times}[i - 1])"
+        return f"if(size({times}) > 0 and forall({times}, t -> coalesce(t rlike '{pattern}', false)) and {rising}, {times}, null)"
+
+    return let(f"try_variant_get(item, '$.{part}.time', 'array<string>')", checked)
 
 
 def column(part: str, variable: str, unit: str, times: str) -> str:
     """SQL: struct(unit, fits, odd, values) of a variable: is its unit as agreed, is its column as long as the times, does it hold something odd, its values."""
-    raw = f"try_variant_get(item, '$.{part}.{variable}', 'array<variant>')"
     unit_is = f"coalesce(lower(try_variant_get(item, '$.{part}_units.{variable}', 'string')) = '{unit}', false)"
     text = variable in TEXTS
     good = f"coalesce(try_variant_get(x, '$', 'string') rlike '{TIME}', false)" if text else IS["number"].format(x="x")
     kind = "string" if text else "double"
     value = f"if({good}, try_variant_get(x, '$', '{kind}'), null)"
-    fits = f"{unit_is} and coalesce(size({raw}) = size({times}), false)"
-    odd = "false" if text else f"coalesce(exists({raw}, x -> not is_variant_null(x) and not ({good})), false)"
-    return f"named_struct('unit', {unit_is}, 'fits', {fits}, 'odd', {fits} and {odd}, 'v', if({fits}, transform({raw}, x -> {value}), cast(null as array<{kind}>)))"
+
+    def told(raw: str, agreed: str, fits: str) -> str:
+        odd = "false" if text else f"coalesce(exists({raw}, x -> not is_variant_null(x) and not ({good})), false)"
+        return f"named_struct('unit', {agreed}, 'fits', {fits}, 'odd', {fits} and {odd}, 'v', if({fits}, transform({raw}, x -> {value}), cast(null as array<{kind}>)))"
+
+    fitting = lambda raw, agreed: let(f"{agreed} and coalesce(size({raw}) = size({times}), false)", lambda fits: told(raw, agreed, fits))
+    return let(f"try_variant_get(item, '$.{part}.{variable}', 'array<variant>')", lambda raw: let(unit_is, lambda agreed: fitting(raw, agreed)))
 
 
 def read(payloads: DataFrame, asked: DataFrame) -> DataFrame:
@@ -83,7 +89,13 @@ def read(payloads: DataFrame, asked: DataFrame) -> DataFrame:
             c = F.col(f"_{part}_{v}")
             for code, wrong in (("unit", ~c["unit"]), ("column", ~c["fits"]), ("value", c["odd"])):
                 told.append(F.when(F.col(times).isNotNull() & wrong, F.struct(F.lit(code).alias("code"), F.lit(f"{part}.{v}").alias("variable"))))
-    listed = lambda part, times, units: F.transform(F.col(times), lambda t, k: F.struct(t.alias("time"), *(F.get(F.col(f"_{part}_{v}")["v"], k).alias(v) for v in units)))
+    kind = lambda v: "string" if v in TEXTS else "double"
+
+    def listed(part: str, times: str, units: dict) -> Column:
+        """Values side by side, not looked up in a lambda: the optimizer would put a column's reading into it, once for each time."""
+        values = [F.coalesce(F.col(f"_{part}_{v}")["v"], F.array().cast(f"array<{kind(v)}>")) for v in units]
+        return F.arrays_zip(F.col(times), *values).cast(f"array<struct<time:string,{','.join(f'{v}:{kind(v)}' for v in units)}>>")
+
     made = rows.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "success").otherwise("error"))
     good = F.col("status") == "success"
     out = made.withColumn("hours", F.when(good, listed(*parts[0]))).withColumn("days", F.when(good, listed(*parts[1]))).withColumn("issues", F.when(good, F.array_compact(F.array(*told))))
