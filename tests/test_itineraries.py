@@ -69,6 +69,12 @@ def test_assembled_documents_are_right(spark):
     assert '"days":[]' in text and '"stages":[]' in text and '"status":"ready"' in text
 
 
+def test_a_trip_is_gathered_once(spark):
+    """Each collection of the document joined the files of all trips anew: more than thirty scans."""
+    documents = assembly.assembled(*itineraries.trip_files(spark, "/root/testdata/sf0.001"))
+    assert documents._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 5
+
+
 def test_stages_are_built_in_order(spark):
     day = dt.date(2024, 2, 28)
     trips = spark.createDataFrame([(1, day), (2, None)], "trip_id long, start_date date")

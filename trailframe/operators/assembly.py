@@ -14,6 +14,25 @@ VERSION = 1
 START, END = "Départ étape ", "Arrivée étape "
 
 
+def listed(few: DataFrame, item: str, *more: str) -> DataFrame:
+    """route_id, items: the rows of a route by their ordinal and id, as structs of ordinal, id and more."""
+    return few.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", item, *more))).alias("items"))
+
+
+def staged(files: DataFrame, trips: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """A row for each file, in order: its stage and its day, with lists (route_id, items) of its route; of a route without one, the list is empty.  trips' columns come along."""
+    order = Window.partitionBy("trip_id").orderBy("position", "route_id")
+    rows = files.join(trips, "trip_id").withColumn("index", F.row_number().over(order) - 1).withColumn("display_number", F.col("index") + 1)
+    for name, few in lists.items():
+        rows = rows.join(few.withColumnRenamed("items", name), "route_id", "left").withColumn(name, F.coalesce(name, F.array().cast(few.schema["items"].dataType)))
+    label = lambda text: F.concat(F.lit(text), F.col("display_number").cast("string"))
+    named = lambda prefix: F.concat(F.lit(prefix), F.col("route_id").cast("string"))
+    return rows.withColumns({
+        "stage_id": named("stage-"), "day_id": named("day-"), "start_name": label(START), "end_name": label(END), "date": F.date_add("start_date", F.col("index")),
+        "validation": F.when(F.col("status") == "success", "valid").otherwise("needs-review"),
+    }).drop("start_date")
+
+
 def built_stages(files: DataFrame, trips: DataFrame, points: DataFrame, climbs: DataFrame) -> DataFrame:
     """A row for each file, in order: its stage and its day.
 
@@ -23,27 +42,22 @@ def built_stages(files: DataFrame, trips: DataFrame, points: DataFrame, climbs:
     Ties of position go to the smaller route_id.  Files that weren't read without
     fault need a review.
     """
-    order = Window.partitionBy("trip_id").orderBy("position", "route_id")
-    rows = files.join(trips.select("trip_id", "start_date"), "trip_id").withColumn("index", F.row_number().over(order) - 1).withColumn("display_number", F.col("index") + 1)
-    for few, item, ids in ((points, "point_id", "point_ids"), (climbs, "climb_id", "climb_ids")):
-        rows = rows.join(few.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", item)))[item].alias(ids)), "route_id", "left")
-        rows = rows.withColumn(ids, F.coalesce(ids, F.array().cast(rows.schema[ids].dataType)))
-    label = lambda text: F.concat(F.lit(text), F.col("display_number").cast("string"))
-    named = lambda prefix: F.concat(F.lit(prefix), F.col("route_id").cast("string"))
-    return rows.withColumns({
-        "stage_id": named("stage-"), "day_id": named("day-"), "start_name": label(START), "end_name": label(END), "date": F.date_add("start_date", F.col("index")),
-        "validation": F.when(F.col("status") == "success", "valid").otherwise("needs-review"),
-    }).drop("start_date")
+    ids = {name: listed(few, item).withColumn("items", F.col(f"items.{item}")) for few, item, name in ((points, "point_id", "point_ids"), (climbs, "climb_id", "climb_ids"))}
+    return staged(files, trips.select("trip_id", "start_date"), ids)
+
+
+def dated(trips: DataFrame) -> DataFrame:
+    """trip_calendar of trips that know their n_days."""
+    dates = F.col("start_date").isNotNull()
+    end = F.when(dates & (F.col("n_days") > 0), F.expr("date_add(start_date, cast(n_days - 1 as int))"))
+    return trips.withColumns({"end_date": end, "timezone": F.when(dates, F.col("timezone")), "status": F.when(dates, "ready").otherwise("draft")})
 
 
 def trip_calendar(trips: DataFrame, stages: DataFrame) -> DataFrame:
     """Trips with end_date, timezone (null where there are no dates), status (ready or draft) and n_days; trips without a file have no end, which the
     document rules report where there is a start."""
     n = stages.groupBy("trip_id").agg(F.count("*").alias("_n"))
-    rows = trips.join(n, "trip_id", "left").withColumn("n_days", F.coalesce("_n", F.lit(0))).drop("_n")
-    dated = F.col("start_date").isNotNull()
-    end = F.when(dated & (F.col("n_days") > 0), F.expr("date_add(start_date, cast(n_days - 1 as int))"))
-    return rows.withColumns({"end_date": end, "timezone": F.when(dated, F.col("timezone")), "status": F.when(dated, "ready").otherwise("draft")})
+    return dated(trips.join(n, "trip_id", "left").withColumn("n_days", F.coalesce("_n", F.lit(0))).drop("_n"))
 
 
 def provenance(engine: Column, kind: str = "gpx") -> Column:
@@ -56,12 +70,6 @@ def renamed(**columns: str | Column) -> Column:
     return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
-def gathered(rows: DataFrame, order: tuple[str, ...], **fields: str | Column) -> DataFrame:
-    """trip_id, items: the rows of a trip as structs, in order."""
-    pairs = F.array_sort(F.collect_list(F.struct(*order, renamed(**fields).alias("_item"))))
-    return rows.groupBy("trip_id").agg(F.transform(pairs, lambda x: x["_item"]).alias("items"))
-
-
 def assembled(trips: DataFrame, files: DataFrame, points: DataFrame, climbs: DataFrame) -> DataFrame:
     """trip_id, document (a variant): the whole document of each trip.
 
@@ -73,47 +81,58 @@ def assembled(trips: DataFrame, files: DataFrame, points: DataFrame, climbs: Dat
     """
     text = lambda c: F.col(c).cast("string")
     none = lambda kind="string": F.lit(None).cast(kind)
-    prefixed = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
-    listed = lambda prefix, c: F.transform(c, lambda x: F.concat(F.lit(prefix), x.cast("string")))
-    context = trips.select("trip_id", "engine", "imported_at", "departure")
-    stages = built_stages(files, trips, points, climbs).join(context, "trip_id")
-    source = provenance(F.col("engine"))
+    string = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    nothing = F.array().cast("array<string>")
+    lists = {
+        "_points": listed(points, "point_id", "kind", "name", "latitude", "longitude", "elevation_m", "track_km"),
+        "_climbs": listed(climbs, "climb_id", "name", "start_km", "end_km", "gain_m", "average_grade", "max_grade", "start_m", "end_m"),
+    }
+    stages = staged(files, trips.select("trip_id", "start_date"), lists)
+    # a trip's stages meet in one row once, with what is on their routes; the collections are made of that row
+    fields = sorted(set(stages.columns) - {"trip_id", "position", "index"})
+    every = F.array_sort(F.collect_list(F.struct("index", F.struct(*fields).alias("_stage"))))
+    rows = trips.join(stages.groupBy("trip_id").agg(every.alias("_stages")), "trip_id", "left").withColumn("n_days", F.coalesce(F.size("_stages"), F.lit(0)))
+    rows = dated(rows.withColumn("n_days", F.greatest("n_days", F.lit(0))))
+    engine, source = F.col("engine"), provenance(F.col("engine"))
+
+    def made(body) -> Column:
+        """The stages of a trip as structs: body(stage, its index) gives the fields."""
+        return F.coalesce(F.transform("_stages", lambda s: renamed(**body(s["_stage"], s["index"]))), F.array())
+
+    def inside(items: str, body) -> Column:
+        """What is on the routes of all stages, in order: body(item, its route) gives the fields."""
+        return F.coalesce(F.flatten(F.transform("_stages", lambda s: F.transform(s["_stage"][items], lambda x: renamed(**body(x, string("route-", s["_stage"]["route_id"])))))), F.array())
+
     parts = {
-        "days": gathered(
-            stages, ("index",), id="day_id", index="index", displayNumber="display_number", date=text("date"), type=F.lit("ride"), stageId="stage_id", startLocationName="start_name", endLocationName="end_name",
+        "days": made(lambda s, i: dict(
+            id=s["day_id"], index=i, displayNumber=s["display_number"], date=s["date"].cast("string"), type=F.lit("ride"), stageId=s["stage_id"], startLocationName=s["start_name"], endLocationName=s["end_name"],
             accommodationId=none(), notes=none(), enrichmentStatus=F.lit("not-started"),
-        ),
-        "stages": gathered(
-            stages, ("index",), id="stage_id", dayId="day_id", sourceRouteId=prefixed("route-", "route_id"), name="name", startLocationName="start_name", endLocationName="end_name", distanceKm="distance_km",
-            elevationGainM="gain_m", elevationLossM="loss_m", minAltitudeM="min_m", maxAltitudeM="max_m", movingDurationSeconds="moving_s", pauseDurationSeconds="pause_s", totalDurationSeconds="total_s",
-            estimatedAverageSpeedKph="average_kph", validationStatus="validation", metricsProvenance=source, climbIds=listed("climb-", "climb_ids"), routePointIds=listed("point-", "point_ids"),
-            weatherRecordIds=F.array().cast("array<string>"),
-        ),
-        "sourceFiles": gathered(
-            stages, ("index",), id=prefixed("file-", "route_id"), originalName="file_name", mimeType="mime_type", sizeBytes="bytes", lastModifiedAt=none(), sha256="sha256", importedAt="imported_at", parsingStatus="status",
-            parsingErrors=F.array().cast("array<string>"),
-        ),
-        "routes": gathered(
-            stages, ("index",), id=prefixed("route-", "route_id"), sourceFileId=prefixed("file-", "route_id"),
-            segments=F.array(renamed(index=F.lit(0), name="name", distanceKm="distance_km", elevationGainM="gain_m", elevationLossM="loss_m")), geometry=none(), profile=none(), parsingStatus="status",
-            parsingErrors=F.array().cast("array<string>"), provenance=source,
-        ),
-        "_breaks": gathered(stages, ("index",), dayId="day_id", departureTime="departure", totalBreakSeconds="pause_s"),
+        )),
+        "stages": made(lambda s, i: dict(
+            id=s["stage_id"], dayId=s["day_id"], sourceRouteId=string("route-", s["route_id"]), name=s["name"], startLocationName=s["start_name"], endLocationName=s["end_name"], distanceKm=s["distance_km"],
+            elevationGainM=s["gain_m"], elevationLossM=s["loss_m"], minAltitudeM=s["min_m"], maxAltitudeM=s["max_m"], movingDurationSeconds=s["moving_s"], pauseDurationSeconds=s["pause_s"],
+            totalDurationSeconds=s["total_s"], estimatedAverageSpeedKph=s["average_kph"], validationStatus=s["validation"], metricsProvenance=source,
+            climbIds=F.transform(s["_climbs"], lambda x: string("climb-", x["climb_id"])), routePointIds=F.transform(s["_points"], lambda x: string("point-", x["point_id"])), weatherRecordIds=nothing,
+        )),
+        "sourceFiles": made(lambda s, i: dict(
+            id=string("file-", s["route_id"]), originalName=s["file_name"], mimeType=s["mime_type"], sizeBytes=s["bytes"], lastModifiedAt=none(), sha256=s["sha256"], importedAt=F.col("imported_at"),
+            parsingStatus=s["status"], parsingErrors=nothing,
+        )),
+        "routes": made(lambda s, i: dict(
+            id=string("route-", s["route_id"]), sourceFileId=string("file-", s["route_id"]),
+            segments=F.array(renamed(index=F.lit(0), name=s["name"], distanceKm=s["distance_km"], elevationGainM=s["gain_m"], elevationLossM=s["loss_m"])), geometry=none(), profile=none(), parsingStatus=s["status"],
+            parsingErrors=nothing, provenance=source,
+        )),
+        "climbs": inside("_climbs", lambda x, route: dict(
+            id=string("climb-", x["climb_id"]), routeId=route, name=x["name"], startDistanceKm=x["start_km"], endDistanceKm=x["end_km"], elevationGainM=x["gain_m"], averageGradientPercent=x["average_grade"],
+            maxGradientPercent=x["max_grade"], startAltitudeM=x["start_m"], endAltitudeM=x["end_m"], confidence=F.lit("probable"), provenance=source,
+        )),
+        "routePoints": inside("_points", lambda x, route: dict(
+            id=string("point-", x["point_id"]), routeId=route, type=x["kind"], name=x["name"], latitude=x["latitude"], longitude=x["longitude"], elevationM=x["elevation_m"], trackDistanceKm=x["track_km"],
+            provenance=provenance(engine, "osm"),
+        )),
     }
-    home = stages.select("route_id", "trip_id", "index", "engine")
-    route = prefixed("route-", "route_id")
-    parts["climbs"] = gathered(
-        climbs.join(home, "route_id"), ("index", "ordinal", "climb_id"), id=prefixed("climb-", "climb_id"), routeId=route, name="name", startDistanceKm="start_km", endDistanceKm="end_km", elevationGainM="gain_m",
-        averageGradientPercent="average_grade", maxGradientPercent="max_grade", startAltitudeM="start_m", endAltitudeM="end_m", confidence=F.lit("probable"), provenance=source,
-    )
-    parts["routePoints"] = gathered(
-        points.join(home, "route_id"), ("index", "ordinal", "point_id"), id=prefixed("point-", "point_id"), routeId=route, type="kind", name="name", latitude="latitude", longitude="longitude", elevationM="elevation_m",
-        trackDistanceKm="track_km", provenance=provenance(F.col("engine"), "osm"),
-    )
-    rows = trip_calendar(trips, stages)
-    for name, part in parts.items():
-        rows = rows.join(part.withColumnRenamed("items", name), "trip_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema["items"].dataType)))
-    nothing = F.array().cast("array<string>")
+    breaks = made(lambda s, i: dict(dayId=s["day_id"], departureTime=F.col("departure"), totalBreakSeconds=s["pause_s"]))
     start, end = text("start_date"), text("end_date")
     document = renamed(
         schemaVersion=F.lit(VERSION),
@@ -122,8 +141,8 @@ def assembled(trips: DataFrame, files: DataFrame, points: DataFrame, climbs: Dat
             status="status", schemaVersion=F.lit(VERSION), engineVersion="engine",
         ),
         calendar=renamed(startDate=start, endDate=end, timezone="timezone"),
-        **{name: name for name in parts if name != "_breaks"}, practicalPlaces=nothing, accommodations=nothing, weather=nothing,
-        settings=renamed(**{"global": renamed(referenceSpeedKph="reference_kph", pausePlanMode=F.lit("automatic"), mountainMode="mountains"), "days": "_breaks", "stages": nothing}),
+        **parts, practicalPlaces=nothing, accommodations=nothing, weather=nothing,
+        settings=renamed(**{"global": renamed(referenceSpeedKph="reference_kph", pausePlanMode=F.lit("automatic"), mountainMode="mountains"), "days": breaks, "stages": nothing}),
         overrides=nothing, enrichmentMetadata=renamed(providers=nothing), generatedMetadata=renamed(engineVersion="engine", generatedAt="imported_at", derivedDataStatus=F.lit("fresh")),
     )
     return rows.select("trip_id", F.parse_json(F.to_json(document, {"ignoreNullFields": "false"})).alias("document"))

@@ -91,7 +91,7 @@ def assembled_trips(spark, sf_dir):
     """What the documents say, read back from them."""
     documents = assembly.assembled(*(trip_files(spark, sf_dir)[i] for i in (0, 1, 2, 3)))
     read = lambda path, kind, name: F.variant_get("document", path, kind).alias(name)
-    size = lambda name: F.size(F.variant_get("document", f"$.{name}", "array<variant>")).alias(f"n_{name}")
+    size = lambda name: F.size(F.variant_get("document", f"$.{name}", "array<struct<id:string>>")).alias(f"n_{name}")
     breaks = F.aggregate(F.variant_get("document", "$.settings.days", "array<struct<totalBreakSeconds:bigint>>"), F.lit(0).cast("long"), lambda acc, d: acc + F.coalesce(d["totalBreakSeconds"], F.lit(0)))
     last = F.expr("try_element_at(variant_get(document, '$.stages', 'array<struct<sourceRouteId:string,climbIds:array<string>>>'), -1)")
     return documents.select(
