@@ -679,8 +679,9 @@ def point_roles(spark, sf_dir):
 def positions_at(spark, sf_dir):
     timed = terrain.timing(slope_profile(spark, sf_dir)).withColumn("elevation_m", F.col("smoothed_m")).where("elevation_m is not null")
     routes = timed.groupBy("route_id").agg((F.max("moving_minutes") + 3).alias("total_minutes")).select("route_id", "total_minutes", F.lit(100.0).alias("gain_m"), F.lit(50.0).alias("loss_m"))
-    stops_ = routes.select("route_id", F.inline(F.array(*[F.struct(F.lit(a).alias("start_minutes"), F.lit(b).alias("end_minutes")) for a, b in ((1.0, 2.0), (3.0, 5.0))])))
-    asked = routes.select("route_id", F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(e).alias("elapsed")) for i, e in enumerate((-1.0, 0.5, 1.5, 2.5, 4.0, 6.0, 7.5))])))
+    ids = track_points(spark, sf_dir).select("route_id").distinct()  # routes without a profile fall out by their totals; the profile isn't worked out for these
+    stops_ = ids.select("route_id", F.inline(F.array(*[F.struct(F.lit(a).alias("start_minutes"), F.lit(b).alias("end_minutes")) for a, b in ((1.0, 2.0), (3.0, 5.0))])))
+    asked = ids.select("route_id", F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(e).alias("elapsed")) for i, e in enumerate((-1.0, 0.5, 1.5, 2.5, 4.0, 6.0, 7.5))])))
     rows = stages.positions_at(timed, stops_, asked, routes)
     return rounded(rows.select("route_id", "k", "paused", "track_km", "elevation_m"), 4)
 
