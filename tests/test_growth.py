@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from trailframe.operators import projection, spatial, waypoints
-from trailframe.plans import planning, queries
+from trailframe.plans import journeys, planning, queries
 
 
 def joined(df) -> tuple[list, int]:
@@ -94,3 +94,10 @@ def test_days_share_the_frames_of_a_batch(spark):
     # the passes of a day differ by 10, 10 and 30 m from its summit; of equals the later one is matched
     assert sorted((r.day_id, r.point_id, r.summit_id, r.height_m) for r in matches.collect()) == [(d, d + 20, d + 1000, 10.0) for d in range(20)]
     assert sorted((r.day_id, r.point_id, r.group) for r in groups.collect()) == sorted((i % 20, i, 0) for i in range(60))
+
+
+def test_timelines_and_profiles_are_worked_out_once(spark):
+    """Tables read by the plans, each with all that is made of it: 24 and 16 before."""
+    scans = lambda query: query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(journeys.timeline_issues) <= 13
+    assert scans(queries.positions_at) <= 12

@@ -104,18 +104,22 @@ def timeline_issues(timeline: DataFrame, totals: DataFrame) -> DataFrame:
         "_again": F.row_number().over(ids.orderBy("position")) > 1, "_back": F.coalesce(back("elapsed_minutes") | back("km"), F.lit(False)), "_odd": odd("km") | odd("elapsed_minutes") | odd("clock_minutes"),
     })
     codes = F.array_compact(F.array(F.when(F.col("_again"), "duplicate-id"), F.when(F.col("_back"), "not-ordered"), F.when(F.col("_odd"), "not-finite")))
-    single = rows.select("route_id", "waypoint_id", F.explode(codes).alias("code"))
+    # what is wrong with single waypoints comes along with what is told of the whole: the timeline is worked out once
+    single = F.flatten(F.collect_list(F.transform(codes, lambda code: F.struct("waypoint_id", code.alias("code"))))).alias("_single")
     sign = F.when(F.col("kind") == "pause-end", F.col("elapsed_minutes")).when(F.col("kind") == "pause-start", -F.col("elapsed_minutes"))
     spans = F.when(F.col("kind").isin("gpx-start", "route-start"), F.struct("file_number", "km", "elapsed_minutes"))
     waypoint = F.when(~F.col("kind").startswith("pause-"), F.col("position"))  # a pause may stand at an end
-    told = timeline.groupBy("route_id").agg(
+    told = rows.groupBy("route_id").agg(
+        single,
         F.coalesce(F.sum(sign), F.lit(0.0)).alias("_paused"), F.min_by("kind", waypoint).alias("_first"), F.max_by("kind", waypoint).alias("_last"), F.count_distinct("file_number").alias("_files"),
         F.array_sort(F.collect_list(spans)).alias("_starts"), F.array_sort(F.collect_list(F.when(F.col("kind").isin("gpx-end", "route-end"), F.struct("file_number", "km", "elapsed_minutes")))).alias("_ends"),
-    ).join(totals, "route_id", "right")
+    ).join(totals.withColumn("_asked", F.lit(True)), "route_id", "full")
     gap = "exists(sequence(1, size(_starts) - 1), i -> abs(get(_starts, i).km - get(_ends, i - 1).km) > 1e-9 or abs(get(_starts, i).elapsed_minutes - get(_ends, i - 1).elapsed_minutes) > 1e-9)"
     whole = F.array_compact(F.array(
         F.when(~(F.abs(F.col("_paused") - F.col("break_minutes")) <= 1e-6), "pause-sum"), F.when(F.abs(F.col("total_minutes") - F.col("moving_minutes") - F.col("break_minutes")) > EPSILON, "total-mismatch"),
         F.when(~F.col("_files").eqNullSafe(F.col("files")), "files-missing"), F.when(~(F.col("_first").eqNullSafe("route-start") & F.col("_last").eqNullSafe("route-end")), "wrong-ends"),
         F.when((F.size("_starts") > 1) & F.expr(f"size(_starts) > 1 and {gap}"), "files-apart"),
     ))
-    return single.union(told.select("route_id", F.lit(None).cast("string"), F.explode(whole)))
+    of_whole = F.when(F.col("_asked"), F.transform(whole, lambda code: F.struct(F.lit(None).cast("string").alias("waypoint_id"), code.alias("code"))))
+    nothing = F.array().cast("array<struct<waypoint_id:string,code:string>>")
+    return told.select("route_id", F.inline(F.concat(F.coalesce("_single", nothing), F.coalesce(of_whole, nothing))))

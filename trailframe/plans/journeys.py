@@ -49,7 +49,7 @@ def timelines(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     seeds = timeline.seeds(files, points.withColumn("kind", kind).where("kind is not null"), 0.3)
     marked = timeline.with_markers(seeds, points.where("seq % 13 = 6"), 0.02)
     stops = points.where("seq % 50 = 20").select("route_id", s.alias("pause_id"), F.lit("stop").alias("name"), "km", F.when(F.col("route_id") % 7 == 0, 0).otherwise(5 + s % 3 * 5).alias("minutes"), "moving_minutes")
-    departures = files.select("route_id").distinct().withColumn("departure_minutes", F.lit(480) + F.col("route_id") % 60)
+    departures = track_points(spark, sf_dir).select("route_id").distinct().withColumn("departure_minutes", F.lit(480) + F.col("route_id") % 60)
     totals = files.groupBy("route_id").agg(F.count("*").alias("files"), F.max("end.moving_minutes").alias("moving_minutes")).join(stops.groupBy("route_id").agg(F.sum("minutes").alias("break_minutes")), "route_id", "left")
     totals = totals.fillna(0, ["break_minutes"]).withColumn("total_minutes", F.col("moving_minutes") + F.col("break_minutes"))
     return timeline.assembled(marked, stops, departures), totals
