@@ -4,8 +4,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from trailframe.operators import projection, spatial, waypoints
-from trailframe.plans import journeys, planning, queries
+from trailframe.operators import projection, rules, spatial, waypoints
+from trailframe.plans import documents, journeys, planning, queries
 
 
 def joined(df) -> tuple[list, int]:
@@ -101,3 +101,29 @@ def test_timelines_and_profiles_are_worked_out_once(spark):
     scans = lambda query: query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
     assert scans(journeys.timeline_issues) <= 13
     assert scans(queries.positions_at) <= 12
+
+
+def test_documents_are_read_once_not_value_by_value(spark):
+    """A cast of a variant for each value cost most of the checks; texts and variants are told the same, odd ones too."""
+    shape = rules.Group(
+        {"a": rules.Many(rules.Group({"n": rules.Leaf("from 0"), "t": rules.Leaf("text", null=True), "g": rules.Group({"x": rules.Leaf("boolean")}, null=True)})), "l": rules.Many(rules.Leaf(rules.TEXT, null=True), null=True)},
+        code="invalid-root",
+    )
+    texts = [
+        '{"a":[{"n":1,"t":"q\\"a:5, b\\\\","g":null},{"n":0.5,"t":null,"g":{"x":true}}],"l":null}', '{ "a" : [ {"n" : 1e999, "t" : "null", "g" : {"x" : "true"}} ] , "l" : ["7", null, 7, "a:null}"] }',
+        '{"a":[{"n":"1","t":7,"g":1},7,null,{"n":-1,"g":null}],"l":{}}', '{"a":null,"l":[]}', '{"a":[],"a":[]}', "{'a':[]}", "7", "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, j string").withColumn("v", F.try_parse_json("j"))
+    want = {(1, "a[0].g.x"), (1, "l[2]"), (2, "a[0].n"), (2, "a[0].t"), (2, "a[0].g"), (2, "a[1]"), (2, "a[2]"), (2, "a[3].n"), (2, "a[3].t"), (2, "l"), (3, "a"), (4, ""), (5, ""), (6, ""), (7, "")}
+    for column in ("j", "v"):
+        found = rules.document_issues(docs, shape, "k", column)
+        # a variant has no number for what is infinite: to_json makes it a text
+        assert {(r.k, r.path) for r in found.collect()} == want | ({(1, "a[0].n")} if column == "v" else set())
+    plan = documents.bundle_issues(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "schema_of_variant" not in plan and "map<string,variant>" not in plan.lower() and "Window" not in plan
+
+
+def test_an_entity_without_id_hides_no_unknown_reference(spark):
+    text = '{"routes":[{"sourceFileId":"f2"}],"sourceFiles":[{"id":"f1"},{}]}'
+    found = rules.document_issues(spark.createDataFrame([(1, text)], "k int, j string").select("k", F.try_parse_json("j").alias("v")), rules.BUNDLE, "k", "v")
+    assert found.where("path = 'routes[0].sourceFileId' and code = 'unknown-reference'").count() == 1

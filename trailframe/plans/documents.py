@@ -31,7 +31,7 @@ DAY = (
     f'"type":"{at(17, "off", "ride")}","stageId":"s<<k>>","startLocationName":null,"endLocationName":null,"accommodationId":"a<<t>>","notes":null,"enrichmentStatus":"partial"}}'
 )
 STAGE = (
-    '{"id":"s<<k>>","dayId":"d<<if(m = 22 and i = 0 and n > 1, k2, k)>>","sourceRouteId":"r<<k>>","name":null,"startLocationName":null,"endLocationName":null,"distanceKm":10.5,"elevationGainM":100,"elevationLossM":90,'
+    '{"id":"s<<k>>","dayId":"d<<if(m = 22 and i = 0 and n > 1, get(ks, i + 1), k)>>","sourceRouteId":"r<<k>>","name":null,"startLocationName":null,"endLocationName":null,"distanceKm":10.5,"elevationGainM":100,"elevationLossM":90,'
     f'"movingDurationSeconds":3600,"pauseDurationSeconds":600,"totalDurationSeconds":{at(18, "4000", "4200")},"estimatedAverageSpeedKph":15,"metricsProvenance":{SOURCE},"minAltitudeM":500,"maxAltitudeM":900,'
     '"validationStatus":"valid","climbIds":["c<<k>>"],"routePointIds":["p<<k>>"],"weatherRecordIds":["w<<k>>"]}'
 )
@@ -49,7 +49,7 @@ CLIMB = (
 ).replace('"rx"', "'rx'").replace('"r"', "'r'").replace('"null"', "'null'")
 POINT = f'{{"id":"p<<k>>","routeId":"r<<k>>","type":"summit","name":"P","latitude":45,"longitude":6,"elevationM":null,"trackDistanceKm":2,"provenance":{SOURCE}}}'
 WEATHER = (
-    '{"id":"w<<k>>","dayId":"d<<if(m = 21 and i = 0 and n > 1, k2, k)>>","routePointId":"p<<k>>","forDate":"<<date_add(date\'2024-01-01\', i)>>","forecastAt":null,"temperatureMinC":1,"temperatureMaxC":9,'
+    '{"id":"w<<k>>","dayId":"d<<if(m = 21 and i = 0 and n > 1, get(ks, i + 1), k)>>","routePointId":"p<<k>>","forDate":"<<date_add(date\'2024-01-01\', i)>>","forecastAt":null,"temperatureMinC":1,"temperatureMaxC":9,'
     f'"windSpeedKph":null,"precipitationMm":0,"weatherCode":3,"provenance":{SOURCE}}}'
 )
 PAUSES = '[{"id":"x","active":true,"routePointId":"p<<k>>","durationSeconds":600,"order":0,"origin":"custom"},' + f'{{"id":"y","active":false,"routePointId":null,"durationSeconds":0,"order":{at(24, "0", "1")},"origin":"automatic"}}]'
@@ -78,21 +78,23 @@ ITEMS = {
 }
 
 
+def trip_texts(spark, sf_dir) -> DataFrame:
+    """A customer's orders as the days of a trip, as one JSON document: trip_id, document (text)."""
+    # a row of an order is small and its part of the document large: only the orders are gathered, in as many tasks as there are (their bytes would ask for few)
+    o = table(spark, sf_dir, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
+    trips = o.groupBy(F.col("o_custkey").alias("t")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("ks"))
+    trips = trips.selectExpr("t", f"t % {FAULTS} as m", "transform(ks, x -> x.o_orderkey) as ks").selectExpr("*", "size(ks) as n", "ks[0] as k0")
+    made = trips.select("*", *(F.expr(f"concat('[', array_join(transform(ks, (k, i) -> {filled(item)}), ','), ']')").alias(name) for name, item in ITEMS.items()))
+    return made.select(F.col("t").alias("trip_id"), F.expr(f"if(m = 27, '[]', {filled(DOCUMENT)})").alias("document"))
+
+
 def trip_documents(spark, sf_dir) -> DataFrame:
-    """A customer's orders as the days of a trip, as one JSON document: trip_id, document (variant)."""
-    o = table(spark, sf_dir, "orders").selectExpr(
-        "o_custkey as t", "o_orderkey as k", f"o_custkey % {FAULTS} as m", "cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as int) as i",
-        "cast(count(*) over (partition by o_custkey) as int) as n", "lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as k2",
-    )
-    made = o.select("t", "m", "n", "i", "k", *(F.expr(filled(item)).alias(name) for name, item in ITEMS.items()))
-    listed = lambda name: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", name))), lambda x: x[name]), ","), F.lit("]")).alias(name)
-    trips = made.groupBy("t", "m", "n").agg(F.min_by("k", "i").alias("k0"), *(listed(name) for name in ITEMS))
-    text = F.expr(f"if(m = 27, '[]', {filled(DOCUMENT)})")
-    return trips.select(F.col("t").alias("trip_id"), F.try_parse_json(text).alias("document"))
+    """The same as variants."""
+    return trip_texts(spark, sf_dir).withColumn("document", F.try_parse_json("document"))
 
 
 def bundle_issues(spark, sf_dir):
-    return rules.document_issues(trip_documents(spark, sf_dir), rules.BUNDLE, "trip_id", "document").select("trip_id", "path", "code")
+    return rules.document_issues(trip_texts(spark, sf_dir), rules.BUNDLE, "trip_id", "document").select("trip_id", "path", "code")
 
 
 QUERIES = {"bundle_issues": bundle_issues}

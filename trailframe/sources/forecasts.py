@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailframe.operators.rules import IS, fields_of, let
+from trailframe.operators.rules import let
 
 #: Variables of hours and days with their units (in lower case).
 HOURLY_UNITS = {
@@ -24,6 +24,24 @@ TEXTS = ("sunrise", "sunset")
 TIME, DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2})?$", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
+def typed(x: str, pattern: str) -> str:
+    return f"coalesce(schema_of_variant({x}) rlike '{pattern}', false)"
+
+
+def fields_of(x: str) -> str:
+    """SQL: the map of an object's fields; null for a variant that is no object."""
+    return f"try_variant_get({x}, '$', 'map<string,variant>')"
+
+
+NUMBER, VALUE = typed("{x}", "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), "try_variant_get({x}, '$', 'double')"
+#: Tests of one value {x}, a variant that may be missing; each is true or false.
+IS = {
+    "text": typed("{x}", "^STRING") + r" and try_variant_get({x}, '$', 'string') rlike '\\S'",
+    "number": NUMBER,
+    "integer from 0": f"{NUMBER} and {VALUE} >= 0 and {VALUE} = floor({VALUE})",
+}
+
+
 def aligned(payloads: DataFrame, asked: DataFrame) -> DataFrame:
     """asked(request, place from 0, ...) with `item`, the part of its request's payload (request, payload) that answers it, or null.
 
